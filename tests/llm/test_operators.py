@@ -329,7 +329,7 @@ def best_score(scores, worst, s):
 
 @pytest.mark.parametrize("zipf", [False, True])
 def test_sentencepiece_search(zipf):
-    """The streamed ids have the best score of a plain search over the whole text, and that of the library where it can be asked."""
+    """The streamed ids have the best score of a plain search over the whole text, and never less than the library finds where it can be asked."""
     import sentencepiece
 
     path = sentencepiece_codec.model_file()
@@ -347,7 +347,7 @@ def test_sentencepiece_search(zipf):
         total = sum(by_id[i] for i in ids if i in by_id) + codec.worst * len(unknown)
         assert abs(total - best_score(codec.scores, codec.worst, marked)) < 1e-6
         if not zipf and not unknown:
-            assert abs(total - sum(map(unigram.get_score, unigram.nbest_encode(s, nbest_size=1)[0]))) < 1e-6
+            assert total >= sum(map(unigram.get_score, unigram.nbest_encode(s, nbest_size=1)[0])) - 1e-6
     whole = "".join(r.choice("abcdefgh") for _ in range(20_000))
     ids = list(codec.search(whole))
     assert abs(sum(by_id[i] for i in ids) - best_score(codec.scores, codec.worst, whole)) < 1e-3
