@@ -61,70 +61,61 @@ def _marker(keys: list[str], doc: str):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, undecided = None, None
 
-        def out(table: pa.Table, first: np.ndarray, is_open: np.ndarray, keep: np.ndarray):
-            made = table.append_column("first_doc", pa.array(first)).append_column("is_open", pa.array(is_open))
-            yield from made.filter(pa.array(keep)).combine_chunks().to_batches()
-
-        def groups(table: pa.Table):
-            cols = [table.column(k).to_numpy() for k in keys]
-            change = np.zeros(len(table), bool)
-            change[0] = True
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
-            return cols, np.flatnonzero(change)
+        def out(table: pa.Table, begin: np.ndarray, end: np.ndarray, is_open: np.ndarray):
+            docs, size = table.column(doc).to_numpy(), end - begin
+            is_first = docs == np.repeat(docs[begin], size)
+            last, opened = np.repeat(docs[end - 1], size), np.repeat(is_open, size) & is_first
+            keep = np.repeat(docs[begin] != docs[end - 1], size) | opened
+            for name, x in (("last_doc", last), ("is_first", is_first), ("is_open", opened)):
+                table = table.append_column(name, pa.array(x))
+            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
-            cols, starts = groups(table)
-            if undecided is None:
-                undecided = tuple(c[0] for c in cols)
-            cut = int(starts[-1])
+            cols = [table.column(k).to_numpy() for k in keys]
+            change = np.zeros(len(table), bool)
+            change[0] = True
+            for c in cols:
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.flatnonzero(change)
+            undecided = undecided or tuple(c[0] for c in cols)
+            cut, grown = int(starts[-1]), None
             if len(table) - cut > HELD_ROWS:
-                undecided_next, cut = tuple(c[cut] for c in cols), len(table)
-            else:
-                undecided_next = undecided
+                cut, grown = len(table), tuple(c[cut] for c in cols)
             if cut:
-                part = table.slice(0, cut)
-                docs = part.column(doc).to_numpy()
                 begin = starts[starts < cut]
-                end = np.append(begin[1:], cut)
-                size = end - begin
-                is_open = np.ones(len(begin), bool)
-                for c, u in zip(cols, undecided):
-                    is_open &= c[begin] == u
-                if undecided_next is not undecided:
-                    is_open[-1] = True
-                shared = (docs[begin] != docs[end - 1]) | is_open
-                yield from out(part, np.repeat(docs[begin], size), np.repeat(is_open, size), np.repeat(shared, size))
-            undecided = undecided_next
+                is_open = np.logical_and.reduce([c[begin] == u for c, u in zip(cols, undecided)])
+                is_open[-1] |= grown is not None
+                yield from out(table.slice(0, cut), begin, np.append(begin[1:], cut), is_open)
+            undecided = grown or undecided
             held = table.slice(cut) if cut < len(table) else None
         if held is not None:
-            docs = held.column(doc).to_numpy()
-            yield from out(held, np.full(len(held), docs[0]), np.ones(len(held), bool), np.ones(len(held), bool))
+            yield from out(held, np.zeros(1, int), np.full(1, len(held)), np.ones(1, bool))
 
     return mark
 
 
 def shared_groups(df: DataFrame, keys: list[str], doc: str) -> DataFrame:
-    """The rows of df whose keys are found under two or more values of doc, with the least as first_doc.
+    """The rows of df whose keys are found under two or more values of doc; is_first says whether a row has the least of them.
 
     Keys and doc are non-null longs. Rows are range-partitioned by keys and doc
     and sorted by both, so a key with a third of all rows is dealt over many
     tasks. Each task streams its sorted rows and decides every group that lies
-    inside it; the groups at its two ends may go on in a neighbour, so their rows
-    are passed on as open. Open groups number two a task at most (and one for
+    inside it. The groups at its two ends may go on in a neighbour: there only the
+    rows of the least doc that the task has seen are open, all others have a
+    lesser one before them. Open groups number two a task at most (and one for
     every HELD_ROWS rows), which bounds the table that is broadcast to decide them.
     """
-    spark = df.sparkSession
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, first_doc bigint, is_open boolean"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     order = [*keys, doc]
-    marked = materialize(df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_marker(keys, doc), schema), "groups")
-    still = marked.where("is_open").drop("first_doc")
-    ends = still.groupBy(*keys).agg(F.min(doc).alias("first_doc"), F.max(doc).alias("_last")).where("first_doc < _last").drop("_last")
-    return marked.where("not is_open").drop("is_open").unionByName(still.join(F.broadcast(ends), keys).drop("is_open"))
+    marked = materialize(df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_marker(keys, doc), f"{fields}, last_doc bigint, is_first boolean, is_open boolean"), "groups")
+    still = marked.where("is_open").drop("is_first", "is_open")
+    ends = still.groupBy(*keys).agg(F.min(doc).alias("_least"), F.max("last_doc").alias("_most")).where("_least < _most")
+    decided = still.join(F.broadcast(ends), keys).withColumn("is_first", F.col(doc) == F.col("_least"))
+    return marked.where("not is_open").drop("last_doc", "is_open").unionByName(decided.drop("last_doc", "_least", "_most"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
         raise ValueError("needs gram <= min_words - window + 1 and window >= 2")
     named = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("_text"))
     retained = materialize(named.mapInArrow(_suffixes(min_words, window, gram), "head bigint, context bigint, doc bigint, mark bigint, pos int, lo int, hi int"), "suffixes")
-    near = shared_groups(retained, ["head"], "doc").drop("first_doc")
+    near = shared_groups(retained, ["head"], "doc").drop("is_first")
     classes = materialize(near.groupBy("head", "context").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(F.struct("doc", "mark", "pos")).alias("one")), "classes")
     several = classes.groupBy("head").agg(F.count("*").alias("n"), F.min(F.col("first") < F.col("last")).alias("all_whole")).where("n > 1 and not all_whole")
     asked = classes.join(several, "head", "left_semi").select("one.doc", "one.mark", F.struct("head", "context", "first", "last", "one.pos").alias("c"))
