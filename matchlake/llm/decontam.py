@@ -4,10 +4,11 @@ A benchmark item of n words is compared with every window of n words of every
 document (the whole document if it is shorter). Texts are lower-cased and cut at
 white space; shingles are five words (all words of a shorter item).
 
-1. Only windows that share a shingle with some item of their size can be similar,
-   so documents' shingles are first joined with the benchmark's.
-2. Around each such place all windows of the item's size get a SimHash fingerprint,
-   counted bit-sliced: 64 counters held in a few longs.
+1. A similar window holds at least threshold times as many shingles of items of its
+   size as such an item has. So documents' shingles are first joined with the
+   benchmark's, which leaves the places where enough of them are close together.
+2. There all windows of the item's size get a SimHash fingerprint, counted
+   bit-sliced: 64 counters held in a few longs.
 3. Fingerprints are cut into radius + 1 blocks. Two that differ in radius bits or
    fewer agree on a block, so joining on size, block number and block value
    finds all of them.
@@ -113,11 +114,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for k in sorted(bounds[1]):
         at = own.where(F.size("words") >= k).select("doc", "mark", F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h"))
         places.append(at.join(hint(known.where(F.col("k") == k).select("h", "n", "k")), "h").select("doc", "mark", "n", "k", "pos"))
-    around = reduce(DataFrame.unionByName, places).groupBy("doc", "mark", "n", "k").agg(F.collect_set("pos").alias("at"))
+    around = reduce(DataFrame.unionByName, places).groupBy("doc", "mark", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
     found = own.join(around, ["doc", "mark"]).withColumn("size", F.least("n", F.size("words")))
-    first = lambda p: F.greatest(F.lit(0), p - F.col("size") + F.col("k"))
-    starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(first(p), F.least(p, F.size("words") - F.col("size"))))))
+    # a window of any item's size must hold that many of the known shingles to reach the threshold
+    need, span = F.greatest(F.lit(1), F.ceil(threshold * (F.col("n") - F.col("k") + 1) - 1e-9)).cast("int"), F.col("size") - F.col("k")
+    last = lambda i: F.get(F.col("at"), i + need - 1)
+    runs = F.transform("at", lambda p, i: F.struct(F.greatest(F.lit(0), last(i) - span).alias("lo"), F.least(p, F.size("words") - F.col("size")).alias("hi")))
+    starts = F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(r["lo"], r["hi"]))))
     by_size = [found.where(F.col("k") == k).select("doc", "mark", "n", "k", "size", _shingles(F.col("words"), k).alias("sh"), starts.alias("starts")) for k in sorted(bounds[1])]
     windows = reduce(DataFrame.unionByName, by_size).select("doc", "mark", "n", "k", "size", "sh", F.explode("starts").alias("start"))
     windows = windows.select("doc", "n", "size", "start", F.slice("sh", F.col("start") + 1, F.col("size") - F.col("k") + 1).alias("hashes"))
