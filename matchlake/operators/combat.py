@@ -132,7 +132,7 @@ def engagements(segmented: DataFrame, attached: DataFrame) -> DataFrame:
     away = distance(F.col("x"), F.col("y"), F.col("vx"), F.col("vy"))
     sides = {f"{n}_{s}": agg(own) for s, own in (("a", a), ("b", ~a)) for n, agg in (("hits", lambda w: F.count_if(hit & w)), ("dmg", lambda w: F.coalesce(F.sum(F.when(hit & w, F.col("damage"))), F.lit(0))), ("knocks", lambda w: F.count_if(~hit & w)))}
     g = segmented.groupBy(*keys).agg(F.min("t_s").alias("t_start"), F.max("t_s").alias("t_end"), *[c.alias(n) for n, c in sides.items()], F.min_by(F.struct(F.col("team_id").alias("first_hit_team"), F.col("account_id").alias("first_hit_account"), away.alias("first_hit_range")), F.when(hit, F.struct("t_s", "idx"))).alias("f"), F.min(F.when(hit, away)).alias("min_range"))
-    k = attached.where("rule is not null").groupBy(*keys).agg(F.count_if("is_a").alias("kills_a"), F.count_if("not is_a").alias("kills_b"))
+    k = attached.where("rule is not null").groupBy(*keys).agg(F.count_if("is_a").alias("kills_a"), F.count_if(~F.col("is_a")).alias("kills_b"))
     joined = g.join(k, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("kills_a", "kills_b")})
     seq = F.row_number().over(Window.partitionBy(M).orderBy("t_start", "team_a", "team_b", "segment")) - 1
     return joined.select(M, seq.alias("seq"), "team_a", "team_b", "segment", "t_start", "t_end", *sides, "f.*", "min_range", "kills_a", "kills_b")

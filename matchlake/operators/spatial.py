@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -146,8 +147,15 @@ def cluster_points(points: DataFrame, snap: float, shared: str) -> DataFrame:
 
 def summarised_clusters(rows: DataFrame) -> DataFrame:
     """Per cluster: number, lower median and best place, mean survival, kills per drop and the share contested among those where it is known."""
-    return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by place)").alias("median_place"), F.min("place").alias("best_place"), (F.sum("survived_s").cast("double") / F.count("survived_s")).alias("mean_survived_s"), (F.sum("kills").cast("double") / F.count("*")).alias("kills_per_drop"), F.count("contested").alias("n_contested_known"), (F.count_if("contested").cast("double") / F.nullif(F.count("contested"), F.lit(0))).alias("contested_rate"))
-
-
-def shared_folder(spark: SparkSession, fallback: str) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or fallback).rstrip("/")
+    return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by place)").cast("long").alias("median_place"), F.min("place").alias("best_place"), (F.sum("survived_s").cast("double") / F.count("survived_s")).alias("mean_survived_s"), (F.sum("kills").cast("double") / F.count("*")).alias("kills_per_drop"), F.count("contested").alias("n_contested_known"), (F.count_if("contested").cast("double") / F.nullif(F.count("contested"), F.lit(0))).alias("contested_rate"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session may go without and gets a temporary folder."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        set_to = f"file://{tempfile.mkdtemp(prefix='matchlake-')}"
+        spark.conf.set("spark.checkpoint.dir", set_to)
+    return set_to.rstrip("/")

@@ -53,7 +53,7 @@ def _mates(probes: DataFrame, roster: DataFrame) -> DataFrame:
 
 def teammate_spread(track: DataFrame, roster: DataFrame, max_lag: float, near: float = 10_000.0) -> DataFrame:
     """Per account the mean over its samples of the distance to its nearest teammate (its sample nearest in time), and the share within near."""
-    own = track.where("alive").join(roster.select(*KEYS, "team_id"), KEYS).select(*KEYS, "team_id", "idx", "t_s", F.col("x").alias("px"), F.col("y").alias("py"))
+    own = track.where("alive").select(*KEYS, "idx", "t_s", "x", "y").join(roster.select(*KEYS, "team_id"), KEYS).select(*KEYS, "team_id", "idx", "t_s", F.col("x").alias("px"), F.col("y").alias("py"))
     placed = asof(_mates(own, roster), track.where("alive").select(*KEYS, "t_s", "idx", "x", "y"), KEYS, "t_s", ["idx", "x", "y"], "nearest", ["idx"], max_lag)
     d = placed.where("s_x is not null").groupBy(M, "own_id", "idx").agg(F.min(distance(F.col("px"), F.col("py"), F.col("s_x"), F.col("s_y"))).alias("d"))
     return d.groupBy(M, F.col("own_id").alias("account_id")).agg(F.count("*").alias("n_samples"), F.avg("d").alias("teammate_dist_avg"), (F.count_if(F.col("d") <= near).cast("double") / F.count("*")).alias("teammate_near_pct"))
