@@ -84,9 +84,12 @@ def _blocks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+# Arrays that are costly to make are exploded by the outer form: the plain one adds a filter on their size, which makes them twice or more.
+
+
 def _blocked(df: DataFrame, fp: str, radius: int) -> DataFrame:
     each = F.array(*[F.struct(F.lit(i).alias("block"), F.col(fp).bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(_blocks(radius))])
-    return df.withColumn("_b", F.explode(each)).select("*", "_b.block", "_b.bits").drop("_b")
+    return df.withColumn("_b", F.explode_outer(each)).select("*", "_b.block", "_b.bits").drop("_b")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -112,7 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     own = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), _words(F.col(text_col)).alias("words")).where("words is not null")
     places = []
     for k in sorted(bounds[1]):
-        at = own.where(F.size("words") >= k).select("doc", "mark", F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h"))
+        at = own.where(F.size("words") >= k).select("doc", "mark", F.posexplode_outer(_shingles(F.col("words"), k)).alias("pos", "h"))
         places.append(at.join(hint(known.where(F.col("k") == k).select("h", "n", "k")), "h").select("doc", "mark", "n", "k", "pos"))
     around = reduce(DataFrame.unionByName, places).groupBy("doc", "mark", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
@@ -123,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     runs = F.transform("at", lambda p, i: F.struct(F.greatest(F.lit(0), last(i) - span).alias("lo"), F.least(p, F.size("words") - F.col("size")).alias("hi")))
     starts = F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(r["lo"], r["hi"]))))
     by_size = [found.where(F.col("k") == k).select("doc", "mark", "n", "k", "size", _shingles(F.col("words"), k).alias("sh"), starts.alias("starts")) for k in sorted(bounds[1])]
-    windows = reduce(DataFrame.unionByName, by_size).select("doc", "mark", "n", "k", "size", "sh", F.explode("starts").alias("start"))
+    windows = reduce(DataFrame.unionByName, by_size).select("doc", "mark", "n", "k", "size", "sh", F.explode_outer("starts").alias("start")).where("start is not null")
     windows = windows.select("doc", "n", "size", "start", F.slice("sh", F.col("start") + 1, F.col("size") - F.col("k") + 1).alias("hashes"))
     windows = windows.withColumn("fp", _fingerprint(F.col("hashes"), planes))
     wanted = _blocked(items.select("item", "n", "ih").withColumn("ifp", _fingerprint(F.col("ih"), planes)), "ifp", radius)
