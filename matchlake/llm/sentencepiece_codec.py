@@ -66,7 +66,8 @@ class Codec:
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         if zipf or zipf is None and all(x <= 0 and x == int(x) for x, _ in self.scores.values()):
             self.scores = {p: (-math.log(2 - x), i) for p, (x, i) in self.scores.items()}
-        self.starts = {p[:n] for p in self.scores for n in range(1, len(p) + 1)}
+        # every beginning of a piece; those that are pieces have score and id
+        self.begun = {p[:n]: None for p in self.scores for n in range(1, len(p) + 1)} | self.scores
         self.longest = max(map(len, self.scores))
         self.worst = min(s for s, _ in self.scores.values()) - UNKNOWN
         inner = any(MARK in p.lstrip(MARK) for p in self.scores)
@@ -75,26 +76,29 @@ class Codec:
         self.cache, self.room = {}, cache
 
     def search(self, s: str) -> Iterator[int]:
-        """Streams the ids of the best segmentation of s; best, back and pieces are kept from the last committed boundary on."""
+        """Streams the ids of the best segmentation of s; best, back and made are kept from the last committed boundary on."""
+        begun, n, width, none = self.begun, len(s), self.longest, -math.inf
         base, best, back, made = 0, [0.0], [0], [None]
-        scores, starts, n = self.scores, self.starts, len(s)
         for p in range(n):
-            here = best[p - base]
-            if here is None:
-                continue
-            found_single = False
-            for end in range(p + 1, min(n, p + self.longest) + 1):
-                piece = s[p:end]
-                if piece not in starts:
+            here, room = best[p - base], p + 1 - base + min(width, n - p) - len(best)
+            if room > 0:
+                best += [none] * room
+                back += [0] * room
+                made += [None] * room
+            at, single = p - base, False
+            for end in range(p + 1, min(n, p + width) + 1):
+                got = begun.get(s[p:end], False)
+                if got is False:
                     break
-                got = scores.get(piece)
-                if got is not None:
-                    found_single |= end == p + 1
-                    self._reach(best, back, made, end - base, here + got[0], p, (got[1],))
-            if not found_single:
-                self._reach(best, back, made, p + 1 - base, here + self.worst, p, None)
-            if p - base >= 4 * self.longest:
-                live = {i for i in range(p + 1, base + len(best)) if best[i - base] is not None}
+                at += 1
+                if got:
+                    single = single or end == p + 1
+                    if here + got[0] > best[at]:
+                        best[at], back[at], made[at] = here + got[0], p, got[1]
+            if not single and here + self.worst > best[p + 1 - base]:
+                best[p + 1 - base], back[p + 1 - base], made[p + 1 - base] = here + self.worst, p, None
+            if p - base >= 4 * width:
+                live = {i for i in range(p + 1, base + len(best)) if best[i - base] > none}
                 while len(live) > 1:
                     top = max(live)
                     live.discard(top)
@@ -106,22 +110,43 @@ class Codec:
                     base, best, back, made = meet, best[cut:], back[cut:], made[cut:]
         yield from self._trace(s, base, back, made, n)
 
-    @staticmethod
-    def _reach(best, back, made, at, score, p, ids):
-        while len(best) <= at:
-            best.append(None)
-            back.append(0)
-            made.append(None)
-        if best[at] is None or score > best[at]:
-            best[at], back[at], made[at] = score, p, ids
+    def fits(self, s: str) -> bytes:
+        """The same search for a part that fits the window, so that nothing is committed before its end."""
+        begun, n, width, worst = self.begun, len(s), self.longest, self.worst
+        best, back, made = [0.0] + [-math.inf] * n, [0] * (n + 1), [None] * (n + 1)
+        for p in range(n):
+            here, got = best[p], begun.get(s[p], False)
+            if got:
+                if (score := here + got[0]) > best[p + 1]:
+                    best[p + 1], back[p + 1], made[p + 1] = score, p, got[1]
+            elif here + worst > best[p + 1]:
+                best[p + 1], back[p + 1], made[p + 1] = here + worst, p, None
+            if got is not False:
+                for end in range(p + 2, min(n, p + width) + 1):
+                    got = begun.get(s[p:end], False)
+                    if got:
+                        if (score := here + got[0]) > best[end]:
+                            best[end], back[end], made[end] = score, p, got[1]
+                    elif got is False:
+                        break
+        out = []
+        while n:
+            p, piece = back[n], made[n]
+            if piece is None:
+                out += [self.byte_ids[x] for x in reversed(s[p].encode())]
+            else:
+                out.append(piece)
+            n = p
+        out.reverse()
+        return array("i", out).tobytes()
 
     def _trace(self, s, base, back, made, end) -> Iterator[int]:
         steps = []
         while end > base:
             steps.append((back[end - base], made[end - base]))
             end = steps[-1][0]
-        for p, ids in reversed(steps):
-            yield from ids if ids is not None else [self.byte_ids[x] for x in s[p].encode()]
+        for p, piece in reversed(steps):
+            yield from (piece,) if piece is not None else [self.byte_ids[x] for x in s[p].encode()]
 
     def encode(self, text: str) -> bytes:
         """The ids as native 32-bit integers."""
@@ -131,8 +156,10 @@ class Codec:
         for part in self.cut(MARK + text.replace(" ", MARK)):
             ids = cache.get(part)
             if ids is None:
-                ids = array("i", self.search(part)).tobytes()
-                if len(part) <= 64:
+                if len(part) > 4 * self.longest:
+                    ids = array("i", self.search(part)).tobytes()
+                else:
+                    ids = self.fits(part)
                     if len(cache) >= self.room:
                         cache.clear()
                     cache[part] = ids
@@ -143,9 +170,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
-def _encoder(path: str, cache: int):
+def _encoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, cache)
+        codec = shared.value
         for b in batches:
             made = [None if t is None else codec.encode(t) for t in b.column("_text").to_pylist()]
             at = [0]
@@ -158,24 +185,32 @@ def _encoder(path: str, cache: int):
     return run
 
 
-def _decoder(path: str):
+def _decoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, 0)
+        codec = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("ids"), pa.array([None if x.as_py() is None else codec.decode(x.values.to_pylist()) for x in b.column("ids")], pa.string())], ["_row", "ids", "decoded"])
+            ids = b.column("ids")
+            values, at, known = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_pylist()
+            decoded = [codec.decode(values[x:y].tolist()) if ok else None for x, y, ok in zip(at[:-1], at[1:], known)]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), ids, pa.array(decoded, pa.string())], ["_row", "ids", "decoded"])
 
     return run
 
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", cache: int = CACHE) -> DataFrame:
-    """_row (a struct of all columns) and ids (array of int) of every row."""
+    """_row (a struct of all columns) and ids (array of int) of every row.
+
+    The codec (a model's pieces, a few MB) is broadcast, so a worker keeps it and its cache from task to task.
+    """
     rows = packed(docs, text_col).withColumnRenamed(f"_{text_col}", "_text")
-    return rows.mapInArrow(_encoder(path or model_file(), cache), f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>")
+    shared = docs.sparkSession.sparkContext.broadcast(Codec(path or model_file(), cache))
+    return rows.mapInArrow(_encoder(shared), f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (_row, ids) with the decoded text added."""
-    return encoded.mapInArrow(_decoder(path or model_file()), f"_row {encoded.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string")
+    shared = encoded.sparkSession.sparkContext.broadcast(Codec(path or model_file(), 0))
+    return encoded.mapInArrow(_decoder(shared), f"_row {encoded.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digest(ids: Column) -> Column:
