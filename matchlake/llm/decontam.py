@@ -123,7 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     # a window of any item's size must hold that many of the known shingles to reach the threshold
     need, span = F.greatest(F.lit(1), F.ceil(threshold * (F.col("n") - F.col("k") + 1) - 1e-9)).cast("int"), F.col("size") - F.col("k")
     last = lambda i: F.get(F.col("at"), i + need - 1)
-    runs = F.transform("at", lambda p, i: F.struct(F.greatest(F.lit(0), last(i) - span).alias("lo"), F.least(p, F.size("words") - F.col("size")).alias("hi")))
+    runs = F.transform("at", lambda p, i: F.struct(F.when(last(i).isNotNull(), F.greatest(F.lit(0), last(i) - span)).alias("lo"), F.least(p, F.size("words") - F.col("size")).alias("hi")))
     starts = F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(r["lo"], r["hi"]))))
     by_size = [found.where(F.col("k") == k).select("doc", "mark", "n", "k", "size", _shingles(F.col("words"), k).alias("sh"), starts.alias("starts")) for k in sorted(bounds[1])]
     windows = reduce(DataFrame.unionByName, by_size).select("doc", "mark", "n", "k", "size", "sh", F.explode_outer("starts").alias("start")).where("start is not null")
