@@ -105,7 +105,7 @@ def label_points(points: DataFrame, places: DataFrame, within: float, reach: flo
     p = p.select("name", "px", "py", "support", (F.col("cx") + F.col("_i")).alias("cx"), (F.col("cy") + F.col("_j")).alias("cy"))
     d = distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
     near = points.withColumn("cx", at("x")).withColumn("cy", at("y")).join(p, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= reach)
-    best = near.groupBy("point_id").agg(F.min_by(F.struct("name", "d", (F.col("x") - F.col("px")).alias("dx"), (F.col("y") - F.col("py")).alias("dy")), F.struct("d", -F.col("support"), "name")).alias("b"))
+    best = near.groupBy("point_id").agg(F.min_by(F.struct("name", "d", (F.col("x") - F.col("px")).alias("dx"), (F.col("y") - F.col("py")).alias("dy")), F.struct("d", -F.col("support"), "name", "px", "py")).alias("b"))
     return points.join(best, "point_id", "left").select("point_id", F.when(F.col("b.d") <= within, F.col("b.name")).alias("name"), F.col("b.name").alias("nearest"), F.col("b.d").alias("d"), bearing(F.col("b.dx"), F.col("b.dy")).alias("bearing"))
 
 

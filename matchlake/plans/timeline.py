@@ -490,7 +490,7 @@ def e11_gazetteer(spark, sf, e):
     return _gazetteer(spark, sf, e)
 
 
-@query(f"""{W}, {_GAZ}, pl AS (SELECT name, gx * 51000.0 + 25500 AS px, gy * 51000.0 + 25500 AS py, support FROM gaz), d AS (SELECT l.idx AS point_id, name, support, l.x - px AS dx, l.y - py AS dy, sqrt((l.x-px)*(l.x-px)+(l.y-py)*(l.y-py)) AS d FROM landings l, pl), b AS (SELECT * FROM d WHERE d <= 150000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, support DESC, name) = 1)
+@query(f"""{W}, {_GAZ}, pl AS (SELECT name, gx * 51000.0 + 25500 AS px, gy * 51000.0 + 25500 AS py, support FROM gaz), d AS (SELECT l.idx AS point_id, name, support, px, py, l.x - px AS dx, l.y - py AS dy, sqrt((l.x-px)*(l.x-px)+(l.y-py)*(l.y-py)) AS d FROM landings l, pl), b AS (SELECT * FROM d WHERE d <= 150000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, support DESC, name, px, py) = 1)
 SELECT l.idx AS point_id, CASE WHEN d <= 20000 THEN name END AS name, name AS nearest, d, CASE WHEN d IS NOT NULL THEN (['N','NE','E','SE','S','SW','W','NW'])[CAST(((CAST(floor((degrees(atan2(dx, 0 - dy)) + 22.5) / 45) AS INTEGER) % 8) + 8) % 8 AS INTEGER) + 1] END AS bearing FROM landings l LEFT JOIN b ON b.point_id = l.idx""")
 def e12_label_points(spark, sf, e):
     places = _gazetteer(spark, sf, e).select("name", (F.col("gx") * 51_000.0 + 25_500).alias("px"), (F.col("gy") * 51_000.0 + 25_500).alias("py"), "support")
