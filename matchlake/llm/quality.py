@@ -6,6 +6,12 @@ language's reference, the same histogram summed over all documents of the langua
 by Jensen-Shannon distance. A histogram of a short document says little, so each
 comparison has a least length.
 
+op8's SQL fixes the bound of the words' distance at one constant from 100 words on. The
+pipeline's filter judges by length: the distance of a random text falls with the root of
+its words, so the bound is taken per language from the quartiles of their product over
+all documents the rules let through; it is wider for shorter texts,
+and never over that constant from 100 words on.
+
 Counts per document are computed once and written to the shared folder; the
 references are one row for each of LANGUAGES and so small by construction.
 
@@ -39,6 +45,8 @@ LANGUAGES = {
 #: Compared only from this length on, and rejected beyond this distance.
 CHARS_FROM, MAX_CHARS_DISTANCE = 200, 0.30
 WORDS_FROM, MAX_WORDS_DISTANCE = 100, 0.30
+#: By length: the distance of words that is never too far, and quartile widths over the median of distance times root of length.
+NEAR_WORDS, WIDTHS = 0.15, 5
 
 CLASSES = ("c_upper", "c_digit", "c_point", "c_symbol", "c_space", "c_rest")
 BINS = tuple(f"w_{i}" for i in range(max(map(len, LANGUAGES.values())))) + ("w_rest",)
@@ -80,7 +88,7 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), both) / (2 * F.ln(F.lit(2.0))))
 
 
-def judge(docs: DataFrame, carried: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, carried: list[str], text_col: str = "text", lang_col: str = "lang", by_length: bool = False) -> DataFrame:
     """_row, the counts, js_chars, js_words, base_failed and kept of every document."""
     c = materialize(counts(docs, carried, text_col, lang_col), "quality")
     names = [*CLASSES, *BINS]
@@ -88,15 +96,23 @@ def judge(docs: DataFrame, carried: list[str], text_col: str = "text", lang_col:
     reference = c.where(F.col("lang").isin(*LANGUAGES)).groupBy("lang").agg(*[F.sum(x).alias(f"r_{x}") for x in names])
     d = c.join(F.broadcast(reference), "lang", "left")
     hist = lambda names, prefix="": F.array(*[F.col(prefix + x) for x in names])
-    d = d.select("_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", hist(CLASSES).alias("p_chars"), hist(CLASSES, "r_").alias("q_chars"), hist(BINS).alias("p_words"), hist(BINS, "r_").alias("q_words"))
+    d = d.select("_row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", hist(CLASSES).alias("p_chars"), hist(CLASSES, "r_").alias("q_chars"), hist(BINS).alias("p_words"), hist(BINS, "r_").alias("q_words"))
     known = F.get("q_chars", 0).isNotNull()
     d = d.withColumn("js_chars", F.when(known & (F.col("chars") >= CHARS_FROM), distance(F.col("p_chars"), F.col("q_chars"))))
-    d = d.withColumn("js_words", F.when(known & (F.col("n_words") >= WORDS_FROM), distance(F.col("p_words"), F.col("q_words"))))
+    d = d.withColumn("js_words", F.when(known & (F.col("n_words") >= (MIN_WORDS if by_length else WORDS_FROM)), distance(F.col("p_words"), F.col("q_words"))))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    far = F.coalesce(F.col("js_chars") > MAX_CHARS_DISTANCE, F.lit(False)) | F.coalesce(F.col("js_words") > MAX_WORDS_DISTANCE, F.lit(False))
+    most = F.lit(MAX_WORDS_DISTANCE)
+    if by_length:
+        root = F.sqrt("n_words")
+        judged = d.where(~F.col("base_failed") & F.col("js_words").isNotNull())
+        # at most one row for each of LANGUAGES
+        quartiles = judged.groupBy("lang").agg(F.percentile_approx(F.col("js_words") * root, [0.5, 0.75]).alias("z"))
+        d = d.join(F.broadcast(quartiles), "lang", "left")
+        most = F.least(F.when(F.col("n_words") >= WORDS_FROM, most), F.greatest(F.lit(NEAR_WORDS), (F.get("z", 0) + WIDTHS * (F.get("z", 1) - F.get("z", 0))) / root))
+    far = F.coalesce(F.col("js_chars") > MAX_CHARS_DISTANCE, F.lit(False)) | F.coalesce(F.col("js_words") > most, F.lit(False))
     return d.select("_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "js_chars", "js_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The kept rows of docs, all columns."""
-    return judge(docs, docs.columns, text_col, lang_col).where("kept").select("_row.*")
+    return judge(docs, docs.columns, text_col, lang_col, by_length=True).where("kept").select("_row.*")
