@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,52 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+#: Where materialize writes; the shared folder itself outside of scratch().
+_INTO: ContextVar[str | None] = ContextVar("into", default=None)
+
+
+def _written(df: DataFrame, folder: str, label: str) -> DataFrame:
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+    return _written(df, _INTO.get() or shared_dir(df.sparkSession), label)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is materialized inside goes to one folder, which is deleted at the end; the given function writes a table that stays.
+
+    For tables that nothing needs once a result is written. A result made of them must be kept before the end.
+    """
+    outer = _INTO.get() or shared_dir(spark)
+    folder = f"{outer}/{label}-{uuid.uuid4().hex}"
+    token = _INTO.set(folder)
+    try:
+        yield lambda df: _written(df, outer, f"{label}-kept")
+    finally:
+        _INTO.reset(token)
+        remove(spark, folder)
+
+
+@contextmanager
+def written_below(folder: str) -> Iterator[None]:
+    """What is materialized inside goes to folder, which stays."""
+    token = _INTO.set(folder)
+    try:
+        yield
+    finally:
+        _INTO.reset(token)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -57,7 +98,7 @@ def unpacked(df: DataFrame, source: DataFrame, **replaced: Column) -> DataFrame:
     return df.select(*[(replaced[c] if c in replaced else F.col("_row")[c]).alias(c) for c in source.columns])
 
 
-def _marker(keys: list[str], doc: str):
+def _marker(keys: list[str], doc: str, held_rows: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, undecided = None, None
 
@@ -66,7 +107,8 @@ def _marker(keys: list[str], doc: str):
             is_first = docs == np.repeat(docs[begin], size)
             last, opened = np.repeat(docs[end - 1], size), np.repeat(is_open, size) & is_first
             keep = np.repeat(docs[begin] != docs[end - 1], size) | opened
-            for name, x in (("last_doc", last), ("is_first", is_first), ("is_open", opened)):
+            more = {"least_doc": np.repeat(docs[begin], size), "last_doc": last, "is_first": is_first, "is_open": opened}
+            for name, x in more.items():
                 table = table.append_column(name, pa.array(x))
             yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -83,7 +125,7 @@ def _marker(keys: list[str], doc: str):
             starts = np.flatnonzero(change)
             undecided = undecided or tuple(c[0] for c in cols)
             cut, grown = int(starts[-1]), None
-            if len(table) - cut > HELD_ROWS:
+            if len(table) - cut > held_rows:
                 cut, grown = len(table), tuple(c[cut] for c in cols)
             if cut:
                 begin = starts[starts < cut]
@@ -98,24 +140,26 @@ def _marker(keys: list[str], doc: str):
     return mark
 
 
-def shared_groups(df: DataFrame, keys: list[str], doc: str) -> DataFrame:
-    """The rows of df whose keys are found under two or more values of doc; is_first says whether a row has the least of them.
+def shared_groups(df: DataFrame, keys: list[str], doc: str, *then: str, held_rows: int = HELD_ROWS) -> DataFrame:
+    """The rows of df whose keys are found under two or more values of doc, the least of them (least_doc) and whether it is the row's (is_first).
 
     Keys and doc are non-null longs. Rows are range-partitioned by keys and doc
-    and sorted by both, so a key with a third of all rows is dealt over many
+    and sorted by both (and by then), so a key with a third of all rows is dealt over many
     tasks. Each task streams its sorted rows and decides every group that lies
     inside it. The groups at its two ends may go on in a neighbour: there only the
     rows of the least doc that the task has seen are open, all others have a
     lesser one before them. Open groups number two a task at most (and one for
-    every HELD_ROWS rows), which bounds the table that is broadcast to decide them.
+    every held_rows rows), which bounds the table that is broadcast to decide them.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     order = [*keys, doc]
-    marked = materialize(df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_marker(keys, doc), f"{fields}, last_doc bigint, is_first boolean, is_open boolean"), "groups")
+    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order, *then)
+    marked = materialize(dealt.mapInArrow(_marker(keys, doc, held_rows), f"{fields}, least_doc bigint, last_doc bigint, is_first boolean, is_open boolean"), "groups")
     still = marked.where("is_open").drop("is_first", "is_open")
     ends = still.groupBy(*keys).agg(F.min(doc).alias("_least"), F.max("last_doc").alias("_most")).where("_least < _most")
-    decided = still.join(F.broadcast(ends), keys).withColumn("is_first", F.col(doc) == F.col("_least"))
-    return marked.where("not is_open").drop("last_doc", "is_open").unionByName(decided.drop("last_doc", "_least", "_most"))
+    decided = still.join(F.broadcast(ends), keys).withColumn("is_first", F.col(doc) == F.col("_least")).withColumn("least_doc", F.col("_least"))
+    inside = marked.where("not is_open").join(F.broadcast(ends), keys, "left").withColumn("least_doc", F.least("least_doc", "_least"))
+    return inside.select(*decided.columns).drop("last_doc", "_least", "_most").unionByName(decided.drop("last_doc", "_least", "_most"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm._common import NO_ID, materialize, packed, shared_groups, unpacked
+from matchlake.llm._common import NO_ID, materialize, packed, scratch, shared_groups, unpacked
 
 #: The white space that is stripped and the least length of a key.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -62,9 +62,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
     doc is the id (NO_ID for null) and mark the text's hash, which tells apart rows that share an id.
     """
     named = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("_text"))
-    hashed = materialize(named.mapInArrow(_hasher(min_chars), "h1 bigint, h2 bigint, doc bigint, mark bigint, pos int"), "lines")
-    dropped = shared_groups(hashed, ["h1", "h2"], "doc").where("not is_first")
-    return dropped.groupBy("doc", "mark").agg(F.collect_set("pos").alias("drop")).mapInArrow(_bitmaps, "doc bigint, mark bigint, keep binary")
+    with scratch(docs.sparkSession, "line-dedup") as kept:
+        hashed = materialize(named.mapInArrow(_hasher(min_chars), "h1 bigint, h2 bigint, doc bigint, mark bigint, pos int"), "lines")
+        dropped = shared_groups(hashed, ["h1", "h2"], "doc", "pos").where("not is_first")
+        bits = dropped.groupBy("doc", "mark").agg(F.collect_set("pos").alias("drop")).mapInArrow(_bitmaps, "doc bigint, mark bigint, keep binary")
+        return kept(bits)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

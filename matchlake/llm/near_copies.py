@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm._common import NO_ID, components, materialize, packed, unpacked
+from matchlake.llm._common import NO_ID, components, materialize, packed, scratch, unpacked
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers, so that comparing is exact.
@@ -125,11 +125,17 @@ def links(signed: DataFrame, text_of: DataFrame) -> DataFrame:
     return found
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with one row of each class: of the least id, and of texts under that id the one of the least hash. classes: _id, _hash, root."""
-    least = classes.groupBy("root").agg(F.min(F.struct(F.coalesce("_id", F.lit(NO_ID)).alias("_key"), "_hash")).alias("x")).select("x._key", "x._hash").distinct()
-    rows = packed(docs, id_col, text_col).withColumn("_key", F.coalesce(f"_{id_col}", F.lit(NO_ID))).withColumn("_hash", _hash(F.col(f"_{text_col}"))).select("_row", "_key", "_hash")
-    return unpacked(rows.join(least, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]), docs)
+def chosen(classes: DataFrame) -> DataFrame:
+    """(_key, _hash) of one row of each class: of the least id, and of texts under that id the one of the least hash. classes: _id, _hash, root."""
+    least = F.min(F.struct(F.coalesce("_id", F.lit(NO_ID)).alias("_key"), "_hash")).alias("x")
+    return classes.groupBy("root").agg(least).select("x._key", "x._hash").distinct()
+
+
+def one_of_each(docs: DataFrame, one: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that chosen() names; of rows equal in id and text, one."""
+    key, text = F.coalesce(F.col(f"_{id_col}"), F.lit(NO_ID)).cast("long").alias("_key"), _hash(F.col(f"_{text_col}")).alias("_hash")
+    rows = packed(docs, id_col, text_col).select("_row", key, text)
+    return unpacked(rows.join(one, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]), docs)
 
 
 def _hash(text: Column) -> Column:
@@ -139,7 +145,9 @@ def _hash(text: Column) -> Column:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of near copies, the one with the smallest id; a null id comes last."""
     text = packed(docs, id_col, text_col).select(F.col(f"_{id_col}").cast("long").alias("_id"), _hash(F.col(f"_{text_col}")).alias("_hash"), F.col(f"_{text_col}").alias("_text"))
-    signed = materialize(text.mapInArrow(_signed, "_id bigint, _hash bigint, mark bigint, n bigint, keys array<bigint>"), "signed")
-    roots = components(links(signed, text.select("_hash", "_text"))).withColumnRenamed("node", "mark")
-    classes = signed.select("_id", "_hash", "mark").join(roots, "mark", "left").select("_id", "_hash", F.coalesce("root", "mark").alias("root"))
-    return one_of_each(docs, classes, id_col, text_col)
+    with scratch(docs.sparkSession, "near") as kept:
+        signed = materialize(text.mapInArrow(_signed, "_id bigint, _hash bigint, mark bigint, n bigint, keys array<bigint>"), "signed")
+        roots = components(links(signed, text.select("_hash", "_text"))).withColumnRenamed("node", "mark")
+        classes = signed.select("_id", "_hash", "mark").join(roots, "mark", "left").select("_id", "_hash", F.coalesce("root", "mark").alias("root"))
+        one = kept(chosen(classes))
+    return one_of_each(docs, one, id_col, text_col)

@@ -31,8 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return both.select("_row.doc_id", F.size("ids").cast("long").alias("n_ids"), sentencepiece_codec.digest(F.col("ids")).alias("ids_xxh64"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("_row.text")).alias("round_trip"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_codec.round_trip(docs, ["doc_id"])
+    ids = F.size("ids").cast("long").alias("n_ids"), sentencepiece_codec.digest(F.col("ids")).alias("ids_xxh64")
+    return both.select("_row.doc_id", *ids, "decoded_sha256", "round_trip")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

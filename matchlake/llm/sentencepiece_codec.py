@@ -1,12 +1,16 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The best segmentation of a text under the model's piece scores is found from left
-to right. Only the positions of the last max_piece characters can still be extended,
-so the search keeps those and their back pointers, and commits ids as soon as all
-of them lead back to one boundary. Where no piece can cross (before a run of word
-marks, around a line break, for models whose pieces don't contain those inside) all
-paths meet by themselves; what lies between two such places is searched once and
-remembered in a bounded cache.
+The best segmentation of a text under the model's piece scores is found from left to
+right. Only the positions of the last max_piece characters can still be extended, so
+the search keeps those and their back pointers, and commits ids as soon as all of them
+lead back to one boundary: at once where no kept piece crosses a position, and by
+following the back pointers whenever the window is full. The window grows only
+while paths that never meet again disagree.
+
+Before a run of word marks and around a line break (for models whose pieces don't
+contain those inside) the paths always meet. What lies between two such boundaries is
+searched once, whatever its length, and its committed ids are remembered; the memo is
+bound by bytes. All ids come from the one search.
 
 A character without a piece becomes its UTF-8 bytes by the model's byte pieces. The
 models' files are read from the path that is given, never copied or trained.
@@ -17,13 +21,17 @@ Zipf's law the log probability of the piece of rank r is taken as -log(r + 2). I
 ids are then the most probable segmentation and mostly, not always, that of the
 merges; decoding gives the same text either way.
 
-Nulls and ties: of equal scores the one with the longest last piece wins; a null
-text has null ids and an empty text none; decoding gives the text back exactly,
-except that a word mark (U+2581) in a text becomes a blank.
+Nulls and ties: of equal scores the one with the longest last piece wins; a null text
+has null ids and an empty text none; null ids decode to null; rows are independent, so
+repeated rows and null document ids are coded like any others; an empty table gives no
+rows; a text of any length is searched whole in the window; other columns pass in _row
+and can't clash. Decoding gives the text back exactly, except that a word mark (U+2581)
+in a text becomes a blank.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from array import array
@@ -36,8 +44,8 @@ from pyspark.sql import functions as F
 from matchlake.llm._common import packed
 
 MARK = "▁"
-#: Entries of a worker's cache; it is emptied when full.
-CACHE = 300_000
+#: Bytes of each of the memo's two generations in a worker, and those that an entry takes besides its characters and ids.
+MEMO_BYTES, ENTRY_BYTES = 24 << 20, 200
 #: Points that a character without a piece scores below the worst piece.
 UNKNOWN = 10.0
 
@@ -49,7 +57,7 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
 
 
 class Codec:
-    def __init__(self, path: str, cache: int = CACHE, zipf: bool | None = None):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES, zipf: bool | None = None):
         """zipf: take scores as ranks; by default if all of them are whole numbers from 0 down."""
         import sentencepiece
 
@@ -72,145 +80,190 @@ class Codec:
         self.worst = min(s for s, _ in self.scores.values()) - UNKNOWN
         inner = any(MARK in p.lstrip(MARK) for p in self.scores)
         broken = any("\n" in p for p in self.scores)
-        self.cut = re.compile(r"(?s).+" if inner else f"{MARK}+[^{MARK}]*|[^{MARK}]+" if broken else f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+").findall
-        self.cache, self.room = {}, cache
-
-    def search(self, s: str) -> Iterator[int]:
-        """Streams the ids of the best segmentation of s; best, back and made are kept from the last committed boundary on."""
-        begun, n, width, none = self.begun, len(s), self.longest, -math.inf
-        base, best, back, made = 0, [0.0], [0], [None]
-        for p in range(n):
-            here, room = best[p - base], p + 1 - base + min(width, n - p) - len(best)
-            if room > 0:
-                best += [none] * room
-                back += [0] * room
-                made += [None] * room
-            at, single = p - base, False
-            for end in range(p + 1, min(n, p + width) + 1):
-                got = begun.get(s[p:end], False)
-                if got is False:
-                    break
-                at += 1
-                if got:
-                    single = single or end == p + 1
-                    if here + got[0] > best[at]:
-                        best[at], back[at], made[at] = here + got[0], p, got[1]
-            if not single and here + self.worst > best[p + 1 - base]:
-                best[p + 1 - base], back[p + 1 - base], made[p + 1 - base] = here + self.worst, p, None
-            if p - base >= 4 * width:
-                live = {i for i in range(p + 1, base + len(best)) if best[i - base] > none}
-                while len(live) > 1:
-                    top = max(live)
-                    live.discard(top)
-                    live.add(back[top - base])
-                (meet,) = live
-                if meet > base:
-                    yield from self._trace(s, base, back, made, meet)
-                    cut = meet - base
-                    base, best, back, made = meet, best[cut:], back[cut:], made[cut:]
-        yield from self._trace(s, base, back, made, n)
-
-    def fits(self, s: str) -> bytes:
-        """The same search for a part that fits the window, so that nothing is committed before its end."""
-        begun, n, width, worst = self.begun, len(s), self.longest, self.worst
-        best, back, made = [0.0] + [-math.inf] * n, [0] * (n + 1), [None] * (n + 1)
-        for p in range(n):
-            here, got = best[p], begun.get(s[p], False)
+        lines = f"{MARK}+[^{MARK}]*|[^{MARK}]+" if broken else f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
+        #: Cuts a text where the paths always meet.
+        self.between = re.compile(r"(?s).+" if inner else lines).findall
+        self.young, self.old, self.held, self.room = {}, {}, 0, memo_bytes
+
+    def search(self, s: str) -> Iterator[list[int]]:
+        """Streams the ids of the best segmentation of s, boundary by boundary.
+
+        best, back and made (score, last boundary and id of the piece that ends there) cover the window from the
+        last committed boundary on; positions in them count from there. The window has room for two longest pieces.
+        """
+        begun, n, width, worst, none = self.begun, len(s), self.longest, self.worst, -math.inf
+        room = min(n, 2 * width)
+        best, back, made = [0.0] + [none] * room, [0] * (room + 1), [None] * (room + 1)
+        base = p = reach = 0
+        while base + p < n:
+            if p and p == reach:
+                # no kept piece crosses p
+                yield self._ids(s, base, back, made, p)
+                best[: p + 1] = [best[p]]
+                del back[:p], made[:p]
+                base, p, reach = base + p, 0, 0
+            if p + width >= len(best) and base + len(best) <= n:
+                meet = self._meeting(best, back, p)
+                if meet:
+                    yield self._ids(s, base, back, made, meet)
+                    del best[:meet], made[:meet]
+                    back = [x - meet for x in back[meet:]]
+                    base, p, reach = base + meet, p - meet, reach - meet
+                more = min(n - base + 1, p + 2 * width + 1) - len(best)
+                best += [none] * more
+                back += [0] * more
+                made += [None] * more
+            at, here = base + p, best[p]
+            got = begun.get(s[at], False)
             if got:
                 if (score := here + got[0]) > best[p + 1]:
                     best[p + 1], back[p + 1], made[p + 1] = score, p, got[1]
             elif here + worst > best[p + 1]:
                 best[p + 1], back[p + 1], made[p + 1] = here + worst, p, None
+            last = p + 1
             if got is not False:
-                for end in range(p + 2, min(n, p + width) + 1):
-                    got = begun.get(s[p:end], False)
+                for end in range(p + 2, min(n - base, p + width) + 1):
+                    got = begun.get(s[at : base + end], False)
                     if got:
+                        last = end
                         if (score := here + got[0]) > best[end]:
                             best[end], back[end], made[end] = score, p, got[1]
                     elif got is False:
                         break
+            if last > reach:
+                reach = last
+            p += 1
+        if p:
+            yield self._ids(s, base, back, made, p)
+
+    @staticmethod
+    def _meeting(best: list[float], back: list[int], p: int) -> int:
+        """The boundary that all paths which can still be extended lead back to."""
+        live = {i for i in range(p, len(best)) if best[i] > -math.inf}
+        while len(live) > 1:
+            top = max(live)
+            live.discard(top)
+            live.add(back[top])
+        return live.pop()
+
+    def _ids(self, s: str, base: int, back: list[int], made: list, end: int) -> list[int]:
+        """The ids of the path from base to end."""
         out = []
-        while n:
-            p, piece = back[n], made[n]
+        while end:
+            p, piece = back[end], made[end]
             if piece is None:
-                out += [self.byte_ids[x] for x in reversed(s[p].encode())]
+                out += [self.byte_ids[x] for x in reversed(s[base + p].encode())]
             else:
                 out.append(piece)
-            n = p
+            end = p
         out.reverse()
-        return array("i", out).tobytes()
-
-    def _trace(self, s, base, back, made, end) -> Iterator[int]:
-        steps = []
-        while end > base:
-            steps.append((back[end - base], made[end - base]))
-            end = steps[-1][0]
-        for p, piece in reversed(steps):
-            yield from (piece,) if piece is not None else [self.byte_ids[x] for x in s[p].encode()]
+        return out
+
+    def _committed(self, s: str) -> bytes:
+        """The ids between two boundaries, from the memo or searched."""
+        ids = self.old.get(s)
+        if ids is None:
+            ids = array("i", [x for part in self.search(s) for x in part]).tobytes()
+        takes = ENTRY_BYTES + len(s) + len(ids)
+        if self.held + takes > self.room:
+            self.old, self.young, self.held = self.young, {}, 0
+        if takes <= self.room:
+            self.young[s] = ids
+            self.held += takes
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as native 32-bit integers."""
         if not text:
             return b""
-        cache, out = self.cache, []
-        for part in self.cut(MARK + text.replace(" ", MARK)):
-            ids = cache.get(part)
-            if ids is None:
-                if len(part) > 4 * self.longest:
-                    ids = array("i", self.search(part)).tobytes()
-                else:
-                    ids = self.fits(part)
-                    if len(cache) >= self.room:
-                        cache.clear()
-                    cache[part] = ids
-            out.append(ids)
+        out = []
+        for part in self.between(MARK + text.replace(" ", MARK)):
+            ids = self.young.get(part)
+            out.append(self._committed(part) if ids is None else ids)
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
+def _lists(made: list[bytes | None]) -> pa.ListArray:
+    at = [0]
+    for x in made:
+        at.append(at[-1] + len(x or b"") // 4)
+    offsets = pa.array([None if x is None else i for x, i in zip([*made, b""], at)], pa.int32())
+    values = pa.Array.from_buffers(pa.int32(), at[-1], [None, pa.py_buffer(b"".join(x or b"" for x in made))])
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+#: Texts that a worker turns into Python strings at a time.
+TEXTS = 500
+
+
 def _encoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         for b in batches:
             made = [None if t is None else codec.encode(t) for t in b.column("_text").to_pylist()]
-            at = [0]
-            for x in made:
-                at.append(at[-1] + len(x or b"") // 4)
-            offsets = pa.array([None if x is None else i for x, i in zip([*made, b""], at)], pa.int32())
-            values = pa.Array.from_buffers(pa.int32(), at[-1], [None, pa.py_buffer(b"".join(x or b"" for x in made))])
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.ListArray.from_arrays(offsets, values)], ["_row", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), _lists(made)], ["_row", "ids"])
 
     return run
 
 
 def _decoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared.value
+        bytes_of = shared.value
         for b in batches:
             ids = b.column("ids")
             values, at, known = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_pylist()
-            decoded = [codec.decode(values[x:y].tolist()) if ok else None for x, y, ok in zip(at[:-1], at[1:], known)]
+            one = lambda x, y: b"".join(map(bytes_of.__getitem__, values[x:y].tolist())).decode("utf-8", "replace").removeprefix(" ")
+            decoded = [one(x, y) if ok else None for x, y, ok in zip(at[:-1], at[1:], known)]
             yield pa.RecordBatch.from_arrays([b.column("_row"), ids, pa.array(decoded, pa.string())], ["_row", "ids", "decoded"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", cache: int = CACHE) -> DataFrame:
-    """_row (a struct of all columns) and ids (array of int) of every row.
+def _both(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = shared.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(i, TEXTS)
+                made, digests, same = [], [], []
+                for text in b.column("_text").to_pylist():
+                    ids = None if text is None else codec.encode(text)
+                    decoded = None if ids is None else codec.decode(memoryview(ids).cast("i"))
+                    made.append(ids)
+                    digests.append(None if ids is None else hashlib.sha256(decoded.encode()).hexdigest())
+                    same.append(decoded == text)
+                cols = [b.column("_row"), _lists(made), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, ["_row", "ids", "decoded_sha256", "round_trip"])
+
+    return run
+
+
+def _shared(docs: DataFrame, what):
+    """A model's pieces, a few MB that don't grow with the data: a worker keeps them and its memo from task to task."""
+    return docs.sparkSession.sparkContext.broadcast(what)
+
 
-    The codec (a model's pieces, a few MB) is broadcast, so a worker keeps it and its cache from task to task.
-    """
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
+    """_row (a struct of all columns) and ids (array of int) of every row."""
     rows = packed(docs, text_col).withColumnRenamed(f"_{text_col}", "_text")
-    shared = docs.sparkSession.sparkContext.broadcast(Codec(path or model_file(), cache))
-    return rows.mapInArrow(_encoder(shared), f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>")
+    run = _encoder(_shared(docs, Codec(path or model_file(), memo_bytes)))
+    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (_row, ids) with the decoded text added."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Codec(path or model_file(), 0))
-    return encoded.mapInArrow(_decoder(shared), f"_row {encoded.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string")
+    run = _decoder(_shared(encoded, Codec(path or model_file(), 0).bytes_of))
+    return encoded.mapInArrow(run, f"_row {encoded.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, carried: list[str], path: str | None = None, text_col: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
+    """Encodes and decodes in one pass: _row (a struct of the carried columns, the text if there are none), ids, decoded_sha256 and whether the decoded text is the text."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried or [text_col]]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    run = _both(_shared(docs, Codec(path or model_file(), memo_bytes)))
+    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def digest(ids: Column) -> Column:

@@ -1,25 +1,35 @@
 """Passages that repeat across documents, by a sparse suffix array.
 
-Of the suffixes that begin at each word only those at content-selected positions
-are retained: a position whose k-gram hash is the least in some window of w
-positions (a minimiser). Two copies of a passage of min_words words hold the same
-minimiser within its first w positions, and from there at least
-head = min_words - w + 1 words in common. So the retained suffixes, sorted by their
-first head words, have both copies as neighbours.
-
-Neighbours are then extended to both sides: suffixes with the same words from
-w - 1 before to min_words behind are one class, found whole if two documents hold
-it. Of every other class one member's windows of min_words words that reach over the
-suffix's head are compared with those of its neighbouring classes. A word is covered
-exactly if it lies in a run of min_words words that two documents or more contain.
-
-Hot groups: the sort deals suffixes by head and document, so a passage that a third
-of all documents share is spread over many tasks, and only classes, never pairs of
-copies, are compared.
-
-Nulls and ties: a null text has no words; a null id is a document after all others;
-repeats inside one document, or in rows that repeat an id, don't count; words are
-split at blanks and 09-0D and compared exactly.
+Of the suffixes that begin at each word only those at content-selected positions are
+retained: a position whose k-gram hash is the least in some window of w positions (a
+minimiser). Two copies of a passage of min_words words hold the same minimiser within
+its first w positions, and from there at least head = min_words - w + 1 words in common.
+
+1. Every suffix is retained with hashes of its head and of its context (from w - 1
+   words before to min_words behind). Sorted hash ranges leave the suffixes whose head
+   a second document has. Where a second document has the whole context, all of it
+   repeats; such copies are done, however many they are, and one of them stands for all.
+2. The others, and those that stand for copies, form the suffix array: their words are
+   fetched, they are range-partitioned by them and sorted, and each is compared with its
+   neighbour. The common lengths of neighbours say for any n which suffixes agree in
+   their next n words; a second sort by the words before them says the same to the left.
+3. So every window of min_words words over the suffix's beginning, l words to the left
+   and min_words - l to the right, is compared by true words: it repeats if suffixes of
+   two documents are alike on both sides. What repeats is extended to both sides by
+   joining the windows of all l.
+4. Suffixes with one head may be dealt to several tasks, or be too many for one to hold.
+   Those at a task's ends are left open: their windows go, by 128-bit hashes, through
+   the sorted ranges that line dedup uses, so that no task sees a group whole.
+
+A word is covered exactly if it lies in a run of min_words words that two documents or
+more contain. 64-bit hashes only propose suffixes (and equal contexts of min_words + w
+- 1 words); rows of one context are copies.
+
+Nulls and ties: a null text has no words; a null id is a document after all others
+(shared by all rows without one, and by the id 2**63 - 1); repeats inside one document,
+or in rows that repeat an id, don't count; words are split at blanks and 09-0D and
+compared exactly; texts and words of any length are taken whole; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm._common import NO_ID, materialize, shared_groups
+from matchlake.llm._common import HELD_ROWS, NO_ID, materialize, partitions, scratch, shared_groups
 
 MIN_WORDS = 50
 WINDOW = 25
 GRAM = 8
+#: Suffixes of one head that a task compares at a time.
+ARRAY_ROWS = 40_000
 #: An odd factor of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -93,8 +105,9 @@ def _suffixes(min_words: int, window: int, gram: int):
         head = min_words - window + 1
         for b in batches:
             out = []
-            for d, m, text in zip(b.column("_doc").to_pylist(), b.column("_mark").to_pylist(), b.column("_text").cast(pa.large_binary()).to_pylist()):
-                words = (text or b"").split()
+            ids, marks, texts = b.column("_doc").to_pylist(), b.column("_mark").to_pylist(), b.column("_text").cast(pa.large_binary())
+            for d, m, text in zip(ids, marks, texts):
+                words = (text.as_py() or b"").split()
                 n = len(words)
                 if n < min_words:
                     continue
@@ -102,56 +115,250 @@ def _suffixes(min_words: int, window: int, gram: int):
                 a = minimisers(r, n, min_words, window, gram)
                 lo, hi = np.maximum(a - window + 1, 0), np.minimum(a + min_words, n)
                 context = _mixed(r.run(lo, hi) ^ ((a - lo) * 1000 + hi - a).astype(np.uint64))
-                out.append((r.run(a, a + head).view(np.int64), context.view(np.int64), np.full(len(a), d), np.full(len(a), m), a.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
+                same = np.full(len(a), d), np.full(len(a), m)
+                at = a.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)
+                out.append((r.run(a, a + head).view(np.int64), context.view(np.int64), *same, *at))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["head", "context", "doc", "mark", "pos", "lo", "hi"])
 
     return run
 
 
-def _windows(min_words: int, window: int):
+RETAINED = "head bigint, context bigint, doc bigint, mark bigint, pos int, lo int, hi int"
+CLASSED = f"{RETAINED}, class_lo bigint, class_hi bigint, head_lo bigint, head_hi bigint, stands boolean, open_head boolean, open_class boolean"
+
+
+def _ends(begin: np.ndarray, n: int) -> np.ndarray:
+    return np.append(begin[1:], n)
+
+
+def _classed(held_rows: int):
+    """Streams rows sorted by head, context and doc: adds the least and greatest doc of each head and context.
+
+    The first and last head of a task, and one that held_rows rows don't hold, are open: they may go on elsewhere.
+    """
+
+    def judged(t: pa.Table, opened: list[int]) -> Iterator[pa.RecordBatch]:
+        head, context, doc = (t.column(c).to_numpy() for c in ("head", "context", "doc"))
+        n = len(head)
+        new_head = np.append(True, head[1:] != head[:-1])
+        new_class = new_head | np.append(True, context[1:] != context[:-1])
+        h, c = np.flatnonzero(new_head), np.flatnonzero(new_class)
+        h_of, c_of = np.cumsum(new_head) - 1, np.cumsum(new_class) - 1
+        lo, hi, first = doc[c], doc[_ends(c, n) - 1], c_of[h]
+        head_lo, head_hi = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+        is_open = np.isin(head[h], opened)
+        edge = np.zeros(len(c), bool)
+        edge[first], edge[_ends(first, len(c)) - 1] = True, True
+        edge &= is_open[h_of[c]]
+        asked = np.logical_or.reduceat(lo == hi, first) | is_open
+        more = {"class_lo": lo[c_of], "class_hi": hi[c_of], "head_lo": head_lo[h_of], "head_hi": head_hi[h_of]}
+        more |= {"stands": new_class & asked[h_of], "open_head": is_open[h_of], "open_class": edge[c_of]}
+        for name, x in more.items():
+            t = t.append_column(name, pa.array(x))
+        yield from t.filter(pa.array((is_open | (head_lo < head_hi))[h_of])).combine_chunks().to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = np.arange(window)
+        held, first, going_on = None, None, None
         for b in batches:
-            out = []
-            for classes, text in zip(b.column("classes").to_pylist(), b.column("_text").cast(pa.large_binary()).to_pylist()):
-                words = text.split()
-                r = Rolling(words)
-                for c in classes:
-                    begin = c["pos"] - back
-                    l = back[(begin >= 0) & (begin + min_words <= len(words))]
-                    begin = c["pos"] - l
-                    same = [np.full(len(l), c[x]) for x in ("head", "context", "first", "last")]
-                    out.append((r.run(begin, begin + min_words).view(np.int64), *same, l.astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["run", "head", "context", "first", "last", "back"])
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            head = t.column("head").to_numpy()
+            first = head[0] if first is None else first
+            cut = int(np.searchsorted(head, head[-1]))
+            opened = [first] if going_on is None else [first, going_on]
+            if len(t) - cut > held_rows:
+                cut, going_on = len(t), head[-1]
+                opened.append(going_on)
+            if cut:
+                yield from judged(t.slice(0, cut), opened)
+            held = t.slice(cut) if cut < len(t) else None
+        if held is not None:
+            yield from judged(held, [held.column("head")[0].as_py()])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+CONTEXT = "right binary, left binary, doc bigint, mark bigint, pos int, last bigint, stands boolean"
+
+
+def _contexts(min_words: int, window: int):
+    """The words behind and, backwards, before each asked position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, mark, asked, text in zip(*(b.column(x).to_pylist() for x in ("doc", "mark", "asked")), b.column("_text").cast(pa.large_binary())):
+                words, rows = text.as_py().split(), []
+                for c in asked:
+                    p = c["pos"]
+                    left = words[max(0, p - window + 1) : p]
+                    left.reverse()
+                    rows.append((b" ".join(words[p : p + min_words]), b" ".join(left), doc, mark, p, c["last"], c["stands"]))
+                types = pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()
+                cols = [pa.array(x, t) for x, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays(cols, ["right", "left", "doc", "mark", "pos", "last", "stands"])
+
+    return run
+
+
+def _common(a: list[bytes], b: list[bytes]) -> int:
+    """The number of words that two texts begin with alike."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i in range(n) if a[i] != b[i])
+
+
+def _words(x: bytes) -> list[bytes]:
+    return x.split(b" ") if x else []
+
+
+def _alike(sorted_texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For texts in order: the words each has in common with the one before it (-1 for the first), and its number of words."""
+    common, size, before = [], [], None
+    for x in sorted_texts:
+        words = _words(x)
+        common.append(-1 if before is None else _common(before, words))
+        size.append(len(words))
+        before = words
+    return np.array(common), np.array(size)
+
+
+FOUND = "doc bigint, mark bigint, pos int, most int, least int, first_doc bigint, h1 bigint, h2 bigint, asks boolean"
+FOUND_TYPES = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()
+
+
+def _array(min_words: int, window: int, array_rows: int):
+    """Streams the sorted suffixes. Rows without h1 are results; those with it are windows left open (most = least = l)."""
+    head = min_words - window + 1
+
+    def batch(*cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, FOUND_TYPES)], [x.split()[0] for x in FOUND.split(", ")])
+
+    def compared(t: pa.Table, lcp: np.ndarray, n_right: np.ndarray, open_first: bool, open_last: bool) -> Iterator[pa.RecordBatch]:
+        n, lcp = len(t), np.append(-1, lcp[1:])
+        doc, mark, pos, last, stands = (t.column(c).to_numpy() for c in ("doc", "mark", "pos", "last", "stands"))
+        left = t.column("left").to_pylist()
+        order = np.array(sorted(range(n), key=left.__getitem__))
+        llcp, size = _alike(left[i] for i in order.tolist())
+        n_left = np.empty(n, int)
+        n_left[order] = size
+        most, least, first_doc = np.full(n, -1), np.full(n, window), np.full(n, NO_ID)
+        for l in range(window):
+            left_class = np.empty(n, np.int64)
+            left_class[order] = np.cumsum(llcp < l)
+            ok = np.flatnonzero((n_left >= l) & (n_right >= min_words - l))
+            if not len(ok):
+                continue
+            key = (left_class * (n + 1) + np.cumsum(lcp < min_words - l))[ok]
+            by = np.argsort(key, kind="stable")
+            begin = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+            lo, hi = np.minimum.reduceat(doc[ok[by]], begin), np.maximum.reduceat(last[ok[by]], begin)
+            size = _ends(begin, len(by)) - begin
+            both = np.repeat(lo < hi, size)
+            at = ok[by][both]
+            most[at], least[at] = np.maximum(most[at], l), np.minimum(least[at], l)
+            first_doc[at] = np.minimum(first_doc[at], np.repeat(lo, size)[both])
+        group = np.cumsum(lcp < head)
+        is_open = (group == group[0]) & open_first | (group == group[-1]) & open_last
+        done = np.flatnonzero((most >= 0) & ~is_open & ~stands)
+        none = [None] * len(done)
+        yield batch(doc[done], mark[done], pos[done], most[done], least[done], first_doc[done], none, none, np.ones(len(done), bool))
+        rights = t.column("right")
+        for i in np.flatnonzero(is_open).tolist():
+            right, before, rows = _words(rights[i].as_py()), _words(left[i]), []
+            for l in range(max(0, min_words - len(right)), min(window - 1, len(before)) + 1):
+                h = xxhash.xxh3_128_digest(b" ".join(before[:l]) + b"\n" + b" ".join(right[: min_words - l]))
+                h1, h2 = np.frombuffer(h, "<i8").tolist()
+                for d in {int(doc[i]), int(last[i])}:
+                    rows.append((d, int(mark[i]), int(pos[i]), l, l, None, h1, h2, not stands[i]))
+            if rows:
+                yield batch(*zip(*rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lcp, size, before, opened = None, np.zeros(0, int), np.zeros(0, int), None, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            common, counts = [], []
+            for x in b.column("right").to_pylist():
+                words = _words(x)
+                common.append(-1 if before is None else _common(before, words))
+                counts.append(len(words))
+                before = words
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            lcp, size = np.append(lcp, common), np.append(size, counts)
+            starts = np.flatnonzero(lcp < head)
+            cut = int(starts[-1]) if len(starts) else 0
+            whole = len(held) - cut <= array_rows
+            if not whole:
+                cut = len(held)
+            if cut:
+                yield from compared(held.slice(0, cut), lcp[:cut], size[:cut], opened, not whole)
+                held, lcp, size, opened = held.slice(cut) if cut < len(held) else None, lcp[cut:], size[cut:], not whole
+        if held is not None:
+            yield from compared(held, lcp, size, opened, True)
+
+    return run
+
+
+def _repeats(named: DataFrame, min_words: int, window: int, gram: int, held_rows: int, array_rows: int) -> DataFrame:
+    """(doc, mark, a, b, first_doc): runs of words that repeat."""
+    n = partitions(named.sparkSession)
+    retained = materialize(named.mapInArrow(_suffixes(min_words, window, gram), RETAINED), "suffixes")
+    by = ["head", "context", "doc"]
+    rows = materialize(retained.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_classed(held_rows), CLASSED), "classed")
+    # open heads and classes number a few for each task (and for every held_rows rows)
+    opened = rows.where("open_head")
+    heads = opened.groupBy("head").agg(F.min("head_lo").alias("e_lo"), F.max("head_hi").alias("e_hi")).where("e_lo < e_hi").select("head")
+    ends = rows.where("open_class").groupBy("head", "context").agg(F.min("class_lo").alias("e_lo"), F.max("class_hi").alias("e_hi"))
+    wider = opened.join(F.broadcast(heads), "head", "left_semi").join(F.broadcast(ends), ["head", "context"], "left")
+    wider = wider.withColumn("class_lo", F.least("class_lo", "e_lo")).withColumn("class_hi", F.greatest("class_hi", "e_hi"))
+    rows = rows.where("not open_head").unionByName(wider.select(*rows.columns)).withColumn("whole", F.expr("class_lo < class_hi"))
+    copies = rows.where("whole").select("doc", "mark", F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("class_lo").alias("first_doc"))
+
+    one = F.struct("pos", F.when(F.col("whole"), F.col("class_hi")).otherwise(F.col("doc")).alias("last"), F.col("whole").alias("stands"))
+    asked = rows.where("not whole or stands").groupBy("doc", "mark").agg(F.collect_list(one).alias("asked"))
+    texts = named.join(asked, (F.col("_doc") == F.col("doc")) & (F.col("_mark") == F.col("mark"))).select("doc", "mark", "asked", "_text")
+    contexts = materialize(texts.mapInArrow(_contexts(min_words, window), CONTEXT), "contexts")
+    order = ["right", "left", "doc"]
+    found = contexts.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_array(min_words, window, array_rows), FOUND)
+    found = materialize(found, "array")
+    across = shared_groups(found.where("h1 is not null").drop("first_doc"), ["h1", "h2"], "doc").where("asks")
+    across = across.groupBy("doc", "mark", "pos").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.min("least_doc").alias("first_doc"))
+    every = found.where("h1 is null").select(*across.columns).unionByName(across)
+    begin, end = F.col("pos") - F.col("most"), F.col("pos") - F.col("least") + min_words
+    return copies.unionByName(every.select("doc", "mark", begin.alias("a"), end.alias("b"), "first_doc"))
+
+
+def repeated_passages(
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    held_rows: int = HELD_ROWS,
+    array_rows: int = ARRAY_ROWS,
+) -> DataFrame:
     """id, start_word, end_word (exclusive) and first_doc_id: the passages of each document that others repeat, joined where they overlap or touch.
 
-    first_doc_id is the smallest id that holds a run of the passage's, which may be the document's own.
+    first_doc_id is the smallest id found with it, which may be the document's own: of the documents that have the whole
+    context of one of its minimisers if there are two or more, else of those that have one of its windows.
     """
     if not gram <= min_words - window + 1 or window < 2:
         raise ValueError("needs gram <= min_words - window + 1 and window >= 2")
-    named = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("_text"))
-    retained = materialize(named.mapInArrow(_suffixes(min_words, window, gram), "head bigint, context bigint, doc bigint, mark bigint, pos int, lo int, hi int"), "suffixes")
-    near = shared_groups(retained, ["head"], "doc").drop("is_first")
-    classes = materialize(near.groupBy("head", "context").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(F.struct("doc", "mark", "pos")).alias("one")), "classes")
-    several = classes.groupBy("head").agg(F.count("*").alias("n"), F.min(F.col("first") < F.col("last")).alias("all_whole")).where("n > 1 and not all_whole")
-    asked = classes.join(several, "head", "left_semi").select("one.doc", "one.mark", F.struct("head", "context", "first", "last", "one.pos").alias("c"))
-    asked = asked.groupBy("doc", "mark").agg(F.collect_list("c").alias("classes"))
-    texts = named.join(asked, (F.col("_doc") == F.col("doc")) & (F.col("_mark") == F.col("mark"))).select("classes", "_text")
-    runs = materialize(texts.mapInArrow(_windows(min_words, window), "run bigint, head bigint, context bigint, first bigint, last bigint, back int"), "runs")
-    common = runs.groupBy("run").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a < b")
-    found = runs.join(common, "run").groupBy("head", "context").agg(F.max("back").alias("most"), F.min("back").alias("least"), F.min("a").alias("first_doc"))
-    verdict = classes.join(found, ["head", "context"], "left").select("head", "context", (F.col("first") < F.col("last")).alias("whole"), "most", "least", F.least("first_doc", F.when(F.col("first") < F.col("last"), F.col("first"))).alias("first_doc")).where("first_doc is not null")
-    spans = near.join(verdict, ["head", "context"]).select("doc", "mark", F.when(F.col("whole"), F.col("lo")).otherwise(F.col("pos") - F.col("most")).alias("a"), F.when(F.col("whole"), F.col("hi")).otherwise(F.col("pos") - F.col("least") + min_words).alias("b"), "first_doc")
-    w = Window.partitionBy("doc", "mark").orderBy("a", "b")
-    edge = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("new", F.coalesce((F.col("a") > edge).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = islands.groupBy("doc", "mark", "island").agg(F.min("a").alias("start_word"), F.max("b").alias("end_word"), F.min("first_doc").alias("first_doc"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return joined.select(real("doc").alias(id_col), "start_word", "end_word", real("first_doc").alias("first_doc_id"))
+    doc, mark = F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_mark")
+    named = docs.select(doc, mark, F.col(text_col).alias("_text"))
+    with scratch(docs.sparkSession, "passages") as kept:
+        spans = _repeats(named, min_words, window, gram, held_rows, array_rows)
+        w = Window.partitionBy("doc", "mark").orderBy("a", "b")
+        edge = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        islands = spans.withColumn("new", F.coalesce((F.col("a") > edge).cast("int"), F.lit(1)))
+        islands = islands.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        joined = islands.groupBy("doc", "mark", "island").agg(F.min("a").alias("start_word"), F.max("b").alias("end_word"), F.min("first_doc").alias("first_doc"))
+        real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+        return kept(joined.select(real("doc").alias(id_col), "start_word", "end_word", real("first_doc").alias("first_doc_id")))

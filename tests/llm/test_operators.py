@@ -68,13 +68,12 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_digests(none).count() == 0
 
 
-def test_groups_across_tasks(spark, monkeypatch):
+def test_groups_across_tasks(spark):
     rows = [(k, d, i) for k in range(5) for d, i in [(d, i) for d in range(300) for i in range(2)]] + [(9, 7, i) for i in range(50)] + [(10 + i, i, 0) for i in range(500)]
     df = spark.createDataFrame(rows, "h bigint, doc bigint, pos int")
     for held in (20, 200_000):
-        monkeypatch.setattr(_common, "HELD_ROWS", held)
-        got = _common.shared_groups(df, ["h"], "doc").collect()
-        assert len(got) == 3000 and all(r.is_first == (r.doc == 0) for r in got) and {r.h for r in got} == set(range(5))
+        got = _common.shared_groups(df, ["h"], "doc", held_rows=held).collect()
+        assert len(got) == 3000 and all(r.is_first == (r.doc == 0) and r.least_doc == 0 for r in got) and {r.h for r in got} == set(range(5))
 
 
 def brute_fingerprint(text, k=3):
@@ -175,14 +174,18 @@ def test_repeated_passages(spark, docs, none, n, window, gram):
     assert suffix.repeated_passages(none).count() == 0
 
 
-def test_repeated_passages_random(spark):
+@pytest.mark.parametrize("held,array", [(200_000, 40_000), (3, 2)])
+def test_repeated_passages_random(spark, held, array):
     r = random.Random(8)
     parts = [[r.choice("abcdefgh") + str(r.randrange(4)) for _ in range(r.randrange(3, 30))] for _ in range(25)]
     rows = [(i, " ".join(w for _ in range(r.randrange(1, 9)) for w in r.choice(parts))) for i in range(80)]
+    # one passage in a third of all rows, between other words, and exact copies
+    rows += [(100 + i, " ".join([*prose(i, 15).split(), *parts[0], *parts[1], *parts[2], *prose(50 + i, 15).split()])) for i in range(40)] + [(200 + i, rows[3][1]) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     for n, window, gram in ((12, 5, 3), (20, 12, 4)):
-        got = sorted({(x.doc_id, x.start_word, x.end_word) for x in suffix.repeated_passages(df, n, window, gram).collect()}, key=repr)
-        assert got == brute_repeats(rows, n)
+        found = suffix.repeated_passages(df, n, window, gram, held_rows=held, array_rows=array).collect()
+        assert sorted({(x.doc_id, x.start_word, x.end_word) for x in found}, key=repr) == brute_repeats(rows, n)
+        assert all(x.first_doc_id <= x.doc_id for x in found)
 
 
 def test_quality(docs, none):
@@ -348,12 +351,35 @@ def test_sentencepiece_search(zipf):
         assert abs(total - best_score(codec.scores, codec.worst, marked)) < 1e-6
         if not zipf and not unknown:
             assert total >= sum(map(unigram.get_score, unigram.nbest_encode(s, nbest_size=1)[0])) - 1e-6
-    whole = "".join(r.choice("abcdefgh") for _ in range(20_000))
-    ids = list(codec.search(whole))
-    assert abs(sum(by_id[i] for i in ids) - best_score(codec.scores, codec.worst, whole)) < 1e-3
+    for whole in ("".join(r.choice("abcdefgh") for _ in range(20_000)), "x" * 3000, "漢a" * 700, prose(4, 800).replace(" ", "▁")):
+        ids = [i for part in codec.search(whole) for i in part]
+        total = sum(by_id.get(i, 0) for i in ids) + codec.worst * sum(c not in codec.scores for c in whole)
+        assert abs(total - best_score(codec.scores, codec.worst, whole)) < 1e-3
+
+
+def test_sentencepiece_makes_every_id_by_the_search(monkeypatch):
+    """On whole documents: the search is entered, its ids have the best score, and a small memo changes none of them."""
+    import pyarrow.parquet as pq
+
+    codec, small = (sentencepiece_codec.Codec(sentencepiece_codec.model_file(), memo_bytes=n) for n in (1 << 24, 2000))
+    by_id, searched, search = {i: s for s, i in codec.scores.values()}, [], codec.search
+    monkeypatch.setattr(codec, "search", lambda s: searched.append(s) or search(s))
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    for text in [t for t in texts if t][:40]:
+        ids = list(memoryview(codec.encode(text)).cast("i"))
+        assert bytes(memoryview(codec.encode(text))) == small.encode(text)
+        marked = "▁" + text.replace(" ", "▁")
+        total = sum(by_id.get(i, 0) for i in ids) + codec.worst * sum(c not in codec.scores for c in marked)
+        assert abs(total - best_score(codec.scores, codec.worst, marked)) < 1e-6 * len(marked)
+    assert set(codec.young) | set(codec.old) == set(searched) and len(searched) > 500
 
 
 def test_sentencepiece(docs, none):
     both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).select("_row.text", "ids", "decoded").collect()
     assert all(x.decoded == x.text and (x.ids is None) == (x.text is None) for x in both)
     assert sentencepiece_codec.decode(sentencepiece_codec.encode(none)).count() == 0
+    rows = sentencepiece_codec.round_trip(docs, ["text", "_row"]).select("_row.text", "_row._row", "ids", "decoded_sha256", "round_trip").collect()
+    by_text = {x.text: x.ids for x in both}
+    assert len(rows) == len(both) and all(x.round_trip and by_text[x.text] == x.ids for x in rows)
+    assert all(x.decoded_sha256 == (None if x.text is None else hashlib.sha256(x.text.encode()).hexdigest()) for x in rows)
+    assert sentencepiece_codec.round_trip(none, []).count() == 0
