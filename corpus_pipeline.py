@@ -1,40 +1,81 @@
 """A corpus pipeline over the documents table: every stage works on all that the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Nulls and ties in the stages: documents without a text, or with an empty one, fail the quality rules; a null id is kept
+and comes last where ids are ordered; of rows that repeat an id each is judged by its own text; long texts are taken
+whole; columns beside those of documents pass through all stages but the last, whatever their names; an empty table
+passes as such. Line dedup can leave an empty text, and one document of all empty ones stays.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import decontam, line_dedup, near_copies, quality, sentencepiece_codec
-from matchlake.llm._common import materialize
+from matchlake.llm._common import materialize, remove, shared_dir, written_below
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: By session: the folder of what the last stage left, which is needed until its rows are written.
+_LEFT: dict[str, str] = {}
+
+
+def _tidy(stage: Stage) -> Stage:
+    """Deletes what the stage before left in the shared folder, unless the rows handed over still come from there."""
+
+    @wraps(stage)
+    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app, folder = spark.sparkContext.applicationId, f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+        left = _LEFT.get(app)
+        if left and not any(left.rpartition("/")[2] in f for f in docs.inputFiles()):
+            remove(spark, left)
+        _LEFT[app] = folder
+        with written_below(folder):
+            return stage(spark, docs, sf_dir)
+
+    return tidied
 
 
+@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs)
 
 
+@_tidy
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_copies.near_dedup(docs)
 
 
+@_tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_tidy
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, their number and whether they decode to the text."""
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
-    return both.select("_row.doc_id", "_row.lang", "_row.source", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("_row.text")).alias("round_trip"))
+    both = sentencepiece_codec.round_trip(docs, ["doc_id", "lang", "source"])
+    return both.select("_row.*", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("SentencePiece encoding and decoding", encoding)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", encoding),
+]
 
 #: SQL expresses neither the fingerprints' hash nor the encoding; tests hold run() against a brute-force version.
 ORACLE_SQL = None
