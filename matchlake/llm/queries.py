@@ -23,7 +23,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.find(docs, pii.train(docs)).select("_row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return pii.find(docs, pii.train(docs)).select("_row.doc_id", *pii.COUNTS, "base_sha256", "spans", "n_spans")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,15 +261,50 @@ def test_personal_data(docs, none):
         t = "".join(r.choice(alphabet) for _ in range(r.randrange(60)))
         assert pii.base_spans(t) == base_by_pattern(t), t
     model = pii.train(docs)
-    for row in pii.find(docs, model).collect():
+    found = pii.find(docs, model).collect()
+    assert len(found) == docs.count()
+    for row in found:
         spans = base_by_pattern(row._row.text or "")
         assert row.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
-        assert set(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans) <= set(row.spans.split(","))
+        assert set(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans) <= set(row.spans.split(",")) and row.n_spans == len(row.spans.split(",") if row.spans else [])
     assert pii.find(none, pii.train(none)).count() == 0
     assert pii.redact("a@b.co +1", "email:0:6") == "[email] +1"
     assert len(pii.base_spans("1" * 200_000 + "a" * 200_000)) == 0
 
 
+def test_personal_data_that_trees_add(spark):
+    """Spans that no base pattern finds, and look-alikes that stay."""
+    texts = [prose(i, 120) for i in range(60)]
+    card, other = "4465758382889437", "4111111111111111"
+    hidden = [
+        ("please mail ", "jane.doe [at] example [dot] org", "email"), ("write to ", "bob7(at)mail.example.com", "email"), ("the server ", "10.20.30[.]40", "ip"),
+        (f"paid by {other} ", card, "card"), ("call tel ", "(743) 555-3824", "phone"), ("phone: ", "030-1234567", "phone"),
+        ('token = "', "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "secret"), ("password: ", "hG7tR4kLm92QxZ81bVcE7", "secret"),
+    ]
+    harmless = ["commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff here", "order 12345678 of 2024-11-12 10:20", "card 4465758382889438x", "@someone said so", "bob@localhost", "version 1.2.3 of 7", "12 34 56 78 90 12"]
+    rows = [(i, f"{texts[i]} {before}{item} {texts[i][:90]}") for i, (before, item, _) in enumerate(hidden)]
+    rows += [(20 + i, f"{texts[20 + i]} {h} {texts[i][:90]}") for i, h in enumerate(harmless)] + [(40 + i, t) for i, t in enumerate(texts[40:])]
+    # long, repeated and null rows
+    rows += [(100, "1234567 " * 20_000 + 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (0, rows[0][1]), (None, None), (None, rows[6][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = pii.train(df)
+    assert all(r["recall"] >= 0.9 and r["precision"] >= 0.9 for r in model.report.values()) and set(model.report) == set(pii.KINDS), model.report
+    found = pii.find(df, model).select("_row.doc_id", "_row.text", "spans", "base_sha256").collect()
+    for r in found:
+        if r.doc_id is not None and r.doc_id < 8:
+            before, item, kind = hidden[r.doc_id]
+            at = r.text.index(before + item) + len(before)
+            assert f"{kind}:{at}:{at + len(item)}" in r.spans.split(","), (r.spans, before, item)
+            assert item not in pii.redact(r.text, r.spans)
+        elif r.doc_id is not None and r.doc_id < 100:
+            assert r.spans == "", (r.text, r.spans)
+    by_text = {}
+    for r in found:
+        assert by_text.setdefault(r.text, r.spans) == r.spans
+    long = next(r for r in found if r.doc_id == 100)
+    assert f"secret:{len(long.text) - 41}:{len(long.text) - 1}" in long.spans.split(",")
+
+
 def test_boosted_trees_hold_out(spark):
     import numpy as np
 
