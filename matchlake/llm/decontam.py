@@ -17,14 +17,19 @@ white space; shingles are five words (all words of a shorter item).
 
 Items that are similar enough (0.8) differ in about 10 of 64 bits with a deviation of
 3; the default radius of 20 leaves out fewer than one in a thousand of those that
-just reach the threshold, and none of the exact copies.
-
-The benchmark is broadcast only while its shingles number broadcast_rows or fewer,
-beyond that the joins shuffle (and AQE splits hot keys).
-
-Nulls and ties: a null or empty text or item has no words and never matches; a
-null id is kept as null; rows that repeat an id give one row for each item, the best of
-them; of equal windows the first is reported; other columns are ignored.
+just reach the threshold, and none of the exact copies (a test measures it). With so
+wide a radius the blocks have three bits and select little by themselves; it is step 1
+that keeps the windows few.
+
+A table is broadcast only while its rows, counted before, hold broadcast_rows hashes or
+fewer; beyond that the joins shuffle (and AQE splits hot keys). Either way the rows are
+the same.
+
+Nulls and ties: a null or empty text or item has no words and never matches; a null id
+is kept as null (shared by all rows without one, and by the id 2**63 - 1); rows that
+repeat an id, of a document or an item, give one row for each document and item, the best
+of them; of equal windows the first is reported; texts and items of any length are taken
+whole; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm._common import NO_ID, packed, unpacked
+from matchlake.llm._common import NO_ID, materialize, packed, scratch, unpacked
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -99,47 +104,81 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """id, item id, similarity, start_word and n_words of the best window for every document and item that match."""
-    items = benchmark.select(F.col(item_col).alias("item"), _words(F.col(item_text_col)).alias("iw")).where("iw is not null").withColumn("n", F.size("iw"))
-    bounds = items.agg(F.max("n"), F.collect_set(F.least("n", F.lit(shingle)))).first()
-    if not bounds[1]:
-        bounds = (1, [1])
-    planes = max(bounds[0], 1).bit_length()
-    sized = [items.where(F.least("n", F.lit(shingle)) == k).select("item", "n", F.lit(k).alias("k"), _shingles(F.col("iw"), k).alias("ih")) for k in sorted(bounds[1])]
-    items = reduce(DataFrame.unionByName, sized)
-    known = items.select("n", "k", F.explode("ih").alias("h")).distinct()
-    small = known.count() <= broadcast_rows
-    hint = F.broadcast if small else lambda x: x
-
-    own = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), _words(F.col(text_col)).alias("words")).where("words is not null")
-    places = []
-    for k in sorted(bounds[1]):
-        at = own.where(F.size("words") >= k).select("doc", "mark", F.posexplode_outer(_shingles(F.col("words"), k)).alias("pos", "h"))
-        places.append(at.join(hint(known.where(F.col("k") == k).select("h", "n", "k")), "h").select("doc", "mark", "n", "k", "pos"))
-    around = reduce(DataFrame.unionByName, places).groupBy("doc", "mark", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-
-    found = own.join(around, ["doc", "mark"]).withColumn("size", F.least("n", F.size("words")))
-    # a window of any item's size must hold that many of the known shingles to reach the threshold
-    need, span = F.greatest(F.lit(1), F.ceil(threshold * (F.col("n") - F.col("k") + 1) - 1e-9)).cast("int"), F.col("size") - F.col("k")
-    last = lambda i: F.get(F.col("at"), i + need - 1)
-    runs = F.transform("at", lambda p, i: F.struct(F.when(last(i).isNotNull(), F.greatest(F.lit(0), last(i) - span)).alias("lo"), F.least(p, F.size("words") - F.col("size")).alias("hi")))
-    starts = F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(r["lo"], r["hi"]))))
-    by_size = [found.where(F.col("k") == k).select("doc", "mark", "n", "k", "size", _shingles(F.col("words"), k).alias("sh"), starts.alias("starts")) for k in sorted(bounds[1])]
-    windows = reduce(DataFrame.unionByName, by_size).select("doc", "mark", "n", "k", "size", "sh", F.explode_outer("starts").alias("start")).where("start is not null")
-    windows = windows.select("doc", "n", "size", "start", F.slice("sh", F.col("start") + 1, F.col("size") - F.col("k") + 1).alias("hashes"))
-    windows = windows.withColumn("fp", _fingerprint(F.col("hashes"), planes))
-    wanted = _blocked(items.select("item", "n", "ih").withColumn("ifp", _fingerprint(F.col("ih"), planes)), "ifp", radius)
+def _hinted(df: DataFrame, weight: Column, most: int) -> DataFrame:
+    """df, to be broadcast if the sum of weight over its rows is no more than most."""
+    held = df.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("x")).first()["x"]
+    return F.broadcast(df) if held <= most else df
+
 
-    differ = F.col("fp").bitwiseXOR(F.col("ifp"))
-    first_block = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(_blocks(radius))])
-    near = _blocked(windows, "fp", radius).join(hint(wanted), ["n", "block", "bits"]).where((F.bit_count(differ) <= radius) & (first_block == F.col("block")))
-    checked = near.withColumn("similarity", similarity(F.col("hashes"), F.col("ih"))).where(F.col("similarity") >= threshold)
-    best = checked.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("neg"), "size")).alias("x"))
-    return best.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), F.col("item").alias(item_col), F.round("x.similarity", 6).alias("similarity"), (-F.col("x.neg")).alias("start_word"), F.col("x.size").alias("n_words"))
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def _places(own: DataFrame, items: DataFrame, sizes: list[int], most: int) -> DataFrame:
+    """doc, mark, n, k and at, the places of all shingles that items of n words have."""
+    known = _hinted(items.select("n", "k", F.explode("ih").alias("h")).distinct(), F.lit(1), most)
+    parts = []
+    for k in sizes:
+        each = own.where(F.size("words") >= k).select("doc", "mark", F.posexplode_outer(_shingles(F.col("words"), k)).alias("pos", "h"))
+        parts.append(each.join(known.where(F.col("k") == k), "h").select("doc", "mark", "n", "k", "pos"))
+    return _union(parts).groupBy("doc", "mark", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+
+
+def _windows(found: DataFrame, sizes: list[int], threshold: float, planes: int) -> DataFrame:
+    """doc, n, size, start, hashes and fp of all windows of an item's size that hold enough of the known shingles."""
+    found = found.withColumn("size", F.least("n", F.size("words")))
+    need, span = F.greatest(F.lit(1), F.ceil(threshold * (F.col("n") - F.col("k") + 1) - 1e-9)).cast("int"), F.col("size") - F.col("k")
+    last = lambda i: F.get(F.col("at"), i + need - 1)
+    first = lambda i: F.when(last(i).isNotNull(), F.greatest(F.lit(0), last(i) - span))
+    runs = F.transform("at", lambda p, i: F.struct(first(i).alias("lo"), F.least(p, F.size("words") - F.col("size")).alias("hi")))
+    starts = F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(r["lo"], r["hi"]))))
+    kept = ("doc", "mark", "n", "k", "size")
+    cut = _union([found.where(F.col("k") == k).select(*kept, _shingles(F.col("words"), k).alias("sh"), starts.alias("starts")) for k in sizes])
+    windows = cut.select(*kept, "sh", F.explode_outer("starts").alias("start")).where("start is not null")
+    hashes = F.slice("sh", F.col("start") + 1, F.col("size") - F.col("k") + 1)
+    return windows.select("doc", "n", "size", "start", hashes.alias("hashes")).withColumn("fp", _fingerprint(F.col("hashes"), planes))
+
+
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    threshold: float = THRESHOLD,
+    radius: int = RADIUS,
+    shingle: int = SHINGLE,
+    broadcast_rows: int = BROADCAST_ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """id, item id, similarity, start_word and n_words of the best window for every document and item that match."""
+    items = benchmark.select(F.col(item_col).alias("item"), _words(F.col(item_text_col)).alias("iw")).where("iw is not null").withColumn("n", F.size("iw"))
+    bounds = items.agg(F.max("n"), F.collect_set(F.least("n", F.lit(shingle)))).first()
+    longest, sizes = (bounds[0], sorted(bounds[1])) if bounds[1] else (1, [1])
+    planes = max(longest, 1).bit_length()
+    sized = [items.where(F.least("n", F.lit(shingle)) == k).select("item", "n", F.lit(k).alias("k"), _shingles(F.col("iw"), k).alias("ih")) for k in sizes]
+    id_of, text = F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("doc"), F.col(text_col)
+    own = docs.select(id_of, F.xxhash64(text).alias("mark"), _words(text).alias("words")).where("words is not null")
+
+    with scratch(docs.sparkSession, "decontamination") as kept:
+        items = materialize(_union(sized).withColumn("ifp", _fingerprint(F.col("ih"), planes)).withColumn("i_mark", F.xxhash64("ih")).dropDuplicates(["item", "i_mark"]), "items")
+        around = materialize(_places(own, items, sizes, broadcast_rows), "places")
+        windows = _windows(own.join(_hinted(around, F.size("at"), broadcast_rows), ["doc", "mark"]), sizes, threshold, planes)
+
+        wanted = _hinted(_blocked(items.select("item", "i_mark", "n", "ifp"), "ifp", radius), F.lit(1), broadcast_rows)
+        differ = F.col("fp").bitwiseXOR(F.col("ifp"))
+        first_block = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(_blocks(radius))])
+        near = _blocked(windows, "fp", radius).join(wanted, ["n", "block", "bits"]).where((F.bit_count(differ) <= radius) & (first_block == F.col("block")))
+        hashes = _hinted(items.select("item", "i_mark", "ih"), F.size("ih"), broadcast_rows)
+        near = near.join(hashes, near["item"].eqNullSafe(hashes["item"]) & (near["i_mark"] == hashes["i_mark"])).drop(hashes["item"])
+        checked = near.withColumn("similarity", similarity(F.col("hashes"), F.col("ih"))).where(F.col("similarity") >= threshold)
+        best = checked.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("neg"), "size")).alias("x"))
+        window = F.round("x.similarity", 6).alias("similarity"), (-F.col("x.neg")).alias("start_word"), F.col("x.size").alias("n_words")
+        return kept(best.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), F.col("item").alias(item_col), *window))
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
     """docs without those that hold a benchmark item; a row without an id goes if any such row does."""
-    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_gone")).distinct()
-    return unpacked(packed(docs, id_col).withColumnRenamed(f"_{id_col}", "_id").join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti"), docs)
+    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **how).select(F.col(id_col).alias("_gone")).distinct()
+    rows = packed(docs, id_col).withColumnRenamed(f"_{id_col}", "_id")
+    return unpacked(rows.join(_hinted(gone, F.lit(1), broadcast_rows), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti"), docs)

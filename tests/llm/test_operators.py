@@ -242,6 +242,30 @@ def test_contamination(spark, docs, none):
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_contamination_recall_near_the_threshold(spark):
+    """Items changed until they just reach the similarity of 0.8: the radius must leave out none of a hundred or more."""
+    r, rows, items = random.Random(6), [], []
+    for i in range(160):
+        words = prose(3000 + i, r.randint(30, 120)).split()
+        items.append((i, " ".join(words)))
+        last = words
+        for n in range(1, 40):
+            changed = list(words)
+            for j in r.sample(range(len(words)), min(n, len(words))):
+                changed[j] = f"other{j}"
+            if not brute_contaminated([(i, " ".join(changed))], items[-1:]):
+                break
+            last = changed
+        rows.append((i, f"{prose(i, 30)} {' '.join(last)} {prose(5000 + i, 30)}"))
+    want = {(i, i) for i, _ in rows}
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and min(x.similarity for x in got) < 0.82
+    # repeated items, one id with two texts, and repeated rows give one row for each document and item
+    twice = spark.createDataFrame([*items[:5], *items[:5], (0, items[7][1]), (None, items[9][1])], "item_id bigint, text string")
+    got = decontam.contaminated(spark.createDataFrame(rows[:10] + rows[:10], "doc_id bigint, text string"), twice).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([*[(i, i) for i in range(5)], (7, 0), (9, None)], key=repr)
+
+
 def base_by_pattern(t):
     out = []
     for k, (p, ok) in enumerate([
