@@ -1,21 +1,29 @@
-"""Near copies of texts by exact similarity of five-word shingles, found by MinHash lists.
+"""SimHash near-dedup by word similarity: exact similarity of five-word shingles.
 
 Two texts are linked if the sum of the lesser counts of their shingles is 0.8 or
 more of the sum of the greater ones; a text's class is all that links reach. Texts
-of fewer than five words are one shingle. SimHash fingerprints can't stand for this:
-at 0.8 they differ in about 10 of 64 bits, up to 20, and a radius of 20 also links
-two in a thousand of all unrelated pairs.
+of fewer than five words are one shingle.
+
+At 0.8 fingerprints differ in about 10 of 64 bits, up to 20. Pivot tables can't find
+such pairs: distances to a pivot spread by 4, so that no pair is discarded from a
+radius of about 13 on, and a radius of 20 also links two in a thousand of all unrelated
+pairs. So the pivot tables find what they can prune, and lists of minima the rest:
 
 1. Texts with equal shingles are one: mark, a hash of all of them.
-2. Each mark is listed under 48 keys of four minima each. Two marks of similarity s
-   share none of them with a chance of (1 - s^4)^48, 1e-11 at 0.8.
-3. Each list's members are compared with the least of it, in each of three rounds by
-   another order, which joins large groups of near copies by links linear in their rows.
+2. Marks whose fingerprints are equal or within two bits (pivot tables, `simhash.links`)
+   are compared. That joins most groups of near copies by links linear in their rows.
+3. Each mark is listed under 48 keys of four minima each. Two marks of similarity s
+   share none of them with a chance of (1 - s^4)^48, 1e-11 at 0.8. Each list's members
+   are compared with the least of it, in each of two rounds by another order.
 4. Members that are still in different classes are compared pair by pair, so that
-   no pair of a list is left out. All links are verified on the shingles themselves.
+   no pair of a list is left out.
+
+All links are verified on the shingles themselves, whatever proposed them.
 
 Nulls and ties: a null text has no words, and all texts without words are one
-class; a null id is the last choice; rows that repeat an id are judged by their own text.
+class; a null id is the last choice (as is the id 2**63 - 1); rows that repeat an id are
+judged by their own text; of rows equal in id and text one stays; long texts are taken
+whole; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm._common import NO_ID, components, materialize, packed, scratch, unpacked
+from matchlake.llm import simhash
+from matchlake.llm._common import NO_ID, components, materialize, packed, scratch, shared_groups, unpacked
+from matchlake.llm.simhash import majority  # by its name, as tasks get the functions themselves and not the module
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers, so that comparing is exact.
 THRESHOLD = (4, 5)
-BANDS, MINIMA, ROUNDS = 48, 4, 3
+BANDS, MINIMA, ROUNDS = 48, 4, 2
 #: Odd multipliers and masks of the minima, by rule.
 _PICK = np.array([xxhash.xxh64_intdigest(str(i), 11) for i in range(BANDS * MINIMA)], np.uint64)
 _TIMES, _FLIP = (_PICK >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _PICK.astype(np.uint32)
@@ -75,11 +85,16 @@ def _mark(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 3)).view(np.int64))
 
 
+SIGNED = "_id bigint, _hash bigint, mark bigint, fp bigint, n bigint, keys array<bigint>"
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = [shingles(t) for t in b.column("_text").cast(pa.large_string()).to_pylist()]
         lists = pa.array([keys(h) if len(h) else [] for h in made], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_hash"), pa.array([_mark(h) for h in made], pa.int64()), pa.array([len(h) for h in made], pa.int64()), lists], ["_id", "_hash", "mark", "n", "keys"])
+        fps = np.array([majority(h) for h in made], np.uint64).view(np.int64)
+        cols = [pa.array([_mark(h) for h in made], pa.int64()), pa.array(fps), pa.array([len(h) for h in made], pa.int64()), lists]
+        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_hash"), *cols], ["_id", "_hash", "mark", "fp", "n", "keys"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,32 +111,42 @@ def _alike(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return materialize(both.where(high * F.col("i") >= low * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "alike")
 
 
+def _by_pivots(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of marks: those of one fingerprint with the least of it, and the least ones of linked fingerprints."""
+    distinct = materialize(marks.groupBy("fp").agg(F.min("mark").alias("least")), "distinct")
+    linked = simhash.links(distinct.select("fp"))
+    side = lambda f, m: distinct.select(F.col("fp").alias(f), F.col("least").alias(m))
+    across = linked.join(side("a", "ma"), "a").join(side("b", "mb"), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    same = marks.join(distinct, "fp").where("mark != least").select(F.col("least").alias("a"), F.col("mark").alias("b"))
+    return materialize(across.unionByName(same), "pivots")
+
+
 def links(signed: DataFrame, text_of: DataFrame) -> DataFrame:
-    """Links (a, b) of marks that span every class. signed: _hash, mark, n, keys; text_of: _hash, _text."""
+    """Links (a, b) of marks that span every class. signed: SIGNED; text_of: _hash, _text."""
     low, high = THRESHOLD
-    listed = materialize(signed.select("mark", "n", F.explode("keys").alias("k")).distinct(), "listed")
-    shared = listed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    listed = materialize(listed.join(shared, "k"), "shared")
-    wanted = signed.groupBy("mark").agg(F.min("_hash").alias("_hash")).join(listed.select("mark").distinct(), "mark")
-    texts = text_of.join(wanted.select("_hash"), "_hash", "left_semi").dropDuplicates(["_hash"])
-    members = materialize(texts.join(wanted, "_hash").select("mark", "_text").mapInArrow(_shingled, "mark bigint, sh array<bigint>"), "members")
+    marks = signed.groupBy("mark").agg(F.min("_hash").alias("_hash"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    marks = materialize(marks, "marks")
+    pivoted = _by_pivots(marks.select("mark", "fp"))
+    # keys that two marks or more have
+    listed = materialize(shared_groups(marks.select(F.explode("keys").alias("k"), "mark", "n"), ["k"], "mark").select("k", "mark", "n"), "listed")
+    asked = listed.select("mark").unionByName(pivoted.select(F.explode(F.array("a", "b")).alias("mark"))).distinct()
+    wanted = materialize(marks.join(asked, "mark").select("mark", "_hash"), "wanted")
+    texts = text_of.join(wanted, "_hash").dropDuplicates(["_hash", "mark"])
+    members = materialize(texts.select("mark", "_text").mapInArrow(_shingled, "mark bigint, sh array<bigint>"), "members")
     could = high * F.least("na", "nb") >= low * F.greatest("na", "nb")
-    found = None
+    found = _alike(pivoted, members)
     for turn in range(ROUNDS + 1):
-        if found is None:
-            rooted = listed.withColumn("root", F.col("mark"))
-        else:
-            rooted = listed.join(components(found).withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-            split = rooted.groupBy("k").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("k")
-            rooted = materialize(rooted.join(split, "k"), "rooted")
+        rooted = listed.join(components(found).withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+        split = rooted.groupBy("k").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("k")
+        rooted = materialize(rooted.join(split, "k"), "rooted")
         if turn < ROUNDS:
             first = rooted.groupBy("k").agg(F.min(F.struct(F.xxhash64("mark", F.lit(turn)).alias("o"), "mark", "n", "root")).alias("x"))
-            near = rooted.join(first.select("k", F.col("x.mark").alias("a"), F.col("x.n").alias("na"), F.col("x.root").alias("ra")), "k").where("root != ra").select("a", F.col("mark").alias("b"), "na", F.col("n").alias("nb"))
+            first = first.select("k", F.col("x.mark").alias("a"), F.col("x.n").alias("na"), F.col("x.root").alias("ra"))
+            near = rooted.join(first, "k").where("root != ra").select("a", F.col("mark").alias("b"), "na", F.col("n").alias("nb"))
         else:
-            one = rooted.select("k", F.col("mark").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            near = one.join(rooted.select("k", F.col("mark").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "k").where("ra < rb").select("a", "b", "na", "nb")
-        more = _alike(materialize(near.where(could).select("a", "b").distinct(), "near"), members)
-        found = more if found is None else found.unionByName(more)
+            side = lambda m, n, r: rooted.select("k", F.col("mark").alias(m), F.col("n").alias(n), F.col("root").alias(r))
+            near = side("a", "na", "ra").join(side("b", "nb", "rb"), "k").where("ra < rb").select("a", "b", "na", "nb")
+        found = found.unionByName(_alike(materialize(near.where(could).select("a", "b").distinct(), "near"), members))
     return found
 
 
@@ -146,7 +171,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row of each class of near copies, the one with the smallest id; a null id comes last."""
     text = packed(docs, id_col, text_col).select(F.col(f"_{id_col}").cast("long").alias("_id"), _hash(F.col(f"_{text_col}")).alias("_hash"), F.col(f"_{text_col}").alias("_text"))
     with scratch(docs.sparkSession, "near") as kept:
-        signed = materialize(text.mapInArrow(_signed, "_id bigint, _hash bigint, mark bigint, n bigint, keys array<bigint>"), "signed")
+        signed = materialize(text.mapInArrow(_signed, SIGNED), "signed")
         roots = components(links(signed, text.select("_hash", "_text"))).withColumnRenamed("node", "mark")
         classes = signed.select("_id", "_hash", "mark").join(roots, "mark", "left").select("_id", "_hash", F.coalesce("root", "mark").alias("root"))
         one = kept(chosen(classes))

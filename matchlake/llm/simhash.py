@@ -13,14 +13,17 @@ more than the radius in any coordinate are too far apart. Rows are sorted by the
 first coordinate, so only a narrow band is compared; survivors are verified bit by
 bit and a spanning set of links leaves the task, never all pairs.
 
-A list of over pairwise_max rows (a very large group of near copies) takes a way
-that is linear in its rows: fingerprints within two bits share a midpoint within
-one bit of both, so all that share a midpoint are linked to the least of them. For
-other radii than 2 such lists are compared pivot by pivot like all others.
+Lists are dealt to tasks by ranges of their key and fingerprints, so a very large group
+of near copies is spread over many. A list that a task doesn't see whole, or that has
+over pairwise_max rows, takes a way that is linear in its rows: fingerprints within radius
+bits have a midpoint within half of them (rounded up for the one, down for the other), so
+all that have a midpoint are linked to the least that has it within the lesser half. Half
+a radius of one makes 65 rows of each such fingerprint, of two 2,081.
 
 Nulls and ties: a null text has no words, and so the fingerprint zero, which links
 like any other; a null id takes part in links but never becomes a class id unless
-no other member has one; rows that repeat an id each get their class.
+no other member has one; rows that repeat an id each get their class; long texts are
+taken whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm._common import components, materialize, packed, partitions, unpacked
+from matchlake.llm._common import components, materialize, packed, partitions, scratch
 
 SHINGLE = 3
 RADIUS = 2
@@ -49,6 +52,15 @@ def pivots(n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i), 7) for i in range(n)], np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is in over half of the hashes; zero without any."""
+    votes, m = np.zeros(64, np.int64), len(hashes)
+    for i in range(0, m, 65_536):
+        part = hashes[i : i + 65_536]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > m, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     words = (text or b"").lower().split()
     if not words:
@@ -58,12 +70,8 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     k = min(size, n)
     begin = np.concatenate(([0], ends[: n - k])).tolist()
     digest, m = xxhash.xxh64_intdigest, n - k + 1
-    hashes = np.fromiter([digest(joined[a:b], 42) for a, b in zip(begin, (ends[k - 1 :] - 1).tolist())], np.uint64, m)
-    votes = np.zeros(64, np.int64)
-    for i in range(0, m, 65_536):
-        part = hashes[i : i + 65_536]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > m, bitorder="little").view("<u8")[0])
+    hashes = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(begin, (ends[k - 1 :] - 1).tolist())], np.uint64, m)
+    return majority(hashes)
 
 
 def _fingerprints(size: int):
@@ -113,81 +121,77 @@ def _links(radius: int, n_pivots: int, pairwise_max: int):
                         root[max(a, b)] = min(a, b)
                         yield int(fps[i]), int(fps[j])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lists come sorted; one may go on in the next batch. A list that grows too large is passed on row by row."""
-
-        def batch(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array([None if x is None else int(np.uint64(x).view(np.int64)) for x in b], pa.int64())], ["a", "b"])
+    def batch(a: list[int], b: list[int | None]) -> pa.RecordBatch:
+        signed = lambda x: None if x is None else int(np.uint64(x).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(list(map(signed, c)), pa.int64()) for c in (a, b)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists come sorted; one may go on in the next batch. A task's first and last list and large ones are passed on row by row."""
         held: tuple | None = None
-        large = None
+        crowded = None
         for b in batches:
             if not b.num_rows:
                 continue
             t, k, f = b.column("t").to_numpy(), b.column("k").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
             if held is not None:
                 t, k, f = (np.concatenate(x) for x in zip(held, (t, k, f)))
-            change = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]))))
-            stop = np.append(change[1:], len(f))
+            begin = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]))))
+            crowded = crowded or (t[0], k[0])
             a_out, b_out = [], []
-            for begin, end in zip(change.tolist(), stop.tolist()):
-                if end - begin == 1 and end < len(f) and (t[begin], k[begin]) != large:
-                    continue
-                if (t[begin], k[begin]) == large or end - begin > pairwise_max:
-                    large = (t[begin], k[begin])
-                    a_out += f[begin:end].tolist()
-                    b_out += [None] * (end - begin)
-                elif end < len(f):
-                    for x, y in spanning(f[begin:end]):
+            for i, end in zip(begin.tolist(), np.append(begin[1:], len(f)).tolist()):
+                if (t[i], k[i]) == crowded or end - i > pairwise_max:
+                    crowded = (t[i], k[i])
+                    a_out += f[i:end].tolist()
+                    b_out += [None] * (end - i)
+                elif end < len(f) and end - i > 1:
+                    for x, y in spanning(f[i:end]):
                         a_out.append(x)
                         b_out.append(y)
-            last = change[-1]
-            held = None if (t[last], k[last]) == large else (t[last:], k[last:], f[last:])
+            last = begin[-1]
+            held = None if (t[last], k[last]) == crowded else (t[last:], k[last:], f[last:])
             if a_out:
                 yield batch(a_out, b_out)
-        if held is not None and len(held[2]) > 1:
-            found = list(spanning(held[2]))
-            if found:
-                yield batch([x for x, _ in found], [y for _, y in found])
+        if held is not None:
+            yield batch(held[2].tolist(), [None] * len(held[2]))
 
     return run
 
 
+def _ball(fp: Column, radius: int) -> Column:
+    """All fingerprints within radius bits of fp."""
+    bits = F.sequence(F.lit(0), F.lit(63))
+    flipped = lambda x: F.transform(bits, lambda i: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    ball = F.array(fp)
+    for _ in range(radius):
+        ball = F.array_distinct(F.concat(ball, F.flatten(F.transform(ball, flipped))))
+    return ball
+
+
 def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS, pairwise_max: int = PAIRWISE_MAX) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) that span every class."""
-    spark = fps.sparkSession
-    if radius != 2:
-        pairwise_max = (1 << 62)
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("k")) for i, m in enumerate(_masks(radius))])).alias("x")).select("x.t", "x.k", "fp")
-    found = materialize(keyed.repartition(partitions(spark), "t", "k").sortWithinPartitions("t", "k").mapInArrow(_links(radius, n_pivots, pairwise_max), "a bigint, b bigint"), "links")
+    signed = [m if m < 1 << 63 else m - (1 << 64) for m in _masks(radius)]
+    lists = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
+    order = ["t", "k", "fp"]
+    keyed = fps.select("fp", F.explode(lists).alias("x")).select("x.t", "x.k", "fp")
+    dealt = keyed.repartitionByRange(partitions(fps.sparkSession), *order).sortWithinPartitions(*order)
+    found = materialize(dealt.mapInArrow(_links(radius, n_pivots, pairwise_max), "a bigint, b bigint"), "links")
     crowded = found.where("b is null").select("a").distinct()
-    flips = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.when(i == 64, F.col("a")).otherwise(F.col("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    middles = crowded.select("a", F.explode(flips).alias("z"))
-    least = middles.groupBy("z").agg(F.min("a").alias("b"))
-    return found.where("b is not null").unionByName(middles.join(least, "z").where("a != b").select("a", "b").distinct())
+    middles = lambda r: crowded.select("a", F.explode(_ball(F.col("a"), r)).alias("z"))
+    least = middles(radius // 2).groupBy("z").agg(F.min("a").alias("b"))
+    return found.where("b is not null").unionByName(middles(-(-radius // 2)).join(least, "z").where("a != b").select("a", "b").distinct())
 
 
 def simhash_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, n_pivots: int = PIVOTS, pairwise_max: int = PAIRWISE_MAX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (signed long) and component_id of every document."""
-    named = materialize(fingerprints(docs, size, text_col, [id_col]).select(F.col("_row")[id_col].alias("_id"), "fp"), "fingerprints")
-    distinct = named.groupBy("fp").agg(F.min("_id").alias("least"))
-    roots = components(links(distinct.select("fp"), radius, n_pivots, pairwise_max))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = member.join(smallest, "root").select("fp", "component_id")
-    return named.join(classes, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    with scratch(docs.sparkSession, "simhash") as kept:
+        named = materialize(fingerprints(docs, size, text_col, [id_col]).select(F.col("_row")[id_col].alias("_id"), "fp"), "fingerprints")
+        distinct = named.groupBy("fp").agg(F.min("_id").alias("least"))
+        roots = components(links(distinct.select("fp"), radius, n_pivots, pairwise_max))
+        member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = member.join(smallest, "root").select("fp", "component_id")
+        return kept(named.join(classes, "fp").select(F.col("_id").alias(id_col), "fp", "component_id"))
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def near_dedup(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, the one with the smallest id; of rows that repeat an id, one.
-
-    Rows without an id can't be told apart, so they all stay but for rows equal in every column.
-    """
-    kept = simhash_classes(docs, size, radius, id_col=id_col, text_col=text_col).where(f"`{id_col}` is null or `{id_col}` = component_id").select(F.col(id_col).alias("_kept")).distinct()
-    rows = packed(docs, id_col).withColumnRenamed(f"_{id_col}", "_id")
-    one = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").withColumn("_same", F.when(F.col("_id").isNull(), F.xxhash64("_row"))).dropDuplicates(["_id", "_same"])
-    return unpacked(one, docs)

@@ -110,24 +110,23 @@ def test_simhash(docs, none):
     got = simhash.simhash_classes(docs)
     assert sorted(collected(got.select("doc_id", simhash.hex_digits(got.fp), "component_id")), key=repr) == want
     assert simhash.simhash_classes(none).count() == 0
-    kept = simhash.near_dedup(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for d, _, c in want if c is not None})
 
 
-@pytest.mark.parametrize("most", [3, 2048])
-def test_simhash_links(spark, most):
+@pytest.mark.parametrize("most,radius", [(3, 2), (2048, 2), (3, 1), (3, 3), (2048, 3), (2048, 0)])
+def test_simhash_links(spark, most, radius):
     r = random.Random(3)
     center = [r.getrandbits(64) for _ in range(12)]
     fps = {c ^ sum(1 << b for b in r.sample(range(64), r.randrange(6))) for c in center for _ in range(40)} | {0, (1 << 64) - 1, (1 << 64) - 2}
+    # a list that all of its members share in four blocks of the radius 2, over many tasks
+    fps |= {center[0] ^ (i << 40) for i in range(0, 1 << 12, 9)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), pairwise_max=most)
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), radius, pairwise_max=most)
     got = {r.node % (1 << 64): r.root for r in _common.components(edges).collect()}
     groups = defaultdict(set)
     for f in fps:
         groups[got.get(f, f)].add(f)
     want = defaultdict(set)
-    for d, _, c in brute_classes([(f, f) for f in fps]):
+    for d, _, c in brute_classes([(f, f) for f in fps], radius):
         want[c].add(d)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
