@@ -39,7 +39,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("_row.page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+    return judged.select("_row.page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "weight")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,19 +77,22 @@ SELECT w.conv_id, w.n AS n_turns, w.n_copies, c.chat FROM whole w JOIN convs c O
 #: Base columns by pattern; spans beyond the base come from trained trees, so there is no SQL for op3.
 
 
-def _hits(terms: tuple[str, ...]) -> str:
-    return " + ".join(f"CAST(regexp_matches(lower(u), '(^|[^\\p{{L}}\\p{{N}}]){t}([^\\p{{L}}\\p{{N}}]|$)') AS INTEGER)" for t in terms)
+def _hits(terms: tuple[tuple[str, int], ...], weighed: bool = False) -> str:
+    said = "CAST(regexp_matches(lower(u), '(^|[^\\p{{L}}\\p{{N}}]){}([^\\p{{L}}\\p{{N}}]|$)') AS INTEGER)"
+    return " + ".join(said.format(t) + (f" * {w}" if weighed else "") for t, w in terms)
 
 
+_STRICT, _SOFT = ([t for t in url_filter.TERMS if (t[1] >= url_filter.LIMIT) == strict] for strict in (True, False))
+
 OP6 = f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS mark FROM pages),
 h AS (SELECT page_id, u, CASE WHEN mark > 0 THEN regexp_extract(substr(u, mark + 3), '^[^/?#]*') ELSE '' END AS raw, CASE WHEN mark > 0 THEN substr(u, mark + 3) ELSE '' END AS rest FROM p),
 s AS (SELECT page_id, u, {LOWER.format("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 rules(rh, rp, v) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in url_filter.RULES)}),
 fit AS (SELECT page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS v FROM s JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
-hit AS (SELECT page_id, {_hits(url_filter.STRICT)} AS n_strict, {_hits(url_filter.SOFT)} AS n_soft FROM s)
-SELECT s.page_id, s.host, s.path, fit.rule, coalesce(fit.v, CASE WHEN n_strict > 0 OR n_soft >= {url_filter.MIN_SOFT} THEN 'block' ELSE 'allow' END) AS verdict,
-  CAST(coalesce(n_strict, 0) AS INTEGER) AS n_strict, CAST(coalesce(n_soft, 0) AS INTEGER) AS n_soft
+hit AS (SELECT page_id, {_hits(_STRICT)} AS n_strict, {_hits(_SOFT)} AS n_soft, {_hits(url_filter.TERMS, True)} AS weight FROM s)
+SELECT s.page_id, s.host, s.path, fit.rule, coalesce(fit.v, CASE WHEN weight >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(coalesce(n_strict, 0) AS INTEGER) AS n_strict, CAST(coalesce(n_soft, 0) AS INTEGER) AS n_soft, CAST(coalesce(weight, 0) AS INTEGER) AS weight
 FROM s LEFT JOIN fit USING (page_id) LEFT JOIN hit USING (page_id)
 """
 

@@ -1,13 +1,18 @@
 """URL filters: prefix rules first, then a weighted vocabulary found by one Aho-Corasick pass.
 
-A rule (host, path, verdict) fits its host and all subdomains if the url's path
-starts with the rule's; the longest rule wins. Without a rule, one strict term or
-min_soft distinct soft terms block. A term counts only with no letter or digit
-before and behind it.
-
-Nulls and ties: a null url or one without :// has an empty host and path, fits no
-rule and is judged by its whole text; rows that repeat are judged alike; other
-columns pass through.
+A rule (host, path, verdict) fits its host and all subdomains if the url's path starts
+with the rule's; the longest rule wins. Without a rule the vocabulary decides: every
+term has a weight, a strict one the LIMIT, a soft one less. A url whose distinct terms
+weigh LIMIT or more together is blocked, so by one strict term or several soft ones. A
+term counts only with no letter or digit before and behind it.
+
+The vocabulary is an input: pairs of term and weight, by default TERMS (a short list in
+four languages), or a table by `vocabulary`.
+
+Nulls and ties: a null url or one without :// has an empty host and path, fits no rule
+and is judged by its whole text; rows that repeat are judged alike; of equally long
+rules the first in order of host and path wins; long urls are searched whole; an empty
+table gives no rows; other columns pass in _row and can't clash.
 """
 
 from __future__ import annotations
@@ -21,11 +26,36 @@ from pyspark.sql import functions as F
 
 from matchlake.llm._common import packed
 
-#: Rules and terms.
+#: The rules.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-STRICT = ("porn", "porno", "xxx", "nude", "nudes", "hentai", "camgirl", "camgirls", "escort", "escorts", "sex", "viagra", "malware", "warez")
-SOFT = ("adult", "x", "bet", "bets", "betting", "casino", "free", "poker", "slots", "lottery", "loan", "loans", "dating", "hot", "girls", "pills", "cheap", "crack", "torrent", "jackpot", "replica", "win")
-MIN_SOFT = 2
+#: The weight that blocks, and terms by weight and language.
+LIMIT = 10
+WORDS = {
+    (LIMIT, "any"): "porn porno xxx hentai camgirl camgirls viagra cialis warez malware phishing botnet keygen keylogger",
+    (LIMIT, "en"): "nude nudes escort escorts sex",
+    (LIMIT, "de"): "nackt hure huren erotikkontakte",
+    (LIMIT, "fr"): "salope putes sexe",
+    (LIMIT, "es"): "desnuda desnudas putas sexo",
+    (5, "any"): "casino poker jackpot torrent crack bet bets slots",
+    (5, "en"): "adult betting lottery loan loans dating girls pills replica",
+    (5, "de"): "wetten lotto kredit sofortkredit pillen partnersuche",
+    (5, "fr"): "pari paris-sportifs loterie rencontres pilules",
+    (5, "es"): "apuestas loteria prestamo prestamos citas pastillas",
+    (5, "en, weak"): "free x hot cheap win",
+    (4, "de, weak"): "gratis billig gewinn",
+    (4, "fr, weak"): "gratuit cher gagner",
+    (4, "es, weak"): "barato gana",
+}
+TERMS = tuple(sorted({(term, weight) for (weight, _), words in WORDS.items() for term in words.split()}))
+
+
+def vocabulary(terms: DataFrame, most: int = 1_000_000) -> tuple[tuple[str, int], ...]:
+    """Terms of a table (term, weight), lower-cased; of one term's weights the greatest. A table of over `most` rows is an error."""
+    lower = terms.where("term is not null and term <> '' and weight is not null").groupBy(F.lower("term").alias("term")).agg(F.max("weight").cast("int").alias("weight"))
+    rows = lower.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of over {most} terms")
+    return tuple(sorted((r.term, r.weight) for r in rows))
 
 
 def host(url: Column) -> Column:
@@ -48,31 +78,34 @@ def rule(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _counter(strict: tuple[str, ...], soft: tuple[str, ...]):
+def _counter(terms: tuple[tuple[str, int], ...], limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = ahocorasick.Automaton()
-        for term in (*strict, *soft):
-            machine.add_word(term, (term in strict, term))
+        for term, weight in terms:
+            machine.add_word(term, (term, weight))
         machine.make_automaton()
         for b in batches:
             counts = []
             for url in b.column("_url").to_pylist():
-                text, hits = (url or "").lower(), (set(), set())
-                for end, (is_strict, term) in machine.iter(text):
+                text, hits = (url or "").lower(), {}
+                for end, (term, weight) in machine.iter(text) if terms else ():
                     begin = end - len(term)
                     if not (begin >= 0 and text[begin].isalnum()) and not (end + 1 < len(text) and text[end + 1].isalnum()):
-                        hits[is_strict].add(term)
-                counts.append((len(hits[1]), len(hits[0])))
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array([x for x, _ in counts], pa.int32()), pa.array([x for _, x in counts], pa.int32())], ["_row", "n_strict", "n_soft"])
+                        hits[term] = weight
+                strict = sum(w >= limit for w in hits.values())
+                counts.append((strict, len(hits) - strict, sum(hits.values())))
+            cols = [pa.array([c[i] for c in counts], pa.int32()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *cols], ["_row", "n_strict", "n_soft", "weight"])
 
     return run
 
 
-def judge(pages: DataFrame, url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT, min_soft: int = MIN_SOFT) -> DataFrame:
-    """_row (a struct of all columns), host, path, rule, n_strict, n_soft and verdict (allow or block) of every row."""
+def judge(pages: DataFrame, url_col: str = "url", rules=RULES, terms: tuple[tuple[str, int], ...] = TERMS, limit: int = LIMIT) -> DataFrame:
+    """_row (a struct of all columns), host, path, rule, n_strict, n_soft, weight and verdict (allow or block) of every row."""
     rows = packed(pages, url_col).withColumnRenamed(f"_{url_col}", "_url")
-    found = rows.mapInArrow(_counter(tuple(strict), tuple(soft)), f"_row {rows.schema['_row'].dataType.simpleString()}, n_strict int, n_soft int")
+    counted = f"_row {rows.schema['_row'].dataType.simpleString()}, n_strict int, n_soft int, weight int"
+    found = rows.mapInArrow(_counter(tuple(terms), limit), counted)
     parts = found.withColumn("host", host(F.col("_row")[url_col])).withColumn("path", path(F.col("_row")[url_col]))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
-    own = F.when((F.col("n_strict") > 0) | (F.col("n_soft") >= min_soft), F.lit("block")).otherwise(F.lit("allow"))
-    return parts.select("_row", "host", "path", name.alias("rule"), "n_strict", "n_soft", F.coalesce(verdict, own).alias("verdict"))
+    own = F.when(F.col("weight") >= limit, F.lit("block")).otherwise(F.lit("allow"))
+    return parts.select("_row", "host", "path", name.alias("rule"), "n_strict", "n_soft", "weight", F.coalesce(verdict, own).alias("verdict"))

@@ -372,6 +372,21 @@ def test_urls(spark):
     ]
 
 
+def test_url_vocabulary(spark):
+    """Weights add up over distinct terms; tables are empty, long, repeated."""
+    table = spark.createDataFrame([("Foo", 10), ("bar", 5), ("bar", 4), ("baz", 5), ("qux", 4), (None, 9), ("", 9), ("zap", None)], "term string, weight int")
+    terms = url_filter.vocabulary(table)
+    assert terms == (("bar", 5), ("baz", 5), ("foo", 10), ("qux", 4))
+    with pytest.raises(ValueError):
+        url_filter.vocabulary(table, 3)
+    urls = ["http://a.b/FOO", "http://a.b/food", "http://a.b/bar/bar", "http://bar.baz/", "http://a.b/bar-qux", "http://a.b/" + "y/" * 50_000 + "foo", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)], "page_id bigint, url string")
+    got = [(r.n_strict, r.n_soft, r.weight, r.verdict) for r in url_filter.judge(df, rules=(), terms=terms).orderBy("_row.page_id").collect()]
+    want = [(1, 0, 10, "block"), (0, 0, 0, "allow"), (0, 1, 5, "allow"), (0, 2, 10, "block"), (0, 2, 9, "allow"), (1, 0, 10, "block"), (0, 0, 0, "allow")]
+    assert got == want * 2
+    assert url_filter.judge(df.where("false")).count() == 0 and {r.verdict for r in url_filter.judge(df, terms=()).collect()} == {"allow"}
+
+
 def test_chat(spark):
     talk = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a", "c"], 5: ["b", "a"], 6: ["a"], 7: [None], 8: [""], None: ["a", "b", "d"]}
     rows = [(c, i, "user" if i % 2 == 0 else None, t, 1) for c, turns in talk.items() for i, t in enumerate(turns)]
