@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 from matchlake.functions.norm import distance, mean, rate
 from matchlake.operators.temporal import gap_segments
 
-#: Buckets of placements and ranges (in metres).
-PLACES = (("win", 1, 1), ("top2", 2, 2), ("top4", 3, 4), ("top6", 5, 6), ("rest", 7, 10_000))
+#: Buckets of placements, bands of kill distances and of a fight's first blow (in metres), the best places that count.
+PLACES = (("#1", 1, 1), ("2-5", 2, 5), ("6-10", 6, 10), ("11-25", 11, 25), ("26+", 26, 1 << 30))
 RANGES = (("0-10", 0, 10), ("10-50", 10, 50), ("50-100", 50, 100), ("100-200", 100, 200), ("200+", 200, 1e9))
+FIGHT_RANGES = (("0-25", 0, 25), ("25-75", 25, 75), ("75-150", 75, 150), ("150+", 150, 1e9))
+TOP = 10
+#: Columns of results that are only added up.
+SUMMED = (
+    "kills", "kills_human", "knocks", "knocks_human", "assists", "headshot_kills", "revives", "damage_dealt", "survived_s",
+    "walk_m", "ride_m", "shots_fired", "shots_hit", "road_kills", "vehicle_destroys", "team_kills",
+)
 
 
 def player_cards(results: DataFrame) -> DataFrame:
@@ -21,10 +28,29 @@ def player_cards(results: DataFrame) -> DataFrame:
 
 
 def career_stats(results: DataFrame) -> DataFrame:
-    """All accounts at once: one aggregate with its ratios."""
-    n = F.count("*")
-    won = F.count_if(F.col("win_place") == 1)
-    return results.groupBy("account_id").agg(n.alias("matches"), won.alias("wins"), F.count_if(F.col("win_place") <= 3).alias("top3"), F.sum("kills").alias("kills"), F.max("kills").alias("best_kills"), F.sum("assists").alias("assists"), F.sum("damage_dealt").cast("double").alias("damage"), rate(F.sum("damage_dealt"), n).alias("adr"), rate(F.sum("kills"), n - won).alias("kd"), rate(won, n).alias("win_rate"), mean(F.col("win_place")).alias("avg_place"), F.max("survived_s").alias("longest_s"), F.count_if("is_bot").alias("bot_rows"))
+    """All accounts at once: one aggregate and its ratios. Kills of humans alone are the plain ones where they aren't known; nulls count as 0."""
+    human = F.coalesce("kills_human", "kills")
+    total = lambda c: F.coalesce(F.sum(human if c == "kills_human" else F.col(c)), F.lit(0))
+    n, place = F.count("*").alias("matches"), F.col("win_place")
+    counted = [F.count_if(place == 1).alias("wins"), F.count_if(place <= TOP).alias("top10")]
+    best = [mean(place).alias("avg_place"), F.min(place).alias("best_place"), F.coalesce(F.max("longest_kill"), F.lit(0.0)).alias("longest_kill")]
+    g = results.groupBy("account_id").agg(n, *counted, *best, *[total(c).alias(c) for c in SUMMED])
+    per = {"avg_damage": "damage_dealt", "avg_survived_s": "survived_s", "kd": "kills", "kd_human": "kills_human", "win_rate": "wins"}
+    g = g.withColumns({a: rate(F.col(c), F.col("matches")) for a, c in per.items()})
+    shares = {"accuracy": rate(F.col("shots_hit"), F.col("shots_fired")), "headshot_rate": rate(F.col("headshot_kills"), F.col("kills"))}
+    return g.withColumns({a: F.coalesce(c, F.lit(0.0)) for a, c in shares.items()})
+
+
+def player_matches(results: DataFrame, names: DataFrame, n: int, before: Column | None = None) -> DataFrame:
+    """The newest n matches of every account before a cursor (played_on, match_id), with whether the roster won and the killer's name.
+
+    results: account_id, match_id, team_id, played_on, win_place, killer_id and more; names: account_id, name, is_bot.
+    """
+    won = results.groupBy("match_id", "team_id").agg((F.min("win_place") == 1).alias("roster_won"))
+    older = results if before is None else results.where(F.struct("played_on", "match_id") < before)
+    page = recent(older, "account_id", [F.col("played_on").desc(), F.col("match_id").desc(), F.col("team_id")], n)
+    killers = names.select(F.col("account_id").alias("killer_id"), F.col("name").alias("killed_by"), F.col("is_bot").alias("killed_by_is_bot"))
+    return page.join(won, ["match_id", "team_id"]).join(killers, "killer_id", "left")
 
 
 def recent(results: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
@@ -52,38 +78,55 @@ def histogram(rows: DataFrame, key: str, value: Column, buckets: Sequence[tuple]
     return rows.groupBy(key).agg(*[F.count_if(b == name).alias(f"n_{i}") for i, (name, *_) in enumerate(buckets)], F.count("*").alias("total"))
 
 
-def nemeses(kills: DataFrame) -> DataFrame:
-    """Per account and opponent how often each killed the other, and when last."""
+def nemeses(kills: DataFrame, n: int | None = None) -> DataFrame:
+    """Per account and opponent how often each killed the other, and when last; bots (killer_is_bot, victim_is_bot) and suicides don't count.
+
+    With n only the n opponents that killed the account most often, then those it killed most often, then by id.
+    """
     k = kills.where("account_id <> victim_id")
-    a = k.groupBy("account_id", F.col("victim_id").alias("opponent")).agg(F.count("*").alias("killed"), F.max("match_id").alias("l1"))
-    b = k.groupBy(F.col("victim_id").alias("account_id"), F.col("account_id").alias("opponent")).agg(F.count("*").alias("killed_by"), F.max("match_id").alias("l2"))
+    a = k.where("not victim_is_bot").groupBy("account_id", F.col("victim_id").alias("opponent")).agg(F.count("*").alias("killed"), F.max("match_id").alias("l1"))
+    b = k.where("not killer_is_bot").groupBy(F.col("victim_id").alias("account_id"), F.col("account_id").alias("opponent"))
+    b = b.agg(F.count("*").alias("killed_by"), F.max("match_id").alias("l2"))
     j = a.join(b, ["account_id", "opponent"], "full_outer")
-    return j.select("account_id", "opponent", F.coalesce("killed", F.lit(0)).alias("killed"), F.coalesce("killed_by", F.lit(0)).alias("killed_by"), F.greatest("l1", "l2").alias("last_seen"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("killed", "killed_by")]
+    both = j.select("account_id", "opponent", *counts, F.greatest("l1", "l2").alias("last_seen"))
+    order = [F.col("killed_by").desc(), F.col("killed").desc(), F.col("opponent")]
+    return both if n is None else recent(both, "account_id", order, n).drop("pos")
 
 
 def latest(rows: DataFrame, key: str, value: str, order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
-def timeseries(results: DataFrame) -> DataFrame:
-    """Daily ratios of sums per account."""
-    n = F.count("*")
-    return results.groupBy("account_id", "played_on").agg(rate(F.sum("kills"), n).alias("kills"), rate(F.sum("damage_dealt"), n).alias("damage"), rate(F.sum("kills"), F.count_if(F.col("win_place") > 1)).alias("kd"), rate(F.sum("survived_s"), n).alias("survived_s"))
+def timeseries(results: DataFrame, since: Column | None = None) -> DataFrame:
+    """Per account and day: matches, sums of kills, damage and survival, mean place, kills a match and accuracy; 0 where nothing is known."""
+    rows = results if since is None else results.where(F.col("played_on") >= since)
+    sums = [F.sum(c).cast("double").alias(a) for c, a in (("kills", "kills"), ("damage_dealt", "damage"), ("survived_s", "survived_s"))]
+    ratios = [mean(F.col("win_place")).alias("win_place"), rate(F.sum("kills"), F.count("*")).alias("kd"), rate(F.sum("shots_hit"), F.sum("shots_fired")).alias("accuracy")]
+    g = rows.groupBy("account_id", "played_on").agg(F.count("*").alias("matches"), *sums, *ratios)
+    return g.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("kills", "damage", "survived_s", "win_place", "kd", "accuracy")})
 
 
 def sessions(rows: DataFrame, keys: Sequence[str], t: str, gap: float, tie: Sequence[str]) -> DataFrame:
-    """Runs of rows no more than gap apart; session 0 is the newest."""
-    s = gap_segments(rows, keys, t, gap, tie).groupBy(*keys, "segment").agg(F.count("*").alias("n"), F.min(t).alias("began"), F.max(t).alias("ended"))
+    """Runs of matches no more than gap apart, with best place, wins and kills; session 0 is the newest."""
+    place = F.min("win_place").alias("best_place"), F.count_if(F.col("win_place") == 1).alias("wins"), F.coalesce(F.sum("kills"), F.lit(0)).alias("kills")
+    s = gap_segments(rows, keys, t, gap, tie).groupBy(*keys, "segment").agg(F.count("*").alias("n"), F.min(t).alias("began"), F.max(t).alias("ended"), *place)
     return s.withColumn("session", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("segment").desc())) - 1).drop("segment")
 
 
-def windows_compared(results: DataFrame, day: Column, recent_days: int) -> DataFrame:
-    """Career, the last days and as many before them in one aggregate, with the change."""
-    now = (F.col("played_on") > F.date_sub(day, recent_days)) & (F.col("played_on") <= day)
-    before = (F.col("played_on") > F.date_sub(day, 2 * recent_days)) & (F.col("played_on") <= F.date_sub(day, recent_days))
-    per = lambda w: rate(F.sum(F.when(w, F.col("kills"))), F.count_if(w))
-    g = results.groupBy("account_id").agg(F.count("*").alias("matches"), F.count_if(now).alias("n_now"), F.count_if(before).alias("n_before"), per(now).alias("now"), per(before).alias("before"))
-    return g.withColumn("change", F.col("now") - F.col("before"))
+def overview(results: DataFrame, day: Column, days: int, measures: Sequence[str] = ("kills", "damage_dealt", "survived_s")) -> DataFrame:
+    """Per account its career, the last days up to a day and as many before them, in one aggregate: matches, wins, means of the measures and their change."""
+    spans = {
+        "career": F.lit(True),
+        "now": (F.col("played_on") > F.date_sub(day, days)) & (F.col("played_on") <= day),
+        "before": (F.col("played_on") > F.date_sub(day, 2 * days)) & (F.col("played_on") <= F.date_sub(day, days)),
+    }
+    aggs = [F.max("played_on").alias("last_seen")]
+    for span, w in spans.items():
+        aggs += [F.count_if(w).alias(f"n_{span}"), F.count_if(w & (F.col("win_place") == 1)).alias(f"wins_{span}")]
+        aggs += [rate(F.sum(F.when(w, F.col(m))), F.count_if(w)).alias(f"{m}_{span}") for m in measures]
+    g = results.groupBy("account_id").agg(*aggs)
+    return g.withColumns({f"{m}_change": F.col(f"{m}_now") - F.col(f"{m}_before") for m in measures})
 
 
 def match_feed(matches: DataFrame, results: DataFrame, wanted: Column, n: int) -> DataFrame:
@@ -94,15 +137,30 @@ def match_feed(matches: DataFrame, results: DataFrame, wanted: Column, n: int) -
     return page.join(got, "match_id")
 
 
-def scoreboard(results: DataFrame) -> DataFrame:
-    return results.groupBy("match_id", "team_id").agg(F.min("win_place").alias("place"), F.sum("kills").alias("kills"), F.sort_array(F.collect_list("account_id")).alias("members"))
+def scoreboard(results: DataFrame, shown: Sequence[str] = ("kills", "assists", "damage_dealt", "survived_s", "is_bot", "tracked")) -> DataFrame:
+    """Rosters of every match by rank, with totals and their participants as structs in order of kills (most first) and id."""
+    member = F.struct((-F.col("kills")).alias("_order"), "account_id", *shown)
+    members = F.transform(F.sort_array(F.collect_list(member)), lambda m: m.dropFields("_order"))
+    g = results.groupBy("match_id", "team_id").agg(F.min("win_place").alias("rank"), F.sum("kills").alias("team_kills"), members.alias("participants"))
+    return g.withColumn("won", F.col("rank") == 1)
+
 
+def kill_feed(kills: DataFrame, names: DataFrame, include_bots: bool = True) -> DataFrame:
+    """Kills in order with the names of victim, killer, the one who knocked and the finisher, and of the assistants.
 
-def kill_feed(kills: DataFrame, names: DataFrame) -> DataFrame:
-    """Kills with the names of both and the distance, null unless over zero."""
-    a = names.select("account_id", F.col("name").alias("killer"))
-    v = names.select(F.col("account_id").alias("victim_id"), F.col("name").alias("victim"))
-    return kills.join(a, "account_id", "left").join(v, "victim_id", "left").select("match_id", "idx", "killer", "victim", F.when(F.col("distance") > 0, F.col("distance")).alias("distance"))
+    kills: match_id, idx, victim_id, account_id, maker_id, finisher_id, assists (array of ids), distance, victim_is_bot;
+    names: match_id, account_id, name. A distance that isn't over zero is null; an assistant without a name keeps its id.
+    """
+    rows = kills if include_bots else kills.where("not victim_is_bot")
+    for c, a in (("account_id", "killer"), ("victim_id", "victim"), ("maker_id", "maker"), ("finisher_id", "finisher")):
+        rows = rows.join(names.select("match_id", F.col("account_id").alias(c), F.col("name").alias(a)), ["match_id", c], "left")
+    helped = kills.select("match_id", "idx", F.posexplode("assists").alias("pos", "account_id")).join(names, ["match_id", "account_id"], "left")
+    named = F.struct("pos", F.coalesce("name", F.col("account_id").cast("string")).alias("name"))
+    helpers = helped.groupBy("match_id", "idx").agg(F.transform(F.sort_array(F.collect_list(named)), lambda x: x["name"]).alias("helpers"))
+    seq = F.row_number().over(Window.partitionBy("match_id").orderBy("idx")) - 1
+    distance_m = F.when(F.col("distance") > 0, F.col("distance") / 100).alias("distance_m")
+    joined = rows.join(helpers, ["match_id", "idx"], "left")
+    return joined.select("match_id", "idx", seq.alias("seq"), "killer", "victim", "maker", "finisher", F.coalesce("helpers", F.array().cast("array<string>")).alias("helpers"), distance_m)
 
 
 def third_party_deaths(kills: DataFrame, radius: float, within: float) -> DataFrame:
@@ -121,9 +179,32 @@ def death_causes(kills: DataFrame, knocks: DataFrame) -> DataFrame:
 
 
 def knock_conversion(knocks: DataFrame, kills: DataFrame) -> DataFrame:
-    """Knocks made and how many of them became a kill by the same account."""
-    done = kills.select("match_id", "account_id", "victim_id").distinct().withColumn("done", F.lit(True))
-    return knocks.join(done, ["match_id", "account_id", "victim_id"], "left").groupBy("account_id").agg(F.count("*").alias("knocks"), F.count("done").alias("converted"), rate(F.count("done"), F.count("*")).alias("pct"))
+    """Per account the knocks it made on humans and those it took, with how many became a kill by the kill's maker_id."""
+    by = lambda df, who, name: df.groupBy(F.col(who).alias("account_id")).agg(F.count("*").alias(name))
+    human, known = kills.where("not victim_is_bot and maker_id is not null"), kills.where("maker_id is not null")
+    parts = [
+        by(knocks.where("not victim_is_bot"), "account_id", "made"),
+        by(human, "maker_id", "made_converted"),
+        by(knocks, "victim_id", "taken"),
+        by(known, "victim_id", "taken_converted"),
+    ]
+    j = reduce(lambda a, b: a.join(b, "account_id", "full_outer"), parts).fillna(0)
+    return j.withColumns({f"{s}_rate": rate(F.col(f"{s}_converted"), F.col(s)) for s in ("made", "taken")})
+
+
+def range_bands(kills: DataFrame, ours: Column, theirs: Column) -> DataFrame:
+    """Per band of the distance in metres (over zero) the kills for us and against us; every band has a row."""
+    rows = kills.where((F.col("distance") > 0) & (ours | theirs))
+    b = bucketed(F.col("distance") / 100, RANGES, closed=False)
+    g = rows.groupBy(b.alias("band")).agg(F.count_if(ours).alias("we_killed"), F.count_if(theirs).alias("we_died"))
+    # as many rows as there are bands
+    bands = kills.sparkSession.createDataFrame([(n,) for n, *_ in RANGES], "band string")
+    return F.broadcast(bands).join(g, "band", "left").fillna(0)
+
+
+def zone_deaths(results: DataFrame) -> DataFrame:
+    """Deaths by the zone, which have no killer and are in no other count."""
+    return results.where(F.lower("death_type") == "byzone").groupBy("account_id").agg(F.count("*").alias("zone_deaths"))
 
 
 def first_deaths(rows: DataFrame) -> DataFrame:
@@ -173,12 +254,6 @@ def compared(rows: DataFrame, key: str, axes: Sequence[str], inverted: Sequence[
     return rows.withColumns(scaled)
 
 
-def findings(rates: DataFrame, baseline: float, least: int = 8) -> DataFrame:
-    """Rates that rest on at least `least` rows with their strength against a baseline; tone says on which side."""
-    strength = F.abs(F.col("pct") - baseline)
-    return rates.where(F.col("n") >= least).select("id", "n", "pct", strength.alias("strength"), F.when(F.col("pct") >= baseline, "good").otherwise("bad").alias("tone"))
-
-
 def freshness(rows: DataFrame, now: Column) -> DataFrame:
     lag = F.unix_seconds(now) - F.unix_seconds("last_polled_at")
     return rows.agg(F.max(lag).alias("stalest_s"), F.min(lag).alias("freshest_s"), F.count_if(F.col("last_polled_at").isNull()).alias("never_polled"))
