@@ -13,11 +13,17 @@ from matchlake.operators.temporal import gap_segments, ranked_attach
 M = "match_id"
 
 
-def kill_events(kills: DataFrame) -> DataFrame:
-    """Kills with seq in file order and the flags of suicide and team kill; rows without a victim are dropped."""
-    rows = kills.where("victim_id is not null")
+def kill_events(kills: DataFrame, older: DataFrame | None = None) -> DataFrame:
+    """Kills with seq in file order and the flags of suicide and team kill; rows without a victim are dropped.
+
+    older: kills of the first shape, which lack the maker of the knock, the finisher and the assistants; those are null, and assists empty.
+    """
+    rows = kills if older is None else kills.unionByName(older, allowMissingColumns=True)
+    rows = rows.where("victim_id is not null")
     seq = F.row_number().over(Window.partitionBy(M).orderBy("idx")) - 1
     suicide = F.coalesce(F.col("account_id") == F.col("victim_id"), F.lit(False))
+    if "assists" in rows.columns:
+        rows = rows.withColumn("assists", F.coalesce("assists", F.array().cast(rows.schema["assists"].dataType)))
     return rows.withColumn("seq", seq).withColumn("is_suicide", suicide).withColumn("is_team_kill", F.coalesce(F.col("team_id") == F.col("victim_team"), F.lit(False)) & ~suicide)
 
 
@@ -62,7 +68,7 @@ def accuracy(attacks: DataFrame, damage: DataFrame, throwables: DataFrame, by: S
 
 
 def reported_totals(ends: DataFrame) -> DataFrame:
-    """Shots and hits per account out of the nested statistics of match ends (stats: array of account_id and its array of shots and hits)."""
+    """Shots and hits per account out of nested statistics (stats: array of account_id and its array of shots and hits), in one or more rows a match."""
     rows = ends.select(M, F.explode("stats").alias("s")).select(M, "s.account_id", F.explode("s.stats").alias("w"))
     return rows.groupBy(M, "account_id").agg(F.sum("w.shots").alias("shots"), F.sum("w.hits").alias("hits"))
 
@@ -71,10 +77,15 @@ def longest_kill(kills: DataFrame) -> DataFrame:
     return kills.groupBy(M, "account_id").agg(F.coalesce(F.max(F.when(F.col("distance") > 0, F.col("distance"))), F.lit(0.0)).alias("longest_kill_cm"))
 
 
-def participant_updates(roster: DataFrame, combat: DataFrame, longest: DataFrame, landings: DataFrame, first_samples: DataFrame) -> DataFrame:
-    """roster with combat totals, the longest kill and where each account landed: its landing, else its first sample."""
+def participant_updates(roster: DataFrame, combat: DataFrame, longest: DataFrame, landings: DataFrame, first_samples: DataFrame, bots: DataFrame | None = None) -> DataFrame:
+    """roster with combat totals, the longest kill and where each account landed: its landing, else its first sample.
+
+    bots: what telemetry says of is_bot, which counts before the roster's own is_bot.
+    """
     keys = [M, "account_id"]
     joined = roster.join(combat, keys, "left").join(longest, keys, "left").join(landings, keys, "left").join(first_samples, keys, "left")
+    if bots is not None:
+        joined = joined.join(bots.select(*keys, F.col("is_bot").alias("_said")), keys, "left").withColumn("is_bot", F.coalesce("_said", "is_bot")).drop("_said")
     return joined.withColumn("x0", F.coalesce("land_x", "first_x")).withColumn("y0", F.coalesce("land_y", "first_y")).drop("land_x", "land_y", "first_x", "first_y")
 
 

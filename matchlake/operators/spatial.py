@@ -12,9 +12,11 @@ from matchlake.functions.norm import bearing, distance, grid_cell, quantise_u16,
 
 
 def replay_positions(track: DataFrame, world: int, tick_ms: int) -> DataFrame:
-    """Quantised samples ordered by player: team, then account."""
+    """Quantised samples ordered by player: team, then account. Health is rounded into a byte; flags is the mask of the sample's flags."""
     player = F.dense_rank().over(Window.partitionBy("match_id").orderBy("team_id", "account_id")) - 1
-    return track.select("match_id", player.alias("player"), "idx", tick(F.col("t_s"), tick_ms).alias("tick"), quantise_u16(F.col("x"), world).alias("qx"), quantise_u16(F.col("y"), world).alias("qy"))
+    hp = F.least(F.greatest(F.bround("health"), F.lit(0)), F.lit(255)).cast("int")
+    place = [quantise_u16(F.col(c), world).alias(f"q{c}") for c in ("x", "y")]
+    return track.select("match_id", player.alias("player"), "idx", tick(F.col("t_s"), tick_ms).alias("tick"), *place, hp.alias("hp"), F.col("flags").bitwiseAND(F.lit(255)).alias("flags"))
 
 
 def replay_events(tick_ms: int, **kinds: DataFrame) -> DataFrame:
@@ -109,13 +111,23 @@ def label_points(points: DataFrame, places: DataFrame, within: float, reach: flo
     return points.join(best, "point_id", "left").select("point_id", F.when(F.col("b.d") <= within, F.col("b.name")).alias("name"), F.col("b.name").alias("nearest"), F.col("b.d").alias("d"), bearing(F.col("b.dx"), F.col("b.dy")).alias("bearing"))
 
 
-def squad_drops(landings: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per match and team: mean landing, its spread, first landing and what became of the team."""
-    members = F.collect_list(F.struct("land_x", "land_y"))
-    g = landings.groupBy("match_id", "team_id").agg(F.count("*").alias("n"), (F.sum("land_x") / F.count("*")).alias("x"), (F.sum("land_y") / F.count("*")).alias("y"), F.min("land_t").alias("first_t"), members.alias("m"))
+def squad_drops(landings: DataFrame, results: DataFrame, strategy: DataFrame) -> DataFrame:
+    """One row per match and team: mean landing, its spread, first landing, what became of the team and how it began.
+
+    results: match_id, team_id, name, win_place, kills, survived_s; strategy: match_id, account_id, hot_drop_n, first_weapon_s, which may
+    lack accounts. contested is the most landings of others near any member, null if none is known.
+    """
+    keys = ["match_id", "team_id"]
+    rows = landings.join(strategy.select("match_id", "account_id", "hot_drop_n", "first_weapon_s"), ["match_id", "account_id"], "left")
+    mean = lambda c: (F.sum(c) / F.count(c)).alias(c)
+    g = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), mean("land_x"), mean("land_y"), F.min("land_t").alias("first_t"), F.collect_list(F.struct("land_x", "land_y")).alias("m"), F.max("hot_drop_n").alias("contested"), mean("first_weapon_s")
+    )
     spread = F.array_max(F.transform("m", lambda p: distance(p["land_x"], p["land_y"], F.col("x"), F.col("y"))))
-    r = results.groupBy("match_id", "team_id").agg(F.min("win_place").alias("place"), F.sum("kills").alias("kills"), F.max("survived_s").alias("survived_s"))
-    return g.withColumn("spread", spread).drop("m").join(r, ["match_id", "team_id"], "left")
+    g = g.withColumnsRenamed({"land_x": "x", "land_y": "y"}).withColumn("spread", spread).drop("m")
+    best = F.min("win_place").alias("place"), F.sum("kills").alias("kills"), F.max("survived_s").alias("survived_s")
+    r = results.groupBy(*keys).agg(*best, F.sort_array(F.collect_set("name")).alias("names"))
+    return g.join(r, keys, "left")
 
 
 def cluster_points(points: DataFrame, snap: float, shared: str) -> DataFrame:
@@ -145,16 +157,35 @@ def cluster_points(points: DataFrame, snap: float, shared: str) -> DataFrame:
             return placed.join(cells.select("cx", "cy", F.col("label").alias("cluster")), ["cx", "cy"]).drop("cx", "cy")
 
 
+#: Fixed value: members that land farther than this from their squad's centre make it a split drop (in centimetres).
+SPLIT = 20_000.0
+
+
 def summarised_clusters(rows: DataFrame) -> DataFrame:
-    """Per cluster: number, lower median and best place, mean survival, kills per drop and the share contested among those where it is known."""
-    return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by place)").cast("long").alias("median_place"), F.min("place").alias("best_place"), (F.sum("survived_s").cast("double") / F.count("survived_s")).alias("mean_survived_s"), (F.sum("kills").cast("double") / F.count("*")).alias("kills_per_drop"), F.count("contested").alias("n_contested_known"), (F.count_if("contested").cast("double") / F.nullif(F.count("contested"), F.lit(0))).alias("contested_rate"))
+    """Per cluster: number, lower median and best place, mean survival, kills per drop, the share contested among those where it is known,
+    the lower median of the time of the first weapon, and how many squads were split. rows: squad_drops with cluster."""
+    middle = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
+    known, n = F.count("contested"), F.count("*")
+    return rows.groupBy("cluster").agg(
+        n.alias("n"),
+        middle("place").cast("long").alias("median_place"),
+        F.min("place").alias("best_place"),
+        (F.sum("survived_s").cast("double") / F.count("survived_s")).alias("mean_survived_s"),
+        (F.sum("kills").cast("double") / n).alias("kills_per_drop"),
+        known.alias("n_contested_known"),
+        (F.count_if(F.col("contested") > 0).cast("double") / F.nullif(known, F.lit(0))).alias("contested_rate"),
+        middle("first_weapon_s").alias("median_first_weapon_s"),
+        F.count("first_weapon_s").alias("n_first_weapon_known"),
+        F.count_if(F.col("spread") > SPLIT).alias("n_split"),
+    )
+
 
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a local session may go without and gets a temporary folder."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = f"file://{tempfile.mkdtemp(prefix='matchlake-')}"
         spark.conf.set("spark.checkpoint.dir", set_to)

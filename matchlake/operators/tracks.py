@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -61,15 +62,28 @@ def resolve_alive(track: DataFrame, deaths: DataFrame) -> DataFrame:
     return track.join(deaths, ACCOUNT, "left").withColumn("alive", F.col("death_t").isNull() | (F.col("t_s") < F.col("death_t")))
 
 
-def plane_path(points: DataFrame) -> DataFrame:
-    """Per match the total-least-squares line through its points: centre and angle, turned the way the first and last point lie."""
-    g = points.groupBy("match_id").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.min_by(F.struct("x", "y"), "idx").alias("f"), F.max_by(F.struct("x", "y"), "idx").alias("l"))
-    n = F.col("n")
-    vx, vy, cxy = (F.col("sxx") / n - (F.col("sx") / n) * (F.col("sx") / n)), (F.col("syy") / n - (F.col("sy") / n) * (F.col("sy") / n)), (F.col("sxy") / n - (F.col("sx") / n) * (F.col("sy") / n))
+def plane_path(points: DataFrame, world: float) -> DataFrame:
+    """Per match the total-least-squares line through its points, turned the way the first and last point lie: centre, direction, and where it enters and leaves the world.
+
+    A line that misses the world has null ends.
+    """
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
+    sums = {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
+    ends = [f(F.struct("x", "y"), "idx").alias(a) for f, a in ((F.min_by, "f"), (F.max_by, "l"))]
+    g = points.groupBy("match_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(a) for a, c in sums.items()], *ends)
+    mean = lambda c: F.col(c) / n
+    vx, vy, cxy = mean("sxx") - mean("sx") * mean("sx"), mean("syy") - mean("sy") * mean("sy"), mean("sxy") - mean("sx") * mean("sy")
     g = g.withColumn("angle", 0.5 * F.atan2(2 * cxy, vx - vy))
     along = (F.col("l.x") - F.col("f.x")) * F.cos("angle") + (F.col("l.y") - F.col("f.y")) * F.sin("angle")
     turn = F.when(along < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return g.select("match_id", "n", (F.col("sx") / n).alias("cx"), (F.col("sy") / n).alias("cy"), (F.cos("angle") * turn).alias("dx"), (F.sin("angle") * turn).alias("dy"))
+    g = g.select("match_id", "n", mean("sx").alias("cx"), mean("sy").alias("cy"), (F.cos("angle") * turn).alias("dx"), (F.sin("angle") * turn).alias("dy"))
+    # the line's parameter at both borders of each axis that it isn't parallel to
+    at = lambda c, border: (border - F.col(f"c{c}")) / F.nullif(F.col(f"d{c}"), F.lit(0.0))
+    both = [(at(c, F.lit(0.0)), at(c, F.lit(float(world)))) for c in "xy"]
+    enter, leave = F.greatest(*[F.least(*t) for t in both]), F.least(*[F.greatest(*t) for t in both])
+    g = g.withColumn("_in", enter).withColumn("_out", leave)
+    end = lambda c, t: F.when(F.col("_in") <= F.col("_out"), F.col(f"c{c}") + F.col(t) * F.col(f"d{c}"))
+    return g.select("match_id", "n", "cx", "cy", "dx", "dy", *[end(c, t).alias(f"{c}{i}") for i, t in enumerate(("_in", "_out")) for c in "xy"])
 
 
 def rides(rows: DataFrame) -> DataFrame:
@@ -86,25 +100,33 @@ def red_zones(rows: DataFrame, durations: DataFrame) -> DataFrame:
     return life.select("match_id", "uid", "epoch", "warned", "started", F.coalesce("ended", "duration").alias("ended"))
 
 
+def _claims(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of the pairs of one match: landings in file order take the nearest spawn that none before them took."""
+    taken, out = set(), []
+    for land, group in pairs.sort_values(["land_idx", "d", "spawn_idx"]).groupby("land_idx", sort=False):
+        free = next((r for r in group.itertuples(index=False) if r.spawn_idx not in taken), None)
+        if free is not None:
+            taken.add(free.spawn_idx)
+            out.append((free.match_id, land, free.spawn_idx, free.spawn_t))
+    return pd.DataFrame(out, columns=["match_id", "land_idx", "spawn_idx", "spawn_t"])
+
+
 def care_packages(spawns: DataFrame, landings: DataFrame, within: float = 50_000.0) -> DataFrame:
-    """Each landing with the nearest earlier spawn within reach that no landing before it took: a greedy claim, so one fold per match over some ten rows."""
-
-    def claim(g: pd.DataFrame) -> pd.DataFrame:
-        free = g[g["is_spawn"]].sort_values("idx").to_dict("records")
-        out = []
-        for land in g[~g["is_spawn"]].sort_values("idx").to_dict("records"):
-            near = [(((s["x"] - land["x"]) ** 2 + (s["y"] - land["y"]) ** 2) ** 0.5, s["idx"], s) for s in free if s["idx"] < land["idx"]]
-            near = [x for x in near if x[0] <= within]
-            best = min(near, key=lambda x: x[:2])[2] if near else None
-            if best is not None:
-                free.remove(best)
-            out.append({"match_id": land["match_id"], "land_idx": land["idx"], "land_t": land["t_s"], "spawn_idx": best and best["idx"], "spawn_t": best and best["t_s"]})
-        return pd.DataFrame(out, columns=["match_id", "land_idx", "land_t", "spawn_idx", "spawn_t"])
-
-    cols = ["match_id", "idx", "t_s", "x", "y"]
-    both = spawns.select(*cols, F.lit(True).alias("is_spawn")).unionByName(landings.select(*cols, F.lit(False).alias("is_spawn")))
-    kind = dict(both.dtypes)
-    return both.groupBy("match_id").applyInPandas(claim, f"match_id {kind['match_id']}, land_idx bigint, land_t {kind['t_s']}, spawn_idx bigint, spawn_t {kind['t_s']}")
+    """Each landing with the nearest earlier spawn within reach that no landing before it took.
+
+    Pairs within reach are found by squares as equal keys. The claims depend on each other in file order: a fold over
+    a match's pairs, of which the some ten crates of a match have as few.
+    """
+    at = lambda c: F.floor(F.col(c) / within).cast("int")
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    s = spawns.select("match_id", F.col("idx").alias("spawn_idx"), F.col("t_s").alias("spawn_t"), F.col("x").alias("sx"), F.col("y").alias("sy"), at("x").alias("cx"), at("y").alias("cy"))
+    s = s.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).withColumn("cx", F.col("cx") + F.col("_i")).withColumn("cy", F.col("cy") + F.col("_j"))
+    lands = landings.select("match_id", F.col("idx").alias("land_idx"), F.col("t_s").alias("land_t"), "x", "y")
+    near = lands.withColumn("cx", at("x")).withColumn("cy", at("y")).join(s, ["match_id", "cx", "cy"]).where("spawn_idx < land_idx")
+    pairs = near.select("match_id", "land_idx", "spawn_idx", "spawn_t", distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")).alias("d")).where(F.col("d") <= within)
+    kinds = dict(pairs.dtypes)
+    claims = pairs.groupBy("match_id").applyInPandas(_claims, f"match_id {kinds['match_id']}, land_idx bigint, spawn_idx bigint, spawn_t {kinds['spawn_t']}")
+    return lands.drop("x", "y").join(claims, ["match_id", "land_idx"], "left")
 
 
 def crate_loot(pickups: DataFrame, crates: DataFrame, keys: list[str], within: float) -> DataFrame:
@@ -122,15 +144,35 @@ def position_at(probes: DataFrame, track: DataFrame) -> DataFrame:
     return interpolated(probes, track, ACCOUNT, "t_s", ["x", "y"], clamp=False, tie=["idx"])
 
 
-def trail(probes: DataFrame, track: DataFrame, window: float) -> DataFrame:
-    """For each probe (probe_id, match, account, t_s) the samples of the last window seconds."""
-    p = probes.select("probe_id", *ACCOUNT, F.col("t_s").alias("probe_t"))
-    return track.join(p, ACCOUNT).where((F.col("t_s") <= F.col("probe_t")) & (F.col("t_s") >= F.col("probe_t") - window))
+def trail(probes: DataFrame, track: DataFrame, deaths: DataFrame, window: float) -> DataFrame:
+    """For each probe (probe_id, match, account, t_s) of a living account the samples of the last window seconds, and its place then (without idx).
 
+    An account that has died by then has no trail, one without a sample so far no head.
+    """
+    alive = resolve_alive(probes.select("probe_id", *ACCOUNT, "t_s"), deaths).where("alive").drop("alive", "death_t")
+    p = alive.withColumnRenamed("t_s", "probe_t")
+    past = track.join(p, ACCOUNT).where((F.col("t_s") <= F.col("probe_t")) & (F.col("t_s") >= F.col("probe_t") - window)).select("probe_id", "idx", "t_s", "x", "y")
+    head = position_at(alive, track).where("at_x is not null")
+    return past.unionByName(head.select("probe_id", F.lit(None).cast("bigint").alias("idx"), "t_s", F.col("at_x").alias("x"), F.col("at_y").alias("y")))
+
+
+def world_state(kills: DataFrame, crates: DataFrame, vehicles: DataFrame, t: float, window: float) -> DataFrame:
+    """Per match what there is to see at t: kills so far, crates in the air, on the ground and looted, and vehicles seen within the window with their greatest age.
 
-def world_state(events: DataFrame, t: float, window: float) -> DataFrame:
-    """Per match and kind what has happened up to t, and how much of it within the window before."""
-    return events.where(F.col("t_s") <= t).groupBy("match_id", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("t_s") >= t - window).alias("n_recent"), F.max("t_s").alias("last_t"))
+    crates: match_id, spawn_t, land_t, looted_t; vehicles: match_id, vehicle_id, t_s.
+    """
+    up = (F.col("spawn_t") <= t) & (F.col("land_t").isNull() | (F.col("land_t") > t))
+    looted = F.coalesce(F.col("looted_t") <= t, F.lit(False))
+    lying = F.coalesce(F.col("land_t") <= t, F.lit(False)) & ~looted
+    age = F.lit(t) - F.col("seen")
+    seen = vehicles.where(F.col("t_s") <= t).groupBy("match_id", "vehicle_id").agg(F.max("t_s").alias("seen")).where(age <= window)
+    parts = [
+        kills.where(F.col("t_s") <= t).groupBy("match_id").agg(F.count("*").alias("n_kills")),
+        crates.groupBy("match_id").agg(F.count_if(up).alias("n_falling"), F.count_if(lying).alias("n_landed"), F.count_if(looted).alias("n_looted")),
+        seen.groupBy("match_id").agg(F.count("*").alias("n_vehicles"), F.max(age).alias("oldest_s")),
+    ]
+    every = reduce(lambda a, b: a.join(b, "match_id", "full_outer"), parts)
+    return every.fillna(0, [c for c in every.columns if c.startswith("n_")])
 
 
 def damage_log(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -150,5 +192,3 @@ def step_fight(probes: DataFrame, fights: DataFrame, keys: list[str], lead: floa
     early = Window.partitionBy(*keys).orderBy("t", F.col("side").cast("int")).rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("next_t", F.first(start, ignorenulls=True).over(later)).withColumn("prev_t", F.last(start, ignorenulls=True).over(early)).where("probe_id is not null")
     return found.groupBy(*keys, "probe_id").agg(F.max(F.when(F.col("side") == 1, F.col("next_t"))).alias("next_t"), F.max(F.when(F.col("side") == -1, F.col("prev_t"))).alias("prev_t"))
-
-

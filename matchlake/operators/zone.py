@@ -12,20 +12,27 @@ M, KEYS = "match_id", ["match_id", "account_id"]
 
 
 def zone_play(roster: DataFrame, phases: DataFrame, track: DataFrame, zones: DataFrame, max_lag: float) -> DataFrame:
-    """Membership of every account at a phase's announcement and close, and its place against the circle at the close.
+    """Membership of every account at a phase's announcement and close, and its state and place against the circle at the close.
 
     phases: match_id, idx, phase, phase_kind, t_s, members (array of accounts); the later of several events of one kind wins.
-    A phase nobody could judge (no sample near the close and not named) gives no row.
+    track: its samples with alive and riding. The sample nearest the close counts, or the announcement without a close. A circle
+    with a radius of zero is a placeholder. A phase nobody could judge (no sample near it and not named) gives no row.
     """
     p = phases.groupBy(M, "phase", "phase_kind").agg(F.max_by(F.struct("t_s", "members"), "idx").alias("p"))
     at = p.groupBy(M, "phase").agg(*[F.max(F.when(F.col("phase_kind") == k, F.col("p"))).alias(k) for k in ("announce", "close")])
+    at = at.withColumn("t_s", F.coalesce("close.t_s", "announce.t_s"))
     named = lambda k: F.array_contains(F.col(k)["members"], F.col("account_id"))
-    rows = at.join(roster.select(*KEYS), M).select(*KEYS, "phase", F.col("announce.t_s").alias("announce_t"), F.col("close.t_s").alias("close_t"), named("announce").alias("in_at_announce"), named("close").alias("in_at_close"), F.col("close.t_s").alias("t_s"))
-    circle = asof(at.select(M, "phase", F.col("close.t_s").alias("t_s")), zones, [M], "t_s", ["idx", "zx", "zy", "zr"], "backward", ["idx"], prefix="z_").select(M, "phase", F.col("z_zx").alias("zx"), F.col("z_zy").alias("zy"), F.col("z_zr").alias("zr"))
-    placed = asof(rows, track, KEYS, "t_s", ["idx", "x", "y"], "nearest", ["idx"], max_lag).join(circle, [M, "phase"], "left")
+    times = [F.col(f"{k}.t_s").alias(f"{k}_t") for k in ("announce", "close")] + [named(k).alias(f"in_at_{k}") for k in ("announce", "close")]
+    rows = at.join(roster.select(*KEYS), M).select(*KEYS, "phase", *times, "t_s")
+    real = zones.withColumns({c: F.when(F.col("zr") > 0, F.col(c)) for c in ("zx", "zy")})
+    circle = asof(at.select(M, "phase", "t_s"), real, [M], "t_s", ["idx", "zx", "zy", "zr"], "backward", ["idx"], prefix="z_")
+    circle = circle.select(M, "phase", *[F.col(f"z_{c}").alias(c) for c in ("zx", "zy", "zr")])
+    placed = asof(rows, track, KEYS, "t_s", ["idx", "x", "y", "alive", "riding"], "nearest", ["idx"], max_lag).join(circle, [M, "phase"], "left")
     centre = distance(F.col("s_x"), F.col("s_y"), F.col("zx"), F.col("zy"))
     seen = F.col("s_x").isNotNull() | F.coalesce("in_at_announce", F.lit(False)) | F.coalesce("in_at_close", F.lit(False))
-    return placed.where(seen).select(*KEYS, "phase", "announce_t", "close_t", "in_at_announce", "in_at_close", centre.alias("to_centre"), (F.col("zr") - centre).alias("to_edge"), F.col("s_lag").alias("sample_lag"))
+    state = [F.col("s_alive").alias("alive"), (F.col("s_riding").isNotNull() & F.col("s_x").isNotNull()).alias("in_vehicle")]
+    shown = ["phase", "announce_t", "close_t", "in_at_announce", "in_at_close"]
+    return placed.where(seen).select(*KEYS, *shown, *state, centre.alias("to_centre"), (F.col("zr") - centre).alias("to_edge"), F.col("s_lag").alias("sample_lag"))
 
 
 def blue_dwell(track: DataFrame, cap: float = 15.0) -> DataFrame:
@@ -36,12 +43,18 @@ def blue_dwell(track: DataFrame, cap: float = 15.0) -> DataFrame:
     return t.groupBy(*KEYS).agg(F.when(F.max("land_t").isNotNull(), F.coalesce(F.sum(inside), F.lit(0))).alias("blue_s"))
 
 
-def rotate_lag(track: DataFrame, circles: DataFrame, landings: DataFrame) -> DataFrame:
-    """Mean time from a circle's announcement (or the landing, if later) until the account is first seen alive inside it."""
+def rotate_lag(track: DataFrame, circles: DataFrame, landings: DataFrame, cell: float = 100_000.0) -> DataFrame:
+    """Mean time from a circle's announcement (or the landing, if later) until the account is first seen alive inside it.
+
+    Samples meet only circles that reach into their grid square of side cell.
+    """
+    lo, hi = lambda c: F.floor((F.col(c) - F.col("zr")) / cell).cast("int"), lambda c: F.floor((F.col(c) + F.col("zr")) / cell).cast("int")
     c = circles.select(M, F.col("idx").alias("circle"), F.col("t_s").alias("announced"), "zx", "zy", "zr")
-    starts = landings.join(c, M).withColumn("start", F.greatest("announced", "land_t")).select(*KEYS, "circle", "start", "zx", "zy", "zr")
-    inside = track.where("alive").join(starts, KEYS).where((F.col("t_s") >= F.col("start")) & (distance(F.col("x"), F.col("y"), F.col("zx"), F.col("zy")) <= F.col("zr")))
-    first = inside.groupBy(*KEYS, "circle").agg((F.min("t_s") - F.min("start")).alias("lag"))
+    c = c.withColumn("gx", F.explode(F.sequence(lo("zx"), hi("zx")))).withColumn("gy", F.explode(F.sequence(lo("zy"), hi("zy"))))
+    square = [F.floor(F.col(x) / cell).cast("int").alias(f"g{x}") for x in ("x", "y")]
+    seen = track.where("alive").join(landings.select(*KEYS, "land_t"), KEYS).where("t_s >= land_t").select(*KEYS, "t_s", "land_t", "x", "y", *square)
+    inside = seen.join(c, [M, "gx", "gy"]).where((F.col("t_s") >= F.col("announced")) & (distance(F.col("x"), F.col("y"), F.col("zx"), F.col("zy")) <= F.col("zr")))
+    first = inside.groupBy(*KEYS, "circle").agg((F.min("t_s") - F.max(F.greatest("announced", "land_t"))).alias("lag"))
     return first.groupBy(*KEYS).agg((F.sum("lag").cast("double") / F.count("*")).alias("rotate_lag_s"), F.count("*").alias("n_circles"))
 
 
@@ -88,11 +101,22 @@ def strategy_metrics(roster: DataFrame, *parts: DataFrame) -> DataFrame:
 
 
 def death_context(kills: DataFrame, roster: DataFrame, track: DataFrame, deaths: DataFrame, max_lag: float) -> DataFrame:
-    """Per death the distance to the nearest living teammate, how many live, and the age of the victim's own sample."""
+    """Per death the distance to the nearest living teammate, how many live, whether the victim rode, and the age of its own sample.
+
+    A team's deaths are rows among its samples, so one window per account gives the sample nearest to each of them: a death meets
+    every account of its team once, and nothing else.
+    """
     v = kills.select(M, "idx", F.col("victim_id").alias("account_id"), "t_s").join(roster.select(*KEYS, "team_id"), KEYS)
-    s = track.select(*KEYS, "t_s", F.col("idx").alias("s_idx"), "x", "y")
-    own = asof(v, s, KEYS, "t_s", ["s_idx", "x", "y"], "nearest", ["s_idx"], max_lag, "v_")
-    mates = _mates(own.select(M, "account_id", "team_id", "idx", "t_s", "v_x", "v_y"), roster).join(deaths, KEYS, "left").where("death_t is null or death_t > t_s")
-    placed = asof(mates, s, KEYS, "t_s", ["s_idx", "x", "y"], "nearest", ["s_idx"], max_lag, "m_")
-    g = placed.groupBy(M, "idx").agg(F.count("*").alias("teammates_alive"), F.min(distance(F.col("v_x"), F.col("v_y"), F.col("m_x"), F.col("m_y"))).alias("nearest_teammate"))
-    return own.select(M, "idx", F.col("account_id").alias("victim_id"), F.col("v_lag").alias("sample_lag")).join(g, [M, "idx"], "left").withColumn("teammates_alive", F.coalesce("teammates_alive", F.lit(0)))
+    s = track.select(*KEYS, "t_s", F.col("idx").alias("s_idx"), "x", "y", "riding")
+    team = roster.select(M, "team_id", "account_id").join(deaths, KEYS, "left")
+    probes = v.withColumnRenamed("account_id", "victim_id").join(team, [M, "team_id"])
+    probes = probes.where((F.col("account_id") == F.col("victim_id")) | F.col("death_t").isNull() | (F.col("death_t") > F.col("t_s")))
+    placed = asof(probes.select(*KEYS, "idx", "victim_id", "t_s"), s, KEYS, "t_s", ["s_idx", "x", "y", "riding"], "nearest", ["s_idx"], max_lag)
+    is_own = F.col("account_id") == F.col("victim_id")
+    own = lambda c: F.max(F.when(is_own, F.col(c)))
+    mates = F.collect_list(F.when(~is_own & F.col("s_x").isNotNull(), F.struct("s_x", "s_y")))
+    g = placed.groupBy(M, "idx", "victim_id").agg(
+        own("s_x").alias("vx"), own("s_y").alias("vy"), own("s_lag").alias("sample_lag"), own("s_riding").isNotNull().alias("in_vehicle"), F.count_if(~is_own).alias("teammates_alive"), mates.alias("mates")
+    )
+    nearest = F.array_min(F.transform("mates", lambda m: distance(F.col("vx"), F.col("vy"), m["s_x"], m["s_y"])))
+    return g.select(M, "idx", "victim_id", "sample_lag", "in_vehicle", "teammates_alive", nearest.alias("nearest_teammate"))

@@ -131,19 +131,39 @@ def c12_position_at(spark, sf, e):
     return tracks.position_at(of(e, "kill").select(*M, "idx", "t_s"), of(e, "position")).select(*M, "idx", F.round("at_x", 3).alias("at_x"))
 
 
-@query(f"{W} SELECT k.idx AS probe_id, p.idx, p.x FROM kills k JOIN positions p ON p.match_id = k.match_id AND p.account_id = k.account_id AND p.t_s BETWEEN k.t_s - {LAG} AND k.t_s")
+@query(f"""{W}, {_ENDS}, {_N}, {DEATHS}, p AS (SELECT b.*, a.at_, pb.x AS bx, pa.x AS ax FROM b JOIN a USING (idx) LEFT JOIN positions pb ON pb.idx = b.bi LEFT JOIN positions pa ON pa.idx = a.ai),
+up AS (SELECT p.* FROM p LEFT JOIN deaths d ON d.match_id = p.match_id AND d.account_id = p.account_id WHERE death_t IS NULL OR p.t_s < death_t)
+SELECT k.idx AS probe_id, p.idx, p.t_s, round(p.x, 3) AS x FROM up k JOIN positions p ON p.match_id = k.match_id AND p.account_id = k.account_id AND p.t_s BETWEEN k.t_s - {LAG} AND k.t_s
+UNION ALL SELECT idx, NULL, t_s, round(CASE WHEN at_ IS NULL OR at_ <= bt THEN bx ELSE bx + (ax - bx) * (t_s - bt) / (at_ - bt) END, 3) FROM up WHERE bt IS NOT NULL""")
 def c13_trail(spark, sf, e):
-    return tracks.trail(of(e, "kill").withColumn("probe_id", F.col("idx")), of(e, "position"), LAG).select("probe_id", "idx", "x")
+    probes = of(e, "kill").withColumn("probe_id", F.col("idx"))
+    out = tracks.trail(probes, of(e, "position"), tracks.final_deaths(of(e, "kill")), LAG)
+    return out.select("probe_id", "idx", "t_s", F.round("x", 3).alias("x"))
 
 
-@query(f"WITH {EV} SELECT match_id, kind, count(*) AS n, count(*) FILTER (t_s >= 43200 - {LAG}) AS n_recent, max(t_s) AS last_t FROM ev WHERE t_s <= 43200 GROUP BY 1, 2")
+@query(f"""{W}, k AS (SELECT match_id, count(*) AS n_kills FROM kills WHERE t_s <= 43200 GROUP BY 1),
+c AS (SELECT match_id, t_s AS spawn_t, CASE WHEN idx % 4 > 0 THEN t_s + 600 + idx % 900 END AS land_t, CASE WHEN idx % 4 = 1 THEN t_s + 3000 END AS looted_t FROM landings),
+d AS (SELECT match_id, count(*) FILTER (spawn_t <= 43200 AND (land_t IS NULL OR land_t > 43200)) AS n_falling, count(*) FILTER (land_t <= 43200 AND NOT coalesce(looted_t <= 43200, false)) AS n_landed, count(*) FILTER (looted_t <= 43200) AS n_looted FROM c GROUP BY 1),
+s AS (SELECT match_id, idx % 20 AS v, max(t_s) AS seen FROM positions WHERE t_s <= 43200 GROUP BY 1, 2), v AS (SELECT match_id, count(*) AS n_vehicles, max(43200 - seen) AS oldest_s FROM s WHERE 43200 - seen <= {LAG} GROUP BY 1)
+SELECT match_id, coalesce(n_kills, 0) AS n_kills, coalesce(n_falling, 0) AS n_falling, coalesce(n_landed, 0) AS n_landed, coalesce(n_looted, 0) AS n_looted, coalesce(n_vehicles, 0) AS n_vehicles, oldest_s
+FROM k FULL JOIN d USING (match_id) FULL JOIN v USING (match_id)""")
 def c14_world_state(spark, sf, e):
-    return tracks.world_state(e, 43200, LAG)
-
-
-@query(f"{W}, g AS (SELECT match_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x*x) AS sxx, sum(y*y) AS syy, sum(x*y) AS sxy, arg_min(x, idx) AS fx, arg_min(y, idx) AS fy, arg_max(x, idx) AS lx, arg_max(y, idx) AS ly FROM positions GROUP BY 1), h AS (SELECT *, 0.5 * atan2(2 * (sxy/n - sx/n*(sy/n)), (sxx/n - sx/n*(sx/n)) - (syy/n - sy/n*(sy/n))) AS a FROM g), s AS (SELECT *, CASE WHEN (lx - fx) * cos(a) + (ly - fy) * sin(a) < 0 THEN -1.0 ELSE 1.0 END AS f FROM h) SELECT match_id, n, round(sx/n, 3) AS cx, round(sy/n, 3) AS cy, round(cos(a) * f, 6) AS dx, round(sin(a) * f, 6) AS dy FROM s")
+    t, i = F.col("t_s"), F.col("idx")
+    crates = of(e, "landing").select("match_id", t.alias("spawn_t"), F.when(i % 4 > 0, t + 600 + i % 900).alias("land_t"), F.when(i % 4 == 1, t + 3000).alias("looted_t"))
+    vehicles = of(e, "position").select("match_id", (i % 20).alias("vehicle_id"), "t_s")
+    return tracks.world_state(of(e, "kill"), crates, vehicles, 43200, LAG)
+
+
+@query(f"""{W}, g AS (SELECT match_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x*x) AS sxx, sum(y*y) AS syy, sum(x*y) AS sxy, arg_min(x, idx) AS fx, arg_min(y, idx) AS fy, arg_max(x, idx) AS lx, arg_max(y, idx) AS ly FROM positions GROUP BY 1),
+h AS (SELECT *, 0.5 * atan2(2 * (sxy/n - sx/n*(sy/n)), (sxx/n - sx/n*(sx/n)) - (syy/n - sy/n*(sy/n))) AS a FROM g), s AS (SELECT *, CASE WHEN (lx - fx) * cos(a) + (ly - fy) * sin(a) < 0 THEN -1.0 ELSE 1.0 END AS f FROM h),
+l AS (SELECT match_id, n, sx/n AS cx, sy/n AS cy, cos(a) * f AS dx, sin(a) * f AS dy FROM s),
+r AS (SELECT *, (0 - cx) / nullif(dx, 0) AS xa, (816000 - cx) / nullif(dx, 0) AS xb, (0 - cy) / nullif(dy, 0) AS ya, (816000 - cy) / nullif(dy, 0) AS yb FROM l),
+e AS (SELECT *, greatest(least(xa, xb), least(ya, yb)) AS i, least(greatest(xa, xb), greatest(ya, yb)) AS o FROM r)
+SELECT match_id, n, round(cx, 3) AS cx, round(cy, 3) AS cy, round(dx, 6) AS dx, round(dy, 6) AS dy, CASE WHEN i <= o THEN round(cx + i * dx, 2) END AS x0, CASE WHEN i <= o THEN round(cy + i * dy, 2) END AS y0,
+CASE WHEN i <= o THEN round(cx + o * dx, 2) END AS x1, CASE WHEN i <= o THEN round(cy + o * dy, 2) END AS y1 FROM e""")
 def c15_plane_path(spark, sf, e):
-    return tracks.plane_path(of(e, "position")).select("match_id", "n", F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"), F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+    digits = {"cx": 3, "cy": 3, "dx": 6, "dy": 6, "x0": 2, "y0": 2, "x1": 2, "y1": 2}
+    return tracks.plane_path(of(e, "position"), 816_000).withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query(f"WITH {EV} SELECT match_id, idx, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY match_id ORDER BY idx) AS p FROM ev) WHERE p IS NULL OR p <> kind")
@@ -197,9 +217,12 @@ def c25_step_fight(spark, sf, e):
 # --- combat
 
 
-@query(f"{W} SELECT match_id, idx, row_number() OVER (PARTITION BY match_id ORDER BY idx) - 1 AS seq, account_id = victim_id AS is_suicide, team_id = victim_team AND account_id <> victim_id AS is_team_kill FROM kills")
+@query(f"""{W} SELECT match_id, idx, row_number() OVER (PARTITION BY match_id ORDER BY idx) - 1 AS seq, account_id = victim_id AS is_suicide, team_id = victim_team AND account_id <> victim_id AS is_team_kill,
+CASE WHEN idx % 3 > 0 AND idx % 5 > 0 THEN account_id END AS maker_id, CASE WHEN idx % 3 > 0 THEN [account_id, team_id] ELSE [] END AS assists FROM kills WHERE idx % 11 > 0""")
 def d1_kill_events(spark, sf, e):
-    return combat.kill_events(of(e, "kill")).select("match_id", "idx", "seq", "is_suicide", "is_team_kill")
+    k = of(e, "kill").withColumn("victim_id", F.when(F.col("idx") % 11 > 0, F.col("victim_id")))
+    newer = k.where("idx % 3 > 0").withColumn("maker_id", F.when(F.col("idx") % 5 > 0, F.col("account_id"))).withColumn("assists", F.array("account_id", F.col("team_id").cast("bigint")))
+    return combat.kill_events(newer, k.where("idx % 3 = 0")).select("match_id", "idx", "seq", "is_suicide", "is_team_kill", "maker_id", "assists")
 
 
 @query(f"{W} SELECT match_id, idx, victim_id, row_number() OVER (PARTITION BY match_id ORDER BY idx) - 1 AS seq FROM knocks")
@@ -255,8 +278,8 @@ def d8_participant_weapons(spark, sf, e):
 
 @query(f"WITH {EV} SELECT match_id, account_id, CAST(sum(idx % 9) AS BIGINT) AS shots, CAST(sum(idx % 4) AS BIGINT) AS hits FROM ev GROUP BY 1, 2")
 def d9_reported_totals(spark, sf, e):
-    per = e.groupBy(*M).agg(F.collect_list(F.struct((F.col("idx") % 9).alias("shots"), (F.col("idx") % 4).alias("hits"))).alias("stats"))
-    return combat.reported_totals(per.groupBy("match_id").agg(F.collect_list(F.struct("account_id", "stats")).alias("stats")))
+    used = F.struct((F.col("idx") % 9).alias("shots"), (F.col("idx") % 4).alias("hits"))
+    return combat.reported_totals(e.select("match_id", F.array(F.struct("account_id", F.array(used).alias("stats"))).alias("stats")))
 
 
 @query(f"{W} SELECT match_id, account_id, coalesce(max(CASE WHEN distance > 50 THEN distance END), 0) AS longest_kill_cm FROM kills GROUP BY 1, 2")
@@ -264,10 +287,13 @@ def d10_longest_kill(spark, sf, e):
     return combat.longest_kill(of(e, "kill").withColumn("distance", F.when(F.col("distance") > 50, F.col("distance")).otherwise(-1.0)))
 
 
-@query(f"{W}, {ROSTER}, {LANDED}, f AS (SELECT match_id, account_id, arg_min(x, idx) AS first_x, arg_min(y, idx) AS first_y FROM positions GROUP BY 1, 2), k AS (SELECT match_id, account_id, max(distance) AS longest_kill_cm, count(*) AS kills FROM kills GROUP BY 1, 2) SELECT r.match_id, r.account_id, r.team_id, kills, longest_kill_cm, coalesce(land_x, first_x) AS x0, coalesce(land_y, first_y) AS y0 FROM roster r LEFT JOIN landed l USING (match_id, account_id) LEFT JOIN f USING (match_id, account_id) LEFT JOIN k USING (match_id, account_id)")
+@query(f"{W}, {ROSTER}, {LANDED}, f AS (SELECT match_id, account_id, arg_min(x, idx) AS first_x, arg_min(y, idx) AS first_y FROM positions GROUP BY 1, 2), k AS (SELECT match_id, account_id, max(distance) AS longest_kill_cm, count(*) AS kills FROM kills GROUP BY 1, 2) SELECT r.match_id, r.account_id, r.team_id, coalesce(r.account_id IN (SELECT account_id FROM kills x WHERE x.match_id = r.match_id AND x.account_id % 4 = 0), false) OR (r.account_id % 5 = 0 AND r.account_id NOT IN (SELECT account_id FROM kills x WHERE x.match_id = r.match_id)) AS is_bot, kills, longest_kill_cm, coalesce(land_x, first_x) AS x0, coalesce(land_y, first_y) AS y0 FROM roster r LEFT JOIN landed l USING (match_id, account_id) LEFT JOIN f USING (match_id, account_id) LEFT JOIN k USING (match_id, account_id)")
 def d11_participant_updates(spark, sf, e):
     first = of(e, "position").groupBy(*M).agg(F.min_by(F.struct(F.col("x").alias("first_x"), F.col("y").alias("first_y")), "idx").alias("f")).select(*M, "f.*")
-    return combat.participant_updates(roster(e), of(e, "kill").groupBy(*M).agg(F.count("*").alias("kills")), combat.longest_kill(of(e, "kill")), tracks.first_landings(of(e, "landing")).drop("land_t"), first)
+    own = roster(e).withColumn("is_bot", F.col("account_id") % 5 == 0)
+    said = of(e, "kill").select(*M, (F.col("account_id") % 4 == 0).alias("is_bot")).distinct()
+    kills = of(e, "kill").groupBy(*M).agg(F.count("*").alias("kills"))
+    return combat.participant_updates(own, kills, combat.longest_kill(of(e, "kill")), tracks.first_landings(of(e, "landing")).drop("land_t"), first, said)
 
 
 @query(f"{W}, {ROSTER} SELECT h.match_id, h.idx FROM hits h JOIN roster a ON a.match_id = h.match_id AND a.account_id = h.account_id JOIN roster b ON b.match_id = h.match_id AND b.account_id = h.victim_id WHERE h.idx % 3 < 2")
@@ -360,9 +386,9 @@ def d21_blue_dwell(spark, sf, e):
     return dbl(zone.blue_dwell(t, 900.0), "blue_s")
 
 
-@query(f"{W}, {DEATHS}, {LANDED}, c AS (SELECT match_id, idx AS circle, t_s AS announced, x AS zx, y AS zy FROM knocks WHERE idx % 5 = 0), i AS (SELECT p.match_id, p.account_id, c.circle, min(p.t_s) - min(greatest(announced, land_t)) AS lag FROM positions p LEFT JOIN deaths d USING (match_id, account_id) JOIN landed l ON l.match_id = p.match_id AND l.account_id = p.account_id JOIN c ON c.match_id = p.match_id WHERE (death_t IS NULL OR p.t_s < death_t) AND p.t_s >= greatest(announced, land_t) AND sqrt((p.x-zx)*(p.x-zx)+(p.y-zy)*(p.y-zy)) <= 300000 GROUP BY 1, 2, 3) SELECT match_id, account_id, sum(lag) / count(*) AS rotate_lag_s, count(*) AS n_circles FROM i GROUP BY 1, 2")
+@query(f"{W}, {DEATHS}, {LANDED}, c AS (SELECT match_id, idx AS circle, t_s AS announced, x AS zx, y AS zy FROM knocks), i AS (SELECT p.match_id, p.account_id, c.circle, min(p.t_s) - min(greatest(announced, land_t)) AS lag FROM positions p LEFT JOIN deaths d USING (match_id, account_id) JOIN landed l ON l.match_id = p.match_id AND l.account_id = p.account_id JOIN c ON c.match_id = p.match_id WHERE (death_t IS NULL OR p.t_s < death_t) AND p.t_s >= greatest(announced, land_t) AND sqrt((p.x-zx)*(p.x-zx)+(p.y-zy)*(p.y-zy)) <= 300000 GROUP BY 1, 2, 3) SELECT match_id, account_id, sum(lag) / count(*) AS rotate_lag_s, count(*) AS n_circles FROM i GROUP BY 1, 2")
 def d22_rotate_lag(spark, sf, e):
-    circles = of(e, "knock").where("idx % 5 = 0").select("match_id", "idx", "t_s", F.col("x").alias("zx"), F.col("y").alias("zy"), F.lit(300_000.0).alias("zr"))
+    circles = of(e, "knock").select("match_id", "idx", "t_s", F.col("x").alias("zx"), F.col("y").alias("zy"), F.lit(300_000.0).alias("zr"))
     return zone.rotate_lag(tracks.resolve_alive(of(e, "position"), tracks.final_deaths(of(e, "kill"))), circles, landed(e))
 
 
@@ -383,37 +409,67 @@ def d26_early_items(spark, sf, e):
 
 
 _CTX = f"""{W}, {ROSTER}, {DEATHS}, v AS (SELECT k.match_id, k.idx, k.victim_id, k.t_s, r.team_id FROM kills k JOIN roster r ON r.match_id = k.match_id AND r.account_id = k.victim_id),
-near AS (SELECT q.match_id, q.k, q.account_id, p.x, p.y, abs(p.t_s - q.t_s) AS lag FROM (SELECT v.match_id, v.idx AS k, v.t_s, r.account_id FROM v JOIN roster r ON r.match_id = v.match_id AND r.team_id = v.team_id) q JOIN positions p ON p.match_id = q.match_id AND p.account_id = q.account_id
+near AS (SELECT q.match_id, q.k, q.account_id, p.x, p.y, p.idx % 3 = 0 AS rides, abs(p.t_s - q.t_s) AS lag FROM (SELECT v.match_id, v.idx AS k, v.t_s, r.account_id FROM v JOIN roster r ON r.match_id = v.match_id AND r.team_id = v.team_id) q JOIN positions p ON p.match_id = q.match_id AND p.account_id = q.account_id
   QUALIFY row_number() OVER (PARTITION BY q.k, q.account_id ORDER BY abs(p.t_s - q.t_s), CASE WHEN p.t_s <= q.t_s THEN 0 ELSE 1 END, CASE WHEN p.t_s <= q.t_s THEN -p.idx ELSE p.idx END) = 1),
 ok AS (SELECT * FROM near WHERE lag <= {LAG}),
 mate AS (SELECT v.idx, count(*) AS n, min(sqrt((o.x-m.x)*(o.x-m.x)+(o.y-m.y)*(o.y-m.y))) AS d FROM v JOIN roster r ON r.match_id = v.match_id AND r.team_id = v.team_id AND r.account_id <> v.victim_id LEFT JOIN deaths dd ON dd.match_id = v.match_id AND dd.account_id = r.account_id LEFT JOIN ok o ON o.k = v.idx AND o.account_id = v.victim_id LEFT JOIN ok m ON m.k = v.idx AND m.account_id = r.account_id WHERE death_t IS NULL OR death_t > v.t_s GROUP BY v.idx)
-SELECT v.match_id, v.idx, v.victim_id, o.lag AS sample_lag, coalesce(n, 0) AS teammates_alive, d AS nearest_teammate FROM v LEFT JOIN mate USING (idx) LEFT JOIN ok o ON o.k = v.idx AND o.account_id = v.victim_id"""
+SELECT v.match_id, v.idx, v.victim_id, o.lag AS sample_lag, coalesce(o.rides, false) AS in_vehicle, coalesce(n, 0) AS teammates_alive, d AS nearest_teammate FROM v LEFT JOIN mate USING (idx) LEFT JOIN ok o ON o.k = v.idx AND o.account_id = v.victim_id"""
 
 
 @query(_CTX)
 def d28_death_context(spark, sf, e):
-    return zone.death_context(of(e, "kill"), roster(e), of(e, "position"), tracks.final_deaths(of(e, "kill")), LAG)
+    return zone.death_context(of(e, "kill"), roster(e), of(e, "position").withColumn("riding", F.when(F.col("idx") % 3 == 0, "v")), tracks.final_deaths(of(e, "kill")), LAG)
 
 
-@query(None)
+@query(f"""{W}, {ROSTER}, {DEATHS}, up AS (SELECT p.match_id, p.account_id, p.idx, p.t_s, p.x, p.y, r.team_id FROM positions p JOIN roster r USING (match_id, account_id) LEFT JOIN deaths USING (match_id, account_id) WHERE death_t IS NULL OR p.t_s < death_t),
+n AS (SELECT a.match_id, a.account_id, a.idx, abs(b.t_s - a.t_s) AS lag, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM up a JOIN up b ON a.match_id = b.match_id AND a.team_id = b.team_id AND a.account_id <> b.account_id
+  QUALIFY row_number() OVER (PARTITION BY a.idx, b.account_id ORDER BY abs(b.t_s - a.t_s), CASE WHEN b.t_s <= a.t_s THEN 0 ELSE 1 END, CASE WHEN b.t_s <= a.t_s THEN -b.idx ELSE b.idx END) = 1),
+m AS (SELECT match_id, account_id, idx, min(d) AS d FROM n WHERE lag <= {LAG} GROUP BY 1, 2, 3)
+SELECT match_id, account_id, count(*) AS n_samples, round(avg(d), 3) AS teammate_dist_avg, count(*) FILTER (d <= 10000) / count(*) AS teammate_near_pct FROM m GROUP BY 1, 2""")
 def d23_teammate_spread(spark, sf, e):
     t = tracks.resolve_alive(of(e, "position"), tracks.final_deaths(of(e, "kill")))
-    return zone.teammate_spread(t, roster(e), LAG)
+    return zone.teammate_spread(t, roster(e), LAG).withColumn("teammate_dist_avg", F.round("teammate_dist_avg", 3))
+
+
+@query(f"""{W}, {ROSTER}, {DEATHS}, pe AS (SELECT match_id, CAST(floor(t_s / 21600) AS INTEGER) AS phase, idx % 2 = 0 AS early, arg_max(t_s, idx) AS t, arg_max([account_id, victim_id], idx) AS members FROM knocks GROUP BY 1, 2, 3),
+ph AS (SELECT match_id, phase, max(t) FILTER (early) AS announce_t, max(t) FILTER (NOT early) AS close_t, any_value(members) FILTER (early) AS am, any_value(members) FILTER (NOT early) AS cm FROM pe GROUP BY 1, 2), pt AS (SELECT *, coalesce(close_t, announce_t) AS t FROM ph),
+ci AS (SELECT pt.match_id, phase, arg_max({{'x': k.x, 'y': k.y, 'r': CASE WHEN k.idx % 5 > 0 THEN 200000.0 ELSE 0 END}}, k.t_s * 100000000 + k.idx) AS c FROM pt JOIN kills k ON k.match_id = pt.match_id AND k.t_s <= t GROUP BY 1, 2),
+ro AS (SELECT r.account_id, pt.* FROM pt JOIN roster r USING (match_id)),
+ne AS (SELECT ro.match_id, ro.account_id, ro.phase, p.idx, p.x, p.y, p.t_s, abs(p.t_s - t) AS lag FROM ro JOIN positions p ON p.match_id = ro.match_id AND p.account_id = ro.account_id
+  QUALIFY row_number() OVER (PARTITION BY ro.match_id, ro.account_id, ro.phase ORDER BY abs(p.t_s - t), CASE WHEN p.t_s <= t THEN 0 ELSE 1 END, CASE WHEN p.t_s <= t THEN -p.idx ELSE p.idx END) = 1),
+nd AS (SELECT ne.*, death_t IS NULL OR t_s < death_t AS alive FROM ne LEFT JOIN deaths USING (match_id, account_id) WHERE lag <= {LAG}),
+al AS (SELECT ro.*, nd.alive, nd.idx AS s_idx, nd.lag, list_contains(am, ro.account_id) AS in_at_announce, list_contains(cm, ro.account_id) AS in_at_close, CASE WHEN c.r > 0 THEN sqrt((nd.x-c.x)*(nd.x-c.x)+(nd.y-c.y)*(nd.y-c.y)) END AS to_centre
+  FROM ro LEFT JOIN nd USING (match_id, account_id, phase) LEFT JOIN ci USING (match_id, phase))
+SELECT match_id, account_id, phase, announce_t, close_t, in_at_announce, in_at_close, alive, coalesce(s_idx % 3 = 0, false) AS in_vehicle, round(to_centre, 3) AS to_centre, round(200000 - to_centre, 3) AS to_edge, lag AS sample_lag
+FROM al WHERE s_idx IS NOT NULL OR coalesce(in_at_announce, false) OR coalesce(in_at_close, false)""")
+def d20_zone_play(spark, sf, e):
+    kind = F.when(F.col("idx") % 2 == 0, "announce").otherwise("close")
+    phases = of(e, "knock").withColumn("phase", F.floor(F.col("t_s") / 21600).cast("int")).withColumn("phase_kind", kind).withColumn("members", F.array("account_id", "victim_id"))
+    radius = F.when(F.col("idx") % 5 > 0, F.lit(200_000.0)).otherwise(F.lit(0.0))
+    zones = of(e, "kill").select("match_id", "t_s", "idx", F.col("x").alias("zx"), F.col("y").alias("zy"), radius.alias("zr"))
+    track = tracks.resolve_alive(of(e, "position"), tracks.final_deaths(of(e, "kill"))).withColumn("riding", F.when(F.col("idx") % 3 == 0, "v"))
+    return zone.zone_play(roster(e), phases, track, zones, LAG).withColumns({c: F.round(c, 3) for c in ("to_centre", "to_edge")})
 
 
-@query(None)
-def d20_zone_play(spark, sf, e):
-    phases = of(e, "knock").withColumn("phase", F.floor(F.col("t_s") / 21600).cast("int")).withColumn("phase_kind", F.when(F.col("idx") % 2 == 0, "announce").otherwise("close")).withColumn("members", F.array("account_id", "victim_id"))
-    zones = of(e, "kill").select("match_id", "t_s", "idx", F.col("x").alias("zx"), F.col("y").alias("zy"), F.lit(200_000.0).alias("zr"))
-    return zone.zone_play(roster(e), phases, of(e, "position"), zones, LAG)
+@query(f"""WITH blue AS ({SQL["d21_blue_dwell"]}), lagged AS ({SQL["d22_rotate_lag"]}), hot AS ({SQL["d24_hot_drop"]}), early AS ({SQL["d25_early_combat"]}), items AS ({SQL["d26_early_items"]}), {EV}, {ROSTER}
+SELECT match_id, account_id, blue_s, rotate_lag_s, n_circles, hot_drop_n, first_engage_s, dmg_dealt_early, dmg_taken_early, first_weapon_s, early_pickups_n
+FROM roster LEFT JOIN blue USING (match_id, account_id) LEFT JOIN lagged USING (match_id, account_id) LEFT JOIN hot USING (match_id, account_id) LEFT JOIN early USING (match_id, account_id) LEFT JOIN items USING (match_id, account_id)""")
+def d27_strategy_metrics(spark, sf, e):
+    names = ("d21_blue_dwell", "d22_rotate_lag", "d24_hot_drop", "d25_early_combat", "d26_early_items")
+    return zone.strategy_metrics(roster(e), *[Q[n](spark, sf) for n in names])
 
 
 # --- places and exports
 
 
-@query(f"{W}, {ROSTER} SELECT p.match_id, dense_rank() OVER (PARTITION BY p.match_id ORDER BY p.team_id, p.account_id) - 1 AS player, idx, CAST(floor(t_s * 1000 / 2000.0) AS INTEGER) AS tick, CAST(round_even(x / 816000 * 65535, 0) AS INTEGER) AS qx, CAST(round_even(y / 816000 * 65535, 0) AS INTEGER) AS qy FROM positions p")
+@query(f"""{W} SELECT p.match_id, dense_rank() OVER (PARTITION BY p.match_id ORDER BY p.team_id, p.account_id) - 1 AS player, idx, CAST(floor(t_s * 1000 / 2000.0) AS INTEGER) AS tick,
+CAST(round_even(x / 816000 * 65535, 0) AS INTEGER) AS qx, CAST(round_even(y / 816000 * 65535, 0) AS INTEGER) AS qy, CAST(least(greatest(round_even(CAST(damage AS DOUBLE) - 20, 0), 0), 255) AS INTEGER) AS hp,
+CAST(CASE WHEN damage > 20 THEN 1 ELSE 0 END + CASE WHEN idx % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN idx % 7 = 0 THEN 8 ELSE 0 END + CASE WHEN idx % 10 = 0 THEN 64 ELSE 0 END AS INTEGER) AS flags FROM positions p""")
 def e1_replay_positions(spark, sf, e):
-    return spatial.replay_positions(of(e, "position"), 816_000, 2000)
+    i, health = F.col("idx"), F.col("damage").cast("double") - 20
+    kind = F.when(i % 2 == 0, "WheeledVehicle").otherwise("TransportAircraft")
+    flags = norm.sample_flags(health, F.lit(False), i % 5 == 0, kind, i % 7 == 0, F.lit(False), F.lit(1.0))
+    return spatial.replay_positions(of(e, "position").withColumn("health", health).withColumn("flags", norm.flag_mask(**flags)), 816_000, 2000)
 
 
 @query(f"{W} SELECT match_id, idx, 'kill' AS event, victim_id, NULL AS team_id, CAST(floor(t_s / 2.0) AS INTEGER) AS tick FROM kills UNION ALL SELECT match_id, idx, 'landing', NULL, team_id, CAST(floor(t_s / 2.0) AS INTEGER) FROM landings")
@@ -497,15 +553,21 @@ def e12_label_points(spark, sf, e):
     return spatial.label_points(of(e, "landing").select(F.col("idx").alias("point_id"), "x", "y"), places, 20_000, 150_000)
 
 
-_DROPS = "res2 AS (SELECT match_id, team_id, min(account_id) AS win_place, CAST(count(*) AS BIGINT) AS kills, max(t_s) AS survived_s FROM kills GROUP BY 1, 2), g AS (SELECT match_id, team_id, count(*) AS n, sum(land_x) / count(*) AS x, sum(land_y) / count(*) AS y, min(land_t) AS first_t FROM landed GROUP BY 1, 2), sp AS (SELECT g.match_id, g.team_id, max(sqrt((land_x - x) * (land_x - x) + (land_y - y) * (land_y - y))) AS spread FROM g JOIN landed l ON l.match_id = g.match_id AND l.team_id = g.team_id GROUP BY 1, 2), drops AS (SELECT g.*, spread, win_place AS place, kills, survived_s FROM g JOIN sp USING (match_id, team_id) LEFT JOIN res2 USING (match_id, team_id))"
+_DROPS = """res2 AS (SELECT match_id, team_id, min(account_id) AS win_place, CAST(count(*) AS BIGINT) AS kills, max(t_s) AS survived_s, list_sort(list_distinct(list('p' || CAST(account_id % 5 AS STRING)))) AS names FROM kills GROUP BY 1, 2),
+st AS (SELECT match_id, account_id, CASE WHEN account_id % 4 > 0 THEN max(idx) % 5 END AS hot_drop_n, CAST(min(t_s) AS DOUBLE) AS first_weapon_s FROM hits GROUP BY 1, 2), ls AS (SELECT * FROM landed LEFT JOIN st USING (match_id, account_id)),
+g AS (SELECT match_id, team_id, count(*) AS n, sum(land_x) / count(*) AS x, sum(land_y) / count(*) AS y, min(land_t) AS first_t, max(hot_drop_n) AS contested, sum(first_weapon_s) / count(first_weapon_s) AS first_weapon_s FROM ls GROUP BY 1, 2),
+sp AS (SELECT g.match_id, g.team_id, max(sqrt((land_x - x) * (land_x - x) + (land_y - y) * (land_y - y))) AS spread FROM g JOIN landed l ON l.match_id = g.match_id AND l.team_id = g.team_id GROUP BY 1, 2),
+drops AS (SELECT g.* EXCLUDE (first_weapon_s), CASE WHEN isfinite(first_weapon_s) THEN round(first_weapon_s, 3) END AS first_weapon_s, spread, win_place AS place, kills, survived_s, names FROM g JOIN sp USING (match_id, team_id) LEFT JOIN res2 USING (match_id, team_id))"""
 
 
 def _drops(e):
-    r = of(e, "kill").groupBy("match_id", "team_id").agg(F.min("account_id").alias("win_place"), F.count("*").alias("kills"), F.max("t_s").alias("survived_s"))
-    return spatial.squad_drops(landed(e), r)
+    killed = of(e, "kill").select("match_id", "team_id", F.col("account_id").alias("win_place"), F.lit(1).alias("kills"), F.col("t_s").alias("survived_s"), F.concat(F.lit("p"), (F.col("account_id") % 5).cast("string")).alias("name"))
+    began = of(e, "hit").groupBy(*M).agg((F.max("idx") % 5).alias("h"), F.min("t_s").cast("double").alias("first_weapon_s"))
+    strategy = began.withColumn("hot_drop_n", F.when(F.col("account_id") % 4 > 0, F.col("h")))
+    return spatial.squad_drops(landed(e), killed, strategy).withColumn("first_weapon_s", F.round("first_weapon_s", 3))
 
 
-@query(f"{W}, {LANDED}, {_DROPS} SELECT match_id, team_id, n, round(x, 3) AS x, round(y, 3) AS y, first_t, round(spread, 3) AS spread, place, CAST(kills AS BIGINT) AS kills, survived_s FROM drops")
+@query(f"{W}, {LANDED}, {_DROPS} SELECT match_id, team_id, n, round(x, 3) AS x, round(y, 3) AS y, first_t, round(spread, 3) AS spread, contested, first_weapon_s, place, CAST(kills AS BIGINT) AS kills, survived_s, names FROM drops")
 def e13_squad_drops(spark, sf, e):
     return _drops(e).withColumns({c: F.round(c, 3) for c in ("x", "y", "spread")})
 
@@ -516,6 +578,7 @@ def e14_cluster_points(spark, sf, e):
     return spatial.cluster_points(of(e, "landing").select(F.col("idx").alias("point_id"), "x", "y"), 40_000, shared)
 
 
-@query(f"{W}, {LANDED}, {_DROPS} SELECT CAST(team_id AS STRING) AS cluster, count(*) AS n, quantile_disc(place, 0.5) AS median_place, min(place) AS best_place, sum(survived_s) / count(survived_s) AS mean_survived_s, sum(kills) / count(*) AS kills_per_drop, count(CASE WHEN n > 3 THEN kills > 10 END) AS n_contested_known, count(*) FILTER (n > 3 AND kills > 10) / nullif(count(CASE WHEN n > 3 THEN kills > 10 END), 0) AS contested_rate FROM drops GROUP BY 1")
+@query(f"""{W}, {LANDED}, {_DROPS} SELECT CAST(team_id AS STRING) AS cluster, count(*) AS n, quantile_disc(place, 0.5) AS median_place, min(place) AS best_place, sum(survived_s) / count(survived_s) AS mean_survived_s, CAST(sum(kills) AS DOUBLE) / count(*) AS kills_per_drop,
+count(contested) AS n_contested_known, count(*) FILTER (contested > 0) / nullif(count(contested), 0) AS contested_rate, quantile_disc(first_weapon_s, 0.5) AS median_first_weapon_s, count(first_weapon_s) AS n_first_weapon_known, count(*) FILTER (spread > 20000) AS n_split FROM drops GROUP BY 1""")
 def e15_summarised_clusters(spark, sf, e):
-    return spatial.summarised_clusters(_drops(e).withColumn("cluster", F.col("team_id").cast("string")).withColumn("contested", F.when(F.col("n") > 3, F.col("kills") > 10)))
+    return spatial.summarised_clusters(_drops(e).withColumn("cluster", F.col("team_id").cast("string")))
