@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.norm import armor_level
+from matchlake.functions.norm import armor_level, tick
 from matchlake.operators.temporal import asof
 
 KEYS = ("match_id", "account_id")
@@ -165,6 +165,45 @@ def placed(rows: DataFrame) -> DataFrame:
     return r.groupBy(*KEYS).applyInPandas(_place, _SLOT_FIELDS.format(m=kinds["match_id"], a=kinds["account_id"]))
 
 
+DELTA = ("match_id", "account_id", "idx", "t_ms", "op", "slot", "item", "quantity", "attached")
+
+
+def deltas(items: DataFrame, deaths: DataFrame, hits: DataFrame) -> DataFrame:
+    """All effects on what players carry, as one table: op is add, remove, set, provenance, equip, unequip, attach, detach, destroy, clear or armour_hit.
+
+    items: match_id, account_id, idx, t_ms, kind (of OPS), item, stack, slot (by category), child, attached; deaths: the final ones, with
+    idx and death_ms; hits: match_id, account_id (of who is hit), idx, t_ms, slot, damage. Pickups from a trunk count only without a plain
+    one, unequips only without a destruction, nothing counts after an account's final death, and the death itself clears. quantity is the
+    stack moved, for an armour hit what is left of the piece in percent, else null.
+    """
+    rows = before_death(items.withColumn("op", op_of(F.col("kind"))).where("op is not null"), deaths).where("not late").drop("late")
+    trunk, plain = rows.where("lower(kind) like '%trunk'"), rows.where("lower(kind) not like '%trunk'")
+    moved = plain.where("op in ('add', 'remove', 'set', 'provenance')").unionByName(trunk_pickups(trunk, plain.where("op = 'add'")))
+    moved = moved.withColumn("quantity", quantity(F.col("op"), F.col("stack"))).withColumn("slot", F.lit(None).cast("int"))
+
+    acts = plain.where("op in ('equip', 'attach', 'detach', 'destroy')").unionByName(unequips(plain.where("op = 'unequip'"), plain.where("op = 'destroy'")))
+    cleared = deaths.select(*KEYS, "idx", F.col("death_ms").alias("t_ms"), F.lit("clear").alias("op"))
+    acts = acts.withColumnRenamed("attached", "before").unionByName(cleared, allowMissingColumns=True)
+    done = placed(acts).withColumn("quantity", F.lit(None).cast("bigint"))
+
+    # a death takes off what is worn in both slots
+    both = F.when(F.col("op") == "clear", F.array(F.lit(HELMET), F.lit(VEST))).otherwise(F.array("slot"))
+    worn = done.where("op in ('equip', 'unequip', 'destroy', 'clear')").select(*KEYS, "idx", "t_ms", "op", "item", F.explode(both).alias("slot")).where(F.col("slot").isin(HELMET, VEST))
+    put = worn.select(*KEYS, "idx", "slot", F.when(F.col("op") == "equip", "equip").otherwise("off").alias("op"), "item", F.lit(None).cast("double").alias("damage"))
+    felt = before_death(hits, deaths).where("not late").select(*KEYS, "idx", "t_ms", F.col("slot").cast("int").alias("slot"), F.col("damage").cast("double").alias("damage"))
+    worn_out = armour_hits(put.unionByName(felt.select(*KEYS, "idx", "slot", F.lit("hit").alias("op"), F.lit(None).cast("string").alias("item"), "damage")))
+    worn_out = worn_out.join(felt.select(*KEYS, "idx", "t_ms"), [*KEYS, "idx"]).withColumn("op", F.lit("armour_hit")).withColumn("quantity", F.col("percent").cast("bigint"))
+    worn_out = worn_out.withColumn("attached", F.lit(None).cast("array<string>"))
+    return moved.select(*DELTA).unionByName(done.select(*DELTA)).unionByName(worn_out.select(*DELTA))
+
+
+def replay_inventory(rows: DataFrame, roster: DataFrame, tick_ms: int) -> DataFrame:
+    """deltas for a replay: by player (team, then account) and tick; a player that isn't in the roster has no row."""
+    player = F.dense_rank().over(Window.partitionBy("match_id").orderBy("team_id", "account_id")) - 1
+    players = roster.select(*KEYS, player.alias("player"))
+    return rows.join(players, list(KEYS)).select("match_id", "player", tick(F.col("t_ms") / 1000, tick_ms).alias("tick"), "idx", "op", "slot", "item", "quantity")
+
+
 def snapshots(states: DataFrame, what: Sequence[str], value: str, every_ms: int = KEYFRAME_MS) -> DataFrame:
     """Every state (value, per match, account and what) as of each multiple of every_ms up to the match's last row; at_ms is the multiple.
 

@@ -108,6 +108,55 @@ def f8_snapshots(e):
     return inventory.snapshots(_stacks(e), ["item"], "stack", 21_600_000)
 
 
+def _deltas(e):
+    """Landings put armour on, knocks attach, a seventh of the positions takes off, the others pick up; hits wear armour, kills end it."""
+    kind = F.expr("CASE WHEN kind = 'landing' THEN 'LogItemEquip' WHEN kind = 'knock' THEN 'LogItemAttach' WHEN kind = 'position' AND idx % 7 = 0 THEN 'LogItemUnequip' WHEN kind = 'position' THEN 'LogItemPickup' END")
+    slot = (5 + F.col("idx") % 2).cast("int")
+    named = F.concat(F.lit("X"), slot.cast("string"), F.lit("_Lv2"))
+    rows = of(e, "landing", "knock", "position").select(*M, "idx", "t_ms", kind.alias("kind"), named.alias("item"), (F.col("idx") % 4).alias("stack"), slot.alias("slot"), F.lit("scope").alias("child"), F.array().cast("array<string>").alias("attached"))
+    last = of(e, "kill").groupBy("match_id", F.col("victim_id").alias("account_id")).agg(F.max("t_ms").alias("death_ms"), F.max_by("idx", F.struct("t_ms", "idx")).alias("idx"))
+    hits = of(e, "hit").select("match_id", F.col("victim_id").alias("account_id"), "idx", "t_ms", slot.alias("slot"), "damage")
+    return inventory.deltas(rows, last, hits)
+
+
+_DELTAS = f"""{_T}, de AS (SELECT match_id, victim_id AS account_id, max(t_ms) AS death_ms, arg_max(idx, t_ms * 100000000 + idx) AS idx FROM tm WHERE kind = 'kill' GROUP BY 1, 2),
+it AS (SELECT tm.match_id, tm.account_id, tm.idx, t_ms, CASE WHEN kind = 'landing' THEN 'equip' WHEN kind = 'knock' THEN 'attach' WHEN tm.idx % 7 = 0 THEN 'unequip' ELSE 'add' END AS op, CAST(5 + tm.idx % 2 AS INTEGER) AS slot
+  FROM tm LEFT JOIN de USING (match_id, account_id) WHERE kind IN ('landing', 'knock', 'position') AND (death_ms IS NULL OR t_ms <= death_ms)),
+wr AS (SELECT *, lag(op) OVER (PARTITION BY match_id, account_id, slot ORDER BY idx) = 'equip' AS held FROM it WHERE op <> 'add'),
+off AS (SELECT match_id, account_id, idx, slot, CASE WHEN op = 'equip' THEN 'equip' ELSE 'off' END AS op, CAST(NULL AS DOUBLE) AS damage, t_ms FROM wr WHERE op <> 'attach' UNION ALL SELECT match_id, account_id, idx, unnest([5, 6]), 'off', NULL, death_ms FROM de
+  UNION ALL SELECT tm.match_id, victim_id, tm.idx, CAST(5 + tm.idx % 2 AS INTEGER), 'hit', CAST(damage AS DOUBLE), t_ms FROM tm LEFT JOIN de ON de.match_id = tm.match_id AND de.account_id = victim_id WHERE kind = 'hit' AND (death_ms IS NULL OR t_ms <= death_ms)),
+st2 AS (SELECT *, count(*) FILTER (op <> 'hit') OVER w AS change, last_value(CASE WHEN op <> 'hit' THEN op END IGNORE NULLS) OVER w AS state FROM off WINDOW w AS (PARTITION BY match_id, account_id, slot ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+hh AS (SELECT *, CASE slot WHEN 5 THEN 150.0 ELSE 235.0 END AS cap, sum(CASE WHEN damage > 0 THEN damage / 0.6::DOUBLE ELSE 40 END) OVER (PARTITION BY match_id, account_id, slot, change ORDER BY idx ROWS UNBOUNDED PRECEDING) AS lost FROM st2 WHERE op = 'hit' AND state = 'equip'),
+dl AS (SELECT match_id, account_id, idx, t_ms, op, NULL AS slot, 'X' || slot || '_Lv2' AS item, CASE WHEN idx % 4 = 0 THEN 1 ELSE idx % 4 END AS quantity FROM it WHERE op = 'add'
+  UNION ALL SELECT match_id, account_id, idx, t_ms, op, CASE WHEN op <> 'attach' OR held THEN slot END, 'X' || slot || '_Lv2', NULL FROM wr UNION ALL SELECT match_id, account_id, idx, death_ms, 'clear', NULL, NULL, NULL FROM de
+  UNION ALL SELECT match_id, account_id, idx, t_ms, 'armour_hit', slot, 'X' || slot || '_Lv2', CAST(round_even(greatest(0, cap - lost) / cap * 100, 0) AS BIGINT) FROM hh)"""
+
+
+@over(timed, f"{_DELTAS} SELECT * FROM dl")
+def f1_inventory_deltas(e):
+    return _deltas(e).drop("attached")
+
+
+@over(timed, f"{_DELTAS}, ro AS (SELECT match_id, account_id, min(team_id) AS team_id FROM ev GROUP BY 1, 2), pl AS (SELECT *, dense_rank() OVER (PARTITION BY match_id ORDER BY team_id, account_id) - 1 AS player FROM ro) SELECT match_id, player, CAST(least(floor(t_ms / 2000.0), 65535) AS INTEGER) AS tick, idx, op, slot, item, quantity FROM dl JOIN pl USING (match_id, account_id)")
+def e3_replay_inventory(e):
+    return inventory.replay_inventory(_deltas(e), timeline.roster(e), 2000)
+
+
+@over(timed, f"{_ST}, d AS (SELECT match_id, victim_id AS account_id, max(t_ms) AS death_ms FROM tm WHERE kind = 'kill' GROUP BY 1, 2) SELECT match_id, account_id, item, arg_max(stack, st.t_ms * 100000000 + idx) AS stack, death_ms AS at_ms FROM st JOIN d USING (match_id, account_id) WHERE st.t_ms <= death_ms GROUP BY 1, 2, 3, 5 HAVING arg_max(stack, st.t_ms * 100000000 + idx) <> 0")
+def f9_held_at_death(e):
+    return inventory.held_at_death(_stacks(e), _deaths(e), ["item"], "stack")
+
+
+def _seen(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority", "o_orderkey", "o_orderdate")
+    return o.select(F.col("o_orderpriority").alias("job"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate").cast("timestamp")).alias("seen_at"))
+
+
+@over(_seen, "SELECT o_orderpriority AS job, CAST(epoch(TIMESTAMP '2000-01-01') - epoch(max(o_orderdate) FILTER (o_orderkey % 3 > 0)) AS BIGINT) AS age_s FROM orders GROUP BY 1")
+def h1_heartbeat_age(rows):
+    return jobs.heartbeat_age(rows, F.lit("2000-01-01").cast("timestamp"))
+
+
 # --- reviews
 
 

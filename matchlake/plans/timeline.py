@@ -74,9 +74,13 @@ def c2_roster(spark, sf, e):
     return tracks.roster(e).select(*M, "team_id", "idx", "t_s")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EV}, h AS (SELECT match_id, account_id, idx, CAST(damage AS DOUBLE) % 100 AS health, kind = 'hit' AS heal, row_number() OVER (PARTITION BY match_id, account_id ORDER BY t_s, idx) AS n FROM ev WHERE kind IN ('position', 'hit')),
+f AS (SELECT match_id, account_id, idx, n, true AS keep, health AS last FROM h WHERE n = 1 UNION ALL SELECT h.match_id, h.account_id, h.idx, h.n, NOT heal OR abs(health - last) >= 5, CASE WHEN NOT heal OR abs(health - last) >= 5 THEN health ELSE last END
+  FROM f JOIN h ON h.match_id = f.match_id AND h.account_id = f.account_id AND h.n = f.n + 1)
+SELECT match_id, account_id, idx FROM f WHERE keep""")
 def c4_heal_thinned(spark, sf, e):
-    return tracks.heal_thinned(of(e, "position", "hit").select(*M, "t_s", "idx", (F.col("kind") == "hit").alias("is_heal"), (F.col("damage").cast("double") % 100).alias("health")))
+    health = (F.col("damage").cast("double") % 100).alias("health")
+    return tracks.heal_thinned(of(e, "position", "hit").select(*M, "t_s", "idx", (F.col("kind") == "hit").alias("is_heal"), health)).select(*M, "idx")
 
 
 @query(f"WITH {EV}, v AS (SELECT match_id, account_id, idx, CASE kind WHEN 'landing' THEN 'v' || CAST(idx % 3 AS STRING) WHEN 'kill' THEN '' END AS vehicle_id FROM ev) SELECT match_id, account_id, idx, nullif(last_value(vehicle_id IGNORE NULLS) OVER (PARTITION BY match_id, account_id ORDER BY idx ROWS UNBOUNDED PRECEDING), '') AS riding FROM v")
@@ -572,7 +576,9 @@ def e13_squad_drops(spark, sf, e):
     return _drops(e).withColumns({c: F.round(c, 3) for c in ("x", "y", "spread")})
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EV}, pt AS (SELECT idx AS point_id, x, y, CAST(floor(x / 40000) AS INTEGER) AS cx, CAST(floor(y / 40000) AS INTEGER) AS cy FROM ev WHERE kind = 'landing'), ce AS (SELECT DISTINCT cx, cy FROM pt),
+re AS (SELECT cx AS fx, cy AS fy, cx, cy FROM ce UNION SELECT re.fx, re.fy, ce.cx, ce.cy FROM re JOIN ce ON abs(ce.cx - re.cx) <= 1 AND abs(ce.cy - re.cy) <= 1),
+na AS (SELECT fx AS cx, fy AS cy, min(CAST(cx AS VARCHAR) || ',' || CAST(cy AS VARCHAR)) AS cluster FROM re GROUP BY 1, 2) SELECT point_id, x, y, cluster FROM pt JOIN na USING (cx, cy)""")
 def e14_cluster_points(spark, sf, e):
     shared = spatial.shared_folder(spark)
     return spatial.cluster_points(of(e, "landing").select(F.col("idx").alias("point_id"), "x", "y"), 40_000, shared)
