@@ -12,8 +12,9 @@ combine before the shuffle; windows run within one conversation only.
 
 Nulls and ties: turns are taken in order of turn, role and text, nulls first; a
 null role or text differs from an empty one and is rendered as empty; rows without
-a conv_id form one conversation; repeated rows are repeated turns; other columns
-are ignored.
+a conv_id form one conversation; repeated rows are repeated turns; an empty table
+gives no rows; texts of any length are hashed whole; other columns are ignored. A
+conversation's turns are sorted in one task, as its rendered text is one value.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.llm._common import materialize, scratch
+
 #: The text around a turn.
 BEFORE_ROLE, AFTER_ROLE, AFTER_TURN = "<|", "|>\n", "<|end|>\n"
 
@@ -40,7 +43,12 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and n_copies of the conversations that no other one extends."""
-    p = prefixes(turns)
+    with scratch(turns.sparkSession, "chats") as kept:
+        p = materialize(prefixes(turns), "prefixes")
+        return kept(_maximal(p))
+
+
+def _maximal(p: DataFrame) -> DataFrame:
     whole = p.where("place = n_turns").groupBy("n_turns", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     proper = p.where("place < n_turns").select(F.col("place").alias("n_turns"), "p1", "p2").distinct()
     return whole.join(proper, ["n_turns", "p1", "p2"], "left_anti").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies")

@@ -5,8 +5,10 @@ lower-cased. Keys of min_chars code points or more that two or more documents
 hold keep their lines only in the document with the smallest id.
 
 Nulls and ties: a null or empty text is one empty line; a null id counts as one
-document after all others; rows that repeat an id are one document, so a line
-in both copies isn't shared by that alone; other columns pass through untouched.
+document after all others (so is the id 2**63 - 1); rows that repeat an id are one
+document, so a line in both copies isn't shared by that alone; texts and lines of any
+length are taken whole; an empty table gives no rows; other columns pass through
+untouched, whatever their names.
 """
 
 from __future__ import annotations

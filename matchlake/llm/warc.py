@@ -13,7 +13,9 @@ index count, so a lost or repeated task leaves nothing but an unused file.
 
 Nulls and ties: a null html is an empty payload, a null url leaves out the target
 header, a null page id is never the one that others revisit while there is
-another; rows that repeat the smallest id are all responses.
+another; rows that repeat the smallest id are all responses; of several equal rows
+each has a record; a payload longer than a frame gets a frame of its own and is held
+whole by one task; an empty table gives an empty index; other columns aren't archived.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -201,6 +202,39 @@ def test_quality(docs, none):
     assert quality.filter_documents(none).count() == 0
 
 
+def test_quality_kept(spark):
+    """kept against distances computed apart, with nulls, repeats, a long text and other columns."""
+    words = quality.LANGUAGES["en"]
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(words) if rnd.random() < 0.5 else "w" + str(rnd.randrange(10**6)) for _ in range(150)) for _ in range(30)]
+    texts += [" ".join(f"zz{i}" for i in range(300)), " ".join(f"zz{i}" for i in range(60)), "$$ " * 5 + texts[0], None, "", texts[0] + " " + " ".join(f"u{i}" for i in range(50_000)), "#|# " .join(texts[1].split()[:120])]
+    rows = [(i, t, "xx" if len(t or "") > 100_000 else "en", 1, True) for i, t in enumerate(texts)] + [(0, texts[0], "en", 1, True), (99, texts[30], None, 1, True), (None, texts[2], "xx", 1, True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, words int, kept boolean")
+
+    def hists(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        upper, digit, point, symbol = (len(re.findall(p, t)) for p in ("[A-ZÀ-Þ]", "[0-9]", r"[.,;:!?()'\"-]", "[#*$%&|<>]"))
+        space = len(t) - sum(map(len, w))
+        bins = [sum(x in (y, y.capitalize()) for x in w) for y in words]
+        return [upper, digit, point, symbol, space, len(t) - upper - digit - point - symbol - space], [*bins, len(w) - sum(bins)]
+
+    def js(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        part = lambda v: sum(a * math.log2(a / b) for a, b in zip(v, m) if a)
+        return math.sqrt(max(0, part(p) + part(q)) / 2)
+
+    english = [hists(t or "") for _, t, lang, *_ in rows if lang == "en"]
+    reference = [[sum(c) for c in zip(*(h[i] for h in english))] for i in range(2)]
+    for r in quality.judge(df, df.columns).collect():
+        t = r._row.text or ""
+        chars, bins = hists(t)
+        far = r._row.lang == "en" and (len(t) >= 200 and js(chars, reference[0]) > 0.3 or sum(bins) >= 100 and js(bins, reference[1]) > 0.3)
+        assert r.kept == (not r.base_failed and not far), t[:50]
+    kept = [r.doc_id for r in quality.judge(df, ["doc_id"]).where("kept").select("_row.doc_id").collect()]
+    assert 30 not in kept and 99 in kept and kept.count(0) == 2 and None in kept and quality.judge(df.where("false"), ["doc_id"]).count() == 0
+
+
 def test_quality_rejects_odd_distributions(spark):
     clean = [(i, prose(100 + i, 150), "en") for i in range(40)]
     junk = [(99, " ".join(x + "%%%###" for x in prose(7, 150).split()), "en")]
@@ -395,6 +429,14 @@ def test_chat(spark):
     assert chat.rendered(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_chat_repeats_and_long_texts(spark):
+    long = "word " * 40_000
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "user", "a"), (3, None, "user", long), (3, 1, "bot", "b"), (4, None, "user", long), (5, 5, "user", "a"), (5, 9, "user", "a")]
+    got = {r.conv_id: (r.n_turns, r.n_copies, r.chat) for r in chat.rendered(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    # turns are told apart by their order alone: 1 and 5 are equal, 2 and 4 are prefixes
+    assert {k: v[:2] for k, v in got.items()} == {1: (2, 2), 3: (2, 1)} and long in got[3][2] and got[1][2] == "<|user|>\na<|end|>\n" * 2
+
+
 def best_score(scores, worst, s):
     best = [0.0] + [None] * len(s)
     for end in range(1, len(s) + 1):

@@ -39,3 +39,26 @@ def test_pipeline(spark, tmp_path):
     # of the two equal documents the second loses its only line, and stays as the one empty document
     assert len(want) == 33 and all(r.round_trip for r in got.collect())
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5 and not re.search("limit", str(corpus_pipeline.ORACLE_SQL))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Every stage with no rows, and with nulls, repeated ids, a long text and columns that clash with the operators' own."""
+    spark.createDataFrame([(1, prose(901, 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, mark bigint, kept boolean, fp int, doc int, words int, _hash int"
+    more = ("r", 1, False, 2, 3, 4, 5)
+    long = prose(7, 30_000)
+    rows = [(i, prose(i, 80), "en", "s", 1, *more) for i in range(12)] + [(3, prose(300, 80), None, "s", 1, *more), (4, prose(4, 80), "en", "s", 1, *more)]
+    rows += [(None, prose(400, 80), None, None, None, *more), (None, prose(401, 80), None, None, None, *more), (50, long, "en", "s", 1, *more), (51, None, "en", "s", 1, *more)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.where("false"), str(tmp_path))
+        assert empty.count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert len(got) == len(rows) and all(r.round_trip for r in got)
+            continue
+        assert out.columns == docs.columns == empty.columns and all(tuple(r)[5:] == more for r in got), name
+        ids = [r.doc_id for r in got]
+        assert ids.count(None) == 2 and 50 in ids and next(r for r in got if r.doc_id == 50).text == long, name
+        assert ids.count(3) == 2 and ids.count(4) == (1 if "near" in name else 2), name
