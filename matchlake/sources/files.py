@@ -15,7 +15,31 @@ from pyspark.sql import functions as F
 from matchlake.functions.norm import parse_ts
 
 #: The figures of a participant in a match file.
-STATS = "DBNOs assists boosts damageDealt deathType headshotKills heals killPlace killStreaks kills longestKill name playerId revives rideDistance roadKills swimDistance teamKills timeSurvived vehicleDestroys walkDistance weaponsAcquired winPlace".split()
+STATS = (
+    "DBNOs",
+    "assists",
+    "boosts",
+    "damageDealt",
+    "deathType",
+    "headshotKills",
+    "heals",
+    "killPlace",
+    "killStreaks",
+    "kills",
+    "longestKill",
+    "name",
+    "playerId",
+    "revives",
+    "rideDistance",
+    "roadKills",
+    "swimDistance",
+    "teamKills",
+    "timeSurvived",
+    "vehicleDestroys",
+    "walkDistance",
+    "weaponsAcquired",
+    "winPlace",
+)
 TEXTS, FRACTIONS = ("deathType", "name", "playerId"), ("damageDealt", "longestKill", "rideDistance", "swimDistance", "walkDistance", "timeSurvived")
 MATCH = {"shard": "shardId", "map_name": "mapName", "game_mode": "gameMode", "match_type": "matchType", "season_state": "seasonState", "title_id": "titleId", "is_custom_match": "isCustomMatch", "duration_s": "duration", "played_at": "createdAt"}
 

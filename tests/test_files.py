@@ -57,6 +57,18 @@ def test_telemetry(spark, tmp_path):
     assert prof["logplayertakedamage", "victim.character.location.x"].n == 1
 
 
+def test_red_zones_and_tables(spark, tmp_path):
+    zone = {"zoneType": "RedZone", "zoneState": "Warning", "uniqueId": 7, "position": {"x": 1.0, "y": 2.0}, "horizontalRadius": 3.0}
+    land(tmp_path / "in", m1=[{"_T": "LogSpecialZoneInCharacters", "_D": "2026-01-01T00:00:06Z", "zoneInfo": zone}, {"_T": "LogSpecialZoneInCharacters"}])
+    found = files.replay_red_zones(files.read_telemetry(spark, str(tmp_path / "in"))).orderBy("idx").collect()
+    assert [(r.zone_type, r.state, r.uid, r.x, r.y, r.r) for r in found] == [("RedZone", "warning", 7, 1.0, 2.0, 3.0), (None,) * 6]
+    bins = spark.createDataFrame([("m", 1, 5), ("m", 2, 6), ("n", 1, 7)], "map_name string, gx int, n int")
+    files.write_table(bins, f"{tmp_path}/bins", "map_name")
+    read = spark.read.parquet(f"{tmp_path}/bins")
+    assert sorted((r.map_name, r.gx, r.n) for r in read.collect()) == [("m", 1, 5), ("m", 2, 6), ("n", 1, 7)]
+    assert {f.rpartition("map_name=")[2][0] for f in read.inputFiles()} == {"m", "n"}
+
+
 def test_matches(spark, tmp_path):
     person = lambda i, account, kills: {"type": "participant", "id": i, "attributes": {"stats": {"playerId": account, "name": f"n{kills}", "kills": kills, "DBNOs": 1, "damageDealt": 2.5}}}
     doc = {
