@@ -144,7 +144,7 @@ def shared_groups(df: DataFrame, keys: list[str], doc: str, *then: str, held_row
     """The rows of df whose keys are found under two or more values of doc, the least of them (least_doc) and whether it is the row's (is_first).
 
     Keys and doc are non-null longs. Rows are range-partitioned by keys and doc
-    and sorted by both (and by then), so a key with a third of all rows is dealt over many
+    and sorted by both (and by then, if given), so a key with a third of all rows is dealt over many
     tasks. Each task streams its sorted rows and decides every group that lies
     inside it. The groups at its two ends may go on in a neighbour: there only the
     rows of the least doc that the task has seen are open, all others have a
@@ -153,7 +153,7 @@ def shared_groups(df: DataFrame, keys: list[str], doc: str, *then: str, held_row
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     order = [*keys, doc]
-    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order, *then)
+    dealt = df.repartitionByRange(partitions(df.sparkSession), *order, *then).sortWithinPartitions(*order, *then)
     marked = materialize(dealt.mapInArrow(_marker(keys, doc, held_rows), f"{fields}, least_doc bigint, last_doc bigint, is_first boolean, is_open boolean"), "groups")
     still = marked.where("is_open").drop("is_first", "is_open")
     ends = still.groupBy(*keys).agg(F.min(doc).alias("_least"), F.max("last_doc").alias("_most")).where("_least < _most")
@@ -169,25 +169,23 @@ def components(edges: DataFrame) -> DataFrame:
     neighbourhood to its least member, until the edges form stars. Minima come from
     partial aggregation and the joins are plain equi-joins that AQE can split, so
     a hub with very many neighbours is neither collected nor expanded into pairs.
-    Every round is written to the shared folder; only a count and a checksum of
-    the edges reach the driver.
+    Every round is written to the shared folder; only whether all are stars reaches
+    the driver.
     """
 
-    def signature(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def are_stars(e: DataFrame) -> bool:
+        """Every node is linked to one lesser node at most, and is none that others are linked to."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("hub")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("hub")))
+        degree = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("hub").alias("hub"))
+        return not degree.agg(F.max((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("hub") > 0))).alias("odd")).first()["odd"]
 
     e = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = signature(e)
-    while seen[0]:
+    while not are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
-        e = materialize(small, "edges")
-        now = signature(e)
-        if now == seen:
-            break
-        seen = now
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        e = materialize(large.join(low, "u").select(F.explode(ends).alias("x")).select("x.*").where("u != v").distinct(), "edges")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -66,7 +66,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
     named = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("_text"))
     with scratch(docs.sparkSession, "line-dedup") as kept:
         hashed = materialize(named.mapInArrow(_hasher(min_chars), "h1 bigint, h2 bigint, doc bigint, mark bigint, pos int"), "lines")
-        dropped = shared_groups(hashed, ["h1", "h2"], "doc", "pos").where("not is_first")
+        dropped = shared_groups(hashed, ["h1", "h2"], "doc", "mark", "pos").where("not is_first")
         bits = dropped.groupBy("doc", "mark").agg(F.collect_set("pos").alias("drop")).mapInArrow(_bitmaps, "doc bigint, mark bigint, keep binary")
         return kept(bits)
 

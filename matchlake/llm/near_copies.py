@@ -14,9 +14,14 @@ pairs. So the pivot tables find what they can prune, and lists of minima the res
    are compared. That joins most groups of near copies by links linear in their rows.
 3. Each mark is listed under 48 keys of four minima each. Two marks of similarity s
    share none of them with a chance of (1 - s^4)^48, 1e-11 at 0.8. Each list's members
-   are compared with the least of it, in each of two rounds by another order.
-4. Members that are still in different classes are compared pair by pair, so that
-   no pair of a list is left out.
+   are compared with its central one, which has the most members in all of its lists,
+   and then with that of the list's second class, which links most of a large group.
+4. Members that share a list and are in different classes are compared pair by pair where
+   they can be alike: two texts that share 0.8 of their shingles have one in common among
+   the rarest fifth (and one more) of either, rarest by how many such members hold it.
+   Of those that share such a shingle a map of 4,096 bits tells shingles that only one of
+   them has, which bounds what they have in common; pairs that can't reach 0.8 are dropped
+   in the join itself.
 
 All links are verified on the shingles themselves, whatever proposed them.
 
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.llm import simhash
@@ -43,7 +48,9 @@ from matchlake.llm.simhash import majority  # by its name, as tasks get the func
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers, so that comparing is exact.
 THRESHOLD = (4, 5)
-BANDS, MINIMA, ROUNDS = 48, 4, 2
+BANDS, MINIMA = 48, 4
+#: Words of 64 bits in the map of a text's shingles.
+MAP = 64
 #: Odd multipliers and masks of the minima, by rule.
 _PICK = np.array([xxhash.xxh64_intdigest(str(i), 11) for i in range(BANDS * MINIMA)], np.uint64)
 _TIMES, _FLIP = (_PICK >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _PICK.astype(np.uint32)
@@ -103,6 +110,22 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array([h.view(np.int64) for h in made], pa.list_(pa.int64()))], ["mark", "sh"])
 
 
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit for every shingle, at a place by its hash."""
+    for b in batches:
+        maps = []
+        for h in b.column("sh"):
+            held = np.zeros(64 * MAP, bool)
+            held[(h.values.to_numpy().view(np.uint64) >> np.uint64(17)) % np.uint64(64 * MAP)] = True
+            maps.append(np.packbits(held, bitorder="little").view("<i8"))
+        yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array(maps, pa.list_(pa.int64()))], ["mark", "map"])
+
+
+def _common_at_most(s: str, t: str) -> Column:
+    """A bound of the shingles that two texts share: those of s less the places of its map where t has none."""
+    return F.col(f"n{s}") - sum(F.bit_count(F.col(f"m{s}")[i].bitwiseAND(F.bitwise_not(F.col(f"m{t}")[i]))) for i in range(MAP))
+
+
 def _alike(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
     low, high = THRESHOLD
@@ -121,33 +144,53 @@ def _by_pivots(marks: DataFrame) -> DataFrame:
     return materialize(across.unionByName(same), "pivots")
 
 
-def links(signed: DataFrame, text_of: DataFrame) -> DataFrame:
-    """Links (a, b) of marks that span every class. signed: SIGNED; text_of: _hash, _text."""
+def roots(signed: DataFrame, text_of: DataFrame) -> DataFrame:
+    """(node, root) of the marks in classes of two or more. signed: SIGNED; text_of: _key, _hash, _text."""
     low, high = THRESHOLD
-    marks = signed.groupBy("mark").agg(F.min("_hash").alias("_hash"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    marks = materialize(marks, "marks")
+    one = F.min(F.struct(F.coalesce("_id", F.lit(NO_ID)).alias("_key"), "_hash")).alias("one")
+    marks = materialize(signed.groupBy("mark").agg(one, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "marks")
     pivoted = _by_pivots(marks.select("mark", "fp"))
     # keys that two marks or more have
     listed = materialize(shared_groups(marks.select(F.explode("keys").alias("k"), "mark", "n"), ["k"], "mark").select("k", "mark", "n"), "listed")
     asked = listed.select("mark").unionByName(pivoted.select(F.explode(F.array("a", "b")).alias("mark"))).distinct()
-    wanted = materialize(marks.join(asked, "mark").select("mark", "_hash"), "wanted")
-    texts = text_of.join(wanted, "_hash").dropDuplicates(["_hash", "mark"])
+    wanted = marks.join(asked, "mark").select("mark", "one.*")
+    texts = text_of.join(wanted, ["_key", "_hash"]).dropDuplicates(["_key", "_hash"])
     members = materialize(texts.select("mark", "_text").mapInArrow(_shingled, "mark bigint, sh array<bigint>"), "members")
-    could = high * F.least("na", "nb") >= low * F.greatest("na", "nb")
-    found = _alike(pivoted, members)
-    for turn in range(ROUNDS + 1):
-        rooted = listed.join(components(found).withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    sizes_fit = high * F.least("na", "nb") >= low * F.greatest("na", "nb")
+    side = lambda df, key, s, *more: df.select(key, *[F.col(c).alias(f"{c[0]}{s}") for c in ("n", "root", *more)], F.col("mark").alias(s))
+
+    def still_split(known: DataFrame) -> DataFrame:
+        rooted = listed.join(known.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
         split = rooted.groupBy("k").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("k")
-        rooted = materialize(rooted.join(split, "k"), "rooted")
-        if turn < ROUNDS:
-            first = rooted.groupBy("k").agg(F.min(F.struct(F.xxhash64("mark", F.lit(turn)).alias("o"), "mark", "n", "root")).alias("x"))
-            first = first.select("k", F.col("x.mark").alias("a"), F.col("x.n").alias("na"), F.col("x.root").alias("ra"))
-            near = rooted.join(first, "k").where("root != ra").select("a", F.col("mark").alias("b"), "na", F.col("n").alias("nb"))
-        else:
-            side = lambda m, n, r: rooted.select("k", F.col("mark").alias(m), F.col("n").alias(n), F.col("root").alias(r))
-            near = side("a", "na", "ra").join(side("b", "nb", "rb"), "k").where("ra < rb").select("a", "b", "na", "nb")
-        found = found.unionByName(_alike(materialize(near.where(could).select("a", "b").distinct(), "near"), members))
-    return found
+        return materialize(rooted.join(split, "k"), "rooted")
+
+    def alike(near: DataFrame) -> DataFrame:
+        return _alike(materialize(near.select("a", "b").distinct(), "near"), members)
+
+    found = _alike(pivoted, members)
+    rooted = still_split(components(found))
+    crowd = rooted.join(rooted.groupBy("k").agg(F.count("*").alias("c")), "k").groupBy("mark").agg(F.sum("c").alias("w"))
+    central = rooted.join(crowd, "mark").groupBy("k").agg(F.max_by(F.struct("mark", "n", "root"), F.struct("w", "mark")).alias("x")).select("k", "x.*")
+    found = found.unionByName(alike(side(central, "k", "a").join(side(rooted, "k", "b"), "k").where((F.col("ra") != F.col("rb")) & sizes_fit)))
+    rooted = still_split(components(found))
+    # the centre of each list's second class, so that large classes beside each other meet
+    classes = rooted.join(crowd, "mark").groupBy("k", "root").agg(F.count("*").alias("c"), F.max_by(F.struct("mark", "n"), F.struct("w", "mark")).alias("x"))
+    second = classes.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(F.col("c").desc(), "root"))).where("at = 2").select("k", "root", "x.*")
+    found = found.unionByName(alike(side(second, "k", "a").join(side(rooted, "k", "b"), "k").where((F.col("ra") != F.col("rb")) & sizes_fit)))
+    known = components(found)
+    left = still_split(known).select("mark", "n", "root").distinct()
+    shingle = materialize(members.join(left, "mark").select("mark", "n", "root", F.explode("sh").alias("h")), "shingles")
+    counted = shingle.join(shingle.groupBy("h").agg(F.count("*").alias("c")), "h")
+    place = F.row_number().over(Window.partitionBy("mark").orderBy("c", "h"))
+    rare = counted.withColumn("place", place).where(high * (F.col("place") - 1) <= (high - low) * F.col("n")).where("c > 1")
+    split = rare.groupBy("h").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("h")
+    maps = materialize(members.join(left.select("mark"), "mark").select("mark", "sh").mapInArrow(_mapped, "mark bigint, map array<bigint>"), "maps")
+    rare = materialize(rare.join(split, "h").select("h", "mark", "n", "root").join(maps, "mark"), "rare")
+    shared = F.least(_common_at_most("a", "b"), _common_at_most("b", "a"))
+    can_reach = (high + low) * shared >= low * (F.col("na") + F.col("nb"))
+    pairs = side(rare, "h", "a", "map").join(side(rare, "h", "b", "map"), "h").where((F.col("ra") < F.col("rb")) & sizes_fit & can_reach)
+    more = alike(pairs)
+    return known if more.isEmpty() else components(found.unionByName(more))
 
 
 def chosen(classes: DataFrame) -> DataFrame:
@@ -169,10 +212,10 @@ def _hash(text: Column) -> Column:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of near copies, the one with the smallest id; a null id comes last."""
-    text = packed(docs, id_col, text_col).select(F.col(f"_{id_col}").cast("long").alias("_id"), _hash(F.col(f"_{text_col}")).alias("_hash"), F.col(f"_{text_col}").alias("_text"))
+    own = packed(docs, id_col, text_col).select(F.col(f"_{id_col}").cast("long").alias("_id"), _hash(F.col(f"_{text_col}")).alias("_hash"), F.col(f"_{text_col}").alias("_text"))
     with scratch(docs.sparkSession, "near") as kept:
-        signed = materialize(text.mapInArrow(_signed, SIGNED), "signed")
-        roots = components(links(signed, text.select("_hash", "_text"))).withColumnRenamed("node", "mark")
-        classes = signed.select("_id", "_hash", "mark").join(roots, "mark", "left").select("_id", "_hash", F.coalesce("root", "mark").alias("root"))
+        signed = materialize(own.mapInArrow(_signed, SIGNED), "signed")
+        known = roots(signed, own.select(F.coalesce("_id", F.lit(NO_ID)).alias("_key"), "_hash", "_text")).withColumnRenamed("node", "mark")
+        classes = signed.select("_id", "_hash", "mark").join(known, "mark", "left").select("_id", "_hash", F.coalesce("root", "mark").alias("root"))
         one = kept(chosen(classes))
     return one_of_each(docs, one, id_col, text_col)

@@ -18,8 +18,9 @@ its first w positions, and from there at least head = min_words - w + 1 words in
    two documents are alike on both sides. What repeats is extended to both sides by
    joining the windows of all l.
 4. Suffixes with one head may be dealt to several tasks, or be too many for one to hold.
-   Those at a task's ends are left open: their windows go, by 128-bit hashes, through
-   the sorted ranges that line dedup uses, so that no task sees a group whole.
+   Those at a task's ends are left open: what no neighbour there decides goes, by 128-bit
+   hashes of windows, through the sorted ranges that line dedup uses, beside one row for
+   each window that is decided, so that no task sees a group whole.
 
 A word is covered exactly if it lies in a run of min_words words that two documents or
 more contain. 64-bit hashes only propose suffixes (and equal contexts of min_words + w
@@ -181,6 +182,25 @@ def _classed(held_rows: int):
     return run
 
 
+def _settled(known: dict[int, bool], ends: dict[tuple[int, int], tuple[int, int]]):
+    """Open heads and classes as the ends of all tasks say: heads of one document go, open classes get their least and greatest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            head, context = b.column("head").to_numpy(), b.column("context").to_numpy()
+            lo, hi = b.column("class_lo").to_numpy().copy(), b.column("class_hi").to_numpy().copy()
+            keep = np.ones(len(head), bool)
+            for i in np.flatnonzero(b.column("open_head").to_numpy(zero_copy_only=False)).tolist():
+                keep[i] = known.get(int(head[i]), False)
+            for i in np.flatnonzero(b.column("open_class").to_numpy(zero_copy_only=False)).tolist():
+                lo[i], hi[i] = ends[int(head[i]), int(context[i])]
+            new = {"class_lo": pa.array(lo), "class_hi": pa.array(hi)}
+            made = pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
+            yield made.filter(pa.array(keep))
+
+    return run
+
+
 CONTEXT = "right binary, left binary, doc bigint, mark bigint, pos int, last bigint, stands boolean"
 
 
@@ -245,7 +265,9 @@ def _array(min_words: int, window: int, array_rows: int):
         llcp, size = _alike(left[i] for i in order.tolist())
         n_left = np.empty(n, int)
         n_left[order] = size
-        most, least, first_doc = np.full(n, -1), np.full(n, window), np.full(n, NO_ID)
+        group = np.cumsum(lcp < head)
+        is_open = (group == group[0]) & open_first | (group == group[-1]) & open_last
+        most, least, first_doc, left_open = np.full(n, -1), np.full(n, window), np.full(n, NO_ID), []
         for l in range(window):
             left_class = np.empty(n, np.int64)
             left_class[order] = np.cumsum(llcp < l)
@@ -261,21 +283,23 @@ def _array(min_words: int, window: int, array_rows: int):
             at = ok[by][both]
             most[at], least[at] = np.maximum(most[at], l), np.minimum(least[at], l)
             first_doc[at] = np.minimum(first_doc[at], np.repeat(lo, size)[both])
-        group = np.cumsum(lcp < head)
-        is_open = (group == group[0]) & open_first | (group == group[-1]) & open_last
-        done = np.flatnonzero((most >= 0) & ~is_open & ~stands)
+            # a window of an open head that repeats here stands for itself elsewhere; others ask
+            one = ok[by[begin]]
+            for j in np.flatnonzero(is_open[one] & (lo < hi)).tolist():
+                left_open += [(int(one[j]), l, int(lo[j]), False), (int(one[j]), l, int(hi[j]), False)]
+            alone = ok[by][~both]
+            left_open += [(i, l, int(doc[i]), not stands[i]) for i in alone[is_open[alone]].tolist()]
+        done = np.flatnonzero((most >= 0) & ~stands)
         none = [None] * len(done)
         yield batch(doc[done], mark[done], pos[done], most[done], least[done], first_doc[done], none, none, np.ones(len(done), bool))
         rights = t.column("right")
-        for i in np.flatnonzero(is_open).tolist():
-            right, before, rows = _words(rights[i].as_py()), _words(left[i]), []
-            for l in range(max(0, min_words - len(right)), min(window - 1, len(before)) + 1):
+        for begin in range(0, len(left_open), 10_000):
+            rows = []
+            for i, l, d, asks in left_open[begin : begin + 10_000]:
+                right, before = _words(rights[i].as_py()), _words(left[i])
                 h = xxhash.xxh3_128_digest(b" ".join(before[:l]) + b"\n" + b" ".join(right[: min_words - l]))
-                h1, h2 = np.frombuffer(h, "<i8").tolist()
-                for d in {int(doc[i]), int(last[i])}:
-                    rows.append((d, int(mark[i]), int(pos[i]), l, l, None, h1, h2, not stands[i]))
-            if rows:
-                yield batch(*zip(*rows))
+                rows.append((d, int(mark[i]), int(pos[i]), l, l, None, *np.frombuffer(h, "<i8").tolist(), bool(asks)))
+            yield batch(*zip(*rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, lcp, size, before, opened = None, np.zeros(0, int), np.zeros(0, int), None, True
@@ -311,13 +335,12 @@ def _repeats(named: DataFrame, min_words: int, window: int, gram: int, held_rows
     retained = materialize(named.mapInArrow(_suffixes(min_words, window, gram), RETAINED), "suffixes")
     by = ["head", "context", "doc"]
     rows = materialize(retained.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_classed(held_rows), CLASSED), "classed")
-    # open heads and classes number a few for each task (and for every held_rows rows)
-    opened = rows.where("open_head")
-    heads = opened.groupBy("head").agg(F.min("head_lo").alias("e_lo"), F.max("head_hi").alias("e_hi")).where("e_lo < e_hi").select("head")
-    ends = rows.where("open_class").groupBy("head", "context").agg(F.min("class_lo").alias("e_lo"), F.max("class_hi").alias("e_hi"))
-    wider = opened.join(F.broadcast(heads), "head", "left_semi").join(F.broadcast(ends), ["head", "context"], "left")
-    wider = wider.withColumn("class_lo", F.least("class_lo", "e_lo")).withColumn("class_hi", F.greatest("class_hi", "e_hi"))
-    rows = rows.where("not open_head").unionByName(wider.select(*rows.columns)).withColumn("whole", F.expr("class_lo < class_hi"))
+    # open heads and classes number two and four for each task (and for every held_rows rows)
+    least, most = F.min("head_lo").alias("lo"), F.max("head_hi").alias("hi")
+    known = {r["head"]: r["lo"] < r["hi"] for r in rows.where("open_head").groupBy("head").agg(least, most).collect()}
+    least, most = F.min("class_lo").alias("lo"), F.max("class_hi").alias("hi")
+    ends = {(r["head"], r["context"]): (r["lo"], r["hi"]) for r in rows.where("open_class").groupBy("head", "context").agg(least, most).collect()}
+    rows = rows.mapInArrow(_settled(known, ends), CLASSED).withColumn("whole", F.expr("class_lo < class_hi"))
     copies = rows.where("whole").select("doc", "mark", F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("class_lo").alias("first_doc"))
 
     one = F.struct("pos", F.when(F.col("whole"), F.col("class_hi")).otherwise(F.col("doc")).alias("last"), F.col("whole").alias("stands"))
@@ -346,8 +369,8 @@ def repeated_passages(
 ) -> DataFrame:
     """id, start_word, end_word (exclusive) and first_doc_id: the passages of each document that others repeat, joined where they overlap or touch.
 
-    first_doc_id is the smallest id found with it, which may be the document's own: of the documents that have the whole
-    context of one of its minimisers if there are two or more, else of those that have one of its windows.
+    first_doc_id is the smallest id that a comparison of its suffixes met, which may be the document's own: a document that
+    has it too, though not always the smallest one of all.
     """
     if not gram <= min_words - window + 1 or window < 2:
         raise ValueError("needs gram <= min_words - window + 1 and window >= 2")
