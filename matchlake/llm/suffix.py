@@ -48,8 +48,8 @@ from matchlake.llm._common import HELD_ROWS, NO_ID, materialize, partitions, scr
 MIN_WORDS = 50
 WINDOW = 25
 GRAM = 8
-#: Suffixes of one head that a task compares at a time.
-ARRAY_ROWS = 40_000
+#: Suffixes of one head that a task compares at a time, and bytes of a suffix that ranges go by.
+ARRAY_ROWS, KEY_BYTES = 20_000, 128
 #: An odd factor of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -257,7 +257,7 @@ def _array(min_words: int, window: int, array_rows: int):
     def batch(*cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, FOUND_TYPES)], [x.split()[0] for x in FOUND.split(", ")])
 
-    def compared(t: pa.Table, lcp: np.ndarray, n_right: np.ndarray, open_first: bool, open_last: bool) -> Iterator[pa.RecordBatch]:
+    def compared(t: pa.Table, lcp: np.ndarray, n_right: np.ndarray, starts: np.ndarray, open_first: bool, open_last: bool) -> Iterator[pa.RecordBatch]:
         n, lcp = len(t), np.append(-1, lcp[1:])
         doc, mark, pos, last, stands = (t.column(c).to_numpy() for c in ("doc", "mark", "pos", "last", "stands"))
         left = t.column("left").to_pylist()
@@ -265,7 +265,7 @@ def _array(min_words: int, window: int, array_rows: int):
         llcp, size = _alike(left[i] for i in order.tolist())
         n_left = np.empty(n, int)
         n_left[order] = size
-        group = np.cumsum(lcp < head)
+        group = np.cumsum(starts)
         is_open = (group == group[0]) & open_first | (group == group[-1]) & open_last
         most, least, first_doc, left_open = np.full(n, -1), np.full(n, window), np.full(n, NO_ID), []
         for l in range(window):
@@ -302,29 +302,32 @@ def _array(min_words: int, window: int, array_rows: int):
             yield batch(*zip(*rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lcp, size, before, opened = None, np.zeros(0, int), np.zeros(0, int), None, True
+        held, opened, before, text = None, True, None, b""
+        lcp, size, starts = np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
         for b in batches:
             if not b.num_rows:
                 continue
-            common, counts = [], []
+            common, counts, begun = [], [], []
             for x in b.column("right").to_pylist():
                 words = _words(x)
                 common.append(-1 if before is None else _common(before, words))
                 counts.append(len(words))
-                before = words
+                # a head, or what the ranges go by if that is shorter, isn't cut
+                begun.append(common[-1] < head and x[:KEY_BYTES] != text[:KEY_BYTES])
+                before, text = words, x
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
-            lcp, size = np.append(lcp, common), np.append(size, counts)
-            starts = np.flatnonzero(lcp < head)
-            cut = int(starts[-1]) if len(starts) else 0
+            lcp, size, starts = np.append(lcp, common), np.append(size, counts), np.append(starts, begun)
+            last = np.flatnonzero(starts)
+            cut = int(last[-1]) if len(last) else 0
             whole = len(held) - cut <= array_rows
             if not whole:
                 cut = len(held)
             if cut:
-                yield from compared(held.slice(0, cut), lcp[:cut], size[:cut], opened, not whole)
-                held, lcp, size, opened = held.slice(cut) if cut < len(held) else None, lcp[cut:], size[cut:], not whole
+                yield from compared(held.slice(0, cut), lcp[:cut], size[:cut], starts[:cut], opened, not whole)
+                held, lcp, size, starts, opened = held.slice(cut) if cut < len(held) else None, lcp[cut:], size[cut:], starts[cut:], not whole
         if held is not None:
-            yield from compared(held, lcp, size, opened, True)
+            yield from compared(held, lcp, size, starts, opened, True)
 
     return run
 
@@ -347,8 +350,9 @@ def _repeats(named: DataFrame, min_words: int, window: int, gram: int, held_rows
     asked = rows.where("not whole or stands").groupBy("doc", "mark").agg(F.collect_list(one).alias("asked"))
     texts = named.join(asked, (F.col("_doc") == F.col("doc")) & (F.col("_mark") == F.col("mark"))).select("doc", "mark", "asked", "_text")
     contexts = materialize(texts.mapInArrow(_contexts(min_words, window), CONTEXT), "contexts")
-    order = ["right", "left", "doc"]
-    found = contexts.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_array(min_words, window, array_rows), FOUND)
+    # ranges by the beginnings, as samples of them go to the driver
+    keys = F.substring("right", 1, KEY_BYTES), F.substring("left", 1, KEY_BYTES // 4), F.col("doc")
+    found = contexts.repartitionByRange(n, *keys).sortWithinPartitions("right", "left", "doc").mapInArrow(_array(min_words, window, array_rows), FOUND)
     found = materialize(found, "array")
     across = shared_groups(found.where("h1 is not null").drop("first_doc"), ["h1", "h2"], "doc").where("asks")
     across = across.groupBy("doc", "mark", "pos").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.min("least_doc").alias("first_doc"))
