@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,21 +106,35 @@ ALERT = "kind string, event string, opened bigint, last_seen bigint, observation
 
 
 def _alert(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Of a batch's checks only three numbers each are held, and all runs of failures are found at once."""
     opened, n = state.get if state.exists else (None, 0)
-    out = []
-    for r in pd.concat(list(parts)).sort_values(["t_s", "idx"], kind="stable").itertuples():
-        if not r.ok:
-            event = "refresh" if n else "open"
-            opened, n = opened if n else int(r.t_s), n + 1
-            out.append((key[0], event, opened, int(r.t_s), n))
-        elif n:
-            out.append((key[0], "resolve", opened, int(r.t_s), n))
-            opened, n = None, 0
+    held = [[p[c].to_numpy() for c in ("t_s", "idx", "ok")] for p in parts]
+    t, idx, ok = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((idx, t))
+    t, ok = t[order], ok[order].astype(bool)
+    bad = np.flatnonzero(~ok)
+    run = np.cumsum(ok)[bad]
+    first = np.flatnonzero(np.append(True, run[1:] != run[:-1])[: len(bad)])
+    size = np.append(first[1:], len(bad)) - first
+    count = np.arange(len(bad)) - np.repeat(first, size) + 1
+    began = np.repeat(t[bad[first]], size)
     if n:
-        state.update((opened, n))
+        # the run that an earlier batch left open
+        count[run == 0] += n
+        began[run == 0] = opened
+    # what holds before each row: the alert's beginning and number of failures, 0 without one
+    since, failed = np.zeros(len(t) + 1, np.int64), np.zeros(len(t) + 1, np.int64)
+    since[0], failed[0] = opened or 0, n
+    since[bad + 1], failed[bad + 1] = began, count
+    said = ~ok | (failed[:-1] > 0)
+    event = np.where(ok, "resolve", np.where(failed[:-1] > 0, "refresh", "open"))
+    here = np.where(ok, 0, 1)
+    out = {"event": event, "opened": np.where(ok, since[:-1], since[1:]), "last_seen": t, "observations": failed[:-1] + here}
+    if failed[-1]:
+        state.update((int(since[-1]), int(failed[-1])))
     elif state.exists:
         state.remove()
-    yield pd.DataFrame(out, columns=["kind", "event", "opened", "last_seen", "observations"])
+    yield pd.DataFrame({"kind": key[0], **{c: v[said] for c, v in out.items()}})
 
 
 def live_alerts(checks: DataFrame) -> DataFrame:
