@@ -123,7 +123,8 @@ def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _common_at_most(s: str, t: str) -> Column:
     """A bound of the shingles that two texts share: those of s less the places of its map where t has none."""
-    return F.col(f"n{s}") - sum(F.bit_count(F.col(f"m{s}")[i].bitwiseAND(F.bitwise_not(F.col(f"m{t}")[i]))) for i in range(MAP))
+    only = F.zip_with(f"m{s}", f"m{t}", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.col(f"n{s}") - F.aggregate(only, F.lit(0), lambda a, x: a + x)
 
 
 def _alike(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -186,8 +187,7 @@ def roots(signed: DataFrame, text_of: DataFrame) -> DataFrame:
     split = rare.groupBy("h").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("h")
     maps = materialize(members.join(left.select("mark"), "mark").select("mark", "sh").mapInArrow(_mapped, "mark bigint, map array<bigint>"), "maps")
     rare = materialize(rare.join(split, "h").select("h", "mark", "n", "root").join(maps, "mark"), "rare")
-    shared = F.least(_common_at_most("a", "b"), _common_at_most("b", "a"))
-    can_reach = (high + low) * shared >= low * (F.col("na") + F.col("nb"))
+    can_reach = (high + low) * _common_at_most("a", "b") >= low * (F.col("na") + F.col("nb"))
     pairs = side(rare, "h", "a", "map").join(side(rare, "h", "b", "map"), "h").where((F.col("ra") < F.col("rb")) & sizes_fit & can_reach)
     more = alike(pairs)
     return known if more.isEmpty() else components(found.unionByName(more))
