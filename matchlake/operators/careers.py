@@ -48,7 +48,7 @@ def player_matches(results: DataFrame, names: DataFrame, n: int, before: Column
     """
     won = results.groupBy("match_id", "team_id").agg((F.min("win_place") == 1).alias("roster_won"))
     older = results if before is None else results.where(F.struct("played_on", "match_id") < before)
-    page = recent(older, "account_id", [F.col("played_on").desc(), F.col("match_id").desc(), F.col("team_id")], n)
+    page = recent(older, "account_id", [F.col("played_on").desc(), F.col("match_id").desc(), "team_id", "kills", "damage_dealt"], n)
     killers = names.select(F.col("account_id").alias("killer_id"), F.col("name").alias("killed_by"), F.col("is_bot").alias("killed_by_is_bot"))
     return page.join(won, ["match_id", "team_id"]).join(killers, "killer_id", "left")
 

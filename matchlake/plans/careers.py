@@ -85,7 +85,7 @@ def _newest(spark, sf):
 
 
 @over(_newest, f"""{WIDE}, w AS (SELECT match_id, team_id, min(win_place) = 1 AS roster_won FROM wide GROUP BY 1, 2),
-p AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY played_on DESC, match_id DESC, team_id) AS pos FROM wide WHERE played_on < DATE '1997-01-01' OR played_on = DATE '1997-01-01' AND match_id < 0 QUALIFY pos <= 5)
+p AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY played_on DESC, match_id DESC, team_id, kills, damage_dealt) AS pos FROM wide WHERE played_on < DATE '1997-01-01' OR played_on = DATE '1997-01-01' AND match_id < 0 QUALIFY pos <= 5)
 SELECT p.account_id, p.match_id, p.pos, p.win_place, p.kills, p.kills_human, roster_won, s_name AS killed_by, s_suppkey % 4 = 0 AS killed_by_is_bot FROM p JOIN w USING (match_id, team_id) LEFT JOIN supplier ON s_suppkey = killer_id""")
 def g3_player_matches(r):
     return r.select("account_id", "match_id", "pos", "win_place", "kills", "kills_human", "roster_won", "killed_by", "killed_by_is_bot")
@@ -97,7 +97,11 @@ def _weapons(e):
     return careers.weapon_table(of(named, "kill").withColumn("distance", F.floor("distance")), shots)
 
 
-_WT = f"{W}, k AS (SELECT account_id, 'w' || CAST(idx % 3 AS STRING) AS weapon, count(*) AS kills, CAST(max(floor(distance)) AS BIGINT) AS longest, CAST(sum(floor(distance)) FILTER (floor(distance) > 0) AS DOUBLE) / count(*) FILTER (floor(distance) > 0) AS mean_distance FROM kills GROUP BY 1, 2), s AS (SELECT account_id, 'w' || CAST(idx % 3 AS STRING) AS weapon, 3 * count(*) AS shots, count(*) FILTER (idx % 4 = 0) AS landed FROM hits GROUP BY 1, 2), wt AS (SELECT account_id, weapon, coalesce(kills, 0) AS kills, longest, CASE WHEN isfinite(mean_distance) THEN mean_distance END AS mean_distance, coalesce(shots, 0) AS shots, coalesce(landed, 0) AS landed, coalesce(landed, 0) / nullif(coalesce(shots, 0), 0) AS accuracy FROM k FULL JOIN s USING (account_id, weapon))"
+_WT = f"""{W}, k AS (SELECT account_id, 'w' || CAST(idx % 3 AS STRING) AS weapon, count(*) AS kills, CAST(max(floor(distance)) AS BIGINT) AS longest,
+CAST(sum(floor(distance)) FILTER (floor(distance) > 0) AS DOUBLE) / count(*) FILTER (floor(distance) > 0) AS mean_distance FROM kills GROUP BY 1, 2),
+s AS (SELECT account_id, 'w' || CAST(idx % 3 AS STRING) AS weapon, 3 * count(*) AS shots, count(*) FILTER (idx % 4 = 0) AS landed FROM hits GROUP BY 1, 2),
+wt AS (SELECT account_id, weapon, coalesce(kills, 0) AS kills, longest, CASE WHEN isfinite(mean_distance) THEN mean_distance END AS mean_distance, coalesce(shots, 0)
+AS shots, coalesce(landed, 0) AS landed, coalesce(landed, 0) / nullif(coalesce(shots, 0), 0) AS accuracy FROM k FULL JOIN s USING (account_id, weapon))"""
 
 
 @over(events, f"{_WT} SELECT * FROM wt")
@@ -160,7 +164,8 @@ def g11_current_session(o):
     return _sessions(o).where("session = 0").drop("session")
 
 
-@over(results, f"{R} SELECT account_id, pos, kills FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY played_on DESC, match_id DESC, win_place, kills, damage_dealt) AS pos FROM res) WHERE pos <= 10")
+@over(results, f"""{R} SELECT account_id, pos, kills FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY played_on DESC, match_id DESC, win_place, kills,
+damage_dealt) AS pos FROM res) WHERE pos <= 10""")
 def g12_form(r):
     order = [F.col("played_on").desc(), F.col("match_id").desc(), F.col("win_place"), F.col("kills"), F.col("damage_dealt")]
     return careers.recent(r, "account_id", order, 10).select("account_id", "pos", "kills")
@@ -174,12 +179,15 @@ _OVER = ", ".join(
 )
 
 
-@over(results, f"{R}, g AS (SELECT account_id, CAST(max(played_on) AS STRING) AS last_seen, {_OVER} FROM res WHERE tracked GROUP BY 1) SELECT *, {', '.join(f'{m}_now - {m}_before AS {m}_change' for m in _MEASURES)} FROM g")
+@over(results, f"""{R}, g AS (SELECT account_id, CAST(max(played_on) AS STRING) AS last_seen, {_OVER} FROM res WHERE tracked GROUP BY 1) SELECT *,
+{', '.join(f'{m}_now - {m}_before AS {m}_change' for m in _MEASURES)} FROM g""")
 def g13_overview(r):
     return careers.overview(r.where("tracked"), F.lit("1998-01-01").cast("date"), 365).withColumn("last_seen", F.col("last_seen").cast("string"))
 
 
-@over(results, f"{R}, m AS (SELECT DISTINCT match_id, played_on FROM res), page AS (SELECT * FROM m WHERE EXISTS (SELECT 1 FROM res r WHERE r.match_id = m.match_id AND tracked) ORDER BY played_on DESC, match_id DESC LIMIT 20) SELECT p.match_id, CAST(p.played_on AS STRING) AS played_on, list_sort(list(r.account_id)) AS accounts FROM page p JOIN res r ON r.match_id = p.match_id AND r.tracked GROUP BY 1, 2")
+@over(results, f"""{R}, m AS (SELECT DISTINCT match_id, played_on FROM res), page AS (SELECT * FROM m WHERE EXISTS (SELECT 1 FROM res r WHERE r.match_id = m.match_id AND
+tracked) ORDER BY played_on DESC, match_id DESC LIMIT 20) SELECT p.match_id, CAST(p.played_on AS STRING) AS played_on, list_sort(list(r.account_id)) AS accounts FROM
+page p JOIN res r ON r.match_id = p.match_id AND r.tracked GROUP BY 1, 2""")
 def g14_match_feed(r):
     return careers.match_feed(r.select("match_id", "played_on").distinct(), r, F.col("tracked"), 20).withColumn("played_on", F.col("played_on").cast("string"))
 
@@ -213,12 +221,16 @@ def g16_kill_feed(e):
     return careers.kill_feed(of(e, "kill").withColumns(more), names, include_bots=False)
 
 
-@over(events, f"{W} SELECT k.victim_team, count(*) AS deaths, count(*) FILTER (EXISTS (SELECT 1 FROM kills o WHERE o.match_id = k.match_id AND o.idx <> k.idx AND o.team_id <> k.team_id AND o.team_id <> k.victim_team AND o.t_s <= k.t_s AND k.t_s - o.t_s <= 1800 AND sqrt((o.x-k.x)*(o.x-k.x)+(o.y-k.y)*(o.y-k.y)) <= 200000)) AS third_party FROM kills k GROUP BY 1")
+@over(events, f"""{W} SELECT k.victim_team, count(*) AS deaths, count(*) FILTER (EXISTS (SELECT 1 FROM kills o WHERE o.match_id = k.match_id AND o.idx <> k.idx AND
+o.team_id <> k.team_id AND o.team_id <> k.victim_team AND o.t_s <= k.t_s AND k.t_s - o.t_s <= 1800 AND sqrt((o.x-k.x)*(o.x-k.x)+(o.y-k.y)*(o.y-k.y)) <= 200000))
+AS third_party FROM kills k GROUP BY 1""")
 def g17_third_party(e):
     return careers.third_party_deaths(of(e, "kill"), 200_000, 1800)
 
 
-@over(events, f"{W}, n AS (SELECT DISTINCT match_id, victim_id FROM knocks) SELECT k.victim_id AS account_id, count(*) AS deaths, count(n.victim_id) AS knocked_first, count(*) - count(n.victim_id) AS outright, count(*) FILTER (t_s < 21600) AS early, count(*) FILTER (k.account_id % 10 = 0) AS to_bot FROM kills k LEFT JOIN n ON n.match_id = k.match_id AND n.victim_id = k.victim_id GROUP BY 1")
+@over(events, f"""{W}, n AS (SELECT DISTINCT match_id, victim_id FROM knocks) SELECT k.victim_id AS account_id, count(*) AS deaths, count(n.victim_id) AS knocked_first,
+count(*) - count(n.victim_id) AS outright, count(*) FILTER (t_s < 21600) AS early, count(*) FILTER (k.account_id % 10 = 0) AS to_bot FROM kills k LEFT JOIN
+n ON n.match_id = k.match_id AND n.victim_id = k.victim_id GROUP BY 1""")
 def g18_death_causes(e):
     return careers.death_causes(of(e, "kill"), of(e, "knock"))
 
@@ -234,7 +246,9 @@ def g19_knock_conversion(e):
     return careers.knock_conversion(of(made, "knock"), of(made, "kill"))
 
 
-@over(events, f"{W}, {ROSTER}, {DEATHS}, r AS (SELECT match_id, account_id, death_t, count(*) OVER (PARTITION BY match_id) AS n, row_number() OVER (PARTITION BY match_id ORDER BY death_t NULLS LAST, account_id) AS pos FROM roster LEFT JOIN deaths USING (match_id, account_id) WHERE account_id % 10 = 0) SELECT account_id, count(*) AS first_deaths FROM r WHERE n >= 2 AND pos = 1 AND death_t IS NOT NULL GROUP BY 1")
+@over(events, f"""{W}, {ROSTER}, {DEATHS}, r AS (SELECT match_id, account_id, death_t, count(*) OVER (PARTITION BY match_id) AS n, row_number()
+OVER (PARTITION BY match_id ORDER BY death_t NULLS LAST, account_id) AS pos FROM roster LEFT JOIN deaths USING (match_id, account_id) WHERE account_id % 10 = 0) SELECT
+account_id, count(*) AS first_deaths FROM r WHERE n >= 2 AND pos = 1 AND death_t IS NOT NULL GROUP BY 1""")
 def g20_first_deaths(e):
     seen = e.where("account_id % 10 = 0").select("match_id", "account_id").distinct()
     return careers.first_deaths(seen.join(tracks.final_deaths(of(e, "kill")), ["match_id", "account_id"], "left"))
@@ -251,10 +265,14 @@ def g22_zone_deaths(r):
     return careers.zone_deaths(r)
 
 
-_LEG = f"{W}, {_SEG}, {_ATT}, {_ENG}, legs AS (SELECT team_a AS team_id, kills_a AS ours, kills_b AS theirs, first_hit_team, first_hit_range FROM eng UNION ALL SELECT team_b, kills_b, kills_a, first_hit_team, first_hit_range FROM eng)"
+_LEG = f"""{W}, {_SEG}, {_ATT}, {_ENG}, legs AS (SELECT team_a AS team_id, kills_a AS ours, kills_b AS theirs, first_hit_team, first_hit_range FROM eng UNION ALL SELECT
+team_b, kills_b, kills_a, first_hit_team, first_hit_range FROM eng)"""
 
 
-@over(events, f"{_LEG} SELECT team_id, count(*) AS fights, count(*) FILTER (ours > theirs) AS won, count(*) FILTER (ours < theirs) AS lost, count(*) FILTER (ours = theirs) AS even, count(*) FILTER (first_hit_team = team_id) AS hit_first, count(*) FILTER (first_hit_team = team_id AND ours > theirs) AS hit_first_won, count(*) FILTER (first_hit_team <> team_id AND ours > theirs) AS hit_second_won, count(*) FILTER (first_hit_team = team_id AND ours > theirs) / nullif(count(*) FILTER (first_hit_team = team_id), 0) AS first_win_rate FROM legs GROUP BY 1")
+@over(events, f"""{_LEG} SELECT team_id, count(*) AS fights, count(*) FILTER (ours > theirs) AS won, count(*) FILTER (ours < theirs) AS lost, count(*)
+FILTER (ours = theirs) AS even, count(*) FILTER (first_hit_team = team_id) AS hit_first, count(*) FILTER (first_hit_team = team_id AND ours > theirs) AS hit_first_won,
+count(*) FILTER (first_hit_team <> team_id AND ours > theirs) AS hit_second_won, count(*) FILTER (first_hit_team = team_id AND ours > theirs) / nullif(count(*)
+FILTER (first_hit_team = team_id), 0) AS first_win_rate FROM legs GROUP BY 1""")
 def g23_engagement_review(e):
     return careers.engagement_review(engagements(e))
 
@@ -271,17 +289,25 @@ def g30_strategy_baseline(r):
     return out.withColumns({c: F.transform(c, lambda x: F.round(x, 4)) for c in ("q_kills", "q_survived_s")})
 
 
-@over(results, f"{R}, r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY win_place) AS up, row_number() OVER (PARTITION BY account_id ORDER BY win_place DESC) AS down, count(*) OVER (PARTITION BY account_id) AS cn FROM res), c AS (SELECT *, max(win_place) FILTER (up = least(10, cn // 2)) OVER (PARTITION BY account_id) AS hi, max(win_place) FILTER (down = least(10, cn // 2)) OVER (PARTITION BY account_id) AS lo FROM r) SELECT account_id, max(cn) AS n, CASE WHEN max(cn) >= 4 THEN CAST(sum(kills) FILTER (win_place <= hi) AS DOUBLE) / count(*) FILTER (win_place <= hi) END AS best, count(*) FILTER (win_place <= hi) AS n_best, CASE WHEN max(cn) >= 4 THEN CAST(sum(kills) FILTER (win_place >= lo) AS DOUBLE) / count(*) FILTER (win_place >= lo) END AS worst, count(*) FILTER (win_place >= lo) AS n_worst FROM c GROUP BY 1")
+@over(results, f"""{R}, r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY win_place) AS up, row_number()
+OVER (PARTITION BY account_id ORDER BY win_place DESC) AS down, count(*) OVER (PARTITION BY account_id) AS cn FROM res), c AS (SELECT *, max(win_place)
+FILTER (up = least(10, cn // 2)) OVER (PARTITION BY account_id) AS hi, max(win_place) FILTER (down = least(10, cn // 2)) OVER (PARTITION BY account_id) AS lo FROM r)
+SELECT account_id, max(cn) AS n, CASE WHEN max(cn) >= 4 THEN CAST(sum(kills) FILTER (win_place <= hi) AS DOUBLE) / count(*) FILTER (win_place <= hi) END AS best, count(*)
+FILTER (win_place <= hi) AS n_best, CASE WHEN max(cn) >= 4 THEN CAST(sum(kills) FILTER (win_place >= lo) AS DOUBLE) / count(*) FILTER (win_place >= lo) END AS worst,
+count(*) FILTER (win_place >= lo) AS n_worst FROM c GROUP BY 1""")
 def g33_contrast_by_placement(r):
     return careers.contrast_by_placement(r, "account_id", "kills")
 
 
-@over(events, f"{_WT} SELECT weapon, CAST(sum(kills) AS BIGINT) AS kills, max(longest) AS longest, round(sum(mean_distance * kills) / sum(kills) FILTER (mean_distance IS NOT NULL), 6) AS mean_distance, CAST(sum(landed) AS DOUBLE) / sum(shots) AS accuracy FROM wt GROUP BY 1")
+@over(events, f"""{_WT} SELECT weapon, CAST(sum(kills) AS BIGINT) AS kills, max(longest) AS longest, round(sum(mean_distance * kills) / sum(kills)
+FILTER (mean_distance IS NOT NULL), 6) AS mean_distance, CAST(sum(landed) AS DOUBLE) / sum(shots) AS accuracy FROM wt GROUP BY 1""")
 def g35_merge_weapons(e):
     return careers.merged_weapons(_weapons(e)).withColumn("mean_distance", F.round("mean_distance", 6))
 
 
-@over(events, f"WITH {EV}, g AS (SELECT CAST(floor(t_s / 3600) AS INTEGER) AS phase, account_id % 10 = 0 AS s, idx % 3 = 0 AS i FROM ev), h AS (SELECT phase, count(*) FILTER (s) AS n_squad, count(*) FILTER (s AND i) / nullif(count(*) FILTER (s), 0) AS pct_squad, count(*) FILTER (NOT s) AS n_lobby, count(*) FILTER (NOT s AND i) / nullif(count(*) FILTER (NOT s), 0) AS pct_lobby FROM g GROUP BY 1) SELECT *, pct_lobby - pct_squad AS gap FROM h WHERE n_squad >= 15 AND pct_lobby - pct_squad >= 0.01")
+@over(events, f"""WITH {EV}, g AS (SELECT CAST(floor(t_s / 3600) AS INTEGER) AS phase, account_id % 10 = 0 AS s, idx % 3 = 0 AS i FROM ev), h AS (SELECT phase, count(*)
+FILTER (s) AS n_squad, count(*) FILTER (s AND i) / nullif(count(*) FILTER (s), 0) AS pct_squad, count(*) FILTER (NOT s) AS n_lobby, count(*) FILTER (NOT s AND i)
+/ nullif(count(*) FILTER (NOT s), 0) AS pct_lobby FROM g GROUP BY 1) SELECT *, pct_lobby - pct_squad AS gap FROM h WHERE n_squad >= 15 AND pct_lobby - pct_squad >= 0.01""")
 def g36_circle_gaps(e):
     rows = e.select(F.floor(F.col("t_s") / 3600).cast("int").alias("phase"), (F.col("account_id") % 10 == 0).alias("is_squad"), (F.col("idx") % 3 == 0).alias("inside"))
     return careers.circle_gaps(rows, 0.01)
@@ -378,14 +404,16 @@ _DEATH = [
 ]
 
 
-@over(events, f"{W}, r AS (SELECT victim_id AS account_id, count(*) AS deaths, count(*) FILTER (idx % 4 = 0) AS alone, count(*) FILTER (idx % 4 > 0) AS with_mates, count(*) FILTER (idx % 4 = 1) AS isolated, count(*) FILTER (idx % 5 = 0) AS third_partied FROM kills GROUP BY 1), {_findings_sql('r', 'account_id', _DEATH)}")
+@over(events, f"""{W}, r AS (SELECT victim_id AS account_id, count(*) AS deaths, count(*) FILTER (idx % 4 = 0) AS alone, count(*) FILTER (idx % 4 > 0) AS with_mates,
+count(*) FILTER (idx % 4 = 1) AS isolated, count(*) FILTER (idx % 5 = 0) AS third_partied FROM kills GROUP BY 1), {_findings_sql('r', 'account_id', _DEATH)}""")
 def g37_death_findings(e):
     names = {"alone": "idx % 4 = 0", "with_mates": "idx % 4 > 0", "isolated": "idx % 4 = 1", "third_partied": "idx % 5 = 0"}
     rows = of(e, "kill").groupBy(F.col("victim_id").alias("account_id")).agg(F.count("*").alias("deaths"), *[F.count_if(F.expr(x)).alias(a) for a, x in names.items()])
     return findings.death_findings(rows, "account_id")
 
 
-@over(results, f"{R}, c AS (SELECT account_id, map_name, CAST(sum(kills) AS BIGINT) AS kills, min(win_place) AS place FROM res GROUP BY 1, 2) SELECT *, kills::DOUBLE / max(kills) OVER w AS s_kills, min(place) OVER w / place AS s_place FROM c WINDOW w AS (PARTITION BY map_name)")
+@over(results, f"""{R}, c AS (SELECT account_id, map_name, CAST(sum(kills) AS BIGINT) AS kills, min(win_place) AS place FROM res GROUP BY 1, 2) SELECT *,
+kills::DOUBLE / max(kills) OVER w AS s_kills, min(place) OVER w / place AS s_place FROM c WINDOW w AS (PARTITION BY map_name)""")
 def g40_compare_players(r):
     c = r.groupBy("account_id", "map_name").agg(F.sum("kills").alias("kills"), F.min("win_place").alias("place"))
     return careers.compared(c, "map_name", ["kills", "place"], ["place"])
@@ -396,17 +424,20 @@ def g42_modes_played(r):
     return r.groupBy("game_mode").agg(F.count("*").alias("n")).orderBy(F.col("n").desc())
 
 
-@over(results, f"{R} SELECT match_type, count(*) AS rows_in, count(DISTINCT match_id) AS matches, CAST(min(played_on) AS STRING) AS first, CAST(max(played_on) AS STRING) AS last, count(*) FILTER (is_bot) / count(*) AS bot_share FROM res GROUP BY 1")
+@over(results, f"""{R} SELECT match_type, count(*) AS rows_in, count(DISTINCT match_id) AS matches, CAST(min(played_on) AS STRING) AS first, CAST(max(played_on)
+AS STRING) AS last, count(*) FILTER (is_bot) / count(*) AS bot_share FROM res GROUP BY 1""")
 def g43_archive_stats(r):
     return r.groupBy("match_type").agg(F.count("*").alias("rows_in"), F.count_distinct("match_id").alias("matches"), F.min("played_on").cast("string").alias("first"), F.max("played_on").cast("string").alias("last"), norm.rate(F.count_if("is_bot"), F.count("*")).alias("bot_share"))
 
 
-@over(order_rows, "SELECT max(epoch(TIMESTAMP '2000-01-01') - epoch(t))::BIGINT AS stalest_s, min(epoch(TIMESTAMP '2000-01-01') - epoch(t))::BIGINT AS freshest_s, count(*) FILTER (t IS NULL) AS never_polled FROM (SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS t FROM orders)")
+@over(order_rows, """SELECT max(epoch(TIMESTAMP '2000-01-01') - epoch(t))::BIGINT AS stalest_s, min(epoch(TIMESTAMP '2000-01-01') - epoch(t))::BIGINT AS freshest_s,
+count(*) FILTER (t IS NULL) AS never_polled FROM (SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS t FROM orders)""")
 def h1_freshness(o):
     return careers.freshness(o.select(F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderdate").cast("timestamp")).alias("last_polled_at")), F.lit("2000-01-01").cast("timestamp"))
 
 
-@over(order_rows, "SELECT count(*) FILTER (o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1997-01-01') AS unparsed, count(*) FILTER (o_orderstatus = 'P') AS errors, CAST(min(o_orderdate) FILTER (o_orderstatus = 'O') AS STRING) AS oldest FROM orders")
+@over(order_rows, """SELECT count(*) FILTER (o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1997-01-01') AS unparsed, count(*) FILTER (o_orderstatus = 'P') AS errors,
+CAST(min(o_orderdate) FILTER (o_orderstatus = 'O') AS STRING) AS oldest FROM orders""")
 def h2_backlog(o):
     opened = F.col("o_orderstatus") == "O"
     return o.agg(F.count_if(opened & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))).alias("unparsed"), F.count_if(F.col("o_orderstatus") == "P").alias("errors"), F.min(F.when(opened, F.col("o_orderdate"))).cast("string").alias("oldest"))
@@ -417,7 +448,10 @@ def h5_stale_versions(o):
     return o.where("o_orderstatus = 'F' and o_custkey % 3 = 1 and o_orderdate < timestamp_ntz '1996-06-01'").select("o_orderkey")
 
 
-@over(events, f"WITH {EV}, c AS (SELECT kind, epoch(CAST(match_id AS DATE))::BIGINT + t_s AS t_s, idx, idx % 3 = 0 AS ok FROM ev), r AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY t_s, idx ROWS UNBOUNDED PRECEDING) AS run, min(CASE WHEN ok THEN t_s END) OVER (PARTITION BY kind ORDER BY t_s, idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM c) SELECT kind, min(t_s) AS opened, max(t_s) AS last_seen, count(*) AS observations, max(nx) AS resolved FROM r WHERE NOT ok GROUP BY kind, run")
+@over(events, f"""WITH {EV}, c AS (SELECT kind, epoch(CAST(match_id AS DATE))::BIGINT + t_s AS t_s, idx, idx % 3 = 0 AS ok FROM ev), r AS (SELECT *, sum(CASE WHEN ok THEN
+1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY t_s, idx ROWS UNBOUNDED PRECEDING) AS run, min(CASE WHEN ok THEN t_s END) OVER (PARTITION BY kind ORDER BY t_s,
+idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM c) SELECT kind, min(t_s) AS opened, max(t_s) AS last_seen, count(*) AS observations, max(nx)
+AS resolved FROM r WHERE NOT ok GROUP BY kind, run""")
 def h6_fold_alerts(e):
     at = F.unix_date(F.col("match_id").cast("date")).cast("bigint") * 86_400 + F.col("t_s")
     return careers.folded_alerts(e.select("kind", at.alias("t_s"), "idx", (F.col("idx") % 3 == 0).alias("ok")))
@@ -434,7 +468,8 @@ def a7_new_match_ids(o):
     return careers.new_ids(o, o.where("o_orderstatus = 'F'"), "o_custkey")
 
 
-@over(customers, "WITH n AS (SELECT c_custkey + 100 AS c_custkey, c_name || 'x' AS c_name FROM customer) SELECT c_custkey, coalesce(n.c_name, c.c_name) AS c_name, CAST(c.c_nationkey AS INTEGER) AS c_nationkey FROM customer c FULL JOIN n USING (c_custkey)")
+@over(customers, """WITH n AS (SELECT c_custkey + 100 AS c_custkey, c_name || 'x' AS c_name FROM customer) SELECT c_custkey, coalesce(n.c_name, c.c_name) AS c_name,
+CAST(c.c_nationkey AS INTEGER) AS c_nationkey FROM customer c FULL JOIN n USING (c_custkey)""")
 def a10_upsert_entities(c):
     new = c.select((F.col("c_custkey") + 100).alias("c_custkey"), F.concat("c_name", F.lit("x")).alias("c_name"))
     return careers.merged_entities(c.select("c_custkey", "c_name", "c_nationkey"), new, "c_custkey", ["c_name"])

@@ -51,17 +51,20 @@ def f1_placed_items(e):
     return inventory.placed(rows)
 
 
-@over(timed, f"{_T}, d AS (SELECT match_id, victim_id AS account_id, max(t_s) * 1000 AS death_ms FROM ev WHERE kind = 'kill' GROUP BY 1, 2) SELECT match_id, account_id, count(*) AS n, count(*) FILTER (t_ms > death_ms) AS n_late FROM tm LEFT JOIN d USING (match_id, account_id) WHERE kind = 'position' GROUP BY 1, 2")
+@over(timed, f"""{_T}, d AS (SELECT match_id, victim_id AS account_id, max(t_s) * 1000 AS death_ms FROM ev WHERE kind = 'kill' GROUP BY 1, 2) SELECT match_id, account_id,
+count(*) AS n, count(*) FILTER (t_ms > death_ms) AS n_late FROM tm LEFT JOIN d USING (match_id, account_id) WHERE kind = 'position' GROUP BY 1, 2""")
 def f2_before_death(e):
     return inventory.before_death(of(e, "position"), _deaths(e)).groupBy(*M).agg(F.count("*").alias("n"), F.count_if("late").alias("n_late"))
 
 
-@over(timed, f"{_T} SELECT match_id, account_id, idx FROM tm a WHERE kind = 'knock' AND NOT EXISTS (SELECT 1 FROM tm b WHERE b.kind = 'hit' AND b.match_id = a.match_id AND b.account_id = a.account_id AND b.item = a.item AND abs(b.t_ms - a.t_ms) <= 3600000)")
+@over(timed, f"""{_T} SELECT match_id, account_id, idx FROM tm a WHERE kind = 'knock' AND NOT EXISTS (SELECT 1 FROM tm b WHERE b.kind = 'hit' AND
+b.match_id = a.match_id AND b.account_id = a.account_id AND b.item = a.item AND abs(b.t_ms - a.t_ms) <= 3600000)""")
 def f3_trunk_pickups(e):
     return inventory.trunk_pickups(of(e, "knock"), of(e, "hit"), 3_600_000).select(*M, "idx")
 
 
-@over(timed, f"{_T} SELECT match_id, account_id, idx FROM tm a WHERE kind = 'landing' AND NOT EXISTS (SELECT 1 FROM tm b WHERE b.kind = 'hit' AND b.match_id = a.match_id AND b.account_id = a.account_id AND b.item = a.item AND b.idx % 3 = a.idx % 3 AND abs(b.t_ms - a.t_ms) <= 7200000)")
+@over(timed, f"""{_T} SELECT match_id, account_id, idx FROM tm a WHERE kind = 'landing' AND NOT EXISTS (SELECT 1 FROM tm b WHERE b.kind = 'hit' AND
+b.match_id = a.match_id AND b.account_id = a.account_id AND b.item = a.item AND b.idx % 3 = a.idx % 3 AND abs(b.t_ms - a.t_ms) <= 7200000)""")
 def f4_unequips(e):
     e = e.withColumn("slot", F.col("idx") % 3)
     return inventory.unequips(of(e, "landing"), of(e, "hit"), 7_200_000).select(*M, "idx")
@@ -83,7 +86,9 @@ def f5_stacks(e):
     return _stacks(e)
 
 
-@over(timed, f"{_T}, b AS (SELECT idx, list_sort([CAST(idx % 3 AS VARCHAR), CAST(idx % 2 AS VARCHAR), '1']) AS b FROM tm) SELECT idx, array_to_string(list_sort(CASE WHEN idx % 2 = 0 THEN list_append(b, '1') ELSE list_concat(b[1:list_position(b, '1') - 1], b[list_position(b, '1') + 1:]) END), ',') AS attached FROM b")
+@over(timed, f"""{_T}, b AS (SELECT idx, list_sort([CAST(idx % 3 AS VARCHAR), CAST(idx % 2 AS VARCHAR), '1']) AS b FROM tm) SELECT idx,
+array_to_string(list_sort(CASE WHEN idx % 2 = 0 THEN list_append(b, '1') ELSE list_concat(b[1:list_position(b, '1') - 1], b[list_position(b, '1') + 1:]) END), ',')
+AS attached FROM b""")
 def f6_reattached(e):
     before = F.array_sort(F.array((F.col("idx") % 3).cast("string"), (F.col("idx") % 2).cast("string"), F.lit("1")))
     rows = e.select("idx", before.alias("b"))
@@ -103,7 +108,9 @@ def f7_armour_hits(e):
     return inventory.armour_hits(rows).select(*M, "idx", "slot", "hit_no", F.round("remaining", 4).alias("remaining"))
 
 
-@over(timed, f"{_ST}, n AS (SELECT *, lead(t_ms) OVER (PARTITION BY match_id, account_id, item ORDER BY t_ms, idx) AS nxt, max(t_ms) OVER (PARTITION BY match_id) AS fin FROM st), ticks AS (SELECT unnest(range(0, 86400001, 21600000)) AS at_ms) SELECT match_id, account_id, item, stack, at_ms FROM n JOIN ticks ON at_ms >= t_ms AND (nxt IS NULL OR at_ms < nxt) AND at_ms <= fin WHERE stack <> 0")
+@over(timed, f"""{_ST}, n AS (SELECT *, lead(t_ms) OVER (PARTITION BY match_id, account_id, item ORDER BY t_ms, idx) AS nxt, max(t_ms) OVER (PARTITION BY match_id)
+AS fin FROM st), ticks AS (SELECT unnest(range(0, 86400001, 21600000)) AS at_ms) SELECT match_id, account_id, item, stack, at_ms FROM n JOIN ticks ON at_ms >= t_ms AND
+(nxt IS NULL OR at_ms < nxt) AND at_ms <= fin WHERE stack <> 0""")
 def f8_snapshots(e):
     return inventory.snapshots(_stacks(e), ["item"], "stack", 21_600_000)
 
@@ -137,12 +144,16 @@ def f1_inventory_deltas(e):
     return _deltas(e).drop("attached")
 
 
-@over(timed, f"{_DELTAS}, ro AS (SELECT match_id, account_id, min(team_id) AS team_id FROM ev GROUP BY 1, 2), pl AS (SELECT *, dense_rank() OVER (PARTITION BY match_id ORDER BY team_id, account_id) - 1 AS player FROM ro) SELECT match_id, player, CAST(least(floor(t_ms / 2000.0), 65535) AS INTEGER) AS tick, idx, op, slot, item, quantity FROM dl JOIN pl USING (match_id, account_id)")
+@over(timed, f"""{_DELTAS}, ro AS (SELECT match_id, account_id, min(team_id) AS team_id FROM ev GROUP BY 1, 2), pl AS (SELECT *, dense_rank()
+OVER (PARTITION BY match_id ORDER BY team_id, account_id) - 1 AS player FROM ro) SELECT match_id, player, CAST(least(floor(t_ms / 2000.0), 65535) AS INTEGER) AS tick,
+idx, op, slot, item, quantity FROM dl JOIN pl USING (match_id, account_id)""")
 def e3_replay_inventory(e):
     return inventory.replay_inventory(_deltas(e), timeline.roster(e), 2000)
 
 
-@over(timed, f"{_ST}, d AS (SELECT match_id, victim_id AS account_id, max(t_ms) AS death_ms FROM tm WHERE kind = 'kill' GROUP BY 1, 2) SELECT match_id, account_id, item, arg_max(stack, st.t_ms * 100000000 + idx) AS stack, death_ms AS at_ms FROM st JOIN d USING (match_id, account_id) WHERE st.t_ms <= death_ms GROUP BY 1, 2, 3, 5 HAVING arg_max(stack, st.t_ms * 100000000 + idx) <> 0")
+@over(timed, f"""{_ST}, d AS (SELECT match_id, victim_id AS account_id, max(t_ms) AS death_ms FROM tm WHERE kind = 'kill' GROUP BY 1, 2) SELECT match_id, account_id,
+item, arg_max(stack, st.t_ms * 100000000 + idx) AS stack, death_ms AS at_ms FROM st JOIN d USING (match_id, account_id) WHERE st.t_ms <= death_ms GROUP BY 1, 2, 3,
+5 HAVING arg_max(stack, st.t_ms * 100000000 + idx) <> 0""")
 def f9_held_at_death(e):
     return inventory.held_at_death(_stacks(e), _deaths(e), ["item"], "stack")
 
@@ -160,18 +171,23 @@ def h1_heartbeat_age(rows):
 # --- reviews
 
 
-@over(events, f"WITH p AS ({_MEMBERS}) SELECT account_id, count(*) AS fights, sum(damage_dealt) / count(*) AS damage_dealt_avg, sum(damage_taken) / count(*) AS damage_taken_avg, count(*) FILTER (was_knocked) / count(*) AS knocked, count(*) FILTER (died) / count(*) AS died FROM p GROUP BY 1")
+@over(events, f"""WITH p AS ({_MEMBERS}) SELECT account_id, count(*) AS fights, sum(damage_dealt) / count(*) AS damage_dealt_avg, sum(damage_taken) / count(*)
+AS damage_taken_avg, count(*) FILTER (was_knocked) / count(*) AS knocked, count(*) FILTER (died) / count(*) AS died FROM p GROUP BY 1""")
 def g25_engagement_players(e):
     return reviews.engagement_players(timeline.d18_engagement_participants(None, None, e))
 
 
-@over(events, f"WITH f AS ({_ENGAGED}), p AS ({_MEMBERS}), a AS (SELECT match_id, team_a, team_b, segment, list_sort(list(DISTINCT account_id)) AS accounts FROM p GROUP BY 1, 2, 3, 4) SELECT match_id, seq, t_start, array_to_string(accounts, ',') AS accounts FROM f LEFT JOIN a USING (match_id, team_a, team_b, segment)")
+@over(events, f"""WITH f AS ({_ENGAGED}), p AS ({_MEMBERS}), a AS (SELECT match_id, team_a, team_b, segment, list_sort(list(DISTINCT account_id)) AS accounts FROM
+p GROUP BY 1, 2, 3, 4) SELECT match_id, seq, t_start, array_to_string(accounts, ',') AS accounts FROM f LEFT JOIN a USING (match_id, team_a, team_b, segment)""")
 def g26_match_engagements(e):
     both = reviews.match_engagements(engagements(e), timeline.d18_engagement_participants(None, None, e))
     return both.select("match_id", "seq", "t_start", F.array_join(F.col("accounts").cast("array<string>"), ",").alias("accounts"))
 
 
-@over(events, f"WITH f AS ({_ENGAGED}), p AS ({_MEMBERS}) SELECT match_id, seq, account_id, t_start, t_end, CASE WHEN team_id = team_a THEN team_b ELSE team_a END AS opponent_team, CASE WHEN team_id = team_a THEN kills_a ELSE kills_b END AS kills_ours, CASE WHEN team_id = team_a THEN kills_b ELSE kills_a END AS kills_theirs, CASE WHEN team_id = team_a THEN knocks_a ELSE knocks_b END AS knocks_ours, CASE WHEN team_id = team_a THEN knocks_b ELSE knocks_a END AS knocks_theirs FROM f JOIN p USING (match_id, team_a, team_b, segment)")
+@over(events, f"""WITH f AS ({_ENGAGED}), p AS ({_MEMBERS}) SELECT match_id, seq, account_id, t_start, t_end, CASE WHEN team_id = team_a THEN
+team_b ELSE team_a END AS opponent_team, CASE WHEN team_id = team_a THEN kills_a ELSE kills_b END AS kills_ours, CASE WHEN team_id = team_a THEN
+kills_b ELSE kills_a END AS kills_theirs, CASE WHEN team_id = team_a THEN knocks_a ELSE knocks_b END AS knocks_ours, CASE WHEN team_id = team_a THEN
+knocks_b ELSE knocks_a END AS knocks_theirs FROM f JOIN p USING (match_id, team_a, team_b, segment)""")
 def c24_fights_for(e):
     return reviews.fights_for(engagements(e), timeline.d18_engagement_participants(None, None, e))
 
@@ -212,7 +228,8 @@ def g39_death_tags(e):
     return reviews.death_tags(rows).select("idx", F.array_join("tags", "; ").alias("tags"), "replay_from_s")
 
 
-_MET = "met AS (SELECT match_id, account_id, max(CAST(damage_dealt AS DOUBLE)) AS rotate_lag_s, max(kills) AS hot_drop_n FROM res GROUP BY 1, 2), who AS (SELECT match_id, account_id, min(win_place) AS win_place, min(team_id) AS team_id, bool_or(tracked) AS tracked FROM res GROUP BY 1, 2)"
+_MET = """met AS (SELECT match_id, account_id, max(CAST(damage_dealt AS DOUBLE)) AS rotate_lag_s, max(kills) AS hot_drop_n FROM res GROUP BY 1, 2),
+who AS (SELECT match_id, account_id, min(win_place) AS win_place, min(team_id) AS team_id, bool_or(tracked) AS tracked FROM res GROUP BY 1, 2)"""
 
 
 def _metrics(r):
@@ -225,7 +242,9 @@ def g28_strategy_rows(r):
     return reviews.strategy_rows(*_metrics(r), "tracked", True).select(*M, "rotate_lag_s", "hot_drop_n", "win_place")
 
 
-@over(results, f"{R}, {_MET} SELECT match_id, team_id % 2 AS team_id, count(DISTINCT account_id) AS n_players, string_agg(account_id || ':' || CAST(hot_drop_n AS VARCHAR), ',' ORDER BY account_id) AS players, sum(hot_drop_n) / count(hot_drop_n) AS squad_mean FROM met JOIN who USING (match_id, account_id) WHERE tracked GROUP BY 1, 2 HAVING n_players >= 2")
+@over(results, f"""{R}, {_MET} SELECT match_id, team_id % 2 AS team_id, count(DISTINCT account_id) AS n_players,
+string_agg(account_id || ':' || CAST(hot_drop_n AS VARCHAR), ',' ORDER BY account_id) AS players, sum(hot_drop_n) / count(hot_drop_n) AS squad_mean FROM met JOIN
+who USING (match_id, account_id) WHERE tracked GROUP BY 1, 2 HAVING n_players >= 2""")
 def g29_squad_strategy(r):
     rows = reviews.strategy_rows(*_metrics(r)).withColumn("team_id", F.col("team_id") % 2)
     named = F.transform("players", lambda p: F.concat_ws(":", p["account_id"].cast("string"), p["hot_drop_n"].cast("string")))
@@ -236,25 +255,30 @@ def _zone(r):
     return r.select("match_id", F.col("team_id").alias("phase"), F.col("tracked").alias("is_squad"), "is_bot", "win_place", (F.col("kills") % 5 > 0).alias("alive_at_close"), F.when(F.col("assists") > 0, F.col("kills") % 2 == 0).alias("in_at_announce"), F.when(F.col("kills") > 5, F.col("assists") % 2 == 0).alias("in_at_close"), F.col("damage_dealt").cast("double").alias("edge_cm"))
 
 
-@over(results, f"{R} SELECT team_id AS phase, tracked AS is_squad, count(*) FILTER (assists > 0 AND kills % 2 = 0) AS announce_in, count(*) FILTER (assists > 0) AS announce_n, count(*) FILTER (kills > 5 AND assists % 2 = 0) AS close_in, count(*) FILTER (kills > 5) AS close_n, quantile_cont(CAST(damage_dealt AS DOUBLE), 0.5) / 100 AS median_edge_m FROM res WHERE kills % 5 > 0 AND (tracked OR (NOT is_bot AND win_place <= 5)) GROUP BY 1, 2")
+@over(results, f"""{R} SELECT team_id AS phase, tracked AS is_squad, count(*) FILTER (assists > 0 AND kills % 2 = 0) AS announce_in, count(*) FILTER (assists > 0)
+AS announce_n, count(*) FILTER (kills > 5 AND assists % 2 = 0) AS close_in, count(*) FILTER (kills > 5) AS close_n, quantile_cont(CAST(damage_dealt AS DOUBLE), 0.5)
+/ 100 AS median_edge_m FROM res WHERE kills % 5 > 0 AND (tracked OR (NOT is_bot AND win_place <= 5)) GROUP BY 1, 2""")
 def g31_zone_play_summary(r):
     return reviews.zone_play_summary(_zone(r), 5)
 
 
-@over(results, f"{R} SELECT match_id, account_id, team_id AS phase, count(*) AS n, max(max_phase) AS max_phase FROM (SELECT *, max(team_id) OVER (PARTITION BY match_id) AS max_phase FROM res) WHERE tracked GROUP BY 1, 2, 3")
+@over(results, f"""{R} SELECT match_id, account_id, team_id AS phase, count(*) AS n, max(max_phase) AS max_phase FROM (SELECT *, max(team_id) OVER (PARTITION BY match_id)
+AS max_phase FROM res) WHERE tracked GROUP BY 1, 2, 3""")
 def g32_match_zone_play(r):
     rows = reviews.match_zone_play(r.withColumn("phase", F.col("team_id")), F.col("tracked"))
     return rows.groupBy(*M, "phase").agg(F.count("*").alias("n"), F.max("max_phase").alias("max_phase"))
 
 
-@over(results, f"{R} SELECT account_id, round(avg(CASE WHEN survived_s > 0 THEN damage_dealt::DOUBLE / survived_s * 100 END), 4) AS blue, round(avg(kills / 100), 4) AS mate_distance, round(avg(assists * 100), 4) AS mate_near, count(*) AS n FROM res GROUP BY 1")
+@over(results, f"""{R} SELECT account_id, round(avg(CASE WHEN survived_s > 0 THEN damage_dealt::DOUBLE / survived_s * 100 END), 4) AS blue, round(avg(kills / 100), 4)
+AS mate_distance, round(avg(assists * 100), 4) AS mate_near, count(*) AS n FROM res GROUP BY 1""")
 def g34_behaviour(r):
     d = F.col("damage_dealt").cast("double")
     rows = r.withColumns({"blue_s": d, "blue_damage": d, "rotate_lag_s": d, "teammate_dist_avg_cm": F.col("kills"), "teammate_near_pct": F.col("assists"), "hot_drop_n": F.col("kills"), "first_engage_s": d, "dmg_dealt_early": d, "first_weapon_s": d, "early_pickups_n": F.col("kills"), "ride_distance": d})
     return reviews.behaviour(rows).groupBy("account_id").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("blue", "mate_distance", "mate_near")], F.count("*").alias("n"))
 
 
-@over(events, f"{W}, d AS (SELECT account_id, max(t_s) AS landed FROM landings GROUP BY 1), a AS (SELECT DISTINCT account_id FROM ev) SELECT account_id, landed FROM a LEFT JOIN d USING (account_id) ORDER BY landed DESC NULLS LAST, account_id")
+@over(events, f"""{W}, d AS (SELECT account_id, max(t_s) AS landed FROM landings GROUP BY 1), a AS (SELECT DISTINCT account_id FROM ev) SELECT account_id, landed FROM
+a LEFT JOIN d USING (account_id) ORDER BY landed DESC NULLS LAST, account_id""")
 def g41_sort_rows(e):
     landed = of(e, "landing").groupBy("account_id").agg(F.max("t_s").alias("landed"))
     return reviews.sort_rows(e.select("account_id").distinct().join(landed, "account_id", "left"), "landed", True)
@@ -266,17 +290,20 @@ def _matches(spark, sf):
     return o.select(key.alias("match_id"), F.col("o_orderdate").cast("timestamp").alias("played_at"), F.when(key % 3 > 0, key).alias("telemetry_key"), F.when(F.col("o_orderstatus") != "P", key).alias("parsed_at"), (key % 4).alias("parser_version"))
 
 
-@over(_matches, "SELECT o_orderkey AS match_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 10 DAY ORDER BY o_orderdate, o_orderkey LIMIT 5")
+@over(_matches, """SELECT o_orderkey AS match_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 10 DAY ORDER BY o_orderdate,
+o_orderkey LIMIT 5""")
 def h3_at_risk(m):
     return reviews.at_risk(m, F.lit("1998-01-01").cast("timestamp")).select("match_id")
 
 
-@over(_matches, "SELECT o_orderkey AS match_id FROM orders WHERE o_orderkey % 3 > 0 AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 90 DAY AND o_orderstatus <> 'P' AND o_orderkey % 4 = 3")
+@over(_matches, """SELECT o_orderkey AS match_id FROM orders WHERE o_orderkey % 3 > 0 AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 90 DAY AND
+o_orderstatus <> 'P' AND o_orderkey % 4 = 3""")
 def h4_prune_candidates(m):
     return reviews.prune_candidates(m, F.lit("1998-01-01").cast("timestamp"), 90, 3).select("match_id")
 
 
-@over(events, f"WITH {EV}, v AS (SELECT kind, json_extract_string(props, '$.k') AS v FROM ev WHERE json_extract_string(props, '$.k') IS NOT NULL) SELECT kind, 'k' AS path, count(*) AS n, count(DISTINCT v) AS n_values FROM v GROUP BY kind")
+@over(events, f"""WITH {EV}, v AS (SELECT kind, json_extract_string(props, '$.k') AS v FROM ev WHERE json_extract_string(props, '$.k') IS NOT NULL) SELECT kind,
+'k' AS path, count(*) AS n, count(DISTINCT v) AS n_values FROM v GROUP BY kind""")
 def h7_profile_schema(e):
     return profile_schema(e.select("kind", F.try_parse_json("props").alias("ev"))).select("kind", "path", "n", "n_values")
 
@@ -297,7 +324,10 @@ def _scratch(spark):
 _OVER = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
-@over(_stream, f"WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g), a AS (SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, epoch_us(started) AS started, epoch_us(ended) AS ended, n FROM a WHERE ended + INTERVAL 3 HOUR <= {_OVER}")
+@over(_stream, f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g), a AS (SELECT user_id, session, min(ts) AS started,
+max(ts) AS ended, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, epoch_us(started) AS started, epoch_us(ended) AS ended, n FROM
+a WHERE ended + INTERVAL 3 HOUR <= {_OVER}""")
 def s4_live_sessions(rows):
     live = jobs.live_sessions(rows.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "3 hours", "1 hour")
     out = jobs.drained(live, _scratch(rows.sparkSession))
@@ -317,7 +347,10 @@ def s5_live_segments(rows):
     return jobs.drained(live, _scratch(rows.sparkSession)).select("match_id", "team_a", "team_b", "hits", "knocks", "kills")
 
 
-@over(_stream, "WITH c AS (SELECT event_type AS kind, event_id AS idx, epoch_us(ts) AS t_s, event_id % 3 = 0 AS ok FROM events), r AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY kind ORDER BY t_s, idx ROWS UNBOUNDED PRECEDING) AS run FROM c), a AS (SELECT kind, run, count(*) AS n, bool_or(NOT ok) AS any FROM r WHERE NOT ok GROUP BY 1, 2), x AS (SELECT kind, max(run) AS top FROM r GROUP BY 1) SELECT a.kind, CAST(count(*) AS BIGINT) AS opened, CAST(sum(n) - count(*) AS BIGINT) AS refreshed, count(*) FILTER (a.run < x.top) AS resolved FROM a JOIN x USING (kind) GROUP BY 1")
+@over(_stream, """WITH c AS (SELECT event_type AS kind, event_id AS idx, epoch_us(ts) AS t_s, event_id % 3 = 0 AS ok FROM events), r AS (SELECT *, count(*) FILTER (ok)
+OVER (PARTITION BY kind ORDER BY t_s, idx ROWS UNBOUNDED PRECEDING) AS run FROM c), a AS (SELECT kind, run, count(*) AS n, bool_or(NOT ok) AS any FROM
+r WHERE NOT ok GROUP BY 1, 2), x AS (SELECT kind, max(run) AS top FROM r GROUP BY 1) SELECT a.kind, CAST(count(*) AS BIGINT) AS opened, CAST(sum(n) - count(*) AS BIGINT)
+AS refreshed, count(*) FILTER (a.run < x.top) AS resolved FROM a JOIN x USING (kind) GROUP BY 1""")
 def s6_live_alerts(rows):
     live = jobs.live_alerts(rows.select(F.col("event_type").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_s"), F.col("event_id").alias("idx"), (F.col("event_id") % 3 == 0).alias("ok")))
     n = lambda e: F.count_if(F.col("event") == e)

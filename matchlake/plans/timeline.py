@@ -45,7 +45,10 @@ def dbl(df: DataFrame, *cols: str) -> DataFrame:
 # --- normalisation
 
 
-@query(f"WITH {EV} SELECT idx, CAST(least(greatest(x, 0), 816000 - 1) / 816000 * 256 AS INTEGER) - CASE WHEN CAST(least(greatest(x, 0), 816000 - 1) / 816000 * 256 AS INTEGER) > least(greatest(x, 0), 816000 - 1) / 816000 * 256 THEN 1 ELSE 0 END AS cell, CAST(round_even(x / 816000 * 65535, 0) AS INTEGER) AS q, (['N','NE','E','SE','S','SW','W','NW'])[CAST(((CAST(floor((degrees(atan2(vx - x, -(vy - y))) + 22.5) / 45) AS INTEGER) % 8) + 8) % 8 AS INTEGER) + 1] AS bearing, CAST(least(floor(t_s * 1000 / 500.0), 65535) AS INTEGER) AS tick, least(100.0, greatest(0.0, 60 - CAST(damage AS DOUBLE))) AS health FROM ev")
+@query(f"""WITH {EV} SELECT idx, CAST(least(greatest(x, 0), 816000 - 1) / 816000 * 256 AS INTEGER) - CASE WHEN CAST(least(greatest(x, 0), 816000 - 1)
+/ 816000 * 256 AS INTEGER) > least(greatest(x, 0), 816000 - 1) / 816000 * 256 THEN 1 ELSE 0 END AS cell, CAST(round_even(x / 816000 * 65535, 0) AS INTEGER) AS q,
+(['N','NE','E','SE','S','SW','W','NW'])[CAST(((CAST(floor((degrees(atan2(vx - x, -(vy - y))) + 22.5) / 45) AS INTEGER) % 8) + 8) % 8 AS INTEGER) + 1] AS bearing,
+CAST(least(floor(t_s * 1000 / 500.0), 65535) AS INTEGER) AS tick, least(100.0, greatest(0.0, 60 - CAST(damage AS DOUBLE))) AS health FROM ev""")
 def b_geometry(spark: SparkSession, sf: str, e: DataFrame) -> DataFrame:
     return e.select("idx", norm.grid_cell(F.col("x"), 816000).alias("cell"), norm.quantise_u16(F.col("x"), 816000).alias("q"), norm.bearing(F.col("vx") - F.col("x"), F.col("vy") - F.col("y")).alias("bearing"), norm.tick(F.col("t_s"), 500).alias("tick"), norm.health_after(F.lit(60.0), -F.col("damage").cast("double")).alias("health"))
 
@@ -83,13 +86,16 @@ def c4_heal_thinned(spark, sf, e):
     return tracks.heal_thinned(of(e, "position", "hit").select(*M, "t_s", "idx", (F.col("kind") == "hit").alias("is_heal"), health)).select(*M, "idx")
 
 
-@query(f"WITH {EV}, v AS (SELECT match_id, account_id, idx, CASE kind WHEN 'landing' THEN 'v' || CAST(idx % 3 AS STRING) WHEN 'kill' THEN '' END AS vehicle_id FROM ev) SELECT match_id, account_id, idx, nullif(last_value(vehicle_id IGNORE NULLS) OVER (PARTITION BY match_id, account_id ORDER BY idx ROWS UNBOUNDED PRECEDING), '') AS riding FROM v")
+@query(f"""WITH {EV}, v AS (SELECT match_id, account_id, idx, CASE kind WHEN 'landing' THEN 'v' || CAST(idx % 3 AS STRING) WHEN 'kill' THEN '' END AS vehicle_id FROM ev)
+SELECT match_id, account_id, idx, nullif(last_value(vehicle_id IGNORE NULLS) OVER (PARTITION BY match_id, account_id ORDER BY idx ROWS UNBOUNDED PRECEDING), '')
+AS riding FROM v""")
 def c5_vehicle_asof(spark, sf, e):
     v = F.when(F.col("kind") == "landing", F.concat(F.lit("v"), (F.col("idx") % 3).cast("string"))).when(F.col("kind") == "kill", F.lit(""))
     return tracks.vehicle_asof(e.withColumn("vehicle_id", v)).select(*M, "idx", "riding")
 
 
-@query(f"WITH {EV} SELECT match_id, account_id, idx, t_s FROM (SELECT *, lead(t_s) OVER (PARTITION BY match_id, account_id ORDER BY t_s, idx) - t_s AS d FROM ev) WHERE d IS NULL OR d >= 600")
+@query(f"""WITH {EV} SELECT match_id, account_id, idx, t_s FROM (SELECT *, lead(t_s) OVER (PARTITION BY match_id, account_id ORDER BY t_s, idx) - t_s AS d FROM ev)
+WHERE d IS NULL OR d >= 600""")
 def c6_compacted(spark, sf, e):
     return temporal.compacted(e, M, "t_s", 600, ["idx"]).select(*M, "idx", "t_s")
 
@@ -110,7 +116,9 @@ _ENDS = ", ".join(f"{k}s_last AS (SELECT match_id, account_id, t_s, max(idx) AS
 _N = _NEAR.format(probe="kills", sample="position")
 
 
-@query(f"{W}, {_ENDS}, {_N}, m AS (SELECT *, bt IS NOT NULL AND (at_ IS NULL OR t_s - bt <= at_ - t_s) AS back FROM b JOIN a USING (idx)) SELECT match_id, account_id, idx, CASE WHEN lag <= {LAG} THEN s END AS s_idx, CASE WHEN lag <= {LAG} THEN lag END AS s_lag FROM (SELECT *, CASE WHEN back THEN bi ELSE ai END AS s, CASE WHEN back THEN t_s - bt ELSE at_ - t_s END AS lag FROM m)")
+@query(f"""{W}, {_ENDS}, {_N}, m AS (SELECT *, bt IS NOT NULL AND (at_ IS NULL OR t_s - bt <= at_ - t_s) AS back FROM b JOIN a USING (idx)) SELECT match_id, account_id,
+idx, CASE WHEN lag <= {LAG} THEN s END AS s_idx, CASE WHEN lag <= {LAG} THEN lag END AS s_lag FROM (SELECT *, CASE WHEN back THEN bi ELSE ai END AS s, CASE WHEN back THEN
+t_s - bt ELSE at_ - t_s END AS lag FROM m)""")
 def c9_nearest_in_time(spark, sf, e):
     probes, samples = of(e, "kill").select(*M, "idx", "t_s"), of(e, "position").select(*M, "t_s", "idx")
     return temporal.asof(probes, samples, M, "t_s", ["idx"], "nearest", ["idx"], LAG).select(*M, "idx", "s_idx", "s_lag")
@@ -121,7 +129,9 @@ def c10_snap_asof(spark, sf, e):
     return temporal.asof(of(e, "kill").select(*M, "idx", "t_s"), of(e, "position").select(*M, "t_s", "idx"), M, "t_s", ["idx"], "backward", ["idx"]).select(*M, "idx", "s_idx")
 
 
-_INTERP = f"{W}, {_ENDS}, {_N}, p AS (SELECT b.*, a.at_, pb.x AS bx, pa.x AS ax FROM b JOIN a USING (idx) LEFT JOIN positions pb ON pb.idx = b.bi LEFT JOIN positions pa ON pa.idx = a.ai) SELECT match_id, account_id, idx, round(CASE WHEN bt IS NULL THEN {{first}} WHEN at_ IS NULL OR at_ <= bt THEN bx ELSE bx + (ax - bx) * (t_s - bt) / (at_ - bt) END, 3) AS at_x FROM p"
+_INTERP = f"""{W}, {_ENDS}, {_N}, p AS (SELECT b.*, a.at_, pb.x AS bx, pa.x AS ax FROM b JOIN a USING (idx) LEFT JOIN positions pb ON pb.idx = b.bi LEFT JOIN
+positions pa ON pa.idx = a.ai) SELECT match_id, account_id, idx, round(CASE WHEN bt IS NULL THEN {{first}} WHEN at_ IS NULL OR at_ <= bt THEN bx ELSE bx + (ax - bx)
+* (t_s - bt) / (at_ - bt) END, 3) AS at_x FROM p"""
 
 
 @query(_INTERP.format(first="ax"))
@@ -163,11 +173,11 @@ h AS (SELECT *, 0.5 * atan2(2 * (sxy/n - sx/n*(sy/n)), (sxx/n - sx/n*(sx/n)) - (
 l AS (SELECT match_id, n, sx/n AS cx, sy/n AS cy, cos(a) * f AS dx, sin(a) * f AS dy FROM s),
 r AS (SELECT *, (0 - cx) / nullif(dx, 0) AS xa, (816000 - cx) / nullif(dx, 0) AS xb, (0 - cy) / nullif(dy, 0) AS ya, (816000 - cy) / nullif(dy, 0) AS yb FROM l),
 e AS (SELECT *, greatest(least(xa, xb), least(ya, yb)) AS i, least(greatest(xa, xb), greatest(ya, yb)) AS o FROM r)
-SELECT match_id, n, round(cx, 3) AS cx, round(cy, 3) AS cy, round(dx, 6) AS dx, round(dy, 6) AS dy, CASE WHEN i <= o THEN round(cx + i * dx, 2) END AS x0, CASE WHEN i <= o THEN round(cy + i * dy, 2) END AS y0,
-CASE WHEN i <= o THEN round(cx + o * dx, 2) END AS x1, CASE WHEN i <= o THEN round(cy + o * dy, 2) END AS y1 FROM e""")
+SELECT match_id, n, round(cx, 3) + 0.0 AS cx, round(cy, 3) + 0.0 AS cy, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy, CASE WHEN i <= o THEN round(cx + i * dx, 2) + 0.0 END AS x0, CASE WHEN i <= o THEN round(cy + i * dy, 2) + 0.0 END AS y0,
+CASE WHEN i <= o THEN round(cx + o * dx, 2) + 0.0 END AS x1, CASE WHEN i <= o THEN round(cy + o * dy, 2) + 0.0 END AS y1 FROM e""")
 def c15_plane_path(spark, sf, e):
     digits = {"cx": 3, "cy": 3, "dx": 6, "dy": 6, "x0": 2, "y0": 2, "x1": 2, "y1": 2}
-    return tracks.plane_path(of(e, "position"), 816_000).withColumns({c: F.round(c, n) for c, n in digits.items()})
+    return tracks.plane_path(of(e, "position"), 816_000).withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in digits.items()})
 
 
 @query(f"WITH {EV} SELECT match_id, idx, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY match_id ORDER BY idx) AS p FROM ev) WHERE p IS NULL OR p <> kind")
@@ -175,19 +185,25 @@ def c16_change_points(spark, sf, e):
     return temporal.change_points(e, ["match_id"], ["idx"], ["kind"]).select("match_id", "idx", "kind")
 
 
-_VEH = "v AS (SELECT match_id, account_id, idx % 2 AS vehicle_id, idx, t_s, CASE kind WHEN 'position' THEN 'ride' ELSE 'leave' END AS kind FROM ev WHERE kind IN ('position', 'kill'))"
+_VEH = """v AS (SELECT match_id, account_id, idx % 2 AS vehicle_id, idx, t_s, CASE kind WHEN 'position' THEN 'ride' ELSE 'leave' END AS kind FROM
+ev WHERE kind IN ('position', 'kill'))"""
 
 
-@query(f"WITH {EV}, {_VEH} SELECT match_id, account_id, vehicle_id, idx, t_s, CASE WHEN nk = 'leave' THEN nt END AS close_t FROM (SELECT *, lead(kind) OVER w AS nk, lead(t_s) OVER w AS nt FROM v WINDOW w AS (PARTITION BY match_id, account_id, vehicle_id ORDER BY idx)) WHERE kind = 'ride'")
+@query(f"""WITH {EV}, {_VEH} SELECT match_id, account_id, vehicle_id, idx, t_s, CASE WHEN nk = 'leave' THEN nt END AS close_t FROM (SELECT *, lead(kind) OVER w AS nk,
+lead(t_s) OVER w AS nt FROM v WINDOW w AS (PARTITION BY match_id, account_id, vehicle_id ORDER BY idx)) WHERE kind = 'ride'""")
 def c18_rides(spark, sf, e):
     v = of(e, "position", "kill").select(*M, (F.col("idx") % 2).alias("vehicle_id"), "idx", "t_s", F.when(F.col("kind") == "position", "ride").otherwise("leave").alias("kind"))
     return tracks.rides(v).drop("kind")
 
 
-_RZ = "z AS (SELECT match_id, team_id AS uid, idx, t_s, CASE kind WHEN 'landing' THEN 'warning' WHEN 'kill' THEN 'activating' ELSE 'deactivating' END AS state FROM ev WHERE kind IN ('landing', 'kill', 'knock')), d AS (SELECT match_id, max(t_s) AS duration FROM ev GROUP BY 1)"
+_RZ = """z AS (SELECT match_id, team_id AS uid, idx, t_s, CASE kind WHEN 'landing' THEN 'warning' WHEN 'kill' THEN 'activating' ELSE 'deactivating' END AS state FROM
+ev WHERE kind IN ('landing', 'kill', 'knock')), d AS (SELECT match_id, max(t_s) AS duration FROM ev GROUP BY 1)"""
 
 
-@query(f"WITH {EV}, {_RZ}, p AS (SELECT *, sum(CASE WHEN state = 'warning' THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, uid ORDER BY idx ROWS UNBOUNDED PRECEDING) AS epoch FROM z), l AS (SELECT match_id, uid, CAST(epoch AS BIGINT) AS epoch, min(t_s) FILTER (state = 'warning') AS warned, min(t_s) FILTER (state = 'activating') AS started, min(t_s) FILTER (state = 'deactivating') AS ended FROM p WHERE epoch > 0 GROUP BY 1, 2, 3) SELECT match_id, uid, epoch, warned, started, coalesce(ended, duration) AS ended FROM (SELECT *, max(epoch) OVER (PARTITION BY match_id, uid) AS m FROM l) JOIN d USING (match_id) WHERE ended IS NOT NULL OR epoch = m")
+@query(f"""WITH {EV}, {_RZ}, p AS (SELECT *, sum(CASE WHEN state = 'warning' THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, uid ORDER BY idx ROWS UNBOUNDED PRECEDING)
+AS epoch FROM z), l AS (SELECT match_id, uid, CAST(epoch AS BIGINT) AS epoch, min(t_s) FILTER (state = 'warning') AS warned, min(t_s) FILTER (state = 'activating')
+AS started, min(t_s) FILTER (state = 'deactivating') AS ended FROM p WHERE epoch > 0 GROUP BY 1, 2, 3) SELECT match_id, uid, epoch, warned, started, coalesce(ended,
+duration) AS ended FROM (SELECT *, max(epoch) OVER (PARTITION BY match_id, uid) AS m FROM l) JOIN d USING (match_id) WHERE ended IS NOT NULL OR epoch = m""")
 def c19_red_zones(spark, sf, e):
     z = of(e, "landing", "kill", "knock").select("match_id", F.col("team_id").alias("uid"), "idx", "t_s", F.when(F.col("kind") == "landing", "warning").when(F.col("kind") == "kill", "activating").otherwise("deactivating").alias("state"))
     return tracks.red_zones(z, e.groupBy("match_id").agg(F.max("t_s").alias("duration")))
@@ -198,7 +214,9 @@ def c20_care_packages(spark, sf, e):
     return tracks.care_packages(of(e, "kill"), of(e, "landing"))
 
 
-@query(f"{W}, n AS (SELECT h.match_id, h.team_id, h.idx, h.t_s, c.idx AS crate_idx, sqrt((h.x - c.x) * (h.x - c.x) + (h.y - c.y) * (h.y - c.y)) AS d FROM hits h JOIN landings c ON h.match_id = c.match_id AND h.team_id = c.team_id), b AS (SELECT * FROM n WHERE d < 100000 QUALIFY row_number() OVER (PARTITION BY match_id, team_id, idx ORDER BY d, crate_idx) = 1) SELECT match_id, team_id, crate_idx, min(t_s) AS looted_t, count(*) AS n_pickups FROM b GROUP BY 1, 2, 3")
+@query(f"""{W}, n AS (SELECT h.match_id, h.team_id, h.idx, h.t_s, c.idx AS crate_idx, sqrt((h.x - c.x) * (h.x - c.x) + (h.y - c.y) * (h.y - c.y)) AS d FROM hits h JOIN
+landings c ON h.match_id = c.match_id AND h.team_id = c.team_id), b AS (SELECT * FROM n WHERE d < 100000 QUALIFY row_number() OVER (PARTITION BY match_id, team_id,
+idx ORDER BY d, crate_idx) = 1) SELECT match_id, team_id, crate_idx, min(t_s) AS looted_t, count(*) AS n_pickups FROM b GROUP BY 1, 2, 3""")
 def c21_crate_loot(spark, sf, e):
     return tracks.crate_loot(of(e, "hit"), of(e, "landing"), ["match_id", "team_id"], 100_000)
 
@@ -208,12 +226,14 @@ def c22_crate_contents(spark, sf, e):
     return tracks.crate_contents(e.select("match_id", F.col("victim_id").alias("item_id"), (F.col("idx") % 3).alias("stack"), F.col("idx").alias("pos")), ["match_id"])
 
 
-@query(f"{W} SELECT match_id, account_id, idx, CAST(sum(damage) OVER p AS DOUBLE) AS total_damage, count(*) OVER p AS total_hits FROM hits WINDOW p AS (PARTITION BY match_id, account_id) QUALIFY row_number() OVER (PARTITION BY match_id, account_id ORDER BY t_s DESC, idx DESC) <= 3")
+@query(f"""{W} SELECT match_id, account_id, idx, CAST(sum(damage) OVER p AS DOUBLE) AS total_damage, count(*) OVER p AS total_hits FROM
+hits WINDOW p AS (PARTITION BY match_id, account_id) QUALIFY row_number() OVER (PARTITION BY match_id, account_id ORDER BY t_s DESC, idx DESC) <= 3""")
 def c23_damage_log(spark, sf, e):
     return dbl(tracks.damage_log(of(e, "hit"), M, 3).select(*M, "idx", "total_damage", "total_hits"), "total_damage")
 
 
-@query(f"{W} SELECT k.match_id, k.account_id, k.idx AS probe_id, (SELECT min(h.t_s) FROM hits h WHERE h.match_id = k.match_id AND h.account_id = k.account_id AND h.t_s > k.t_s + 1) AS next_t, (SELECT max(h.t_s) FROM hits h WHERE h.match_id = k.match_id AND h.account_id = k.account_id AND h.t_s < k.t_s - 1) AS prev_t FROM kills k")
+@query(f"""{W} SELECT k.match_id, k.account_id, k.idx AS probe_id, (SELECT min(h.t_s) FROM hits h WHERE h.match_id = k.match_id AND h.account_id = k.account_id AND
+h.t_s > k.t_s + 1) AS next_t, (SELECT max(h.t_s) FROM hits h WHERE h.match_id = k.match_id AND h.account_id = k.account_id AND h.t_s < k.t_s - 1) AS prev_t FROM kills k""")
 def c25_step_fight(spark, sf, e):
     return tracks.step_fight(of(e, "kill").withColumn("probe_id", F.col("idx")), of(e, "hit").withColumn("t_start", F.col("t_s")), M, 1)
 
@@ -244,7 +264,8 @@ def d4_hits(spark, sf, e):
     return dbl(combat.hits(of(e, "hit")).select("match_id", "idx", "damage"), "damage")
 
 
-@query(f"{W} SELECT match_id, victim_id, CAST(sum(damage) AS DOUBLE) AS unattributed_damage, CAST(sum(damage) FILTER (idx % 2 = 0) AS DOUBLE) AS blue_damage FROM hits WHERE idx % 3 = 0 GROUP BY 1, 2")
+@query(f"""{W} SELECT match_id, victim_id, CAST(sum(damage) AS DOUBLE) AS unattributed_damage, CAST(sum(damage) FILTER (idx % 2 = 0) AS DOUBLE) AS blue_damage FROM
+hits WHERE idx % 3 = 0 GROUP BY 1, 2""")
 def d5_unattributed(spark, sf, e):
     d = of(e, "hit").withColumn("account_id", F.when(F.col("idx") % 3 != 0, F.col("account_id"))).withColumn("category", F.when(F.col("idx") % 2 == 0, "damage_bluezone").otherwise("damage_gun"))
     return dbl(combat.unattributed(d), "unattributed_damage", "blue_damage")
@@ -291,7 +312,11 @@ def d10_longest_kill(spark, sf, e):
     return combat.longest_kill(of(e, "kill").withColumn("distance", F.when(F.col("distance") > 50, F.col("distance")).otherwise(-1.0)))
 
 
-@query(f"{W}, {ROSTER}, {LANDED}, f AS (SELECT match_id, account_id, arg_min(x, idx) AS first_x, arg_min(y, idx) AS first_y FROM positions GROUP BY 1, 2), k AS (SELECT match_id, account_id, max(distance) AS longest_kill_cm, count(*) AS kills FROM kills GROUP BY 1, 2) SELECT r.match_id, r.account_id, r.team_id, coalesce(r.account_id IN (SELECT account_id FROM kills x WHERE x.match_id = r.match_id AND x.account_id % 4 = 0), false) OR (r.account_id % 5 = 0 AND r.account_id NOT IN (SELECT account_id FROM kills x WHERE x.match_id = r.match_id)) AS is_bot, kills, longest_kill_cm, coalesce(land_x, first_x) AS x0, coalesce(land_y, first_y) AS y0 FROM roster r LEFT JOIN landed l USING (match_id, account_id) LEFT JOIN f USING (match_id, account_id) LEFT JOIN k USING (match_id, account_id)")
+@query(f"""{W}, {ROSTER}, {LANDED}, f AS (SELECT match_id, account_id, arg_min(x, idx) AS first_x, arg_min(y, idx) AS first_y FROM positions GROUP BY 1, 2),
+k AS (SELECT match_id, account_id, max(distance) AS longest_kill_cm, count(*) AS kills FROM kills GROUP BY 1, 2) SELECT r.match_id, r.account_id, r.team_id,
+coalesce(r.account_id IN (SELECT account_id FROM kills x WHERE x.match_id = r.match_id AND x.account_id % 4 = 0), false) OR (r.account_id % 5 = 0 AND
+r.account_id NOT IN (SELECT account_id FROM kills x WHERE x.match_id = r.match_id)) AS is_bot, kills, longest_kill_cm, coalesce(land_x, first_x) AS x0, coalesce(land_y,
+first_y) AS y0 FROM roster r LEFT JOIN landed l USING (match_id, account_id) LEFT JOIN f USING (match_id, account_id) LEFT JOIN k USING (match_id, account_id)""")
 def d11_participant_updates(spark, sf, e):
     first = of(e, "position").groupBy(*M).agg(F.min_by(F.struct(F.col("x").alias("first_x"), F.col("y").alias("first_y")), "idx").alias("f")).select(*M, "f.*")
     own = roster(e).withColumn("is_bot", F.col("account_id") % 5 == 0)
@@ -300,12 +325,14 @@ def d11_participant_updates(spark, sf, e):
     return combat.participant_updates(own, kills, combat.longest_kill(of(e, "kill")), tracks.first_landings(of(e, "landing")).drop("land_t"), first, said)
 
 
-@query(f"{W}, {ROSTER} SELECT h.match_id, h.idx FROM hits h JOIN roster a ON a.match_id = h.match_id AND a.account_id = h.account_id JOIN roster b ON b.match_id = h.match_id AND b.account_id = h.victim_id WHERE h.idx % 3 < 2")
+@query(f"""{W}, {ROSTER} SELECT h.match_id, h.idx FROM hits h JOIN roster a ON a.match_id = h.match_id AND a.account_id = h.account_id JOIN
+roster b ON b.match_id = h.match_id AND b.account_id = h.victim_id WHERE h.idx % 3 < 2""")
 def d12_tracer_hits(spark, sf, e):
     return combat.tracer_hits(of(e, "hit").withColumn("category", (F.col("idx") % 3).cast("string")), roster(e), ("0", "1")).select("match_id", "idx")
 
 
-_PAIR = "blows AS (SELECT *, least(team_id, victim_team) AS team_a, greatest(team_id, victim_team) AS team_b, team_id < victim_team AS is_a FROM ev WHERE kind IN ('hit', 'knock') AND team_id <> victim_team)"
+_PAIR = """blows AS (SELECT *, least(team_id, victim_team) AS team_a, greatest(team_id, victim_team) AS team_b, team_id < victim_team AS is_a FROM
+ev WHERE kind IN ('hit', 'knock') AND team_id <> victim_team)"""
 _SEG = f"""{_PAIR}, flagged AS (SELECT *, CASE WHEN t_s - lag(t_s) OVER w > {GAP} THEN 1 ELSE 0 END AS new FROM blows WINDOW w AS (PARTITION BY match_id, team_a, team_b ORDER BY t_s, idx)),
 seg AS (SELECT *, CAST(sum(new) OVER (PARTITION BY match_id, team_a, team_b ORDER BY t_s, idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM flagged),
 spans AS (SELECT match_id, team_a, team_b, segment, min(t_s) AS t_start, max(t_s) AS t_end FROM seg GROUP BY 1, 2, 3, 4)"""
@@ -376,7 +403,8 @@ def d18_engagement_participants(spark, sf, e):
     return dbl(combat.engagement_participants(_segmented(e), _attached(e)), "damage_dealt", "damage_taken")
 
 
-@query(f"WITH {EV}, {_PAIR}, s AS (SELECT t_s - lag(t_s) OVER (PARTITION BY match_id, team_a, team_b ORDER BY t_s, idx) AS d FROM blows), gaps(gap) AS (VALUES (300), (1800), (7200)) SELECT gap, count(*) FILTER (d IS NULL OR d > gap) AS n_segments FROM s, gaps GROUP BY gap")
+@query(f"""WITH {EV}, {_PAIR}, s AS (SELECT t_s - lag(t_s) OVER (PARTITION BY match_id, team_a, team_b ORDER BY t_s, idx) AS d FROM blows), gaps(gap) AS (VALUES (300),
+(1800), (7200)) SELECT gap, count(*) FILTER (d IS NULL OR d > gap) AS n_segments FROM s, gaps GROUP BY gap""")
 def d19_gap_sweep(spark, sf, e):
     return temporal.gap_sweep(combat.paired(of(e, "hit", "knock")), ["match_id", "team_a", "team_b"], "t_s", (300, 1800, 7200), ["idx"])
 
@@ -384,29 +412,42 @@ def d19_gap_sweep(spark, sf, e):
 # --- zones and drops
 
 
-@query(f"{W}, {DEATHS}, {LANDED}, s AS (SELECT p.*, idx % 3 = 0 AS in_blue, death_t IS NULL OR t_s < death_t AS alive, land_t, lead(t_s) OVER (PARTITION BY match_id, account_id ORDER BY t_s, idx) - t_s AS d FROM positions p LEFT JOIN deaths USING (match_id, account_id) LEFT JOIN landed USING (match_id, account_id)) SELECT match_id, account_id, CASE WHEN max(land_t) IS NOT NULL THEN CAST(coalesce(sum(least(d, 900)) FILTER (in_blue AND alive AND t_s >= land_t AND d IS NOT NULL), 0) + 900 * count(*) FILTER (in_blue AND alive AND t_s >= land_t AND d IS NULL) AS DOUBLE) END AS blue_s FROM s GROUP BY 1, 2")
+@query(f"""{W}, {DEATHS}, {LANDED}, s AS (SELECT p.*, idx % 3 = 0 AS in_blue, death_t IS NULL OR t_s < death_t AS alive, land_t, lead(t_s) OVER (PARTITION BY match_id,
+account_id ORDER BY t_s, idx) - t_s AS d FROM positions p LEFT JOIN deaths USING (match_id, account_id) LEFT JOIN landed USING (match_id, account_id)) SELECT match_id,
+account_id, CASE WHEN max(land_t) IS NOT NULL THEN CAST(coalesce(sum(least(d, 900)) FILTER (in_blue AND alive AND t_s >= land_t AND d IS NOT NULL), 0) + 900 * count(*)
+FILTER (in_blue AND alive AND t_s >= land_t AND d IS NULL) AS DOUBLE) END AS blue_s FROM s GROUP BY 1, 2""")
 def d21_blue_dwell(spark, sf, e):
     t = tracks.resolve_alive(of(e, "position"), tracks.final_deaths(of(e, "kill"))).withColumn("in_blue", F.col("idx") % 3 == 0).join(landed(e).select(*M, "land_t"), M, "left")
     return dbl(zone.blue_dwell(t, 900.0), "blue_s")
 
 
-@query(f"{W}, {DEATHS}, {LANDED}, c AS (SELECT match_id, idx AS circle, t_s AS announced, x AS zx, y AS zy FROM knocks), i AS (SELECT p.match_id, p.account_id, c.circle, min(p.t_s) - min(greatest(announced, land_t)) AS lag FROM positions p LEFT JOIN deaths d USING (match_id, account_id) JOIN landed l ON l.match_id = p.match_id AND l.account_id = p.account_id JOIN c ON c.match_id = p.match_id WHERE (death_t IS NULL OR p.t_s < death_t) AND p.t_s >= greatest(announced, land_t) AND sqrt((p.x-zx)*(p.x-zx)+(p.y-zy)*(p.y-zy)) <= 300000 GROUP BY 1, 2, 3) SELECT match_id, account_id, sum(lag) / count(*) AS rotate_lag_s, count(*) AS n_circles FROM i GROUP BY 1, 2")
+@query(f"""{W}, {DEATHS}, {LANDED}, c AS (SELECT match_id, idx AS circle, t_s AS announced, x AS zx, y AS zy FROM knocks), i AS (SELECT p.match_id, p.account_id,
+c.circle, min(p.t_s) - min(greatest(announced, land_t)) AS lag FROM positions p LEFT JOIN deaths d USING (match_id, account_id) JOIN
+landed l ON l.match_id = p.match_id AND l.account_id = p.account_id JOIN c ON c.match_id = p.match_id WHERE (death_t IS NULL OR p.t_s < death_t) AND
+p.t_s >= greatest(announced, land_t) AND sqrt((p.x-zx)*(p.x-zx)+(p.y-zy)*(p.y-zy)) <= 300000 GROUP BY 1, 2, 3) SELECT match_id, account_id, sum(lag) / count(*)
+AS rotate_lag_s, count(*) AS n_circles FROM i GROUP BY 1, 2""")
 def d22_rotate_lag(spark, sf, e):
     circles = of(e, "knock").select("match_id", "idx", "t_s", F.col("x").alias("zx"), F.col("y").alias("zy"), F.lit(300_000.0).alias("zr"))
     return zone.rotate_lag(tracks.resolve_alive(of(e, "position"), tracks.final_deaths(of(e, "kill"))), circles, landed(e))
 
 
-@query(f"{W}, {LANDED} SELECT a.match_id, a.account_id, count(*) FILTER (a.team_id <> b.team_id AND abs(a.land_t - b.land_t) <= 14400 AND sqrt((a.land_x-b.land_x)*(a.land_x-b.land_x)+(a.land_y-b.land_y)*(a.land_y-b.land_y)) <= 200000) AS hot_drop_n FROM landed a JOIN landed b ON a.match_id = b.match_id GROUP BY 1, 2")
+@query(f"""{W}, {LANDED} SELECT a.match_id, a.account_id, count(*) FILTER (a.team_id <> b.team_id AND abs(a.land_t - b.land_t) <= 14400 AND
+sqrt((a.land_x-b.land_x)*(a.land_x-b.land_x)+(a.land_y-b.land_y)*(a.land_y-b.land_y)) <= 200000) AS hot_drop_n FROM landed a JOIN
+landed b ON a.match_id = b.match_id GROUP BY 1, 2""")
 def d24_hot_drop(spark, sf, e):
     return zone.hot_drop(landed(e), 200_000, 14_400)
 
 
-@query(f"{W}, l AS (SELECT match_id, account_id, t_s, damage AS dealt, CAST(0 AS DECIMAL(18,2)) AS taken FROM hits UNION ALL SELECT match_id, victim_id, t_s, 0, damage FROM hits) SELECT match_id, account_id, min(t_s) AS first_engage_s, CAST(sum(CASE WHEN t_s <= 43200 THEN dealt ELSE 0 END) AS DOUBLE) AS dmg_dealt_early, CAST(sum(CASE WHEN t_s <= 43200 THEN taken ELSE 0 END) AS DOUBLE) AS dmg_taken_early FROM l GROUP BY 1, 2")
+@query(f"""{W}, l AS (SELECT match_id, account_id, t_s, damage AS dealt, CAST(0 AS DECIMAL(18,2)) AS taken FROM hits UNION ALL SELECT match_id, victim_id, t_s, 0,
+damage FROM hits) SELECT match_id, account_id, min(t_s) AS first_engage_s, CAST(sum(CASE WHEN t_s <= 43200 THEN dealt ELSE 0 END) AS DOUBLE) AS dmg_dealt_early,
+CAST(sum(CASE WHEN t_s <= 43200 THEN taken ELSE 0 END) AS DOUBLE) AS dmg_taken_early FROM l GROUP BY 1, 2""")
 def d25_early_combat(spark, sf, e):
     return dbl(zone.early_combat(of(e, "hit"), 43_200), "dmg_dealt_early", "dmg_taken_early")
 
 
-@query(f"{W}, {LANDED}, d AS (SELECT match_id, account_id, t_s, CASE WHEN kind = 'kill' THEN 'equip' ELSE 'add' END AS op, idx % 4 AS slot FROM ev WHERE kind IN ('kill', 'hit')) SELECT d.match_id, d.account_id, min(t_s) FILTER (op = 'equip' AND slot < 2) AS first_weapon_s, count(*) FILTER (op = 'add' AND t_s >= land_t AND t_s <= land_t + 7200) AS early_pickups_n FROM d LEFT JOIN landed USING (match_id, account_id) GROUP BY 1, 2")
+@query(f"""{W}, {LANDED}, d AS (SELECT match_id, account_id, t_s, CASE WHEN kind = 'kill' THEN 'equip' ELSE 'add' END AS op, idx % 4 AS slot FROM
+ev WHERE kind IN ('kill', 'hit')) SELECT d.match_id, d.account_id, min(t_s) FILTER (op = 'equip' AND slot < 2) AS first_weapon_s, count(*) FILTER (op = 'add' AND
+t_s >= land_t AND t_s <= land_t + 7200) AS early_pickups_n FROM d LEFT JOIN landed USING (match_id, account_id) GROUP BY 1, 2""")
 def d26_early_items(spark, sf, e):
     d = of(e, "kill", "hit").select(*M, "t_s", F.when(F.col("kind") == "kill", "equip").otherwise("add").alias("op"), (F.col("idx") % 4).alias("slot"))
     return zone.early_items(d, landed(e), 7_200)
@@ -476,18 +517,23 @@ def e1_replay_positions(spark, sf, e):
     return spatial.replay_positions(of(e, "position").withColumn("health", health).withColumn("flags", norm.flag_mask(**flags)), 816_000, 2000)
 
 
-@query(f"{W} SELECT match_id, idx, 'kill' AS event, victim_id, NULL AS team_id, CAST(floor(t_s / 2.0) AS INTEGER) AS tick FROM kills UNION ALL SELECT match_id, idx, 'landing', NULL, team_id, CAST(floor(t_s / 2.0) AS INTEGER) FROM landings")
+@query(f"""{W} SELECT match_id, idx, 'kill' AS event, victim_id, NULL AS team_id, CAST(floor(t_s / 2.0) AS INTEGER) AS tick FROM kills UNION ALL SELECT match_id, idx,
+'landing', NULL, team_id, CAST(floor(t_s / 2.0) AS INTEGER) FROM landings""")
 def e2_replay_events(spark, sf, e):
     return spatial.replay_events(2000, kill=of(e, "kill").select("match_id", "idx", "t_s", "victim_id"), landing=of(e, "landing").select("match_id", "idx", "t_s", "team_id")).drop("t_s")
 
 
-@query(f"WITH {EV}, f AS (SELECT match_id, idx, kind, min(idx) OVER (PARTITION BY match_id, kind) AS m FROM ev) SELECT match_id, idx, kind, dense_rank() OVER (PARTITION BY match_id ORDER BY m, kind) - 1 AS kind_id FROM f")
+@query(f"""WITH {EV}, f AS (SELECT match_id, idx, kind, min(idx) OVER (PARTITION BY match_id, kind) AS m FROM ev) SELECT match_id, idx, kind, dense_rank()
+OVER (PARTITION BY match_id ORDER BY m, kind) - 1 AS kind_id FROM f""")
 def e4_intern(spark, sf, e):
     return spatial.interned(e.select("match_id", "idx", "kind"), "kind", ["match_id"], "idx")
 
 
-_OBS = "obs AS (SELECT 'm' AS map_name, kind, CAST(account_id % 20 AS STRING) AS account, CASE team_id WHEN 0 THEN 'solo' WHEN 1 THEN '' ELSE 'squad' END AS mode, 'official' AS match_type, match_id AS day, CAST(floor(x / 816000 * 16) AS INTEGER) AS gx, CAST(floor(y / 816000 * 16) AS INTEGER) AS gy FROM ev WHERE kind IN ('kill', 'landing'))"
-_BINS = f"{_OBS}, bins AS (SELECT map_name, kind, a.a AS account, m.m AS mode, match_type, day, gx, gy, count(*) AS n FROM obs, (SELECT 1 AS one) o, LATERAL (SELECT unnest(list_distinct([account, ''])) AS a) a, LATERAL (SELECT unnest(list_distinct([mode, ''])) AS m) m GROUP BY ALL)"
+_OBS = """obs AS (SELECT 'm' AS map_name, kind, CAST(account_id % 20 AS STRING) AS account, CASE team_id WHEN 0 THEN 'solo' WHEN 1 THEN '' ELSE 'squad' END AS mode,
+'official' AS match_type, match_id AS day, CAST(floor(x / 816000 * 16) AS INTEGER) AS gx, CAST(floor(y / 816000 * 16) AS INTEGER) AS gy FROM ev WHERE kind IN ('kill',
+'landing'))"""
+_BINS = f"""{_OBS}, bins AS (SELECT map_name, kind, a.a AS account, m.m AS mode, match_type, day, gx, gy, count(*) AS n FROM obs, (SELECT 1 AS one) o,
+LATERAL (SELECT unnest(list_distinct([account, ''])) AS a) a, LATERAL (SELECT unnest(list_distinct([mode, ''])) AS m) m GROUP BY ALL)"""
 
 
 def _bins(e):
@@ -506,19 +552,22 @@ def e6_movement(spark, sf, e):
     return spatial.movement(of(e, "position"), norm.is_in_play((F.col("idx") % 3).cast("double")))
 
 
-@query(f"WITH {EV}, {_BINS}, s AS (SELECT kind, gx, gy, n FROM bins UNION ALL SELECT kind, gx, gy, -n FROM bins WHERE day <= '2024-01-10' UNION ALL SELECT kind, gx, gy, n FROM bins WHERE day = '2024-01-10' AND kind = 'kill') SELECT kind, gx, gy, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3 HAVING sum(n) > 0")
+@query(f"""WITH {EV}, {_BINS}, s AS (SELECT kind, gx, gy, n FROM bins UNION ALL SELECT kind, gx, gy, -n FROM bins WHERE day <= '2024-01-10' UNION ALL SELECT kind, gx, gy,
+n FROM bins WHERE day = '2024-01-10' AND kind = 'kill') SELECT kind, gx, gy, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3 HAVING sum(n) > 0""")
 def e7_merged_bins(spark, sf, e):
     b = _bins(e)
     return spatial.merged_bins(b, b.where("day <= '2024-01-10'"), b.where("day = '2024-01-10' and kind = 'kill'"), ["kind", "gx", "gy"])
 
 
-@query(f"WITH {EV}, {_BINS}, s AS (SELECT kind, gx, gy, n FROM bins UNION ALL SELECT kind, gx, gy, -n FROM bins WHERE day IN ('2024-01-01', '2024-01-02')) SELECT kind, gx, gy, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3 HAVING sum(n) > 0")
+@query(f"""WITH {EV}, {_BINS}, s AS (SELECT kind, gx, gy, n FROM bins UNION ALL SELECT kind, gx, gy, -n FROM bins WHERE day IN ('2024-01-01', '2024-01-02')) SELECT kind,
+gx, gy, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3 HAVING sum(n) > 0""")
 def e8_delete_matches(spark, sf, e):
     b = _bins(e)
     return spatial.merged_bins(b, b.where("day in ('2024-01-01', '2024-01-02')"), b.where("false"), ["kind", "gx", "gy"])
 
 
-@query(f"WITH {EV}, {_BINS}, c AS (SELECT gx, gy, CAST(sum(n) AS BIGINT) AS n FROM bins WHERE kind = 'kill' AND account = '' AND mode = '' AND day >= '2024-01-05' GROUP BY 1, 2) SELECT *, max(n) OVER () AS peak, CAST(sum(n) OVER () AS BIGINT) AS total FROM c")
+@query(f"""WITH {EV}, {_BINS}, c AS (SELECT gx, gy, CAST(sum(n) AS BIGINT) AS n FROM bins WHERE kind = 'kill' AND account = '' AND mode = '' AND
+day >= '2024-01-05' GROUP BY 1, 2) SELECT *, max(n) OVER () AS peak, CAST(sum(n) OVER () AS BIGINT) AS total FROM c""")
 def e9_heatmap(spark, sf, e):
     return spatial.heatmap(_bins(e), "kill", since="2024-01-05", mode="")
 
@@ -529,14 +578,20 @@ def _box(depth: int, src: str) -> str:
     return src
 
 
-@query(f"WITH {EV}, {_BINS}, c AS (SELECT gx, gy, sum(n) AS n FROM bins WHERE kind = 'kill' AND account = '' AND mode = '' GROUP BY 1, 2), d AS (SELECT CAST(a.i AS INTEGER) AS gx, CAST(b.i AS INTEGER) AS gy, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM range(16) a(i), range(16) b(i) LEFT JOIN c ON c.gx = a.i AND c.gy = b.i), s AS (SELECT * FROM {_box(3, 'd')}) SELECT gx, gy, round(v, 6) AS v, round(sqrt(v / max(v) OVER ()), 6) AS shade FROM s")
+@query(f"""WITH {EV}, {_BINS}, c AS (SELECT gx, gy, sum(n) AS n FROM bins WHERE kind = 'kill' AND account = '' AND mode = '' GROUP BY 1, 2),
+d AS (SELECT CAST(a.i AS INTEGER) AS gx, CAST(b.i AS INTEGER) AS gy, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM range(16) a(i), range(16) b(i) LEFT JOIN c ON c.gx = a.i AND
+c.gy = b.i), s AS (SELECT * FROM {_box(3, 'd')}) SELECT gx, gy, round(v, 6) AS v, round(sqrt(v / max(v) OVER ()), 6) AS shade FROM s""")
 def e10_density(spark, sf, e):
     c = _bins(e).where("kind = 'kill' and account = '' and mode = ''").groupBy("gx", "gy").agg(F.sum("n").alias("n"))
     return spatial.density(c, 16, 1).select("gx", "gy", F.round("v", 6).alias("v"), F.round("shade", 6).alias("shade"))
 
 
-_NAMED = "named AS (SELECT e.*, 'm' AS map_name, n_name AS name FROM ev e JOIN nation ON n_nationkey = (CAST(floor(x / 204000) AS INTEGER) + CAST(floor(y / 204000) AS INTEGER) + CAST(idx % 2 AS INTEGER)) % 25)"
-_GAZ = f"{_NAMED}, cn AS (SELECT map_name, CAST(floor(x / 816000 * 16) AS INTEGER) AS gx, CAST(floor(y / 816000 * 16) AS INTEGER) AS gy, name, count(*) AS support, min(idx) AS first FROM named GROUP BY 1, 2, 3, 4), gaz AS (SELECT map_name, gx, gy, name, support, CAST(total AS BIGINT) AS total FROM (SELECT *, sum(support) OVER (PARTITION BY map_name, gx, gy) AS total FROM cn QUALIFY row_number() OVER (PARTITION BY map_name, gx, gy ORDER BY support DESC, first, name) = 1) WHERE support >= 5 AND support >= 0.5 * total)"
+_NAMED = """named AS (SELECT e.*, 'm' AS map_name, n_name AS name FROM ev e JOIN nation ON n_nationkey = (CAST(floor(x / 204000) AS INTEGER) + CAST(floor(y / 204000)
+AS INTEGER) + CAST(idx % 2 AS INTEGER)) % 25)"""
+_GAZ = f"""{_NAMED}, cn AS (SELECT map_name, CAST(floor(x / 816000 * 16) AS INTEGER) AS gx, CAST(floor(y / 816000 * 16) AS INTEGER) AS gy, name, count(*) AS support,
+min(idx) AS first FROM named GROUP BY 1, 2, 3, 4), gaz AS (SELECT map_name, gx, gy, name, support, CAST(total AS BIGINT) AS total FROM (SELECT *, sum(support)
+OVER (PARTITION BY map_name, gx, gy) AS total FROM cn QUALIFY row_number() OVER (PARTITION BY map_name, gx, gy ORDER BY support DESC, first, name) = 1)
+WHERE support >= 5 AND support >= 0.5 * total)"""
 
 
 def _gazetteer(spark, sf, e):
@@ -571,7 +626,8 @@ def _drops(e):
     return spatial.squad_drops(landed(e), killed, strategy).withColumn("first_weapon_s", F.round("first_weapon_s", 3))
 
 
-@query(f"{W}, {LANDED}, {_DROPS} SELECT match_id, team_id, n, round(x, 3) AS x, round(y, 3) AS y, first_t, round(spread, 3) AS spread, contested, first_weapon_s, place, CAST(kills AS BIGINT) AS kills, survived_s, names FROM drops")
+@query(f"""{W}, {LANDED}, {_DROPS} SELECT match_id, team_id, n, round(x, 3) AS x, round(y, 3) AS y, first_t, round(spread, 3) AS spread, contested, first_weapon_s, place,
+CAST(kills AS BIGINT) AS kills, survived_s, names FROM drops""")
 def e13_squad_drops(spark, sf, e):
     return _drops(e).withColumns({c: F.round(c, 3) for c in ("x", "y", "spread")})
 
