@@ -1,11 +1,11 @@
-"""The ten operators applied to their whole tables, and SQL for those that SQL can express."""
+"""The operators applied to their whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import chat, decontam, line_dedup, pii, quality, sentencepiece_codec, simhash, suffix, url_filter, warc
+from matchlake.llm import chat, decontam, divergence, line_dedup, order_minhash, pii, quality, resample, sentencepiece_codec, simhash, suffix, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,25 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op3_pii, op4_decontamination, op5_sentencepiece, op6_url_filters, op7_line_dedup, op8_quality, op9_simhash, op10_suffix)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_chat, op3_pii, op4_decontamination, op5_sentencepiece, op6_url_filters, op7_line_dedup, op8_quality, op9_simhash, op10_suffix,
+        op11_divergence, op12_resampling, op13_order_minhash,
+    )
+}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -146,4 +164,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT coalesce(js_chars > {quality.MAX_CHARS_DISTANCE}, false) AND NOT coalesce(js_words > {quality.MAX_WORDS_DISTANCE}, false) AS kept FROM js
 """
 
-SQL = {"op2_chat": OP2, "op6_url_filters": OP6, "op7_line_dedup": OP7, "op8_quality": OP8}
+OP11 = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+  regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n, count(DISTINCT doc) AS docs FROM (SELECT lang, source, doc, unnest(words) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+whole AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+own AS (SELECT lang, source, sum(c.n) AS total FROM c JOIN k USING (lang, term) GROUP BY ALL),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(own.total, 0) + 5 * whole.v) AS p,
+  1 + (1000000000 * (k.n + 5)) // (whole.total + 5 * whole.v) AS q
+  FROM g JOIN k USING (lang) JOIN whole USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM m x JOIN m y ON x.lang = y.lang AND x.term = y.term
+  WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM m WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+SQL = {"op2_chat": OP2, "op6_url_filters": OP6, "op7_line_dedup": OP7, "op8_quality": OP8, "op11_divergence": OP11}
