@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.norm import distance, mean, rate
-from matchlake.operators.temporal import gap_segments
+from matchlake.functions.norm import mean, rate
+from matchlake.operators.spatial import near_in_space_and_time
+from matchlake.operators.temporal import gap_segments, long_gap_segments, ranged
 
 #: Buckets of placements, bands of kill distances and of a fight's first blow (in metres), the best places that count.
 PLACES = (("#1", 1, 1), ("2-5", 2, 5), ("6-10", 6, 10), ("11-25", 11, 25), ("26+", 26, 1 << 30))
@@ -114,6 +115,29 @@ def sessions(rows: DataFrame, keys: Sequence[str], t: str, gap: float, tie: Sequ
     return s.withColumn("session", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("segment").desc())) - 1).drop("segment")
 
 
+def squad_sessions(results: DataFrame, gap: float = 3 * 3600.0) -> DataFrame:
+    """A row per evening of all tracked players together, newest first by evening (0, 1, ...): matches no more than gap seconds apart.
+
+    results: tracked participants in matches that count, with match_id, played_at, win_place, kills, kills_human, death_t (null: survived), damage_dealt.
+    A match counts once however many took part; its place is the best of theirs, 0 if unknown. Evenings are cut over ranges of time,
+    so no task sorts all matches. places has an evening's places, newest first.
+    """
+    human = F.coalesce("kills_human", "kills", F.lit(0))
+    by_match = results.groupBy("match_id", "played_at").agg(
+        F.coalesce(F.min("win_place"), F.lit(0)).alias("place"), F.sum(human).alias("kills"), F.count("death_t").alias("deaths"), F.coalesce(F.sum(F.col("damage_dealt").cast("double")), F.lit(0.0)).alias("damage")
+    )
+    cut = long_gap_segments(by_match.withColumn("_t", F.unix_micros("played_at") / 1e6), "_t", gap, ["match_id"])
+    newest = F.sort_array(F.collect_list(F.struct("played_at", "match_id", "place")), asc=False)
+    place = F.col("place")
+    counts = [F.count_if(place == 1).alias("wins"), F.count_if((place >= 1) & (place <= TOP)).alias("top10")]
+    sums = [F.sum(c).alias(c) for c in ("kills", "deaths", "damage")]
+    evenings = cut.groupBy("segment").agg(
+        F.min("played_at").alias("started"), F.max("played_at").alias("ended"), F.count("*").alias("matches"), F.min(place).alias("best_place"), *counts, *sums, F.transform(newest, lambda m: m["place"]).alias("places")
+    )
+    last = evenings.agg(F.max("segment").alias("_last"))  # one row
+    return evenings.crossJoin(F.broadcast(last)).withColumn("evening", F.col("_last") - F.col("segment")).drop("segment", "_last")
+
+
 def overview(results: DataFrame, day: Column, days: int, measures: Sequence[str] = ("kills", "damage_dealt", "survived_s")) -> DataFrame:
     """Per account its career, the last days up to a day and as many before them, in one aggregate: matches, wins, means of the measures and their change."""
     spans = {
@@ -164,11 +188,11 @@ def kill_feed(kills: DataFrame, names: DataFrame, include_bots: bool = True) ->
 
 
 def third_party_deaths(kills: DataFrame, radius: float, within: float) -> DataFrame:
-    """Deaths with whether a third team killed close by shortly before, counted per team of the victim."""
-    o = kills.select("match_id", F.col("idx").alias("o_idx"), F.col("t_s").alias("o_t"), F.col("team_id").alias("o_team"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = kills.join(o, "match_id").where((F.col("o_team") != F.col("team_id")) & (F.col("o_team") != F.col("victim_team")) & (F.col("o_t") <= F.col("t_s")) & (F.col("t_s") - F.col("o_t") <= within) & (F.col("o_idx") != F.col("idx")) & (distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")) <= radius))
-    hit = near.select("match_id", "idx").distinct().withColumn("third", F.lit(True))
-    return kills.join(hit, ["match_id", "idx"], "left").groupBy("victim_team").agg(F.count("*").alias("deaths"), F.count("third").alias("third_party"))
+    """Deaths with whether a third team killed close by shortly before, counted per team of the victim; kills meet only in cells of space and time."""
+    own = kills.select("match_id", "idx", "t_s", "team_id", "victim_team", "x", "y")
+    near = near_in_space_and_time(own, own.drop("victim_team"), ["match_id"], ("x", "y"), "t_s", radius, within, 0)
+    third = near.where("o_team_id <> team_id and o_team_id <> victim_team and o_idx <> idx").select("match_id", "idx").distinct().withColumn("third", F.lit(True))
+    return kills.join(third, ["match_id", "idx"], "left").groupBy("victim_team").agg(F.count("*").alias("deaths"), F.count("third").alias("third_party"))
 
 
 def death_causes(kills: DataFrame, knocks: DataFrame) -> DataFrame:
@@ -260,11 +284,57 @@ def freshness(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def folded_alerts(checks: DataFrame) -> DataFrame:
-    """Runs of consecutive failed checks per kind: opened, last seen, number, and when a good check resolved them."""
-    w = Window.partitionBy("kind").orderBy("t_s", "idx")
-    run = F.sum((F.col("ok")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = checks.withColumn("_run", run).withColumn("_next_ok", F.min(F.when(F.col("ok"), F.col("t_s"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    return marked.where("not ok").groupBy("kind", "_run").agg(F.min("t_s").alias("opened"), F.max("t_s").alias("last_seen"), F.count("*").alias("observations"), F.max("_next_ok").alias("resolved")).drop("_run")
+    """Runs of consecutive failed checks per kind: opened, last seen, number, and when a good check resolved them.
+
+    checks: kind, t_s, idx, ok. Windows cover ranges of (kind, time); a range hands on its number of good checks and the first of them,
+    so a kind with most of all rows is spread over tasks.
+    """
+    w = Window.partitionBy("kind", "_range").orderBy("t_s", "idx")
+    good = F.when(F.col("ok"), F.col("t_s"))
+    r = ranged(checks.select("kind", "t_s", "idx", "ok"), ["kind", "t_s", "idx"])
+    r = r.withColumn("_run", F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.min(good).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # a row for each range and kind in it
+    of_range = r.groupBy("kind", "_range").agg(F.count_if("ok").alias("n_ok"), F.min(good).alias("first_ok"))
+    along = Window.partitionBy("kind").orderBy("_range")
+    before = F.coalesce(F.sum("n_ok").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    later = F.min("first_ok").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later")
+    joined = r.where("not ok").join(of_range.select("kind", "_range", before, later), ["kind", "_range"])
+    runs = joined.groupBy("kind", (F.col("_before") + F.col("_run")).alias("_run"))
+    return runs.agg(F.min("t_s").alias("opened"), F.max("t_s").alias("last_seen"), F.count("*").alias("observations"), F.max(F.coalesce("_next", "_later")).alias("resolved")).drop("_run")
+
+
+def alert_events(checks: DataFrame, open_alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each check does to its kind's alert (open, refresh or resolve), and the alerts that are open after all checks.
+
+    checks: kind, t_s, idx, ok; open_alerts: kind, opened, n, the alerts open before them, at most one a kind. As in folded_alerts windows
+    cover ranges of (kind, time). A range's summary is the run of failures at its end and whether a good check lies before it; summaries add up from
+    the left: those without a good check lengthen the run that comes in.
+    """
+    w = Window.partitionBy("kind", "_range").orderBy("t_s", "idx")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    bad = ~F.col("ok")
+    r = ranged(checks.select("kind", "t_s", "idx", "ok"), ["kind", "t_s", "idx"]).withColumn("_n", F.row_number().over(w))
+    r = r.withColumns({"_good": F.coalesce(F.max(F.when(F.col("ok"), F.col("_n"))).over(so_far), F.lit(0)), "_was_ok": F.lag("ok").over(w)})
+    # failures in a row up to and with this check, and the first of them, as far as this range knows
+    r = r.withColumn("_failed", (F.col("_n") - F.col("_good")).cast("bigint")).withColumn("_since", F.last(F.when(bad & F.coalesce("_was_ok", F.lit(True)), F.col("t_s")), ignorenulls=True).over(so_far))
+    last = F.max_by(F.struct("_failed", "_since", "_good"), F.struct("t_s", "idx"))
+    ends = r.groupBy("kind", "_range").agg(last.alias("e")).select("kind", "_range", F.col("e._failed").alias("tail"), F.when(F.col("e._failed") > 0, F.col("e._since")).alias("since"), (F.col("e._good") > 0).alias("has_ok"))
+    came = open_alerts.select("kind", F.lit(-1).alias("_range"), F.col("n").alias("tail"), F.col("opened").alias("since"), F.lit(False).alias("has_ok"))
+    along = Window.partitionBy("kind").orderBy("_range")
+    up_to = lambda *k: Window.partitionBy(*k).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.unionByName(came).withColumn("group", F.count_if("has_ok").over(up_to("kind")))
+    ends = ends.withColumns({"tail": F.sum("tail").over(up_to("kind", "group")), "since": F.first("since", ignorenulls=True).over(up_to("kind", "group"))})
+    carried = ends.select("kind", "_range", F.coalesce(F.lag("tail").over(along), F.lit(0)).alias("_tail"), F.lag("since").over(along).alias("_came"))
+    r = r.join(carried, ["kind", "_range"]).withColumn("_whole", F.col("_good") == 0)
+    r = r.withColumns({"failed": F.col("_failed") + F.when(F.col("_whole"), F.col("_tail")).otherwise(0), "since": F.when(F.col("_whole") & (F.col("_tail") > 0), F.col("_came")).otherwise(F.col("_since"))})
+    # before a good check: what the check before it left, or what came into the range
+    before = {"_failed_before": F.coalesce(F.lag("failed").over(w), "_tail"), "_since_before": F.when(F.col("_n") == 1, F.col("_came")).otherwise(F.lag("since").over(w))}
+    r = r.withColumns(before).where(bad | (F.col("_failed_before") > 0))
+    event = F.when(F.col("ok"), "resolve").when(F.col("_failed_before") > 0, "refresh").otherwise("open")
+    n = F.when(F.col("ok"), F.col("_failed_before")).otherwise(F.col("failed"))
+    events = r.select("kind", "idx", event.alias("event"), F.when(F.col("ok"), F.col("_since_before")).otherwise(F.col("since")).alias("opened"), F.col("t_s").alias("last_seen"), n.alias("observations"))
+    still = ends.groupBy("kind").agg(F.max_by(F.struct("since", "tail"), "_range").alias("e")).where("e.tail > 0").select("kind", F.col("e.since").alias("opened"), F.col("e.tail").alias("n"))
+    return events, still
 
 
 def due(rows: DataFrame, now: int, base: int, cap: int) -> DataFrame:

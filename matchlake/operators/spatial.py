@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,6 +112,27 @@ def label_points(points: DataFrame, places: DataFrame, within: float, reach: flo
     return points.join(best, "point_id", "left").select("point_id", F.when(F.col("b.d") <= within, F.col("b.name")).alias("name"), F.col("b.name").alias("nearest"), F.col("b.d").alias("d"), bearing(F.col("b.dx"), F.col("b.dy")).alias("bearing"))
 
 
+def near_in_space_and_time(rows: DataFrame, others: DataFrame, keys: Sequence[str], places: Sequence[str], t: str, radius: float, before: float, after: float, prefix: str = "o_") -> DataFrame:
+    """Pairs of rows and others of equal keys, at most radius apart, the other at most before earlier and after later; the others' columns get the prefix.
+
+    Both sides are dealt to cubes of radius, radius and the time between before and after, the others to every cube that can reach
+    theirs, so a pair meets in one cube and rows farther off never do.
+    """
+    x, y = places
+    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    long = max(before + after, 1e-9)
+    o = others.select(*[F.col(c).alias(c if c in keys else f"{prefix}{c}") for c in others.columns])
+    steps = {"_x": (x, radius, (-1, 0, 1)), "_y": (y, radius, (-1, 0, 1))}
+    for name, (c, size, around) in steps.items():
+        o = o.withColumn(name, F.explode(F.array(*[cell(f"{prefix}{c}", size) + i for i in around])))
+    # a row at time r is reached by others in [r - before, r + after]
+    reach = F.sequence(F.floor((F.col(f"{prefix}{t}") - after) / long).cast("long"), F.floor((F.col(f"{prefix}{t}") + before) / long).cast("long"))
+    o = o.withColumn("_t", F.explode(reach))
+    near = rows.withColumns({"_x": cell(x, radius), "_y": cell(y, radius), "_t": cell(t, long)}).join(o, [*keys, "_x", "_y", "_t"]).drop("_x", "_y", "_t")
+    lag = F.col(f"{prefix}{t}") - F.col(t)
+    return near.where((lag >= -before) & (lag <= after) & (distance(F.col(x), F.col(y), F.col(f"{prefix}{x}"), F.col(f"{prefix}{y}")) <= radius))
+
+
 def squad_drops(landings: DataFrame, results: DataFrame, strategy: DataFrame) -> DataFrame:
     """One row per match and team: mean landing, its spread, first landing, what became of the team and how it began.
 

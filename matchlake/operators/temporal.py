@@ -65,6 +65,39 @@ def gap_segments(rows: DataFrame, keys: Sequence[str], t: str, gap: float, tie:
     return rows.withColumn("_new", F.when(since > gap, 1).otherwise(0)).withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def ranged(rows: DataFrame, order: Sequence[str], n: int | None = None) -> DataFrame:
+    """rows with _range (0, 1, ...): ranges of about equal size in the order of the columns, so that no window need hold a key with most of the rows.
+
+    The ranges' upper ends, a row for each, come from a sort of the order's columns alone; nulls come first. A row finds its range by halving.
+    """
+    spark = rows.sparkSession
+    key = F.struct(*[F.col(c) for c in order])
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(key.alias("key")).repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("task")).agg(F.max("key").alias("key"))
+    ends = dealt.agg(F.sort_array(F.collect_list("key")).alias("_ends"))
+    # n structs at most, held by the driver so that every use of the ranges sees the same
+    held = spark.createDataFrame(ends.collect(), ends.schema)
+    halves = [1 << i for i in reversed(range(max(1, n).bit_length()))]
+    below = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda at, step: F.when(F.get("_ends", at + step - 1) < key, at + step).otherwise(at))
+    return rows.crossJoin(F.broadcast(held)).withColumn("_range", below).drop("_ends")
+
+
+def long_gap_segments(rows: DataFrame, t: str, gap: float, tie: Sequence[str] = ()) -> DataFrame:
+    """rows with segment as of gap_segments, for one sequence without a key: ranges of it are cut each on its own and then joined.
+
+    Of a range only its first and last time and its number of cuts go on: a row for each range.
+    """
+    w = Window.partitionBy("_range").orderBy(t, *tie)
+    cut = F.coalesce(F.col(t) - F.lag(t).over(w) > gap, F.lit(False)).cast("int")
+    inner = ranged(rows, [t, *tie]).withColumn("_cut", cut).withColumn("_inner", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = inner.groupBy("_range").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.max("_inner").alias("cuts"))
+    along = Window.orderBy("_range")
+    apart = F.coalesce(F.col("first") - F.lag("last").over(along) > gap, F.lit(False)).cast("int")
+    ends = ends.withColumn("here", apart + F.coalesce(F.lag("cuts").over(along), F.lit(0)))
+    ends = ends.select("_range", F.sum("here").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"))
+    return inner.join(F.broadcast(ends), "_range").withColumn("segment", F.col("_base") + F.col("_inner")).drop("_range", "_cut", "_inner", "_base")
+
+
 def gap_sweep(rows: DataFrame, keys: Sequence[str], t: str, gaps: Sequence[float], tie: Sequence[str] = ()) -> DataFrame:
     """gap, n_segments: how many segments each gap would give; one pass over the rows, counted before the gaps are listed."""
     since = F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t, *tie))

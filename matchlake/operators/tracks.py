@@ -147,11 +147,13 @@ def position_at(probes: DataFrame, track: DataFrame) -> DataFrame:
 def trail(probes: DataFrame, track: DataFrame, deaths: DataFrame, window: float) -> DataFrame:
     """For each probe (probe_id, match, account, t_s) of a living account the samples of the last window seconds, and its place then (without idx).
 
-    An account that has died by then has no trail, one without a sample so far no head.
+    An account that has died by then has no trail, one without a sample so far no head. Samples are dealt to bins of the window's length and
+    a probe to the two that its window touches.
     """
     alive = resolve_alive(probes.select("probe_id", *ACCOUNT, "t_s"), deaths).where("alive").drop("alive", "death_t")
-    p = alive.withColumnRenamed("t_s", "probe_t")
-    past = track.join(p, ACCOUNT).where((F.col("t_s") <= F.col("probe_t")) & (F.col("t_s") >= F.col("probe_t") - window)).select("probe_id", "idx", "t_s", "x", "y")
+    bin_of = lambda t: F.floor(t / window).cast("long")
+    p = alive.withColumnRenamed("t_s", "probe_t").withColumn("_bin", F.explode(F.sequence(bin_of(F.col("probe_t") - window), bin_of(F.col("probe_t")))))
+    past = track.withColumn("_bin", bin_of(F.col("t_s"))).join(p, [*ACCOUNT, "_bin"]).where((F.col("t_s") <= F.col("probe_t")) & (F.col("t_s") >= F.col("probe_t") - window)).select("probe_id", "idx", "t_s", "x", "y")
     head = position_at(alive, track).where("at_x is not null")
     return past.unionByName(head.select("probe_id", F.lit(None).cast("bigint").alias("idx"), "t_s", F.col("at_x").alias("x"), F.col("at_y").alias("y")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.norm import distance
+from matchlake.operators.spatial import near_in_space_and_time
 from matchlake.operators.temporal import asof
 
 M, KEYS = "match_id", ["match_id", "account_id"]
@@ -73,10 +74,11 @@ def teammate_spread(track: DataFrame, roster: DataFrame, max_lag: float, near: f
 
 
 def hot_drop(landings: DataFrame, radius: float, within: float) -> DataFrame:
-    """How many first landings of other teams lie within radius and time of each account's own."""
-    o = landings.select(M, F.col("account_id").alias("o_id"), F.col("team_id").alias("o_team"), F.col("land_t").alias("ot"), F.col("land_x").alias("ox"), F.col("land_y").alias("oy"))
-    close = (F.col("team_id") != F.col("o_team")) & (F.abs(F.col("land_t") - F.col("ot")) <= within) & (distance(F.col("land_x"), F.col("land_y"), F.col("ox"), F.col("oy")) <= radius)
-    return landings.join(o, M).groupBy(*KEYS).agg(F.count_if(close).alias("hot_drop_n"))
+    """How many first landings of other teams lie within radius and time of each account's own; landings meet only in cells of space and time."""
+    own = landings.select(*KEYS, "team_id", "land_t", "land_x", "land_y")
+    near = near_in_space_and_time(own, own, [M], ("land_x", "land_y"), "land_t", radius, within, within)
+    n = near.where("team_id <> o_team_id").groupBy(*KEYS).agg(F.count("*").alias("hot_drop_n"))
+    return landings.select(*KEYS).join(n, KEYS, "left").select(*KEYS, F.coalesce("hot_drop_n", F.lit(0)).alias("hot_drop_n"))
 
 
 def early_combat(hits: DataFrame, until: float) -> DataFrame:

@@ -154,9 +154,23 @@ def g9_sessions(o):
     return _sessions(o)
 
 
-@over(order_rows, f"WITH {_SES} SELECT session, count(*) AS accounts, CAST(sum(n) AS BIGINT) AS rows_in, max(ended - began) AS longest FROM ses GROUP BY 1")
-def g10_squad_sessions(o):
-    return _sessions(o).groupBy("session").agg(F.count("*").alias("accounts"), F.sum("n").alias("rows_in"), F.max(F.col("ended") - F.col("began")).alias("longest"))
+def _evenings(spark, sf):
+    """Tracked participants; a match is played at an hour of its day that its id gives."""
+    played = F.col("played_on").cast("timestamp") + F.make_dt_interval(hours=F.col("match_id") % 24, mins=F.col("match_id") % 60)
+    rows = wide(spark, sf).where("tracked").where(norm.career_filter(F.col("match_type"), ("F",)))
+    return rows.select("match_id", played.alias("played_at"), F.col("place").alias("win_place"), "kills", "kills_human", F.when(F.col("death_type").isNotNull(), F.col("survived_s")).alias("death_t"), "damage_dealt")
+
+
+@over(_evenings, f"""{WIDE}, p AS (SELECT match_id, CAST(played_on AS TIMESTAMP) + to_hours(match_id % 24) + to_minutes(match_id % 60) AS played_at, min(place) AS place, sum(coalesce(kills_human, kills)) AS kills, count(death_type) AS deaths,
+  sum(CAST(damage_dealt AS DOUBLE)) AS damage FROM wide WHERE tracked AND match_type = 'F' GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN played_at - lag(played_at) OVER (ORDER BY played_at, match_id) > INTERVAL 3 HOUR THEN 1 ELSE 0 END AS new FROM p),
+s AS (SELECT *, sum(new) OVER (ORDER BY played_at, match_id ROWS UNBOUNDED PRECEDING) AS seg FROM c)
+SELECT CAST(max(seg) OVER () - seg AS BIGINT) AS evening, * EXCLUDE (seg) FROM (SELECT seg, CAST(epoch_us(min(played_at)) AS BIGINT) AS started, CAST(epoch_us(max(played_at)) AS BIGINT) AS ended, count(*) AS matches, min(place) AS best_place,
+  count(*) FILTER (place = 1) AS wins, count(*) FILTER (place BETWEEN 1 AND 10) AS top10, CAST(sum(kills) AS BIGINT) AS kills, CAST(sum(deaths) AS BIGINT) AS deaths, round(sum(damage), 2) AS damage,
+  list(place ORDER BY played_at DESC, match_id DESC) AS places FROM s GROUP BY seg)""")
+def g10_squad_sessions(r):
+    out = careers.squad_sessions(r)
+    return out.withColumns({"started": F.unix_micros("started"), "ended": F.unix_micros("ended"), "damage": F.round("damage", 2)})
 
 
 @over(order_rows, f"WITH {_SES} SELECT account_id, n, began, ended, best_place, wins, kills FROM ses WHERE session = 0")

@@ -352,9 +352,11 @@ OVER (PARTITION BY kind ORDER BY t_s, idx ROWS UNBOUNDED PRECEDING) AS run FROM
 r WHERE NOT ok GROUP BY 1, 2), x AS (SELECT kind, max(run) AS top FROM r GROUP BY 1) SELECT a.kind, CAST(count(*) AS BIGINT) AS opened, CAST(sum(n) - count(*) AS BIGINT)
 AS refreshed, count(*) FILTER (a.run < x.top) AS resolved FROM a JOIN x USING (kind) GROUP BY 1""")
 def s6_live_alerts(rows):
-    live = jobs.live_alerts(rows.select(F.col("event_type").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_s"), F.col("event_id").alias("idx"), (F.col("event_id") % 3 == 0).alias("ok")))
+    spark, out = rows.sparkSession, _scratch(rows.sparkSession)
+    checks = rows.select(F.col("event_type").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_s"), F.col("event_id").alias("idx"), (F.col("event_id") % 3 == 0).alias("ok"))
+    jobs.live_alerts(checks, out, f"{out}-state").awaitTermination()
     n = lambda e: F.count_if(F.col("event") == e)
-    return jobs.drained(live, _scratch(rows.sparkSession)).groupBy("kind").agg(n("open").alias("opened"), n("refresh").alias("refreshed"), n("resolve").alias("resolved"))
+    return spark.read.schema(jobs.ALERT).parquet(f"{out}/events").groupBy("kind").agg(n("open").alias("opened"), n("refresh").alias("refreshed"), n("resolve").alias("resolved"))
 
 
 @over(_stream, f"WITH {EV} SELECT team_id, kind, count(*) AS n FROM ev GROUP BY 1, 2")

@@ -7,15 +7,13 @@ replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from matchlake.operators.careers import alert_events
 from matchlake.sources.files import bad_files, current, match_of, replace_matches, telemetry
 
 
@@ -102,44 +100,25 @@ def live_segments(blows: DataFrame, ts: str, gap: str, late: str) -> DataFrame:
     return g.where("hits + knocks > 0").drop("w")
 
 
-ALERT = "kind string, event string, opened bigint, last_seen bigint, observations bigint"
-
-
-def _alert(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Of a batch's checks only three numbers each are held, and all runs of failures are found at once."""
-    opened, n = state.get if state.exists else (None, 0)
-    held = [[p[c].to_numpy() for c in ("t_s", "idx", "ok")] for p in parts]
-    t, idx, ok = (np.concatenate(c) for c in zip(*held))
-    order = np.lexsort((idx, t))
-    t, ok = t[order], ok[order].astype(bool)
-    bad = np.flatnonzero(~ok)
-    run = np.cumsum(ok)[bad]
-    first = np.flatnonzero(np.append(True, run[1:] != run[:-1])[: len(bad)])
-    size = np.append(first[1:], len(bad)) - first
-    count = np.arange(len(bad)) - np.repeat(first, size) + 1
-    began = np.repeat(t[bad[first]], size)
-    if n:
-        # the run that an earlier batch left open
-        count[run == 0] += n
-        began[run == 0] = opened
-    # what holds before each row: the alert's beginning and number of failures, 0 without one
-    since, failed = np.zeros(len(t) + 1, np.int64), np.zeros(len(t) + 1, np.int64)
-    since[0], failed[0] = opened or 0, n
-    since[bad + 1], failed[bad + 1] = began, count
-    said = ~ok | (failed[:-1] > 0)
-    event = np.where(ok, "resolve", np.where(failed[:-1] > 0, "refresh", "open"))
-    here = np.where(ok, 0, 1)
-    out = {"event": event, "opened": np.where(ok, since[:-1], since[1:]), "last_seen": t, "observations": failed[:-1] + here}
-    if failed[-1]:
-        state.update((int(since[-1]), int(failed[-1])))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame({"kind": key[0], **{c: v[said] for c, v in out.items()}})
-
-
-def live_alerts(checks: DataFrame) -> DataFrame:
-    """What each check (kind, t_s, idx, ok) does to its kind's alert: open, refresh or resolve; the state is two numbers per kind."""
-    return checks.groupBy("kind").applyInPandasWithState(_alert, ALERT, "opened bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
+ALERT = "kind string, idx bigint, event string, opened bigint, last_seen bigint, observations bigint"
+OPEN = "kind string, opened bigint, n bigint"
+
+
+def live_alerts(checks: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """What each check (kind, t_s, idx, ok) does to its kind's alert, into out/events: open, refresh or resolve.
+
+    Open alerts, two numbers a kind, are kept in out/open under the batch's number and read by the next; a batch that is repeated
+    writes the same folders again.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(OPEN).parquet(f"{out}/open/version={number - 1}") if number else spark.createDataFrame([], OPEN)
+        events, still = alert_events(batch, before)
+        events.write.mode("overwrite").parquet(f"{out}/events/version={number}")
+        still.write.mode("overwrite").parquet(f"{out}/open/version={number}")
+
+    return checks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def heartbeat_age(rows: DataFrame, now: Column) -> DataFrame:
