@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.norm import distance
+from matchlake.operators.mates import nearest_mates, still_up
 from matchlake.operators.spatial import near_in_space_and_time
 from matchlake.operators.temporal import asof
 
@@ -59,18 +60,12 @@ def rotate_lag(track: DataFrame, circles: DataFrame, landings: DataFrame, cell:
     return first.groupBy(*KEYS).agg((F.sum("lag").cast("double") / F.count("*")).alias("rotate_lag_s"), F.count("*").alias("n_circles"))
 
 
-def _mates(probes: DataFrame, roster: DataFrame) -> DataFrame:
-    """Every probe (match_id, account_id, team_id, t_s, ...) once for each teammate, whose account is then account_id."""
-    mate = roster.select(M, "team_id", F.col("account_id").alias("mate_id"))
-    return probes.join(mate, [M, "team_id"]).where("mate_id <> account_id").withColumnRenamed("account_id", "own_id").withColumnRenamed("mate_id", "account_id")
-
-
 def teammate_spread(track: DataFrame, roster: DataFrame, max_lag: float, near: float = 10_000.0) -> DataFrame:
     """Per account the mean over its samples of the distance to its nearest teammate (its sample nearest in time), and the share within near."""
-    own = track.where("alive").select(*KEYS, "idx", "t_s", "x", "y").join(roster.select(*KEYS, "team_id"), KEYS).select(*KEYS, "team_id", "idx", "t_s", F.col("x").alias("px"), F.col("y").alias("py"))
-    placed = asof(_mates(own, roster), track.where("alive").select(*KEYS, "t_s", "idx", "x", "y"), KEYS, "t_s", ["idx", "x", "y"], "nearest", ["idx"], max_lag)
-    d = placed.where("s_x is not null").groupBy(M, "own_id", "idx").agg(F.min(distance(F.col("px"), F.col("py"), F.col("s_x"), F.col("s_y"))).alias("d"))
-    return d.groupBy(M, F.col("own_id").alias("account_id")).agg(F.count("*").alias("n_samples"), F.avg("d").alias("teammate_dist_avg"), (F.count_if(F.col("d") <= near).cast("double") / F.count("*")).alias("teammate_near_pct"))
+    own = track.where("alive").select(*KEYS, "idx", "t_s", "x", "y").join(roster.select(*KEYS, "team_id"), KEYS)
+    placed = nearest_mates(own, own.withColumns({"until": F.lit(None).cast("double"), "rides": F.lit(False)}), max_lag)
+    known = placed.where("d is not null").groupBy(*KEYS)
+    return known.agg(F.count("*").alias("n_samples"), F.avg("d").alias("teammate_dist_avg"), (F.count_if(F.col("d") <= near).cast("double") / F.count("*")).alias("teammate_near_pct"))
 
 
 def hot_drop(landings: DataFrame, radius: float, within: float) -> DataFrame:
@@ -103,22 +98,11 @@ def strategy_metrics(roster: DataFrame, *parts: DataFrame) -> DataFrame:
 
 
 def death_context(kills: DataFrame, roster: DataFrame, track: DataFrame, deaths: DataFrame, max_lag: float) -> DataFrame:
-    """Per death the distance to the nearest living teammate, how many live, whether the victim rode, and the age of its own sample.
-
-    A team's deaths are rows among its samples, so one window per account gives the sample nearest to each of them: a death meets
-    every account of its team once, and nothing else.
-    """
-    v = kills.select(M, "idx", F.col("victim_id").alias("account_id"), "t_s").join(roster.select(*KEYS, "team_id"), KEYS)
-    s = track.select(*KEYS, "t_s", F.col("idx").alias("s_idx"), "x", "y", "riding")
-    team = roster.select(M, "team_id", "account_id").join(deaths, KEYS, "left")
-    probes = v.withColumnRenamed("account_id", "victim_id").join(team, [M, "team_id"])
-    probes = probes.where((F.col("account_id") == F.col("victim_id")) | F.col("death_t").isNull() | (F.col("death_t") > F.col("t_s")))
-    placed = asof(probes.select(*KEYS, "idx", "victim_id", "t_s"), s, KEYS, "t_s", ["s_idx", "x", "y", "riding"], "nearest", ["s_idx"], max_lag)
-    is_own = F.col("account_id") == F.col("victim_id")
-    own = lambda c: F.max(F.when(is_own, F.col(c)))
-    mates = F.collect_list(F.when(~is_own & F.col("s_x").isNotNull(), F.struct("s_x", "s_y")))
-    g = placed.groupBy(M, "idx", "victim_id").agg(
-        own("s_x").alias("vx"), own("s_y").alias("vy"), own("s_lag").alias("sample_lag"), own("s_riding").isNotNull().alias("in_vehicle"), F.count_if(~is_own).alias("teammates_alive"), mates.alias("mates")
-    )
-    nearest = F.array_min(F.transform("mates", lambda m: distance(F.col("vx"), F.col("vy"), m["s_x"], m["s_y"])))
-    return g.select(M, "idx", "victim_id", "sample_lag", "in_vehicle", "teammates_alive", nearest.alias("nearest_teammate"))
+    """Per death the distance to the nearest living teammate, how many live, whether the victim rode, and the age of its own sample."""
+    up = still_up(kills, roster, deaths)
+    samples = track.select(*KEYS, "t_s", "idx", "x", "y", F.col("riding").isNotNull().alias("rides")).join(roster.select(*KEYS, "team_id"), KEYS)
+    samples = samples.join(deaths.select(*KEYS, F.col("death_t").alias("until")), KEYS, "left")
+    none = F.lit(None).cast("double")
+    placed = nearest_mates(up.select(M, "team_id", F.col("victim_id").alias("account_id"), "idx", "t_s", none.alias("x"), none.alias("y")), samples, max_lag)
+    placed = placed.select(M, "idx", F.col("account_id").alias("victim_id"), F.col("s_lag").cast(kills.schema["t_s"].dataType).alias("sample_lag"), F.col("s_rides").alias("in_vehicle"), F.col("d").alias("nearest_teammate"))
+    return up.select(M, "idx", "victim_id", "teammates_alive").join(placed, [M, "idx", "victim_id"])
