@@ -12,7 +12,7 @@ from matchlake.plans import timeline
 from matchlake.plans.timeline import M, W, engagements, of
 from matchlake.plans.view import EV, RES, events, results
 from matchlake.sources.files import profile_schema
-from matchlake.streaming import jobs
+from matchlake.streaming import fights, jobs
 
 Q: dict = {}
 SQL: dict = {}
@@ -334,17 +334,30 @@ def s4_live_sessions(rows):
     return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 
-@over(_stream, f"""WITH b AS (SELECT event_id, ts, CAST(CAST(ts AS DATE) AS STRING) AS match_id, least(user_id % 4, (user_id + 1 + event_id % 7) % 4) AS team_a, greatest(user_id % 4, (user_id + 1 + event_id % 7) % 4) AS team_b, event_type FROM events WHERE event_type IN ('click', 'error', 'purchase') AND user_id % 4 <> (user_id + 1 + event_id % 7) % 4),
-g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY match_id, team_a, team_b ORDER BY ts, event_id) < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM b), s AS (SELECT *, sum(new) OVER (PARTITION BY match_id, team_a, team_b ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM g),
-a AS (SELECT match_id, team_a, team_b, seg, max(ts) AS ended, count(*) FILTER (event_type = 'click') AS hits, count(*) FILTER (event_type = 'error') AS knocks, count(*) FILTER (event_type = 'purchase') AS kills FROM s GROUP BY 1, 2, 3, 4)
-SELECT match_id, team_a, team_b, hits, knocks, kills FROM a WHERE hits + knocks > 0 AND ended + INTERVAL 20 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM b)""")
-def s5_live_segments(rows):
-    victim = (F.col("user_id") + 1 + F.col("event_id") % 7) % 4
-    team = F.col("user_id") % 4
-    blows = rows.where("event_type in ('click', 'error', 'purchase')").where(team != victim)
+def _blows(rows):
+    """The stream's blows and kills between teams, in whole seconds as in the view."""
+    victim, team = (F.col("user_id") + 1 + F.col("event_id") % 7), F.col("user_id") % 4
     kind = F.expr("CASE event_type WHEN 'click' THEN 'hit' WHEN 'error' THEN 'knock' ELSE 'kill' END")
-    live = jobs.live_segments(blows.select(F.col("ts").cast("date").cast("string").alias("match_id"), F.least(team, victim).alias("team_a"), F.greatest(team, victim).alias("team_b"), kind.alias("kind"), F.col("value").alias("damage"), F.col("ts").cast("timestamp").alias("ts")), "ts", "20 minutes", "1 hour")
-    return jobs.drained(live, _scratch(rows.sparkSession)).select("match_id", "team_a", "team_b", "hits", "knocks", "kills")
+    both = rows.where("event_type in ('click', 'error', 'purchase')").where(team != victim % 4)
+    return both.select(
+        F.col("ts").cast("date").cast("string").alias("match_id"), F.least(team, victim % 4).alias("team_a"), F.greatest(team, victim % 4).alias("team_b"), kind.alias("kind"),
+        F.col("event_id").alias("idx"), victim.alias("victim_id"), F.col("value").cast("decimal(18, 2)").alias("damage"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"),
+    )
+
+
+_SEGMENTS, _ATTACHED = (x.replace(str(timeline.GAP), "1200") for x in (timeline._SEG, timeline._ATT))
+
+
+@over(_stream, f"""{W}, {_SEGMENTS}, {_ATTACHED}, wm AS (SELECT max(epoch(CAST(match_id AS DATE)) + t_s) - 3600 AS now FROM ev WHERE kind IN ('hit', 'knock', 'kill') AND team_id <> victim_team)
+SELECT match_id, team_a, team_b, 'fight' AS event, segment, NULL AS idx, NULL AS rule, min(t_s) AS began, max(t_s) AS ended, count(*) FILTER (kind = 'hit') AS hits, count(*) FILTER (kind = 'knock') AS knocks,
+  CAST(coalesce(sum(damage) FILTER (kind = 'hit'), 0) AS DOUBLE) AS damage FROM seg, wm GROUP BY 1, 2, 3, 5, now HAVING epoch(CAST(match_id AS DATE)) + max(t_s) + 1200 < now
+UNION ALL SELECT k.match_id, k.team_a, k.team_b, 'kill', a.segment, k.idx, a.rule, NULL, NULL, NULL, NULL, NULL FROM xk k CROSS JOIN wm LEFT JOIN att a USING (idx) WHERE epoch(CAST(k.match_id AS DATE)) + k.t_s + 1200 < now""")
+def s5_live_segments(rows):
+    spark = rows.sparkSession
+    with jobs.state_in_rocksdb(spark):
+        found = jobs.drained(fights.live_fights(_blows(rows), "ts", 1200, "1 hour", 0.0), _scratch(spark))
+    of_day = lambda c: (F.floor(F.col(c) / 1_000_000) % 86_400).alias(c)
+    return found.select("match_id", "team_a", "team_b", "event", "segment", "idx", "rule", of_day("began"), of_day("ended"), "hits", "knocks", F.round("damage", 2).alias("damage"))
 
 
 @over(_stream, """WITH c AS (SELECT event_type AS kind, event_id AS idx, epoch_us(ts) AS t_s, event_id % 3 = 0 AS ok FROM events), r AS (SELECT *, count(*) FILTER (ok)

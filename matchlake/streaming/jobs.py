@@ -7,7 +7,8 @@ replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,15 +90,16 @@ def live_sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) ->
     return w.agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n")).drop("w")
 
 
-def live_segments(blows: DataFrame, ts: str, gap: str, late: str) -> DataFrame:
-    """Fights of two teams while they run: spans, hits, knocks and the kills that fall into them, given out at their close.
-
-    blows: match_id, team_a, team_b, kind, damage. A span without a hit or a knock isn't a fight.
-    """
-    w = blows.withWatermark(ts, late).groupBy("match_id", "team_a", "team_b", F.session_window(ts, gap).alias("w"))
-    n = lambda kind: F.count_if(F.col("kind") == kind)
-    g = w.agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), n("hit").alias("hits"), n("knock").alias("knocks"), n("kill").alias("kills"), F.sum(F.when(F.col("kind") == "hit", F.col("damage"))).alias("damage"))
-    return g.where("hits + knocks > 0").drop("w")
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which stateful processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 ALERT = "kind string, idx bigint, event string, opened bigint, last_seen bigint, observations bigint"
