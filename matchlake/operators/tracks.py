@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -100,22 +101,43 @@ def red_zones(rows: DataFrame, durations: DataFrame) -> DataFrame:
     return life.select("match_id", "uid", "epoch", "warned", "started", F.coalesce("ended", "duration").alias("ended"))
 
 
-def _claims(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Of the pairs of one match: landings in file order take the nearest spawn that none before them took."""
-    taken, out = set(), []
-    for land, group in pairs.sort_values(["land_idx", "d", "spawn_idx"]).groupby("land_idx", sort=False):
-        free = next((r for r in group.itertuples(index=False) if r.spawn_idx not in taken), None)
-        if free is not None:
-            taken.add(free.spawn_idx)
-            out.append((free.match_id, land, free.spawn_idx, free.spawn_t))
-    return pd.DataFrame(out, columns=["match_id", "land_idx", "spawn_idx", "spawn_t"])
+def greedy_claims(pairs: DataFrame, keys: list[str], claimer: str, claimed: str, cost: str, shared: str) -> DataFrame:
+    """Of the pairs those that hold when claimers, in their order, each take the cheapest free of their pairs (of equal ones the least claimed).
 
-
-def care_packages(spawns: DataFrame, landings: DataFrame, within: float = 50_000.0) -> DataFrame:
+    By rounds: a claimer takes its cheapest free one if no earlier open claimer has a pair with that one, which therefore can't go to
+    anyone else. The first open claimer always takes one, and claims that don't touch each other are settled at once, so there are as many rounds as the longest
+    chain of claims that wait for each other. Every round is written to a folder below shared, and all of them are removed at the end but the result.
+    """
+    spark = pairs.sparkSession
+    folder = f"{shared}/claims-{uuid.uuid4().hex}"
+    names = [*keys, claimer, claimed]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    best = F.row_number().over(Window.partitionBy(*keys, claimer).orderBy(cost, claimed)) == 1
+    first = F.min(claimer).over(Window.partitionBy(*keys, claimed)) == F.col(claimer)
+    gone = lambda c: F.max("_takes").over(Window.partitionBy(*keys, c))
+    opened, taken, n = kept(pairs.select(*names, cost), "pairs"), None, 0
+    while not opened.isEmpty():
+        marked = opened.withColumn("_best", best).withColumn("_takes", first & F.col("_best")).drop("_best")
+        settled = kept(marked.withColumns({"_one": gone(claimer), "_other": gone(claimed)}).where("_takes or not (_one or _other)").drop("_one", "_other"), f"round-{n}")
+        new = settled.where("_takes").select(*names)
+        taken = new if taken is None else taken.unionByName(new)
+        opened, n = settled.where("not _takes").drop("_takes"), n + 1
+    out = pairs.select(*names).limit(0) if taken is None else taken
+    path = f"{shared}/claimed-{uuid.uuid4().hex}"
+    out.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def care_packages(spawns: DataFrame, landings: DataFrame, shared: str, within: float = 50_000.0) -> DataFrame:
     """Each landing with the nearest earlier spawn within reach that no landing before it took.
 
-    Pairs within reach are found by squares as equal keys. The claims depend on each other in file order: a fold over
-    a match's pairs, of which the some ten crates of a match have as few.
+    Pairs within reach are found by squares as equal keys; claims are settled by rounds of joins.
     """
     at = lambda c: F.floor(F.col(c) / within).cast("int")
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
@@ -123,10 +145,10 @@ def care_packages(spawns: DataFrame, landings: DataFrame, within: float = 50_000
     s = s.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).withColumn("cx", F.col("cx") + F.col("_i")).withColumn("cy", F.col("cy") + F.col("_j"))
     lands = landings.select("match_id", F.col("idx").alias("land_idx"), F.col("t_s").alias("land_t"), "x", "y")
     near = lands.withColumn("cx", at("x")).withColumn("cy", at("y")).join(s, ["match_id", "cx", "cy"]).where("spawn_idx < land_idx")
-    pairs = near.select("match_id", "land_idx", "spawn_idx", "spawn_t", distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")).alias("d")).where(F.col("d") <= within)
-    kinds = dict(pairs.dtypes)
-    claims = pairs.groupBy("match_id").applyInPandas(_claims, f"match_id {kinds['match_id']}, land_idx bigint, spawn_idx bigint, spawn_t {kinds['spawn_t']}")
-    return lands.drop("x", "y").join(claims, ["match_id", "land_idx"], "left")
+    pairs = near.select("match_id", "land_idx", "spawn_idx", distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")).alias("d")).where(F.col("d") <= within)
+    claims = greedy_claims(pairs, ["match_id"], "land_idx", "spawn_idx", "d", shared)
+    timed = claims.join(spawns.select("match_id", F.col("idx").alias("spawn_idx"), F.col("t_s").alias("spawn_t")), ["match_id", "spawn_idx"])
+    return lands.drop("x", "y").join(timed, ["match_id", "land_idx"], "left")
 
 
 def crate_loot(pickups: DataFrame, crates: DataFrame, keys: list[str], within: float) -> DataFrame:

@@ -209,9 +209,15 @@ def c19_red_zones(spark, sf, e):
     return tracks.red_zones(z, e.groupBy("match_id").agg(F.max("t_s").alias("duration")))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EV}, {KINDS}, near AS (SELECT l.match_id, l.idx AS land_idx, s.idx AS spawn_idx, sqrt((l.x-s.x)*(l.x-s.x)+(l.y-s.y)*(l.y-s.y)) AS d FROM landings l JOIN kills s ON s.match_id = l.match_id AND s.idx < l.idx
+  AND abs(l.x - s.x) <= 50000 AND abs(l.y - s.y) <= 50000),
+want AS (SELECT match_id, land_idx, list(spawn_idx ORDER BY d, spawn_idx) AS c, row_number() OVER (PARTITION BY match_id ORDER BY land_idx) AS n FROM near WHERE d <= 50000 GROUP BY 1, 2),
+turn AS (SELECT match_id, n, land_idx, c[1] AS spawn_idx, [c[1]] AS taken FROM want WHERE n = 1
+  UNION ALL SELECT match_id, n, land_idx, got, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got) END FROM (SELECT w.match_id, w.n, w.land_idx, t.taken, list_filter(w.c, lambda x: NOT list_contains(t.taken, x))[1] AS got
+    FROM turn t JOIN want w ON w.match_id = t.match_id AND w.n = t.n + 1))
+SELECT l.match_id, l.idx AS land_idx, l.t_s AS land_t, t.spawn_idx, s.t_s AS spawn_t FROM landings l LEFT JOIN turn t ON t.match_id = l.match_id AND t.land_idx = l.idx LEFT JOIN kills s ON s.match_id = l.match_id AND s.idx = t.spawn_idx""")
 def c20_care_packages(spark, sf, e):
-    return tracks.care_packages(of(e, "kill"), of(e, "landing"))
+    return tracks.care_packages(of(e, "kill"), of(e, "landing"), spatial.shared_folder(spark))
 
 
 @query(f"""{W}, n AS (SELECT h.match_id, h.team_id, h.idx, h.t_s, c.idx AS crate_idx, sqrt((h.x - c.x) * (h.x - c.x) + (h.y - c.y) * (h.y - c.y)) AS d FROM hits h JOIN

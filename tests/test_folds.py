@@ -19,14 +19,34 @@ def test_heal_thinned(spark):
     assert {(x.account_id, x.idx) for x in tracks.heal_thinned(df).collect()} == want
 
 
-def test_care_packages(spark):
+def test_care_packages(spark, tmp_path):
     spawns = [("m", 1, 0, 0.0, 0.0), ("m", 2, 0, 0.0, 0.0), ("m", 9, 9, 5.0, 5.0)]
     lands = [("m", 3, 5, 10.0, 0.0), ("m", 4, 6, 0.0, 0.0), ("m", 5, 7, 0.0, 0.0), ("m", 10, 9, 9e9, 0.0)]
     cols = "match_id string, idx bigint, t_s bigint, x double, y double"
-    got = tracks.care_packages(spark.createDataFrame(spawns, cols), spark.createDataFrame(lands, cols)).collect()
+    got = tracks.care_packages(spark.createDataFrame(spawns, cols), spark.createDataFrame(lands, cols), f"file://{tmp_path}").collect()
     assert {(x.land_idx, x.spawn_idx) for x in got} == {(3, 1), (4, 2), (5, None), (10, None)}
 
 
+def test_greedy_claims(spark, tmp_path):
+    """Chains of claims that wait for each other, ties and matches apart, against the plain greedy; nothing but the result stays."""
+    r = random.Random(9)
+    pairs = [("chain", i, j, float(abs(i - j))) for i in range(8) for j in range(max(0, i - 2), i + 1)] + [("none", 1, 1, 0.0)]
+    pairs += [(m, i, j, float(r.randrange(4))) for m in "ab" for i in range(40) for j in r.sample(range(30), r.randrange(4))]
+    want = set()
+    for m in {p[0] for p in pairs}:
+        taken = set()
+        for i in sorted({p[1] for p in pairs if p[0] == m}):
+            free = sorted((d, j) for k, x, j, d in pairs if k == m and x == i and j not in taken)
+            if free:
+                taken.add(free[0][1])
+                want.add((m, i, free[0][1]))
+    df = spark.createDataFrame(pairs, "m string, i int, j int, d double")
+    got = tracks.greedy_claims(df, ["m"], "i", "j", "d", f"file://{tmp_path}")
+    assert {tuple(x) for x in got.collect()} == want and len(got.collect()) == len(want)
+    assert [x.name[:7] for x in tmp_path.iterdir()] == ["claimed"]
+    assert tracks.greedy_claims(df.where("false"), ["m"], "i", "j", "d", f"file://{tmp_path}").count() == 0
+
+
 def test_cluster_points(spark, tmp_path):
     r = random.Random(4)
     pts = [(i, r.random() * 3000, r.random() * 3000) for i in range(220)]
