@@ -71,8 +71,9 @@ NOTHING = "—"
 
 
 def parse_ts(s: Column) -> Column:
-    """ISO-8601 to a timestamp; further digits of a fraction are cut, naive times are UTC, bad input is null."""
-    return F.try_to_timestamp(s)
+    """ISO-8601 to a timestamp; further digits of a fraction are cut, naive times are UTC whatever the session's zone, bad input is null (not the epoch)."""
+    zoned = F.when(F.rlike(s, F.lit(r"\d:\d\d.*(Z|z|[+-]\d\d(:?\d\d)?)$")), s).when(F.rlike(s, F.lit(r"^\d{4}-\d\d-\d\d$")), F.concat(s, F.lit("T00:00:00Z"))).otherwise(F.concat(s, F.lit("Z")))
+    return F.try_to_timestamp(zoned)
 
 
 def ts_ms(ts: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.norm import mean, rate
+from matchlake.operators.quantiles import exact_quantiles
 from matchlake.operators.spatial import near_in_space_and_time
 from matchlake.operators.temporal import gap_segments, long_gap_segments, ranged
 
@@ -247,7 +248,7 @@ def engagement_review(fights: DataFrame) -> DataFrame:
 
 def strategy_baseline(rows: DataFrame, key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Quartiles and number of known values of each metric."""
-    return rows.groupBy(*key).agg(*[c for m in metrics for c in (F.expr(f"percentile({m}, array(0.25, 0.5, 0.75))").alias(f"q_{m}"), F.count(m).alias(f"n_{m}"))])
+    return exact_quantiles(rows, key, metrics, (0.25, 0.5, 0.75))
 
 
 def contrast_by_placement(rows: DataFrame, key: str, metric: str, n: int = 10, least: int = 4) -> DataFrame:

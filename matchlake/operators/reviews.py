@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.norm import mean, rate
+from matchlake.operators.quantiles import exact_quantiles
 from matchlake.operators.temporal import asof
 
 M = "match_id"
@@ -116,12 +117,16 @@ def squad_strategy(rows: DataFrame, metric: str, least: int = 2) -> DataFrame:
 def zone_play_summary(rows: DataFrame, place_max: int | None = None) -> DataFrame:
     """Per phase and side (squad or lobby) how many of the living were inside at the announcement and at the close, and the median distance to the edge.
 
-    rows: phase, is_squad, is_bot, win_place, alive_at_close, in_at_announce, in_at_close, edge_cm. Both sides come from one pass.
+    rows: phase, is_squad, is_bot, win_place, alive_at_close, in_at_announce, in_at_close, edge_cm.
     """
     lobby = ~F.col("is_squad") & ~F.col("is_bot")
     side = F.col("is_squad") | (lobby if place_max is None else lobby & (F.col("win_place") <= place_max))
     count = lambda c, n: [F.count_if(F.col(c)).alias(f"{n}_in"), F.count(c).alias(f"{n}_n")]
-    return rows.where(F.col("alive_at_close") & side).groupBy("phase", "is_squad").agg(*count("in_at_announce", "announce"), *count("in_at_close", "close"), (F.percentile("edge_cm", F.lit(0.5)) / 100).alias("median_edge_m"))
+    keys = ["phase", "is_squad"]
+    judged = rows.where(F.col("alive_at_close") & side)
+    counts = judged.groupBy(*keys).agg(*count("in_at_announce", "announce"), *count("in_at_close", "close"))
+    middle = exact_quantiles(judged, keys, ["edge_cm"], [0.5])
+    return counts.join(middle, keys).withColumn("median_edge_m", F.get("q_edge_cm", 0) / 100).drop("q_edge_cm", "n_edge_cm")
 
 
 def match_zone_play(rows: DataFrame, wanted: Column) -> DataFrame:
