@@ -36,6 +36,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,22 +57,30 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def pieces(path: str) -> dict[str, Any]:
+    """A model's file as plain lists: scores (piece, score, id), the bytes of each id, and the ids of the 256 bytes."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    size = sp.get_piece_size()
+    scores, bytes_of, byte_ids = [], [b""] * size, [0] * 256
+    for i in range(size):
+        piece = sp.id_to_piece(i)
+        if sp.is_byte(i):
+            byte_ids[int(piece[3:5], 16)] = i
+            bytes_of[i] = bytes([int(piece[3:5], 16)])
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            scores.append((piece, sp.get_score(i), i))
+            bytes_of[i] = piece.replace(MARK, " ").encode()
+    return {"scores": scores, "bytes_of": bytes_of, "byte_ids": byte_ids}
+
+
 class Codec:
-    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES, zipf: bool | None = None):
-        """zipf: take scores as ranks; by default if all of them are whole numbers from 0 down."""
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = sp.get_piece_size()
-        self.scores, self.bytes_of, self.byte_ids = {}, [b""] * size, [0] * 256
-        for i in range(size):
-            piece = sp.id_to_piece(i)
-            if sp.is_byte(i):
-                self.byte_ids[int(piece[3:5], 16)] = i
-                self.bytes_of[i] = bytes([int(piece[3:5], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.scores[piece] = (sp.get_score(i), i)
-                self.bytes_of[i] = piece.replace(MARK, " ").encode()
+    def __init__(self, model: str | dict[str, Any], memo_bytes: int = MEMO_BYTES, zipf: bool | None = None):
+        """model: a file's path or its pieces; zipf: take scores as ranks; by default if all of them are whole numbers from 0 down."""
+        model = pieces(model) if isinstance(model, str) else model
+        self.scores = {p: (score, i) for p, score, i in model["scores"]}
+        self.bytes_of, self.byte_ids = model["bytes_of"], model["byte_ids"]
         if zipf or zipf is None and all(x <= 0 and x == int(x) for x, _ in self.scores.values()):
             self.scores = {p: (-math.log(2 - x), i) for p, (x, i) in self.scores.items()}
         # every beginning of a piece; those that are pieces have score and id
@@ -199,9 +208,17 @@ def _lists(made: list[bytes | None]) -> pa.ListArray:
 TEXTS = 500
 
 
+def _codec(shared) -> Codec:
+    """The worker's codec, made from the broadcast pieces by its first task and kept beside them for the next."""
+    held = shared.value
+    if "codec" not in held:
+        held["codec"] = Codec(held, held["memo_bytes"])
+    return held["codec"]
+
+
 def _encoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared.value
+        codec = _codec(shared)
         for b in batches:
             made = [None if t is None else codec.encode(t) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_row"), _lists(made)], ["_row", "ids"])
@@ -211,7 +228,7 @@ def _encoder(shared):
 
 def _decoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = shared.value
+        bytes_of = shared.value["bytes_of"]
         for b in batches:
             ids = b.column("ids")
             values, at, known = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_pylist()
@@ -224,7 +241,7 @@ def _decoder(shared):
 
 def _both(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared.value
+        codec = _codec(shared)
         for whole in batches:
             for i in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(i, TEXTS)
@@ -241,28 +258,28 @@ def _both(shared):
     return run
 
 
-def _shared(docs: DataFrame, what):
-    """A model's pieces, a few MB that don't grow with the data: a worker keeps them and its memo from task to task."""
-    return docs.sparkSession.sparkContext.broadcast(what)
+def _shared(docs: DataFrame, path: str | None, memo_bytes: int = 0):
+    """A model's pieces, a few MB that don't grow with the data. They are broadcast as plain lists: a broadcast object of a class would need this package on the executors."""
+    return docs.sparkSession.sparkContext.broadcast(pieces(path or model_file()) | {"memo_bytes": memo_bytes})
 
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """_row (a struct of all columns) and ids (array of int) of every row."""
     rows = packed(docs, text_col).withColumnRenamed(f"_{text_col}", "_text")
-    run = _encoder(_shared(docs, Codec(path or model_file(), memo_bytes)))
+    run = _encoder(_shared(docs, path, memo_bytes))
     return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (_row, ids) with the decoded text added."""
-    run = _decoder(_shared(encoded, Codec(path or model_file(), 0).bytes_of))
+    run = _decoder(_shared(encoded, path))
     return encoded.mapInArrow(run, f"_row {encoded.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, carried: list[str], path: str | None = None, text_col: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Encodes and decodes in one pass: _row (a struct of the carried columns, the text if there are none), ids, decoded_sha256 and whether the decoded text is the text."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried or [text_col]]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    run = _both(_shared(docs, Codec(path or model_file(), memo_bytes)))
+    run = _both(_shared(docs, path, memo_bytes))
     return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 

@@ -62,3 +62,36 @@ def test_stages_on_odd_tables(spark, tmp_path):
         ids = [r.doc_id for r in got]
         assert ids.count(None) == 2 and 50 in ids and next(r for r in got if r.doc_id == 50).text == long, name
         assert ids.count(3) == 2 and ids.count(4) == (1 if "near" in name else 2), name
+
+
+def test_workers_without_the_package(tmp_path):
+    """A session started elsewhere, with the package on the driver's path alone: tasks get all they need from the driver."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    home = str(Path(corpus_pipeline.__file__).parent)
+    script = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.createDataFrame([(i, "some words of text %d here" % i) for i in range(9)], "doc_id bigint, text string")
+def seen(batches):
+    import importlib.util
+    import pyarrow as pa
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([importlib.util.find_spec("matchlake") is not None] * b.num_rows)], ["there"])
+assert not any(r.there for r in docs.select("doc_id").mapInArrow(seen, "there boolean").collect())
+sys.path.insert(0, {home!r})
+from matchlake.llm import order_minhash, resample, sentencepiece_codec, simhash
+both = sentencepiece_codec.round_trip(docs, ["doc_id"]).collect()
+assert len(both) == 9 and all(r.round_trip for r in both)
+assert sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).where("decoded = _row.text").count() == 9
+assert simhash.simhash_classes(docs).count() == 9 and resample.resampled(docs, docs).count() == 9
+print("all done")
+"""
+    (tmp_path / "run.py").write_text(script)
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=600)
+    assert "all done" in out.stdout, out.stderr[-3000:]
