@@ -65,21 +65,27 @@ def gap_segments(rows: DataFrame, keys: Sequence[str], t: str, gap: float, tie:
     return rows.withColumn("_new", F.when(since > gap, 1).otherwise(0)).withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def ranged(rows: DataFrame, order: Sequence[str], n: int | None = None) -> DataFrame:
-    """rows with _range (0, 1, ...): ranges of about equal size in the order of the columns, so that no window need hold a key with most of the rows.
+def range_ends(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """One row with _ends, the greatest keys (structs; nulls are least) of at most n ranges of about equal size, in order.
 
-    The ranges' upper ends, a row for each, come from a sort of the order's columns alone; nulls come first. A row finds its range by halving.
+    They come from a sort of the keys alone and are held by the driver, so that every use of the ranges sees the same.
     """
-    spark = rows.sparkSession
-    key = F.struct(*[F.col(c) for c in order])
-    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(key.alias("key")).repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("task")).agg(F.max("key").alias("key"))
     ends = dealt.agg(F.sort_array(F.collect_list("key")).alias("_ends"))
-    # n structs at most, held by the driver so that every use of the ranges sees the same
-    held = spark.createDataFrame(ends.collect(), ends.schema)
-    halves = [1 << i for i in reversed(range(max(1, n).bit_length()))]
-    below = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda at, step: F.when(F.get("_ends", at + step - 1) < key, at + step).otherwise(at))
-    return rows.crossJoin(F.broadcast(held)).withColumn("_range", below).drop("_ends")
+    return rows.sparkSession.createDataFrame(ends.collect(), ends.schema)
+
+
+def range_of(ends: str, key: Column, n: int) -> Column:
+    """The number (0, 1, ...) of the range that a key lies in, by halving."""
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, n).bit_length()))])
+    return F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get(ends, at + step - 1) < key, at + step).otherwise(at))
+
+
+def ranged(rows: DataFrame, order: Sequence[str], n: int | None = None) -> DataFrame:
+    """rows with _range (0, 1, ...): ranges in the order of the columns, so that no window need hold a key with most of the rows; nulls come first."""
+    key = F.struct(*[F.col(c) for c in order])
+    n = n or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.crossJoin(F.broadcast(range_ends(rows, key, n))).withColumn("_range", range_of("_ends", key, n)).drop("_ends")  # one row
 
 
 def long_gap_segments(rows: DataFrame, t: str, gap: float, tie: Sequence[str] = ()) -> DataFrame:
