@@ -2,7 +2,8 @@
 
 Files are JSON, gzipped or plain; the name up to the first dot is the match. A file
 that can't be read as what it should be goes to bad_files, and never stops the rest.
-One file is one row until it is exploded, so a file must fit a task, whatever their number.
+Telemetry is streamed out of its files (telemetry_source); match files and listings are one row each until
+they are exploded.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.norm import parse_ts
+from matchlake.sources.telemetry_source import stream_telemetry
 
 #: The figures of a participant in a match file.
 STATS = (
@@ -62,10 +64,14 @@ def _list(value: str) -> Column:
     return F.try_variant_get(F.try_parse_json(value), "$", "array<variant>")
 
 
+def _event(kind: str | Column) -> list[Column]:
+    return [kind, parse_ts(of("ev", "$._D")).alias("ts"), of("ev", "$.common.isGame", kind="double").alias("is_game"), F.col("ev")]
+
+
 def telemetry(raw: DataFrame) -> DataFrame:
-    """match_id, idx (place in the file, the order that counts), kind (lower case), ts, is_game and ev, the event itself."""
+    """match_id, idx (place in the file, the order that counts), kind (lower case), ts, is_game and ev, the event itself, out of whole files."""
     rows = raw.select("match_id", F.posexplode(_list("value")).alias("idx", "ev"))
-    return rows.select("match_id", "idx", F.lower(of("ev", "$._T")).alias("kind"), parse_ts(of("ev", "$._D")).alias("ts"), of("ev", "$.common.isGame", kind="double").alias("is_game"), "ev")
+    return rows.select("match_id", "idx", *_event(F.lower(of("ev", "$._T")).alias("kind")))
 
 
 def bad_files(raw: DataFrame) -> DataFrame:
@@ -73,8 +79,16 @@ def bad_files(raw: DataFrame) -> DataFrame:
     return raw.where(_list("value").isNull()).select("match_id", F.when(F.try_parse_json("value").isNull(), "not JSON").otherwise("not a list").alias("reason"))
 
 
-def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    return telemetry(raw_files(spark, path))
+def events_of(rows: DataFrame) -> DataFrame:
+    """The columns of telemetry() out of rows of the streaming source."""
+    read = rows.where("error is null").select("match_id", F.col("idx").cast("int").alias("idx"), "kind", F.try_parse_json("ev").alias("ev"))
+    return read.select("match_id", "idx", *_event(F.col("kind")))
+
+
+def read_telemetry(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
+    """The events of the files below path, of the given kinds only if there are any, streamed from the files; a file that is no list has none."""
+    rows = stream_telemetry(spark, path)
+    return events_of(rows.where(F.col("kind").isin(*kinds)) if kinds else rows)
 
 
 def time_sorted(events: DataFrame) -> DataFrame:
