@@ -97,9 +97,22 @@ def _masks(radius: int) -> list[int]:
 
 
 def _links(radius: int, n_pivots: int, pairwise_max: int):
+    references = pivots(n_pivots)
+
+    def distances(fps: np.ndarray) -> np.ndarray:
+        """The table: a fingerprint's distances to the pivots."""
+        return np.bitwise_count(fps[:, None] ^ references[None, :]).astype(np.int8)
+
+    def couples(fps: np.ndarray, begin: np.ndarray) -> tuple[list[int], list[int]]:
+        """The links of all lists of two rows, which begin at the given places."""
+        a, b = fps[begin], fps[begin + 1]
+        kept = np.flatnonzero(np.abs(distances(a) - distances(b)).max(1, initial=0) <= radius)
+        kept = kept[np.bitwise_count(a[kept] ^ b[kept]) <= radius]
+        return a[kept].tolist(), b[kept].tolist()
+
     def spanning(fps: np.ndarray) -> Iterator[tuple[int, int]]:
         """A spanning set of the links among distinct fingerprints."""
-        table = np.bitwise_count(fps[:, None] ^ pivots(n_pivots)[None, :]).astype(np.int8)
+        table = distances(fps)
         order = np.argsort(table[:, 0], kind="stable")
         fps, table = fps[order], table[order]
         ends = np.searchsorted(table[:, 0], table[:, 0] + radius, "right")
@@ -137,8 +150,12 @@ def _links(radius: int, n_pivots: int, pairwise_max: int):
                 t, k, f = (np.concatenate(x) for x in zip(held, (t, k, f)))
             begin = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]))))
             crowded = crowded or (t[0], k[0])
-            a_out, b_out = [], []
-            for i, end in zip(begin.tolist(), np.append(begin[1:], len(f)).tolist()):
+            ends = np.append(begin[1:], len(f))
+            size, first = ends - begin, (t[begin] == crowded[0]) & (k[begin] == crowded[1])
+            two = (size == 2) & (ends < len(f)) & ~first & (pairwise_max >= 2)
+            a_out, b_out = couples(f, begin[two])
+            other = ~two & ((size > 1) | first)
+            for i, end in zip(begin[other].tolist(), ends[other].tolist()):
                 if (t[i], k[i]) == crowded or end - i > pairwise_max:
                     crowded = (t[i], k[i])
                     a_out += f[i:end].tolist()
@@ -185,7 +202,7 @@ def simhash_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     """id, fp (signed long) and component_id of every document."""
     with scratch(docs.sparkSession, "simhash") as kept:
         named = materialize(fingerprints(docs, size, text_col, [id_col]).select(F.col("_row")[id_col].alias("_id"), "fp"), "fingerprints")
-        distinct = named.groupBy("fp").agg(F.min("_id").alias("least"))
+        distinct = materialize(named.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")
         roots = components(links(distinct.select("fp"), radius, n_pivots, pairwise_max))
         member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
         smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
