@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.norm import bearing, distance, grid_cell, quantise_u16, tick
+from matchlake.operators.rounds import rounds
 
 
 def replay_positions(track: DataFrame, world: int, tick_ms: int) -> DataFrame:
@@ -53,9 +52,19 @@ def merged_bins(current: DataFrame, old: DataFrame, new: DataFrame, keys: list[s
     return signed.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def unknown_contributions(replaced: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Matches to replace whose earlier contribution isn't known: to be refused."""
-    return replaced.select("match_id").distinct().join(ledger, "match_id", "left_anti")
+def unknown_contributions(replaced: DataFrame, counted: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Matches to replace that were counted before but whose contribution isn't in the ledger: what to take back isn't known, so they are to be refused."""
+    again = replaced.select("match_id").distinct().join(counted.select("match_id"), "match_id", "left_semi")
+    return again.join(ledger.select("match_id"), "match_id", "left_anti")
+
+
+def contribution_deltas(ledger: DataFrame, new: DataFrame, replaced: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and n, by how much each cell changes when the replaced matches' contributions become the new ones; cells that don't change have no row.
+
+    ledger and new: match_id, keys, n.
+    """
+    old = ledger.join(replaced.select("match_id").distinct(), "match_id", "left_semi").select(*keys, (-F.col("n")).alias("n"))
+    return new.select(*keys, "n").unionByName(old).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 KINDS = ("kill", "death", "knock", "landing", "movement", "hit", "vehicle")
@@ -155,28 +164,23 @@ def squad_drops(landings: DataFrame, results: DataFrame, strategy: DataFrame) ->
 def cluster_points(points: DataFrame, snap: float, shared: str) -> DataFrame:
     """Points (point_id, x, y) with cluster: occupied squares of side snap that touch, also at a corner, form one; its name is the least square's key as text.
 
-    Work is done on squares, not points. Labels are passed to neighbours by an equal-key join until none changes; every round is written
-    to the shared folder, and a pointer jump to the label's own label makes the rounds few.
+    Work is done on squares, not points. Labels are passed to neighbours by an equal-key join until none changes; a pointer jump to the label's
+    own label makes the rounds few. Every round is written below shared, and all but the last labels are removed.
     """
-    spark = points.sparkSession
     placed = points.withColumn("cx", F.floor(F.col("x") / snap).cast("int")).withColumn("cy", F.floor(F.col("y") / snap).cast("int"))
     key = F.concat_ws(",", "cx", "cy")
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{shared}/cells-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    cells = kept(placed.select("cx", "cy").distinct().withColumn("cell", key).withColumn("label", key))
-    step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    while True:
-        sent = cells.withColumn("s", F.explode(step)).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "label").groupBy("cx", "cy").agg(F.min("label").alias("heard"))
-        heard = cells.join(sent, ["cx", "cy"]).select("cx", "cy", "cell", "label", F.least("label", "heard").alias("new"))
-        own = heard.select(F.col("cell").alias("new"), F.col("new").alias("next"))
-        now = kept(heard.join(own, "new").select("cx", "cy", "cell", F.col("label").alias("was"), F.least("new", "next").alias("label")))
-        cells = now.drop("was")
-        if now.where("was <> label").isEmpty():
-            return placed.join(cells.select("cx", "cy", F.col("label").alias("cluster")), ["cx", "cy"]).drop("cx", "cy")
+    with rounds(points.sparkSession, shared, "clusters") as (kept, stays):
+        cells = kept(placed.select("cx", "cy").distinct().withColumn("cell", key).withColumn("label", key))
+        step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        while True:
+            sent = cells.withColumn("s", F.explode(step)).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "label").groupBy("cx", "cy").agg(F.min("label").alias("heard"))
+            heard = cells.join(sent, ["cx", "cy"]).select("cx", "cy", "cell", "label", F.least("label", "heard").alias("new"))
+            own = heard.select(F.col("cell").alias("new"), F.col("new").alias("next"))
+            now = kept(heard.join(own, "new").select("cx", "cy", "cell", F.col("label").alias("was"), F.least("new", "next").alias("label")))
+            cells = now.drop("was")
+            if now.where("was <> label").isEmpty():
+                labels = stays(cells.select("cx", "cy", F.col("label").alias("cluster")))
+                return placed.join(labels, ["cx", "cy"]).drop("cx", "cy")
 
 
 #: Fixed value: members that land farther than this from their squad's centre make it a split drop (in centimetres).
@@ -200,15 +204,3 @@ def summarised_clusters(rows: DataFrame) -> DataFrame:
         F.count("first_weapon_s").alias("n_first_weapon_known"),
         F.count_if(F.col("spread") > SPLIT).alias("n_split"),
     )
-
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session may go without and gets a temporary folder."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        set_to = f"file://{tempfile.mkdtemp(prefix='matchlake-')}"
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to.rstrip("/")

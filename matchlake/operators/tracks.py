@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.norm import distance
+from matchlake.operators.rounds import rounds
 from matchlake.operators.temporal import epochs, interpolated, open_close, top_per
 
 ACCOUNT = ["match_id", "account_id"]
@@ -106,32 +106,20 @@ def greedy_claims(pairs: DataFrame, keys: list[str], claimer: str, claimed: str,
 
     By rounds: a claimer takes its cheapest free one if no earlier open claimer has a pair with that one, which therefore can't go to
     anyone else. The first open claimer always takes one, and claims that don't touch each other are settled at once, so there are as many rounds as the longest
-    chain of claims that wait for each other. Every round is written to a folder below shared, and all of them are removed at the end but the result.
+    chain of claims that wait for each other. Every round is written below shared, and all but the result are removed.
     """
-    spark = pairs.sparkSession
-    folder = f"{shared}/claims-{uuid.uuid4().hex}"
     names = [*keys, claimer, claimed]
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
     best = F.row_number().over(Window.partitionBy(*keys, claimer).orderBy(cost, claimed)) == 1
     first = F.min(claimer).over(Window.partitionBy(*keys, claimed)) == F.col(claimer)
     gone = lambda c: F.max("_takes").over(Window.partitionBy(*keys, c))
-    opened, taken, n = kept(pairs.select(*names, cost), "pairs"), None, 0
-    while not opened.isEmpty():
-        marked = opened.withColumn("_best", best).withColumn("_takes", first & F.col("_best")).drop("_best")
-        settled = kept(marked.withColumns({"_one": gone(claimer), "_other": gone(claimed)}).where("_takes or not (_one or _other)").drop("_one", "_other"), f"round-{n}")
-        new = settled.where("_takes").select(*names)
-        taken = new if taken is None else taken.unionByName(new)
-        opened, n = settled.where("not _takes").drop("_takes"), n + 1
-    out = pairs.select(*names).limit(0) if taken is None else taken
-    path = f"{shared}/claimed-{uuid.uuid4().hex}"
-    out.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    return spark.read.schema(out.schema).parquet(path)
+    with rounds(pairs.sparkSession, shared, "claims") as (kept, stays):
+        opened, taken = kept(pairs.select(*names, cost)), pairs.select(*names).limit(0)
+        while not opened.isEmpty():
+            marked = opened.withColumn("_best", best).withColumn("_takes", first & F.col("_best")).drop("_best")
+            settled = kept(marked.withColumns({"_one": gone(claimer), "_other": gone(claimed)}).where("_takes or not (_one or _other)").drop("_one", "_other"))
+            taken = taken.unionByName(settled.where("_takes").select(*names))
+            opened = settled.where("not _takes").drop("_takes")
+        return stays(taken)
 
 
 def care_packages(spawns: DataFrame, landings: DataFrame, shared: str, within: float = 50_000.0) -> DataFrame:

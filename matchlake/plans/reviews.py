@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from matchlake.operators import inventory, reviews
-from matchlake.operators.spatial import shared_folder
+from matchlake.operators.rounds import shared_folder
 from matchlake.plans import timeline
 from matchlake.plans.timeline import M, W, engagements, of
 from matchlake.plans.view import EV, RES, events, results
@@ -374,8 +374,8 @@ def s6_live_alerts(rows):
 
 @over(_stream, f"WITH {EV} SELECT team_id, kind, count(*) AS n FROM ev GROUP BY 1, 2")
 def s3_stream_bins(rows):
-    """Per match first, so that one that arrives again replaces its counts."""
+    """Per match first, so that of one that arrives again only what changes is added."""
     spark, out = rows.sparkSession, _scratch(rows.sparkSession)
-    view = rows.selectExpr("CAST(CAST(ts AS DATE) AS STRING) AS match_id", "CAST(user_id % 4 AS INT) AS team_id", "CASE event_type WHEN 'click' THEN 'hit' WHEN 'error' THEN 'knock' WHEN 'purchase' THEN 'kill' WHEN 'view' THEN 'position' ELSE 'landing' END AS kind")
-    jobs.stream_bins(view, lambda e: e.groupBy("match_id", "team_id", "kind").agg(F.count("*").alias("n")), out, f"{out}-state").awaitTermination()
+    view = rows.selectExpr("CAST(CAST(ts AS DATE) AS STRING) AS match_id", "CAST(ts AS DATE) AS match_day", "CAST(user_id % 4 AS INT) AS team_id", "CASE event_type WHEN 'click' THEN 'hit' WHEN 'error' THEN 'knock' WHEN 'purchase' THEN 'kill' WHEN 'view' THEN 'position' ELSE 'landing' END AS kind")
+    jobs.stream_bins(view, lambda e: e.groupBy("match_id", "team_id", "kind").agg(F.count("*").alias("n")), ["team_id", "kind"], out, f"{out}-state").awaitTermination()
     return jobs.total_bins(spark, out, ["team_id", "kind"])

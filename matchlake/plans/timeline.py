@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.functions import norm
-from matchlake.operators import combat, spatial, temporal, tracks, zone
+from matchlake.operators import combat, rounds, spatial, temporal, tracks, zone
 from matchlake.plans.view import DEATHS, EV, KINDS, LANDED, ROSTER, events
 
 GAP, LAG = 1800, 3600
@@ -217,7 +217,7 @@ turn AS (SELECT match_id, n, land_idx, c[1] AS spawn_idx, [c[1]] AS taken FROM w
     FROM turn t JOIN want w ON w.match_id = t.match_id AND w.n = t.n + 1))
 SELECT l.match_id, l.idx AS land_idx, l.t_s AS land_t, t.spawn_idx, s.t_s AS spawn_t FROM landings l LEFT JOIN turn t ON t.match_id = l.match_id AND t.land_idx = l.idx LEFT JOIN kills s ON s.match_id = l.match_id AND s.idx = t.spawn_idx""")
 def c20_care_packages(spark, sf, e):
-    return tracks.care_packages(of(e, "kill"), of(e, "landing"), spatial.shared_folder(spark))
+    return tracks.care_packages(of(e, "kill"), of(e, "landing"), rounds.shared_folder(spark))
 
 
 @query(f"""{W}, n AS (SELECT h.match_id, h.team_id, h.idx, h.t_s, c.idx AS crate_idx, sqrt((h.x - c.x) * (h.x - c.x) + (h.y - c.y) * (h.y - c.y)) AS d FROM hits h JOIN
@@ -565,6 +565,18 @@ def e7_merged_bins(spark, sf, e):
     return spatial.merged_bins(b, b.where("day <= '2024-01-10'"), b.where("day = '2024-01-10' and kind = 'kill'"), ["kind", "gx", "gy"])
 
 
+@query(f"""WITH {EV}, {_OBS}, b AS (SELECT day AS match_id, kind, gx, gy, count(*) AS n FROM obs GROUP BY ALL), old AS (SELECT * FROM b WHERE kind = 'kill'), new AS (SELECT * FROM b WHERE kind = 'landing'),
+s AS (SELECT gx, gy, -n AS n FROM old WHERE match_id >= '2024-01-05' UNION ALL SELECT gx, gy, n FROM new WHERE match_id >= '2024-01-05'), d AS (SELECT gx, gy, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1, 2 HAVING sum(n) <> 0)
+SELECT 'delta' AS what, gx, gy, n, NULL AS match_id FROM d UNION ALL SELECT DISTINCT 'refused', NULL, NULL, NULL, match_id FROM new WHERE match_id >= '2024-01-05' AND match_id NOT IN (SELECT match_id FROM old WHERE match_id < '2024-01-20')""")
+def e7_contributions(spark, sf, e):
+    """Kills were counted and landings come in their place from a day on; of the later days the ledger has lost what was counted."""
+    b = _bins(e).where("account = '' and mode = ''").groupBy(F.col("day").alias("match_id"), "kind", "gx", "gy").agg(F.sum("n").alias("n"))
+    old, new = b.where("kind = 'kill'"), b.where("kind = 'landing' and match_id >= '2024-01-05'")
+    deltas = spatial.contribution_deltas(old, new, new, ["gx", "gy"]).withColumn("what", F.lit("delta"))
+    refused = spatial.unknown_contributions(new, e.select("match_id").distinct(), old.where("match_id < '2024-01-20'")).withColumn("what", F.lit("refused"))
+    return deltas.unionByName(refused, allowMissingColumns=True)
+
+
 @query(f"""WITH {EV}, {_BINS}, s AS (SELECT kind, gx, gy, n FROM bins UNION ALL SELECT kind, gx, gy, -n FROM bins WHERE day IN ('2024-01-01', '2024-01-02')) SELECT kind,
 gx, gy, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3 HAVING sum(n) > 0""")
 def e8_delete_matches(spark, sf, e):
@@ -642,7 +654,7 @@ def e13_squad_drops(spark, sf, e):
 re AS (SELECT cx AS fx, cy AS fy, cx, cy FROM ce UNION SELECT re.fx, re.fy, ce.cx, ce.cy FROM re JOIN ce ON abs(ce.cx - re.cx) <= 1 AND abs(ce.cy - re.cy) <= 1),
 na AS (SELECT fx AS cx, fy AS cy, min(CAST(cx AS VARCHAR) || ',' || CAST(cy AS VARCHAR)) AS cluster FROM re GROUP BY 1, 2) SELECT point_id, x, y, cluster FROM pt JOIN na USING (cx, cy)""")
 def e14_cluster_points(spark, sf, e):
-    shared = spatial.shared_folder(spark)
+    shared = rounds.shared_folder(spark)
     return spatial.cluster_points(of(e, "landing").select(F.col("idx").alias("point_id"), "x", "y"), 40_000, shared)
 
 

@@ -9,6 +9,9 @@ they are exploded.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +46,8 @@ STATS = (
     "winPlace",
 )
 TEXTS, FRACTIONS = ("deathType", "name", "playerId"), ("damageDealt", "longestKill", "rideDistance", "swimDistance", "walkDistance", "timeSurvived")
+#: The column by which tables of matches are put into folders.
+DAY = "match_day"
 MATCH = {"shard": "shardId", "map_name": "mapName", "game_mode": "gameMode", "match_type": "matchType", "season_state": "seasonState", "title_id": "titleId", "is_custom_match": "isCustomMatch", "duration_s": "duration", "played_at": "createdAt"}
 
 
@@ -227,17 +232,46 @@ def write_table(df: DataFrame, path: str, *by: str, mode: str = "overwrite") ->
     (df.repartition(*by) if by else df).write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def replace_matches(rows: DataFrame, touched: DataFrame, path: str, version: int) -> None:
-    """Makes rows all that the table holds of the touched matches, which may be fewer rows than before, or none.
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-    Rows of a version are written beside those of others, and its list of matches last: readers follow the list, so they
-    see a version whole or not at all, and a run that is repeated writes the same folder again.
-    """
-    rows.write.mode("overwrite").parquet(f"{path}/rows/version={version}")
-    touched.select("match_id").distinct().write.mode("overwrite").parquet(f"{path}/log/version={version}")
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def of_parts(spark: SparkSession, path: str, parts: Sequence[Any], by: str) -> DataFrame:
+    """The rows of a table in the given partitions; the others' folders aren't read."""
+    return spark.read.parquet(path).where(F.col(by).isin(list(parts)))
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The table's rows: those of the last version of each match."""
-    newest = spark.read.parquet(f"{path}/log").groupBy("match_id").agg(F.max("version").alias("version"))
-    return spark.read.option("mergeSchema", "false").parquet(f"{path}/rows").join(newest, ["match_id", "version"], "left_semi").drop("version")
+def replace_parts(rows: DataFrame, path: str, by: str, parts: Sequence[Any]) -> None:
+    """Makes rows all that the table holds in the given partitions, which may leave some of them empty.
+
+    Rows are staged first, as they may come from the table itself, and then overwrite their partitions alone.
+    """
+    spark, staged = rows.sparkSession, f"{path}-staged/{uuid.uuid4().hex}"
+    rows.repartition(by).write.partitionBy(by).parquet(staged)
+    new = spark.read.schema(rows.schema).parquet(staged)
+    full = {r[by] for r in new.select(by).distinct().collect()}  # as many rows as parts
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    for part in parts:
+        if part not in full:
+            remove(spark, f"{path}/{by}={part}")
+    remove(spark, staged)
+
+
+def replace_matches(rows: DataFrame, touched: DataFrame, path: str, by: str = DAY) -> None:
+    """Makes rows all that the table holds of the touched matches (match_id and the day each belongs to), which may be fewer rows than before, or none.
+
+    The table has a folder for each day, and only those of the touched matches are read and written. A run that is repeated
+    gives the same table.
+    """
+    spark = rows.sparkSession
+    days = [r[by] for r in touched.select(by).distinct().collect()]  # the days of a batch
+    if exists(spark, path) and days:
+        others = of_parts(spark, path, days, by).join(touched.select("match_id", by), ["match_id", by], "left_anti")
+        rows = others.select(*rows.columns).unionByName(rows)
+    replace_parts(rows, path, by, days)

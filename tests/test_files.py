@@ -1,8 +1,10 @@
 """Files of hand-made events: reading, bad files, flattening, replacing, and the streaming import."""
 
+import datetime as dt
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from matchlake.operators import inventory
@@ -88,13 +90,21 @@ def test_matches(spark, tmp_path):
 
 
 def test_replaced_matches(spark, tmp_path):
-    rows = lambda *x: spark.createDataFrame(x, "match_id string, v int")
+    day = lambda n: dt.date(2026, 1, n)
+    rows = lambda *x: spark.createDataFrame(x, "match_id string, v int, match_day date")
     at = f"{tmp_path}/t"
-    files.replace_matches(rows(("a", 1), ("a", 2), ("b", 3)), rows(("a", 0), ("b", 0)), at, 1)
-    files.replace_matches(rows(("a", 9)).where("v < 0"), rows(("a", 0)), at, 2)
-    assert [tuple(r) for r in files.current(spark, at).select("match_id", "v").collect()] == [("b", 3)]
-    files.replace_matches(rows(("a", 5)), rows(("a", 0)), at, 2)  # a repeated run
-    assert {tuple(r) for r in files.current(spark, at).select("match_id", "v").collect()} == {("a", 5), ("b", 3)}
+    read = lambda: {(r.match_id, r.v, r.match_day) for r in spark.read.parquet(at).collect()}
+    files.replace_matches(rows(("a", 1, day(1)), ("a", 2, day(1)), ("b", 3, day(1)), ("c", 4, day(2))), rows(("a", 0, day(1)), ("b", 0, day(1)), ("c", 0, day(2))), at)
+    untouched = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "match_day=2026-01-02").iterdir()}
+    files.replace_matches(rows(("a", 9, day(1))).where("v < 0"), rows(("a", 0, day(1))), at)
+    assert read() == {("b", 3, day(1)), ("c", 4, day(2))}
+    for _ in range(2):  # a repeated run
+        files.replace_matches(rows(("a", 5, day(1))), rows(("a", 0, day(1))), at)
+        assert read() == {("a", 5, day(1)), ("b", 3, day(1)), ("c", 4, day(2))}
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "match_day=2026-01-02").iterdir()} == untouched
+    # the last match of a day goes
+    files.replace_matches(rows(("c", 0, day(2))).where("false"), rows(("c", 0, day(2))), at)
+    assert read() == {("a", 5, day(1)), ("b", 3, day(1))} and not list((tmp_path / "t-staged").iterdir())
 
 
 def test_streamed_import(spark, tmp_path):
@@ -104,20 +114,46 @@ def test_streamed_import(spark, tmp_path):
     land(tmp_path / "in", m4=EVENTS[:3])
     land(tmp_path / "in", m2_gz=EVENTS)  # comes under another name, but the match is known
     jobs.stream_matches(spark, inbox, out, state).awaitTermination()
-    n = files.current(spark, f"{out}/events").groupBy("match_id").agg(F.count("*").alias("n"))
-    assert {tuple(r) for r in n.collect()} == {("m1", 9), ("m2", 2), ("m4", 3)}
-    assert tuple(jobs.import_report(spark, out).first()) == (3, 1)
+    events = spark.read.parquet(f"{out}/events")
+    assert {tuple(r) for r in events.groupBy("match_id").agg(F.count("*").alias("n")).collect()} == {("m1", 9), ("m2", 2), ("m4", 3)}
+    assert {str(r.match_day) for r in events.select("match_day").distinct().collect()} == {"2026-01-01"}
+    expected = spark.createDataFrame([("m1",), ("m9",), ("m8",), ("m3",)], "match_id string")
+    report = jobs.import_report(spark, out, expected).first()
+    assert report.asDict() == {"seen": 5, "ingested": 3, "failed": 1, "known": 1, "missing": 2}
+    assert jobs.import_report(spark, out).first().missing == 0
 
 
 def test_derived_again(spark, tmp_path):
     src, out, state = str(tmp_path / "ev"), str(tmp_path / "out"), str(tmp_path / "state")
-    put = lambda *x: spark.createDataFrame(x, "match_id string, v int").write.mode("append").parquet(src)
-    run = lambda: jobs.stream_bins(spark.readStream.schema("match_id string, v int").parquet(src), lambda e: e.groupBy("match_id", "v").agg(F.count("*").alias("n")), out, state).awaitTermination()
-    put(("a", 1), ("a", 2), ("b", 1))
+    day = lambda n: dt.date(2026, 1, n)
+    schema = "match_id string, match_day date, v int"
+    put = lambda *x: spark.createDataFrame(x, schema).write.mode("append").parquet(src)
+    count = lambda e: e.groupBy("match_id", "v").agg(F.count("*").alias("n"))
+    run = lambda: jobs.stream_bins(spark.readStream.schema(schema).parquet(src), count, ["v"], out, state).awaitTermination()
+    put(("a", day(1), 1), ("a", day(1), 2), ("b", day(1), 1), ("c", day(2), 7))
     run()
-    put(("a", 1))
+    assert {tuple(r) for r in jobs.total_bins(spark, out, ["v"]).collect()} == {(1, 2), (2, 1), (7, 1)}
+    stamp = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "out" / "totals").rglob("part-*")}
+    before = stamp()
+    put(("a", day(1), 1))
     run()
-    assert {tuple(r) for r in jobs.total_bins(spark, out, ["v"]).collect()} == {(1, 3), (2, 1)}
+    assert {tuple(r) for r in jobs.total_bins(spark, out, ["v"]).collect()} == {(1, 3), (2, 1), (7, 1)}
+    after = stamp()
+    assert len(set(before) - set(after)) == 1, "one cell changed, so one folder is written"
+    whole = jobs.touched_events(spark, f"{out}/bronze", spark.createDataFrame([("a", day(1))], "match_id string, match_day date"))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert whole.count() == 3 and "PartitionFilters: [" in plan and "match_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # a batch that is repeated changes nothing
+    deltas = spark.createDataFrame([(1, 5)], "v int, n bigint")
+    for _ in range(2):
+        jobs.add_to_totals(deltas, f"{out}/totals", ["v"], 77)
+        assert {tuple(r) for r in jobs.total_bins(spark, out, ["v"]).collect()} == {(1, 8), (2, 1), (7, 1)}
+    # what was counted of c is lost: refused, and nothing changes
+    files.remove(spark, f"{out}/ledger/match_day=2026-01-02")
+    put(("c", day(2), 7))
+    with pytest.raises(Exception, match="isn't known: c"):
+        run()
+    assert {tuple(r) for r in jobs.total_bins(spark, out, ["v"]).collect()} == {(1, 8), (2, 1), (7, 1)}
 
 
 def test_slots(spark):

@@ -43,7 +43,7 @@ def test_greedy_claims(spark, tmp_path):
     df = spark.createDataFrame(pairs, "m string, i int, j int, d double")
     got = tracks.greedy_claims(df, ["m"], "i", "j", "d", f"file://{tmp_path}")
     assert {tuple(x) for x in got.collect()} == want and len(got.collect()) == len(want)
-    assert [x.name[:7] for x in tmp_path.iterdir()] == ["claimed"]
+    assert [x.name[:11] for x in tmp_path.iterdir()] == ["claims-kept"]
     assert tracks.greedy_claims(df.where("false"), ["m"], "i", "j", "d", f"file://{tmp_path}").count() == 0
 
 
