@@ -1,6 +1,7 @@
 """A corpus pipeline over the documents table: every stage works on all that the one before it kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage's rows
+are read from tables that it left in the shared folder, so whoever calls one alone removes them when the rows are written, as run does.
 
 Nulls and ties in the stages: documents without a text, or with an empty one, fail the quality rules; a null id is kept
 and comes last where ids are ordered; of rows that repeat an id each is judged by its own text; long texts are taken
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,47 +22,23 @@ from matchlake.llm._common import materialize, remove, shared_dir, written_below
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: By session: the folder of what the last stage left, which is needed until its rows are written.
-_LEFT: dict[str, str] = {}
 
-
-def _tidy(stage: Stage) -> Stage:
-    """Deletes what the stage before left in the shared folder, unless the rows handed over still come from there."""
-
-    @wraps(stage)
-    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app, folder = spark.sparkContext.applicationId, f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-        left = _LEFT.get(app)
-        if left and not any(left.rpartition("/")[2] in f for f in docs.inputFiles()):
-            remove(spark, left)
-        _LEFT[app] = folder
-        with written_below(folder):
-            return stage(spark, docs, sf_dir)
-
-    return tidied
-
-
-@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs)
 
 
-@_tidy
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
-@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_copies.near_dedup(docs)
 
 
-@_tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_tidy
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, their number and whether they decode to the text."""
     both = sentencepiece_codec.round_trip(docs, ["doc_id", "lang", "source"])
@@ -82,9 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn. What a stage left in the shared folder, and the rows it was given, go as soon as its own rows are written."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage{i + 1}")
+        with written_below(f"{folder}/work{i}"):
+            made = stage(spark, docs, sf_dir)
+        with written_below(f"{folder}/rows{i}"):
+            docs = materialize(made, "stage")
+        remove(spark, f"{folder}/work{i}")
+        if i:
+            remove(spark, f"{folder}/rows{i - 1}")
     return docs
