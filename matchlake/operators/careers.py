@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.norm import mean, rate
+from matchlake.functions.norm import IMAGE_SCALE, display_name, mean, rate, world_size
 from matchlake.operators.quantiles import exact_quantiles
 from matchlake.operators.spatial import near_in_space_and_time
 from matchlake.operators.temporal import gap_segments, long_gap_segments, ranged
@@ -109,13 +109,23 @@ def timeseries(results: DataFrame, since: Column | None = None) -> DataFrame:
     return g.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("kills", "damage", "survived_s", "win_place", "kd", "accuracy")})
 
 
-def sessions(rows: DataFrame, keys: Sequence[str], t: str, gap: float, tie: Sequence[str]) -> DataFrame:
-    """Runs of matches no more than gap apart, with best place, wins and kills; session 0 is the newest."""
+def sessions(rows: DataFrame, keys: Sequence[str], t: str, gap: float, tie: Sequence[str], duration: str | None = None) -> DataFrame:
+    """Runs of matches no more than gap apart, with best place, wins and kills; session 0 is the newest.
+
+    With duration, the length of a match in t's unit, also span: from the first match's beginning to the last one's end.
+    """
     place = F.min("win_place").alias("best_place"), F.count_if(F.col("win_place") == 1).alias("wins"), F.coalesce(F.sum("kills"), F.lit(0)).alias("kills")
-    s = gap_segments(rows, keys, t, gap, tie).groupBy(*keys, "segment").agg(F.count("*").alias("n"), F.min(t).alias("began"), F.max(t).alias("ended"), *place)
+    length = F.coalesce(F.max_by(duration, F.struct(t, *tie)), F.lit(0)) if duration else None
+    span = [(F.max(t) - F.min(t) + length).alias("span")] if duration else []
+    s = gap_segments(rows, keys, t, gap, tie).groupBy(*keys, "segment").agg(F.count("*").alias("n"), F.min(t).alias("began"), F.max(t).alias("ended"), *place, *span)
     return s.withColumn("session", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("segment").desc())) - 1).drop("segment")
 
 
+def current_session(rows: DataFrame, keys: Sequence[str], t: str, gap: float, tie: Sequence[str], duration: str) -> DataFrame:
+    """Each key's newest session."""
+    return sessions(rows, keys, t, gap, tie, duration).where("session = 0").drop("session")
+
+
 def squad_sessions(results: DataFrame, gap: float = 3 * 3600.0) -> DataFrame:
     """A row per evening of all tracked players together, newest first by evening (0, 1, ...): matches no more than gap seconds apart.
 
@@ -354,3 +364,36 @@ def new_ids(seen: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return seen.select(key).distinct().join(known.select(key), key, "left_anti")
 
 
+def match_summary(participants: DataFrame) -> DataFrame:
+    """Per match its players, teams and bots."""
+    return participants.groupBy("match_id").agg(F.count("*").alias("start_players"), F.count_distinct("team_id").alias("start_teams"), F.count_if("is_bot").alias("bot_count"))
+
+
+def modes_played(matches: DataFrame) -> DataFrame:
+    """The modes that matches were played in, the most frequent first."""
+    return matches.where("game_mode <> ''").groupBy("game_mode").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "game_mode")
+
+
+def maps_played(matches: DataFrame) -> DataFrame:
+    """The maps that matches were played on, with their name for readers, size and the share of the image that they fill."""
+    name = F.col("map_name")
+    return matches.select("map_name").distinct().select("map_name", display_name(name).alias("display"), world_size(name).alias("world_size"), F.lit(IMAGE_SCALE).alias("image_scale")).orderBy("map_name")
+
+
+def archive_stats(participants: DataFrame) -> DataFrame:
+    """Per type of match: rows, matches, first and last day, share of bots. participants: match_id, match_type, played_on, is_bot."""
+    return participants.groupBy("match_type").agg(
+        F.count("*").alias("rows_in"), F.count_distinct("match_id").alias("matches"), F.min("played_on").alias("first"), F.max("played_on").alias("last"), rate(F.count_if("is_bot"), F.count("*")).alias("bot_share")
+    )
+
+
+def backlog(matches: DataFrame, now: Column, wait_s: int = 3600) -> DataFrame:
+    """One row: matches that wait for over wait_s seconds to be parsed, those that failed, and since when the oldest waits. matches: fetched_at, parsed_at, parse_error."""
+    waits = F.col("parsed_at").isNull() & F.col("parse_error").isNull()
+    late = F.col("fetched_at") < now - F.make_dt_interval(secs=F.lit(wait_s))
+    return matches.agg(F.count_if(waits & late).alias("unparsed"), F.count_if(F.col("parse_error").isNotNull()).alias("errors"), F.min(F.when(waits, F.col("fetched_at"))).alias("oldest"))
+
+
+def stale_versions(matches: DataFrame, head: int) -> DataFrame:
+    """Matches to derive again: parsed by an older version, and their telemetry is still there. matches: parsed_at, parser_version, telemetry_key."""
+    return matches.where(F.col("parsed_at").isNotNull() & F.col("telemetry_key").isNotNull() & (F.col("parser_version") < head))

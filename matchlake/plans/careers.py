@@ -142,16 +142,15 @@ s AS (SELECT account_id, seg, count(*) AS n, min(t) AS began, max(t) AS ended, m
 ses AS (SELECT account_id, n, began, ended, best_place, wins, kills, row_number() OVER (PARTITION BY account_id ORDER BY seg DESC) - 1 AS session FROM s)"""
 
 
-def _sessions(o):
+def _played(o):
     t = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
     key = F.col("o_orderkey")
-    rows = o.select(F.col("o_custkey").alias("account_id"), t.alias("t"), key.alias("idx"), (key % 9 + 1).alias("win_place"), (key % 5).alias("kills"))
-    return careers.sessions(rows, ["account_id"], "t", 120, ["idx"])
+    return o.select(F.col("o_custkey").alias("account_id"), t.alias("t"), key.alias("idx"), (key % 9 + 1).alias("win_place"), (key % 5).alias("kills"), F.when(key % 6 > 0, key % 7).alias("lasted"))
 
 
 @over(order_rows, f"WITH {_SES} SELECT * FROM ses")
 def g9_sessions(o):
-    return _sessions(o)
+    return careers.sessions(_played(o), ["account_id"], "t", 120, ["idx"])
 
 
 def _evenings(spark, sf):
@@ -173,9 +172,10 @@ def g10_squad_sessions(r):
     return out.withColumns({"started": F.unix_micros("started"), "ended": F.unix_micros("ended"), "damage": F.round("damage", 2)})
 
 
-@over(order_rows, f"WITH {_SES} SELECT account_id, n, began, ended, best_place, wins, kills FROM ses WHERE session = 0")
+@over(order_rows, f"""WITH {_SES}, e AS (SELECT account_id, arg_max(coalesce(CASE WHEN idx % 6 > 0 THEN idx % 7 END, 0), t * 100000000 + idx) AS lasted FROM o GROUP BY 1)
+SELECT account_id, n, began, ended, best_place, wins, kills, ended - began + lasted AS span FROM ses JOIN e USING (account_id) WHERE session = 0""")
 def g11_current_session(o):
-    return _sessions(o).where("session = 0").drop("session")
+    return careers.current_session(_played(o), ["account_id"], "t", 120, ["idx"], "lasted")
 
 
 @over(results, f"""{R} SELECT account_id, pos, kills FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY played_on DESC, match_id DESC, win_place, kills,
@@ -433,15 +433,24 @@ def g40_compare_players(r):
     return careers.compared(c, "map_name", ["kills", "place"], ["place"])
 
 
-@over(results, f"{R} SELECT game_mode, count(*) AS n FROM res GROUP BY 1")
+@over(results, f"{R} SELECT game_mode, count(*) AS n FROM res WHERE game_mode <> '' GROUP BY 1")
 def g42_modes_played(r):
-    return r.groupBy("game_mode").agg(F.count("*").alias("n")).orderBy(F.col("n").desc())
+    return careers.modes_played(r)
+
+
+_MAPS = (("map0", "Baltic_Main", "Erangel", 816000), ("map1", "Savage_Main", "Sanhok", 408000), ("map2", "summerland_main", "Karakin", 204000), ("map3", "Heaven_Main", "Haven", 102000), ("map4", "New_Main", "New_Main", 816000))
+
+
+@over(results, f"{R}, m(map_name, code, display, size) AS (VALUES {', '.join(str(x) for x in _MAPS)}) SELECT DISTINCT code AS map_name, display, size AS world_size, CAST(0.99609375 AS DOUBLE) AS image_scale FROM res JOIN m USING (map_name)")
+def g42_maps_played(r):
+    code = F.create_map(*[F.lit(x) for n, c, *_ in _MAPS for x in (n, c)])
+    return careers.maps_played(r.withColumn("map_name", code[F.col("map_name")])).withColumn("image_scale", F.col("image_scale").cast("double"))
 
 
 @over(results, f"""{R} SELECT match_type, count(*) AS rows_in, count(DISTINCT match_id) AS matches, CAST(min(played_on) AS STRING) AS first, CAST(max(played_on)
 AS STRING) AS last, count(*) FILTER (is_bot) / count(*) AS bot_share FROM res GROUP BY 1""")
 def g43_archive_stats(r):
-    return r.groupBy("match_type").agg(F.count("*").alias("rows_in"), F.count_distinct("match_id").alias("matches"), F.min("played_on").cast("string").alias("first"), F.max("played_on").cast("string").alias("last"), norm.rate(F.count_if("is_bot"), F.count("*")).alias("bot_share"))
+    return careers.archive_stats(r).withColumns({c: F.col(c).cast("string") for c in ("first", "last")})
 
 
 @over(order_rows, """SELECT max(epoch(TIMESTAMP '2000-01-01') - epoch(t))::BIGINT AS stalest_s, min(epoch(TIMESTAMP '2000-01-01') - epoch(t))::BIGINT AS freshest_s,
@@ -453,13 +462,16 @@ def h1_freshness(o):
 @over(order_rows, """SELECT count(*) FILTER (o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1997-01-01') AS unparsed, count(*) FILTER (o_orderstatus = 'P') AS errors,
 CAST(min(o_orderdate) FILTER (o_orderstatus = 'O') AS STRING) AS oldest FROM orders""")
 def h2_backlog(o):
-    opened = F.col("o_orderstatus") == "O"
-    return o.agg(F.count_if(opened & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))).alias("unparsed"), F.count_if(F.col("o_orderstatus") == "P").alias("errors"), F.min(F.when(opened, F.col("o_orderdate"))).cast("string").alias("oldest"))
+    status, at = F.col("o_orderstatus"), F.col("o_orderdate").cast("timestamp")
+    matches = o.select(at.alias("fetched_at"), F.when(status == "F", at).alias("parsed_at"), F.when(status == "P", "broken").alias("parse_error"))
+    return careers.backlog(matches, F.lit("1997-01-01 01:00:00").cast("timestamp")).withColumn("oldest", F.col("oldest").cast("timestamp_ntz").cast("string"))
 
 
-@over(order_rows, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 1 AND o_orderdate < TIMESTAMP '1996-06-01'")
+@over(order_rows, "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 3 < 2 AND o_orderkey % 5 > 0")
 def h5_stale_versions(o):
-    return o.where("o_orderstatus = 'F' and o_custkey % 3 = 1 and o_orderdate < timestamp_ntz '1996-06-01'").select("o_orderkey")
+    key = F.col("o_orderkey")
+    matches = o.select(key, F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("parsed_at"), (F.col("o_custkey") % 3).alias("parser_version"), F.when(key % 5 > 0, key).alias("telemetry_key"))
+    return careers.stale_versions(matches, 2).select("o_orderkey")
 
 
 @over(events, f"""WITH {EV}, c AS (SELECT kind, epoch(CAST(match_id AS DATE))::BIGINT + t_s AS t_s, idx, idx % 3 = 0 AS ok FROM ev), r AS (SELECT *, sum(CASE WHEN ok THEN
@@ -491,6 +503,4 @@ def a10_upsert_entities(c):
 
 @over(results, f"{R} SELECT match_id, count(*) AS start_players, count(DISTINCT team_id) AS start_teams, count(*) FILTER (is_bot) AS bot_count FROM res GROUP BY 1")
 def a13_match_summary(r):
-    return r.groupBy("match_id").agg(F.count("*").alias("start_players"), F.count_distinct("team_id").alias("start_teams"), F.count_if("is_bot").alias("bot_count"))
-
-
+    return careers.match_summary(r)

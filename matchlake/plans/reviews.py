@@ -269,12 +269,31 @@ def g32_match_zone_play(r):
     return rows.groupBy(*M, "phase").agg(F.count("*").alias("n"), F.max("max_phase").alias("max_phase"))
 
 
-@over(results, f"""{R} SELECT account_id, round(avg(CASE WHEN survived_s > 0 THEN damage_dealt::DOUBLE / survived_s * 100 END), 4) AS blue, round(avg(kills / 100), 4)
-AS mate_distance, round(avg(assists * 100), 4) AS mate_near, count(*) AS n FROM res GROUP BY 1""")
+#: What the measures are taken from, by the same rule in Spark and SQL.
+_MEASURED = {
+    "blue_s": "CAST(kills * 3 AS DOUBLE)",
+    "blue_damage": "CAST(damage_dealt AS DOUBLE)",
+    "rotate_lag_s": "CASE WHEN assists > 0 THEN CAST(kills + 1 AS DOUBLE) END",
+    "teammate_dist_avg_cm": "CASE WHEN assists > 1 THEN CAST(kills * 50 AS DOUBLE) END",
+    "teammate_near_pct": "CASE WHEN assists > 1 THEN CAST(kills / 64.0 AS DOUBLE) END",
+    "hot_drop_n": "kills % 4",
+    "first_engage_s": "CASE WHEN kills % 3 > 0 THEN CAST(kills * 9 AS DOUBLE) END",
+    "dmg_dealt_early": "CAST(kills % 6 AS DOUBLE)",
+    "first_weapon_s": "CASE WHEN kills % 5 > 0 THEN CAST(kills % 50 AS DOUBLE) END",
+    "early_pickups_n": "kills % 11",
+    "ride_distance": "CAST(assists * 100 AS DOUBLE)",
+}
+_WANTED = {
+    "blue": "CASE WHEN survived_s > 0 THEN blue_s / survived_s * 100 END", "blue_damage": "blue_damage", "rotate": "rotate_lag_s", "mate_distance": "teammate_dist_avg_cm / 100", "mate_near": "teammate_near_pct * 100",
+    "hot_drop": "hot_drop_n", "first_fight": "first_engage_s", "early_damage": "dmg_dealt_early", "first_weapon": "first_weapon_s", "pickups": "early_pickups_n", "ride": "ride_distance",
+}
+
+
+@over(results, f"""{R}, ms AS (SELECT account_id, survived_s, {', '.join(f'{x} AS {c}' for c, x in _MEASURED.items())} FROM res)
+SELECT account_id, {', '.join(f'round(avg({x}), 4) AS {c}, count({x}) AS n_{c}' for c, x in _WANTED.items())} FROM ms GROUP BY 1""")
 def g34_behaviour(r):
-    d = F.col("damage_dealt").cast("double")
-    rows = r.withColumns({"blue_s": d, "blue_damage": d, "rotate_lag_s": d, "teammate_dist_avg_cm": F.col("kills"), "teammate_near_pct": F.col("assists"), "hot_drop_n": F.col("kills"), "first_engage_s": d, "dmg_dealt_early": d, "first_weapon_s": d, "early_pickups_n": F.col("kills"), "ride_distance": d})
-    return reviews.behaviour(rows).groupBy("account_id").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("blue", "mate_distance", "mate_near")], F.count("*").alias("n"))
+    found = reviews.behaviour(r.select("match_id", "account_id", "survived_s", *[F.expr(x).alias(c) for c, x in _MEASURED.items()]))
+    return found.groupBy("account_id").agg(*[f for c in reviews.BEHAVIOUR for f in (F.round(F.avg(c), 4).alias(c), F.count(c).alias(f"n_{c}"))])
 
 
 @over(events, f"""{W}, d AS (SELECT account_id, max(t_s) AS landed FROM landings GROUP BY 1), a AS (SELECT DISTINCT account_id FROM ev) SELECT account_id, landed FROM
@@ -305,7 +324,7 @@ def h4_prune_candidates(m):
 @over(events, f"""WITH {EV}, v AS (SELECT kind, json_extract_string(props, '$.k') AS v FROM ev WHERE json_extract_string(props, '$.k') IS NOT NULL) SELECT kind,
 'k' AS path, count(*) AS n, count(DISTINCT v) AS n_values FROM v GROUP BY kind""")
 def h7_profile_schema(e):
-    return profile_schema(e.select("kind", F.try_parse_json("props").alias("ev"))).select("kind", "path", "n", "n_values")
+    return profile_schema(e.select("kind", F.try_parse_json("props").alias("ev")), shared_folder(e.sparkSession)).select("kind", "path", "n", "n_values")
 
 
 # --- streams, run over all that the table holds

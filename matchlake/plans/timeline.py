@@ -502,11 +502,11 @@ def d20_zone_play(spark, sf, e):
     return zone.zone_play(roster(e), phases, track, zones, LAG).withColumns({c: F.round(c, 3) for c in ("to_centre", "to_edge")})
 
 
-@query(f"""WITH blue AS ({SQL["d21_blue_dwell"]}), lagged AS ({SQL["d22_rotate_lag"]}), hot AS ({SQL["d24_hot_drop"]}), early AS ({SQL["d25_early_combat"]}), items AS ({SQL["d26_early_items"]}), {EV}, {ROSTER}
-SELECT match_id, account_id, blue_s, rotate_lag_s, n_circles, hot_drop_n, first_engage_s, dmg_dealt_early, dmg_taken_early, first_weapon_s, early_pickups_n
-FROM roster LEFT JOIN blue USING (match_id, account_id) LEFT JOIN lagged USING (match_id, account_id) LEFT JOIN hot USING (match_id, account_id) LEFT JOIN early USING (match_id, account_id) LEFT JOIN items USING (match_id, account_id)""")
+@query(f"""WITH blue AS ({SQL["d21_blue_dwell"]}), lagged AS ({SQL["d22_rotate_lag"]}), hot AS ({SQL["d24_hot_drop"]}), early AS ({SQL["d25_early_combat"]}), items AS ({SQL["d26_early_items"]}), mates AS ({SQL["d23_teammate_spread"]}), {EV}, {ROSTER}
+SELECT match_id, account_id, n_samples, teammate_dist_avg, teammate_near_pct, blue_s, rotate_lag_s, n_circles, hot_drop_n, first_engage_s, dmg_dealt_early, dmg_taken_early, first_weapon_s, early_pickups_n
+FROM roster LEFT JOIN blue USING (match_id, account_id) LEFT JOIN lagged USING (match_id, account_id) LEFT JOIN hot USING (match_id, account_id) LEFT JOIN early USING (match_id, account_id) LEFT JOIN items USING (match_id, account_id) LEFT JOIN mates USING (match_id, account_id)""")
 def d27_strategy_metrics(spark, sf, e):
-    names = ("d21_blue_dwell", "d22_rotate_lag", "d24_hot_drop", "d25_early_combat", "d26_early_items")
+    names = ("d21_blue_dwell", "d22_rotate_lag", "d24_hot_drop", "d25_early_combat", "d26_early_items", "d23_teammate_spread")
     return zone.strategy_metrics(roster(e), *[Q[n](spark, sf) for n in names])
 
 
@@ -523,10 +523,31 @@ def e1_replay_positions(spark, sf, e):
     return spatial.replay_positions(of(e, "position").withColumn("health", health).withColumn("flags", norm.flag_mask(**flags)), 816_000, 2000)
 
 
-@query(f"""{W} SELECT match_id, idx, 'kill' AS event, victim_id, NULL AS team_id, CAST(floor(t_s / 2.0) AS INTEGER) AS tick FROM kills UNION ALL SELECT match_id, idx,
-'landing', NULL, team_id, CAST(floor(t_s / 2.0) AS INTEGER) FROM landings""")
+_TICK = "CAST(least(floor(t_s / 2.0), 65535) AS INTEGER) AS tick"
+
+
+@query(f"""{W}, u AS (SELECT match_id, idx, t_s, 'kill' AS event, account_id, victim_id, distance AS range_cm, NULL AS x, NULL AS y, NULL AS vehicle_id, NULL AS phase, NULL AS members FROM kills
+UNION ALL SELECT match_id, idx, t_s, 'knock', account_id, victim_id, NULL, NULL, NULL, NULL, NULL, NULL FROM knocks
+UNION ALL SELECT match_id, idx, t_s, 'revive', account_id, victim_id, NULL, NULL, NULL, NULL, NULL, NULL FROM hits WHERE idx % 5 = 0
+UNION ALL SELECT match_id, idx, t_s, 'crate', NULL, NULL, NULL, x, y, NULL, NULL, NULL FROM landings
+UNION ALL SELECT match_id, idx, t_s, 'ride', account_id, NULL, NULL, NULL, NULL, idx % 3, NULL, NULL FROM positions WHERE idx % 2 = 0
+UNION ALL SELECT match_id, idx, t_s, 'leave', account_id, NULL, NULL, NULL, NULL, idx % 3, NULL, NULL FROM positions WHERE idx % 2 > 0
+UNION ALL SELECT match_id, idx, t_s, 'phase', NULL, NULL, NULL, NULL, NULL, NULL, idx % 9, CAST(account_id AS VARCHAR) || ',' || CAST(victim_id AS VARCHAR) FROM hits WHERE idx % 5 = 1)
+SELECT * EXCLUDE (t_s), {_TICK} FROM u""")
 def e2_replay_events(spark, sf, e):
-    return spatial.replay_events(2000, kill=of(e, "kill").select("match_id", "idx", "t_s", "victim_id"), landing=of(e, "landing").select("match_id", "idx", "t_s", "team_id")).drop("t_s")
+    i, at = F.col("idx"), ("match_id", "idx", "t_s")
+    members = F.concat_ws(",", F.col("account_id").cast("string"), F.col("victim_id").cast("string")).alias("members")
+    hits, positions = of(e, "hit"), of(e, "position").select(*at, "account_id", (i % 3).alias("vehicle_id"))
+    kinds = {
+        "kill": of(e, "kill").select(*at, "account_id", "victim_id", F.col("distance").alias("range_cm")),
+        "knock": of(e, "knock").select(*at, "account_id", "victim_id"),
+        "revive": hits.where(i % 5 == 0).select(*at, "account_id", "victim_id"),
+        "crate": of(e, "landing").select(*at, "x", "y"),
+        "ride": positions.where(i % 2 == 0),
+        "leave": positions.where(i % 2 > 0),
+        "phase": hits.where(i % 5 == 1).select(*at, (i % 9).alias("phase"), members),
+    }
+    return spatial.replay_events(2000, **kinds).drop("t_s")
 
 
 @query(f"""WITH {EV}, f AS (SELECT match_id, idx, kind, min(idx) OVER (PARTITION BY match_id, kind) AS m FROM ev) SELECT match_id, idx, kind, dense_rank()

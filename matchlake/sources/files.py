@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.norm import parse_ts
+from matchlake.operators.rounds import rounds
 from matchlake.sources.telemetry_source import stream_telemetry
 
 #: The figures of a participant in a match file.
@@ -203,22 +204,26 @@ def read_player_listing(spark: SparkSession, path: str) -> DataFrame:
     return named.select("account_id", "name", of("m", "$.id").alias("match_id"))
 
 
-def profile_schema(events: DataFrame, depth: int = 6, items: int = 8, most_values: int = 40) -> DataFrame:
-    """Per kind and path of a field (at most depth steps, the first items of lists): n, types and, if they are no more than most_values, values.
+def profile_schema(events: DataFrame, shared: str, depth: int = 6, items: int = 8, most_values: int = 40) -> DataFrame:
+    """Per kind and path of a field (at most depth steps, the first items of lists): n, types, the number of its values and, if they are no more than most_values, values.
 
-    Fields are unnested level by level; values are counted before any are listed, so a field of free text is never collected.
+    The events are read once: each level of fields is written below shared and unnested into the next. Values are counted before any
+    are listed, so a field of free text is never collected.
     """
-    level, seen = events.select("kind", F.lit("").alias("path"), F.col("ev").alias("v")), None
-    for _ in range(depth):
-        fields = level.select("kind", "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "v")).select("kind", F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "v")
-        lists = level.select("kind", F.concat("path", F.lit("[]")).alias("path"), F.explode(F.slice(F.try_variant_get("v", "$", "array<variant>"), 1, items)).alias("v"))
-        level = fields.unionByName(lists)
-        seen = level if seen is None else seen.unionByName(level)
-    flat = seen.select("kind", "path", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0).alias("type"), F.try_variant_get("v", "$", "string").alias("value"))
-    plain = flat.groupBy("kind", "path", "type", F.when(~F.col("type").isin("OBJECT", "ARRAY"), F.col("value")).alias("value")).agg(F.count("*").alias("m"))
-    total = plain.groupBy("kind", "path").agg(F.sum("m").alias("n"), F.sort_array(F.collect_set("type")).alias("types"), F.count("value").alias("n_values"))
-    few = plain.where("value is not null").join(total.where(F.col("n_values") <= most_values).select("kind", "path"), ["kind", "path"]).groupBy("kind", "path").agg(F.sort_array(F.collect_set("value")).alias("values"))
-    return total.join(few, ["kind", "path"], "left")
+    with rounds(events.sparkSession, shared, "profile") as (kept, stays):
+        level, seen = events.select("kind", F.lit("").alias("path"), F.col("ev").alias("v")), None
+        for _ in range(depth):
+            fields = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda x: F.struct(F.concat_ws(".", F.nullif("path", F.lit("")), x["key"]).alias("path"), x["value"].alias("v")))
+            lists = F.transform(F.slice(F.try_variant_get("v", "$", "array<variant>"), 1, items), lambda x: F.struct(F.concat("path", F.lit("[]")).alias("path"), x.alias("v")))
+            level = kept(level.select("kind", F.explode(F.coalesce(fields, lists)).alias("x")).select("kind", "x.path", "x.v"))
+            seen = level if seen is None else seen.unionByName(level)
+            if level.isEmpty():
+                break
+        flat = seen.select("kind", "path", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0).alias("type"), F.try_variant_get("v", "$", "string").alias("value"))
+        plain = kept(flat.groupBy("kind", "path", "type", F.when(~F.col("type").isin("OBJECT", "ARRAY"), F.col("value")).alias("value")).agg(F.count("*").alias("m")))
+        total = plain.groupBy("kind", "path").agg(F.sum("m").alias("n"), F.sort_array(F.collect_set("type")).alias("types"), F.count("value").alias("n_values"))
+        few = plain.where("value is not null").join(total.where(F.col("n_values") <= most_values).select("kind", "path"), ["kind", "path"]).groupBy("kind", "path").agg(F.sort_array(F.collect_set("value")).alias("values"))
+        return stays(total.join(few, ["kind", "path"], "left"))
 
 
 def unimported(spark: SparkSession, path: str, matches: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def test_telemetry(spark, tmp_path):
     assert items[5].item == "gun" and items[5].attached == ["s", "z"] and items[5].child == "m" and items[6].account_id == "b"
     assert [(r.account_id, r.victim_id, r.damage, r.category) for r in files.replay_hits(one).collect()] == [("a", "b", 12.5, "damage_gun")]
     assert [(r.blue_r, r.alive_teams, r.white_r) for r in files.replay_zones(one).collect()] == [(5.0, 3, None)]
-    prof = {(r.kind, r.path): r for r in files.profile_schema(one).collect()}
+    prof = {(r.kind, r.path): r for r in files.profile_schema(one, f"file://{tmp_path}/shared").collect()}
     assert prof["logphasechange", "playersInWhiteCircle[]"].n == 2 and prof["logphasechange", "playersInWhiteCircle[]"]["values"] == ["a", "b"]
     assert prof["logplayertakedamage", "victim.character.location.x"].n == 1
 
