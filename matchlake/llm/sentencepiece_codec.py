@@ -75,6 +75,19 @@ def pieces(path: str) -> dict[str, Any]:
     return {"scores": scores, "bytes_of": bytes_of, "byte_ids": byte_ids}
 
 
+def _tree(scores: dict[str, tuple[float, int]]) -> dict[str, tuple]:
+    """Pieces by their characters: of each the score and id of the piece that ends there (None without one) and what can follow (None at the end)."""
+    top: dict[str, list] = {}
+    for piece, (score, i) in scores.items():
+        kids = top
+        for c in piece:
+            node = kids.setdefault(c, [None, None, {}])
+            kids = node[2]
+        node[:2] = score, i
+    done = lambda kids: {c: (score, i, done(more) if more else None) for c, (score, i, more) in kids.items()}
+    return done(top)
+
+
 class Codec:
     def __init__(self, model: str | dict[str, Any], memo_bytes: int = MEMO_BYTES, zipf: bool | None = None):
         """model: a file's path or its pieces; zipf: take scores as ranks; by default if all of them are whole numbers from 0 down."""
@@ -83,8 +96,7 @@ class Codec:
         self.bytes_of, self.byte_ids = model["bytes_of"], model["byte_ids"]
         if zipf or zipf is None and all(x <= 0 and x == int(x) for x, _ in self.scores.values()):
             self.scores = {p: (-math.log(2 - x), i) for p, (x, i) in self.scores.items()}
-        # every beginning of a piece; those that are pieces have score and id
-        self.begun = {p[:n]: None for p in self.scores for n in range(1, len(p) + 1)} | self.scores
+        self.tree = _tree(self.scores)
         self.longest = max(map(len, self.scores))
         self.worst = min(s for s, _ in self.scores.values()) - UNKNOWN
         inner = any(MARK in p.lstrip(MARK) for p in self.scores)
@@ -100,7 +112,7 @@ class Codec:
         best, back and made (score, last boundary and id of the piece that ends there) cover the window from the
         last committed boundary on; positions in them count from there. The window has room for two longest pieces.
         """
-        begun, n, width, worst, none = self.begun, len(s), self.longest, self.worst, -math.inf
+        tree, n, width, worst, none = self.tree, len(s), self.longest, self.worst, -math.inf
         room = min(n, 2 * width)
         best, back, made = [0.0] + [none] * room, [0] * (room + 1), [None] * (room + 1)
         base = p = reach = 0
@@ -123,21 +135,24 @@ class Codec:
                 back += [0] * more
                 made += [None] * more
             at, here = base + p, best[p]
-            got = begun.get(s[at], False)
-            if got:
-                if (score := here + got[0]) > best[p + 1]:
-                    best[p + 1], back[p + 1], made[p + 1] = score, p, got[1]
-            elif here + worst > best[p + 1]:
-                best[p + 1], back[p + 1], made[p + 1] = here + worst, p, None
-            last = p + 1
-            if got is not False:
-                for end in range(p + 2, min(n - base, p + width) + 1):
-                    got = begun.get(s[at : base + end], False)
-                    if got:
+            last, node = p + 1, tree.get(s[at])
+            if node is None or node[0] is None:
+                if here + worst > best[last]:
+                    best[last], back[last], made[last] = here + worst, p, None
+            elif (total := here + node[0]) > best[last]:
+                best[last], back[last], made[last] = total, p, node[1]
+            if node is not None and node[2] is not None:
+                kids = node[2]
+                for end, c in enumerate(s[at + 1 : at + width], p + 2):
+                    node = kids.get(c)
+                    if node is None:
+                        break
+                    score, piece, kids = node
+                    if score is not None:
                         last = end
-                        if (score := here + got[0]) > best[end]:
-                            best[end], back[end], made[end] = score, p, got[1]
-                    elif got is False:
+                        if (total := here + score) > best[end]:
+                            best[end], back[end], made[end] = total, p, piece
+                    if kids is None:
                         break
             if last > reach:
                 reach = last
