@@ -392,7 +392,18 @@ def test_warc(spark):
         assert got == sorted(want, key=repr)
     e = index.where("page_id = 6").first()
     head, body = warc.fetch(e.bundle, e.frame, e.offset_in_frame)
-    assert head["WARC-Record-ID"] == "<urn:page:6>" and body == b"x" * 3_000_000
+    assert head["X-Page-ID"] == "6" and body == b"x" * 3_000_000
+    heads = [warc.fetch(e.bundle, e.frame, e.offset_in_frame)[0] for e in index.collect()]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows), "also for rows that repeat an id or have none"
+    assert all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", h["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"]) and h["Content-Type"] for h in heads)
+    again = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert again and all(h["WARC-Refers-To-Date"] == h["WARC-Date"] and h["WARC-Profile"] for h in again)
+    wrong = index.withColumn("page_id", index.page_id + 1)
+    with pytest.raises(Exception, match="the index names page"):
+        warc.read_archives(wrong).collect()
+    # several bundles a task
+    many = warc.write_archives(df, frame_bytes=1, bundle_bytes=1)
+    assert many.select("bundle").distinct().count() > 5 and warc.read_archives(many).count() == len(rows)
     empty = warc.write_archives(df.where("false"))
     assert empty.count() == 0 and warc.read_archives(empty).count() == 0
 
