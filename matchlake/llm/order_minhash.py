@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm._common import materialize, packed, partitions, scratch
+from matchlake.llm._common import packed, partitions
+from matchlake.operators.temporal import range_ends, range_of
 
 SIZE, TAKEN, TOKEN = 64, 2, 16
 
@@ -34,7 +35,7 @@ POINTS = [((i << 64) // SIZE - (1 << 63) + (1 << 63) // SIZE) & ~PLACE | PLACE f
 
 
 def entries(df: DataFrame, text: str, into: str) -> DataFrame:
-    """df with the column into, the SIZE entries of the column text's fingerprint."""
+    """df with the column into, the SIZE entries (32 bits each) of the column text's fingerprint."""
     own = lambda name: f"_{into}_{name}"
     at = lambda name: F.col(own(name))
     upper = lambda x: F.shiftright(x, PLACE_BITS)
@@ -57,9 +58,10 @@ def entries(df: DataFrame, text: str, into: str) -> DataFrame:
     def entry(place: Column, j: Column) -> Column:
         taken = F.transform(F.sequence(F.lit(0), F.least(F.lit(TAKEN), k) - 1), lambda m: F.get(at("only"), F.pmod(place - j + m, k)))
         in_text = F.array_sort(taken, lambda a, b: (a.bitwiseAND(PLACE) - b.bitwiseAND(PLACE)).cast("int"))
-        return F.aggregate(in_text, F.lit(0).cast("long"), lambda h, x: F.xxhash64(h, upper(x)))
+        hashed = F.aggregate(in_text, F.lit(0).cast("long"), lambda h, x: F.xxhash64(h, upper(x)))
+        return F.shiftright(F.shiftleft(hashed, 32), 32).cast("int")
 
-    df = df.withColumn(into, F.when(k > 0, F.transform(at("point"), entry)).otherwise(F.array_repeat(F.lit(0).cast("long"), SIZE)))
+    df = df.withColumn(into, F.when(k > 0, F.transform(at("point"), entry)).otherwise(F.array_repeat(F.lit(0), SIZE)))
     return df.select(*before, into)
 
 
@@ -69,28 +71,26 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def digits(a: Column) -> Column:
-    """An entry's last 32 bits as eight hex digits each."""
+    """Eight hex digits for each entry."""
     return F.array_join(F.transform(a, lambda x: F.right(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit(8))), "")
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str, *carried: str) -> DataFrame:
     """df with next, a struct of text_col and carried of the row after it by descending id; after the last row comes the first."""
-    spark = df.sparkSession
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
-    n_blocks = 4 * partitions(spark)
-    ids = df.select(key.alias("key")).repartitionByRange(n_blocks, F.desc("key"))
-    # a row for each block, and one in all
-    firsts = materialize(ids.groupBy(F.spark_partition_id().alias("task")).agg(F.max("key").alias("key")).agg(F.sort_array(F.collect_set("key"), asc=False).alias("firsts")), "bounds")
-    df = df.withColumn("_key", key).crossJoin(F.broadcast(firsts))
-    df = df.withColumn("_block", F.size(F.filter("firsts", lambda x: x >= F.col("_key"))) - 1)
-    is_first = F.get("firsts", F.col("_block")) == F.col("_key")
-    n = F.size("firsts")
-    copies = F.when(is_first, F.array(F.struct(F.col("_block").alias("block"), F.lit(False).alias("is_copy")), F.struct(F.pmod(F.col("_block") - 1, n).alias("block"), F.lit(True).alias("is_copy"))))
-    df = df.withColumn("_at", F.explode(F.coalesce(copies, F.array(F.struct(F.col("_block").alias("block"), F.lit(False).alias("is_copy"))))))
-    # the copies of a block's followers come behind its own rows
+    n_blocks = 4 * partitions(df.sparkSession)
+    ends = range_ends(df, key, n_blocks)  # one row
+    df = df.withColumn("_key", key).crossJoin(F.broadcast(ends))
+    df = df.withColumn("_block", range_of("_ends", F.col("_key"), n_blocks))
+    # the greatest row of a block follows the least of the block above
+    is_first = F.get("_ends", F.col("_block")) == F.col("_key")
+    own = F.struct(F.col("_block").alias("block"), F.lit(False).alias("is_copy"))
+    above = F.struct(F.pmod(F.col("_block") + 1, F.size("_ends")).alias("block"), F.lit(True).alias("is_copy"))
+    df = df.withColumn("_at", F.explode(F.when(is_first, F.array(own, above)).otherwise(F.array(own))))
+    # copies come behind a block's own rows
     order = Window.partitionBy("_at.block").orderBy("_at.is_copy", F.desc("_key"), F.asc(text_col))
     df = df.withColumn("next", F.lead(F.struct(text_col, *carried)).over(order))
-    return df.where("not _at.is_copy").drop("_key", "firsts", "_block", "_at")
+    return df.where("not _at.is_copy").drop("_key", "_ends", "_block", "_at")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,15 +108,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, both fingerprints in hex, and how like the edited text and the next document are."""
-    with scratch(docs.sparkSession, "order-minhash") as kept:
-        d = fingerprints(docs.select(id_col, text_col), id_col, text_col)
-        shown = d.select(
-            F.col("id").alias(id_col),
-            "n_chars",
-            F.sha2("edited", 256).alias("edited_sha256"),
-            digits(F.col("entries")).alias("fingerprint"),
-            digits(F.col("edited_entries")).alias("edited_fingerprint"),
-            likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
-            likeness(F.col("entries"), F.col("next.entries")).alias("near_next"),
-        )
-        return kept(shown)
+    d = fingerprints(docs.select(id_col, text_col), id_col, text_col)
+    return d.select(
+        F.col("id").alias(id_col),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        digits(F.col("entries")).alias("fingerprint"),
+        digits(F.col("edited_entries")).alias("edited_fingerprint"),
+        likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
+        likeness(F.col("entries"), F.col("next.entries")).alias("near_next"),
+    )

@@ -168,7 +168,7 @@ def brute_entries(text):
         h = 0
         for g, _ in sorted(first, key=lambda m: m[1]):
             h = signed(long(g, long(h, 42)))
-        out.append(h)
+        out.append(h % (1 << 32))
     return out
 
 
@@ -183,7 +183,7 @@ def brute_fingerprints(rows):
         edited = text[: len(text) - cut] + after[:cut]
         a, b, c = brute_entries(text), brute_entries(edited), brute_entries(after)
         like = lambda x, y: sum(u == v for u, v in zip(x, y)) / 64
-        hexed = lambda x: "".join(f"{e % (1 << 32):08x}" for e in x)
+        hexed = lambda x: "".join(f"{e:08x}" for e in x)
         out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), like(a, b), like(a, c)))
     return sorted(out, key=repr)
 

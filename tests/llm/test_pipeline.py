@@ -34,13 +34,33 @@ def test_pipeline(spark, tmp_path):
     gone = {d for d, _ in brute_contaminated(kept, [(1, passage), (2, prose(901, 30))])}
     codec = sentencepiece_codec.Codec(sentencepiece_codec.model_file())
     want = sorted(((d, list(memoryview(codec.encode(t)).cast("i"))) for d, t in kept if d not in gone), key=repr)
+    before = _tables(spark)
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(((r.doc_id, r.ids) for r in got.collect()), key=repr) == want
     # of the two equal documents the second loses its only line, and stays as the one empty document
     assert len(want) == 33 and all(r.round_trip for r in got.collect())
+    assert len(_tables(spark) - before) == 1, "of all tables in the shared folder only the result's stays"
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5 and not re.search("limit", str(corpus_pipeline.ORACLE_SQL))
 
 
+def _tables(spark):
+    from pathlib import Path
+
+    from matchlake.llm._common import shared_dir
+
+    return {str(p.parent) for p in Path(shared_dir(spark).removeprefix("file://")).rglob("_SUCCESS")}
+
+
+def test_stages_leave_each_other_alone(spark):
+    """A stage's rows can be read after any other stage has run on other rows."""
+    docs = lambda k: spark.createDataFrame([(i, prose(k + i, 60) + "\nthe same line in all of them\n" + prose(k + 50 + i, 30), "en", "s", 1) for i in range(12)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    a = corpus_pipeline.lines(spark, docs(0), "")
+    n = a.count()
+    b = corpus_pipeline.quality_rules(spark, docs(500), "")
+    c = corpus_pipeline.near_duplicates(spark, docs(900), "")
+    assert (a.count(), b.count(), c.count(), n) == (12, 12, 12, 12)
+
+
 def test_stages_on_odd_tables(spark, tmp_path):
     """Every stage with no rows, and with nulls, repeated ids, a long text and columns that clash with the operators' own."""
     spark.createDataFrame([(1, prose(901, 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
