@@ -28,25 +28,23 @@ from matchlake.llm._common import packed
 
 #: The rules.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: The weight that blocks, and terms by weight and language.
+#: The weight that blocks.
 LIMIT = 10
-WORDS = {
-    (LIMIT, "any"): "porn porno xxx hentai camgirl camgirls viagra cialis warez malware phishing botnet keygen keylogger",
-    (LIMIT, "en"): "nude nudes escort escorts sex",
-    (LIMIT, "de"): "nackt hure huren erotikkontakte",
-    (LIMIT, "fr"): "salope putes sexe",
-    (LIMIT, "es"): "desnuda desnudas putas sexo",
-    (5, "any"): "casino poker jackpot torrent crack bet bets slots",
-    (5, "en"): "adult betting lottery loan loans dating girls pills replica",
-    (5, "de"): "wetten lotto kredit sofortkredit pillen partnersuche",
-    (5, "fr"): "pari paris-sportifs loterie rencontres pilules",
-    (5, "es"): "apuestas loteria prestamo prestamos citas pastillas",
-    (5, "en, weak"): "free x hot cheap win",
-    (4, "de, weak"): "gratis billig gewinn",
-    (4, "fr, weak"): "gratuit cher gagner",
-    (4, "es, weak"): "barato gana",
-}
-TERMS = tuple(sorted({(term, weight) for (weight, _), words in WORDS.items() for term in words.split()}))
+#: Terms by weight. Strict ones say alone what a page is for; a word that encyclopedias, papers or shops use as well is soft, whatever
+#: its subject, and everyday words weigh so little that they only tip a url that two soft terms have brought near the limit.
+TERMS_BY_WEIGHT = {
+    LIMIT: (
+        "camgirl", "camgirls", "cialis", "erotikkontakte", "hentai", "keygen", "nudes", "porn", "porno", "putas", "putes", "salope", "viagra", "warez", "xxx",
+        "casino-bonus", "casino-en-ligne", "casino-online", "free-bets", "free-spins", "online-casino", "online-kasino", "paris-sportifs", "payday-loans", "replica-watches", "sportwetten-bonus",
+    ),
+    5: (
+        "apuestas", "betting", "botnet", "casino", "crack", "desnuda", "desnudas", "escort", "escorts", "huren", "jackpot", "keylogger", "lottery", "malware", "nackt", "nude",
+        "partnersuche", "phishing", "pilules", "poker", "sex", "sexe", "sexo", "slots", "sofortkredit", "torrent", "wetten",
+    ),
+    4: ("bet", "bets", "citas", "dating", "kredit", "loan", "loans", "loteria", "loterie", "lotto", "pari", "pastillas", "pillen", "pills", "prestamo", "prestamos", "rencontres", "replica"),
+    2: ("adult", "barato", "billig", "cheap", "cher", "free", "gagner", "gana", "gewinn", "girls", "gratis", "gratuit", "win"),
+}
+TERMS = tuple(sorted((term, weight) for weight, terms in TERMS_BY_WEIGHT.items() for term in terms))
 
 
 def vocabulary(terms: DataFrame, most: int = 1_000_000) -> tuple[tuple[str, int], ...]:

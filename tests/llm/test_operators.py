@@ -417,6 +417,23 @@ def test_urls(spark):
     ]
 
 
+#: Urls judged by hand from their words alone: pages for adults, gambling, pills, loans and pirated software, and pages that only speak of such.
+WANTED = [
+    "https://x.com/free-speech", "https://x.com/girls-school", "https://win.example.org/hot", "https://news.org/hot-chocolate-free-recipe", "https://en.wikipedia.org/wiki/Phishing", "https://uni.edu/sex-differences-in-biology",
+    "https://en.wikipedia.org/wiki/Casino_Royale", "https://museum.org/nude-in-painting", "https://bank.com/loans/free-quote", "https://uni.edu/malware-analysis", "https://shop.com/cheap-girls-shoes", "https://city.gov/adult-education", "https://film.org/poker-face", "https://lab.org/botnet-detection-win",
+]
+UNWANTED = [
+    "http://xxx.example.org/", "http://free-bets.example.org/fr", "http://a.example/online-casino/win", "http://b.example/poker-casino", "http://c.example/porn/", "http://d.example/casino/jackpot", "http://e.example/cialis?x=1", "http://f.example/torrent-keygen",
+    "http://g.example/nude-sex-free", "http://h.example/pills-replica-cheap", "http://i.example/escort/sex", "http://j.example/loto/casino-en-ligne", "http://k.example/slots-bets-win",
+]
+
+
+def test_url_vocabulary_by_default(spark):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(WANTED + UNWANTED)], "page_id bigint, url string")
+    verdict = {r.url: r.verdict for r in url_filter.judge(df, rules=()).select("_row.url", "verdict").collect()}
+    assert [u for u in WANTED if verdict[u] != "allow"] == [] and [u for u in UNWANTED if verdict[u] != "block"] == []
+
+
 def test_url_vocabulary(spark):
     """Weights add up over distinct terms; tables are empty, long, repeated."""
     table = spark.createDataFrame([("Foo", 10), ("bar", 5), ("bar", 4), ("baz", 5), ("qux", 4), (None, 9), ("", 9), ("zap", None)], "term string, weight int")
