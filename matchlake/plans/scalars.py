@@ -222,3 +222,38 @@ def b25_name_search(spark, sf: str) -> DataFrame:
 
 Q["b25_name_search"] = b25_name_search
 SQL["b25_name_search"] = "SELECT c_custkey, c_custkey % 3 = 0 AS tracked FROM customer WHERE lower(c_name) LIKE '%customer#0000000%' AND (c_custkey % 3 = 0 OR c_custkey % 2 = 0)"
+
+
+def b1_times_of_events(spark, sf: str) -> DataFrame:
+    """Every event's own time written in several ways and read back: with seven digits, without a zone, with an offset, and one that can't be read."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    said = lambda ts: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    way = F.col("event_id") % 4
+    later = said(F.col("ts") + F.make_dt_interval(hours=F.lit(2)))
+    text = F.when(way == 0, F.concat(said(F.col("ts")), F.lit("9Z"))).when(way == 1, said(F.col("ts"))).when(way == 2, F.concat(later, F.lit("+02:00"))).otherwise(F.concat(F.lit("at "), said(F.col("ts"))))
+    return e.select("event_id", norm.ts_ms(norm.parse_ts(text)).alias("ms"))
+
+
+Q["b1_times_of_events"] = b1_times_of_events
+SQL["b1_times_of_events"] = "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(epoch_us(ts) // 1000 AS BIGINT) END AS ms FROM events"
+
+
+def b_states_of_events(spark, sf: str) -> DataFrame:
+    """Phases, bots, vehicles and weapons named out of every event's own columns."""
+    i, t = F.col("idx"), F.col("t_s")
+    phase = F.floor(t / 3600).cast("double")
+    game = F.when(i % 5 == 0, F.lit(0.1)).when(t % 2 == 0, phase - 0.5).otherwise(phase)
+    kind = F.when(F.col("account_id") % 7 == 0, F.upper(F.concat(F.lit("user_"), F.lit("ai")))).otherwise(F.col("kind"))
+    account = F.when(F.col("victim_id") % 5 == 0, F.concat(F.lit("ai."), F.col("account_id").cast("string"))).otherwise(F.col("account_id").cast("string"))
+    vehicle = F.when(F.col("kind") == "position", F.lit("")).when(F.col("kind") != "hit", F.col("kind"))
+    weapon = F.concat(F.when(i % 2 == 0, F.lit("Item_Weapon_")).otherwise(F.lit("Weap")), F.initcap("kind"), F.lit("_C"))
+    return events(spark, sf).select(
+        "idx", norm.is_plane_phase(game).alias("plane"), norm.phase_kind(phase, game).alias("phase_kind"), norm.is_bot(kind, account).alias("bot"), norm.has_vehicle(vehicle).alias("rides"),
+        norm.normalise_weapon(weapon).alias("weapon"), norm.place_grade((F.col("account_id") % 14 + 1).cast("int")).alias("grade"), norm.choose_tick_ms(t * 100).alias("tick_ms"),
+    )
+
+
+Q["b_states_of_events"] = b_states_of_events
+SQL["b_states_of_events"] = f"""WITH {EV} SELECT idx, idx % 5 = 0 AS plane, CASE WHEN idx % 5 = 0 OR t_s % 2 = 0 THEN 'announce' ELSE 'close' END AS phase_kind, account_id % 7 = 0 OR victim_id % 5 = 0 AS bot,
+kind NOT IN ('position', 'hit') AS rides, 'weap' || kind || '_c' AS weapon, CASE WHEN account_id % 14 = 0 THEN 'win' WHEN account_id % 14 < 5 THEN 'top5' WHEN account_id % 14 < 10 THEN 'top10' ELSE 'rest' END AS grade,
+CASE WHEN t_s * 100 < 6500000 THEN 100 ELSE 1000 END AS tick_ms FROM ev"""
