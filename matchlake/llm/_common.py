@@ -41,7 +41,8 @@ _INTO: ContextVar[str | None] = ContextVar("into", default=None)
 
 def _written(df: DataFrame, folder: str, label: str) -> DataFrame:
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # tables of texts are smaller than by the default codec
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
