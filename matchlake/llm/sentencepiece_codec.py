@@ -2,10 +2,10 @@
 
 The best segmentation of a text under the model's piece scores is found from left to
 right. Only the positions of the last max_piece characters can still be extended, so
-the search keeps those and their back pointers, and commits ids as soon as all of them
-lead back to one boundary: at once where no kept piece crosses a position, and by
-following the back pointers whenever the window is full. The window grows only
-while paths that never meet again disagree.
+the search keeps those and their back pointers, and commits ids when all of them lead
+back to one boundary: whenever the window is full, the back pointers are followed. The
+window grows only while paths that never meet again disagree. Which pieces end at a
+character comes from an Aho-Corasick automaton that runs along the text.
 
 Before a run of word marks and around a line break (for models whose pieces don't
 contain those inside) the paths always meet. What lies between two such boundaries is
@@ -38,6 +38,7 @@ from array import array
 from collections.abc import Iterator
 from typing import Any
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ from matchlake.llm._common import packed
 
 MARK = "▁"
 #: Bytes of each of the memo's two generations in a worker, and those that an entry takes besides its characters and ids.
-MEMO_BYTES, ENTRY_BYTES = 24 << 20, 200
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: Points that a character without a piece scores below the worst piece.
 UNKNOWN = 10.0
 
@@ -75,19 +76,6 @@ def pieces(path: str) -> dict[str, Any]:
     return {"scores": scores, "bytes_of": bytes_of, "byte_ids": byte_ids}
 
 
-def _tree(scores: dict[str, tuple[float, int]]) -> dict[str, tuple]:
-    """Pieces by their characters: of each the score and id of the piece that ends there (None without one) and what can follow (None at the end)."""
-    top: dict[str, list] = {}
-    for piece, (score, i) in scores.items():
-        kids = top
-        for c in piece:
-            node = kids.setdefault(c, [None, None, {}])
-            kids = node[2]
-        node[:2] = score, i
-    done = lambda kids: {c: (score, i, done(more) if more else None) for c, (score, i, more) in kids.items()}
-    return done(top)
-
-
 class Codec:
     def __init__(self, model: str | dict[str, Any], memo_bytes: int = MEMO_BYTES, zipf: bool | None = None):
         """model: a file's path or its pieces; zipf: take scores as ranks; by default if all of them are whole numbers from 0 down."""
@@ -96,9 +84,14 @@ class Codec:
         self.bytes_of, self.byte_ids = model["bytes_of"], model["byte_ids"]
         if zipf or zipf is None and all(x <= 0 and x == int(x) for x, _ in self.scores.values()):
             self.scores = {p: (-math.log(2 - x), i) for p, (x, i) in self.scores.items()}
-        self.tree = _tree(self.scores)
         self.longest = max(map(len, self.scores))
         self.worst = min(s for s, _ in self.scores.values()) - UNKNOWN
+        #: Finds all pieces that end at a character, the longest first, as (length, score, id).
+        self.ends = ahocorasick.Automaton()
+        for piece, (score, i) in self.scores.items():
+            self.ends.add_word(piece, (len(piece), score, i))
+        self.ends.make_automaton()
+        self.alone = {p for p in self.scores if len(p) == 1}
         inner = any(MARK in p.lstrip(MARK) for p in self.scores)
         broken = any("\n" in p for p in self.scores)
         lines = f"{MARK}+[^{MARK}]*|[^{MARK}]+" if broken else f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
@@ -106,80 +99,78 @@ class Codec:
         self.between = re.compile(r"(?s).+" if inner else lines).findall
         self.young, self.old, self.held, self.room = {}, {}, 0, memo_bytes
 
+    def _matches(self, s: str) -> Iterator[tuple[int, tuple[int, float, int | None]]]:
+        """The pieces of s by their last character; one that is no piece by itself follows what ends there, without an id."""
+        if self.alone.issuperset(s):
+            return self.ends.iter(s)
+        return self._with_unknown(s)
+
+    def _with_unknown(self, s: str) -> Iterator[tuple[int, tuple[int, float, int | None]]]:
+        unknown = 1, self.worst, None
+        lone, found = iter([i for i, c in enumerate(s) if c not in self.alone]), self.ends.iter(s)
+        at = next(lone)
+        for match in found:
+            while at is not None and at < match[0]:
+                yield at, unknown
+                at = next(lone, None)
+            yield match
+        while at is not None:
+            yield at, unknown
+            at = next(lone, None)
+
     def search(self, s: str) -> Iterator[list[int]]:
         """Streams the ids of the best segmentation of s, boundary by boundary.
 
-        best, back and made (score, last boundary and id of the piece that ends there) cover the window from the
-        last committed boundary on; positions in them count from there. The window has room for two longest pieces.
+        best has the score of each boundary from the last committed one on; sizes and made have the length and id of the
+        best piece into each boundary after that. Every character is the end of some match, so a new end closes the one before.
         """
-        tree, n, width, worst, none = self.tree, len(s), self.longest, self.worst, -math.inf
-        room = min(n, 2 * width)
-        best, back, made = [0.0] + [none] * room, [0] * (room + 1), [None] * (room + 1)
-        base = p = reach = 0
-        while base + p < n:
-            if p and p == reach:
-                # no kept piece crosses p
-                yield self._ids(s, base, back, made, p)
-                best[: p + 1] = [best[p]]
-                del back[:p], made[:p]
-                base, p, reach = base + p, 0, 0
-            if p + width >= len(best) and base + len(best) <= n:
-                meet = self._meeting(best, back, p)
-                if meet:
-                    yield self._ids(s, base, back, made, meet)
-                    del best[:meet], made[:meet]
-                    back = [x - meet for x in back[meet:]]
-                    base, p, reach = base + meet, p - meet, reach - meet
-                more = min(n - base + 1, p + 2 * width + 1) - len(best)
-                best += [none] * more
-                back += [0] * more
-                made += [None] * more
-            at, here = base + p, best[p]
-            last, node = p + 1, tree.get(s[at])
-            if node is None or node[0] is None:
-                if here + worst > best[last]:
-                    best[last], back[last], made[last] = here + worst, p, None
-            elif (total := here + node[0]) > best[last]:
-                best[last], back[last], made[last] = total, p, node[1]
-            if node is not None and node[2] is not None:
-                kids = node[2]
-                for end, c in enumerate(s[at + 1 : at + width], p + 2):
-                    node = kids.get(c)
-                    if node is None:
-                        break
-                    score, piece, kids = node
-                    if score is not None:
-                        last = end
-                        if (total := here + score) > best[end]:
-                            best[end], back[end], made[end] = total, p, piece
-                    if kids is None:
-                        break
-            if last > reach:
-                reach = last
-            p += 1
-        if p:
-            yield self._ids(s, base, back, made, p)
+        best, sizes, made, width = [0.0], [], [], self.longest
+        base = last = 0
+        full, none = 2 * width, -math.inf
+        top, size, piece = none, 0, None
+        for end, (length, score, i) in self._matches(s):
+            if end != last:
+                best.append(top)
+                sizes.append(size)
+                made.append(piece)
+                top, last = none, end
+                if len(sizes) == full:
+                    meet = self._meeting(sizes, width)
+                    if meet:
+                        yield self._ids(s, base, sizes, made, meet)
+                        del best[:meet], sizes[:meet], made[:meet]
+                        base += meet
+                    full = max(2 * width, len(sizes) + width)
+            total = best[-length] + score
+            if total > top:
+                top, size, piece = total, length, i
+        if s:
+            sizes.append(size)
+            made.append(piece)
+            yield self._ids(s, base, sizes, made, len(sizes))
 
     @staticmethod
-    def _meeting(best: list[float], back: list[int], p: int) -> int:
+    def _meeting(sizes: list[int], width: int) -> int:
         """The boundary that all paths which can still be extended lead back to."""
-        live = {i for i in range(p, len(best)) if best[i] > -math.inf}
+        at = len(sizes)
+        live = set(range(max(0, at - width + 1), at + 1))
         while len(live) > 1:
-            top = max(live)
-            live.discard(top)
-            live.add(back[top])
+            if at in live:
+                live.discard(at)
+                live.add(at - sizes[at - 1])
+            at -= 1
         return live.pop()
 
-    def _ids(self, s: str, base: int, back: list[int], made: list, end: int) -> list[int]:
+    def _ids(self, s: str, base: int, sizes: list[int], made: list, end: int) -> list[int]:
         """The ids of the path from base to end."""
         out = []
         while end:
-            p, piece = back[end], made[end]
+            piece = made[end - 1]
             if piece is None:
-                out += [self.byte_ids[x] for x in reversed(s[base + p].encode())]
+                out += [self.byte_ids[x] for x in reversed(s[base + end - 1].encode())]
             else:
                 out.append(piece)
-            end = p
+            end -= sizes[end - 1]
         out.reverse()
         return out
 
@@ -200,10 +191,13 @@ class Codec:
         """The ids as native 32-bit integers."""
         if not text:
             return b""
-        out = []
-        for part in self.between(MARK + text.replace(" ", MARK)):
-            ids = self.young.get(part)
-            out.append(self._committed(part) if ids is None else ids)
+        parts = self.between(MARK + text.replace(" ", MARK))
+        out = list(map(self.young.get, parts))
+        if None in out:
+            for i, part in enumerate(parts):
+                if out[i] is None:
+                    ids = self.young.get(part)
+                    out[i] = self._committed(part) if ids is None else ids
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
