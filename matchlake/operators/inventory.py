@@ -3,19 +3,18 @@
 Rows come as match_id, account_id, idx (file order), t_ms, kind and what the kind
 needs. Pairings within some milliseconds are as-of joins, stacks and armour closed
 forms over windows. Only the choice of a slot depends on all that came before; it
-is folded per account of a match, a group that the match's length bounds.
+is folded along the rows of each account in a match.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.norm import armor_level, tick
-from matchlake.operators.temporal import asof
+from matchlake.operators.temporal import asof, folded
 
 KEYS = ("match_id", "account_id")
 #: Windows in ms, slots of helmet and vest, what armour holds by slot and level, how much of a hit it keeps by level, the wear of a hit without damage.
@@ -114,40 +113,40 @@ def armour_hits(rows: DataFrame) -> DataFrame:
     return r.select(*KEYS, "idx", "slot", F.col("_worn.item").alias("item"), F.row_number().over(e).alias("hit_no"), left.alias("remaining"), F.bround(left / F.col("_cap") * 100).cast("int").alias("percent"))
 
 
-_SLOT_FIELDS = "match_id {m}, account_id {a}, idx bigint, t_ms bigint, op string, slot int, item string, attached array<string>, loose int"
-
-
-def _place(rows: pd.DataFrame) -> pd.DataFrame:
-    """Where each equip, unequip, attach, detach, destroy and clear of one account acts.
+def _placing() -> Callable:
+    """Begins an account: where each equip, unequip, attach, detach, destroy and clear acts, as slot, attachments after it and loose.
 
     loose tells the stack's part: -1 the item comes out of the pack, 1 it goes there, 0 neither.
     """
-    worn: dict[int, tuple] = {}
-    out = []
-    for r in rows.sort_values("idx", kind="stable").itertuples(index=False):
-        before = tuple(r.before) if r.before is not None else ()
-        own = (r.item, before)
-        slot, after, loose = None if pd.isna(r.slot) else int(r.slot), before, 0
-        held = next((s for s in worn if worn[s] == own), None)
-        if r.op == "equip":
-            slot = 1 if slot == 0 and 0 in worn else slot
-            worn[slot], loose = own, -1
-        elif r.op == "unequip":
-            slot, loose = slot if held is None else held, 1
-            worn.pop(slot, None)
-        elif r.op == "destroy":
-            worn.pop(slot, None)
-        elif r.op == "clear":
-            worn.clear()
-        else:
-            after, slot = tuple(r.after), held
-            if held is not None:
-                worn[held] = (r.item, after)
+
+    def start() -> Callable:
+        worn: dict[int, tuple] = {}
+
+        def place(op: str, slot: int | None, item: str, before: list, after: list) -> tuple:
+            own, loose = (item, tuple(before)), 0
+            held = next((s for s in worn if worn[s] == own), None)
+            if op == "equip":
+                slot = 1 if slot == 0 and 0 in worn else slot
+                worn[slot], loose = own, -1
+            elif op == "unequip":
+                slot, loose = slot if held is None else held, 1
+                worn.pop(slot, None)
+            elif op == "destroy":
+                worn.pop(slot, None)
+            elif op == "clear":
+                worn.clear()
             else:
-                loose = 1
-        out.append((r.match_id, r.account_id, r.idx, r.t_ms, r.op, slot, r.item, list(after), loose))
-    made = pd.DataFrame(out, columns=["match_id", "account_id", "idx", "t_ms", "op", "slot", "item", "attached", "loose"])
-    return made.astype({"slot": "Int32", "loose": "int32"})
+                slot = held
+                if held is not None:
+                    worn[held] = (item, tuple(after))
+                else:
+                    loose = 1
+                return slot, after, loose
+            return slot, before, loose
+
+        return place
+
+    return start
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -159,10 +158,10 @@ def placed(rows: DataFrame) -> DataFrame:
     """
     r = rows.where("op in ('clear', 'attach', 'detach') or slot is not null")
     before = F.array_sort(F.coalesce("before", F.array().cast("array<string>")))
-    r = r.select(*KEYS, "idx", "t_ms", "op", F.col("slot").cast("int").alias("slot"), "item", before.alias("before"), "child")
+    r = r.select(*KEYS, F.col("idx").cast("bigint").alias("idx"), F.col("t_ms").cast("bigint").alias("t_ms"), "op", F.col("slot").cast("int").alias("slot"), "item", before.alias("before"), "child")
     r = r.withColumn("after", F.when(F.col("op").isin("attach", "detach"), reattached(F.col("before"), F.col("child"), F.col("op") == "attach")).otherwise(F.col("before")))
-    kinds = {k: rows.schema[k].dataType.simpleString() for k in KEYS}
-    return r.groupBy(*KEYS).applyInPandas(_place, _SLOT_FIELDS.format(m=kinds["match_id"], a=kinds["account_id"]))
+    done = folded(r, KEYS, [F.col("idx").asc_nulls_last()], ["op", "slot", "item", "before", "after"], _placing(), {"at": "int", "attached": "array<string>", "loose": "int"})
+    return done.select(*KEYS, "idx", "t_ms", "op", F.col("at").alias("slot"), "item", "attached", "loose")
 
 
 DELTA = ("match_id", "account_id", "idx", "t_ms", "op", "slot", "item", "quantity", "attached")

@@ -6,8 +6,9 @@ the key and sorts, where a range join would compare pairs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,5 +149,31 @@ def epochs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], starts: C
     return rows.withColumn("epoch", F.sum(starts.cast("int")).over(w)).where("epoch > 0")
 
 
+_ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+
+
+def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], inputs: Sequence[str], start: Callable[[], Callable], outputs: dict[str, str]) -> DataFrame:
+    """rows with outputs, which a function of inputs makes row by row in the order; start gives a new function for each key.
+
+    outputs names a type each, or the column whose type it has. Keys follow each other in sorted partitions that are read in batches: neither is a
+    key held, nor is there a call for each key, so many small keys cost what their rows cost.
+    """
+    kinds = {c: rows.schema[k].dataType.simpleString() if k in rows.columns else k for c, k in outputs.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for b in batches:
+            made = []
+            for key, values in zip(zip(*[b.column(c).to_pylist() for c in keys]), zip(*[b.column(c).to_pylist() for c in inputs])):
+                if step is None or key != last:
+                    last, step = key, start()
+                made.append(step(*values))
+            types = [b.schema.field(k).type if k in b.schema.names else _ARROW[k] for k in outputs.values()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([m[i] for m in made], t) for i, t in enumerate(types)]], [*b.schema.names, *outputs])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", `{c}` {k}" for c, k in kinds.items())
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def top_per(rows: DataFrame, keys: Sequence[str], order: Sequence, n: int = 1) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
