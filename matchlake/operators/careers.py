@@ -303,12 +303,14 @@ def folded_alerts(checks: DataFrame) -> DataFrame:
     w = Window.partitionBy("kind", "_range").orderBy("t_s", "idx")
     good = F.when(F.col("ok"), F.col("t_s"))
     r = ranged(checks.select("kind", "t_s", "idx", "ok"), ["kind", "t_s", "idx"])
-    r = r.withColumn("_run", F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.min(good).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # what is ahead is looked up in the turned order: a frame that ends with the key is summed anew for each row
+    turned = Window.partitionBy("kind", "_range").orderBy(F.col("t_s").desc(), F.col("idx").desc())
+    r = r.withColumn("_run", F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.min(good).over(turned.rowsBetween(Window.unboundedPreceding, -1)))
     # a row for each range and kind in it
     of_range = r.groupBy("kind", "_range").agg(F.count_if("ok").alias("n_ok"), F.min(good).alias("first_ok"))
     along = Window.partitionBy("kind").orderBy("_range")
     before = F.coalesce(F.sum("n_ok").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
-    later = F.min("first_ok").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later")
+    later = F.min("first_ok").over(Window.partitionBy("kind").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_later")
     joined = r.where("not ok").join(of_range.select("kind", "_range", before, later), ["kind", "_range"])
     runs = joined.groupBy("kind", (F.col("_before") + F.col("_run")).alias("_run"))
     return runs.agg(F.min("t_s").alias("opened"), F.max("t_s").alias("last_seen"), F.count("*").alias("observations"), F.max(F.coalesce("_next", "_later")).alias("resolved")).drop("_run")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,11 @@ def _both(probes: DataFrame, samples: DataFrame, keys: Sequence[str], t: str, ca
     return sample.unionByName(probe)
 
 
+def _ahead(keys: Sequence[str], tie: Sequence[str]) -> WindowSpec:
+    """From the key's end to the row, of equal times samples first: the last sample is the next one. In the order of time the frame would be gone through anew for each row."""
+    return Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_o"), *[F.col("_s")[c].desc() for c in tie]).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def asof(probes: DataFrame, samples: DataFrame, keys: Sequence[str], t: str, carry: Sequence[str], direction: str = "backward", tie: Sequence[str] = (), max_lag: float | None = None, prefix: str = "s_") -> DataFrame:
     """Every probe with the sample of its key that is the last at or before it (backward), the first at or after it (forward) or the nearest of both.
 
@@ -31,11 +36,10 @@ def asof(probes: DataFrame, samples: DataFrame, keys: Sequence[str], t: str, car
     in the order of tie, which must be carried. Beyond max_lag nothing is joined. Adds prefix + t, prefix + carried columns and prefix + lag.
     """
     both = _both(probes, samples, keys, t, carry)
-    order = [F.col("_t"), *[F.col("_s")[c] for c in tie]]
     back = Window.partitionBy(*keys).orderBy(F.col("_t"), F.col("_o"), *[F.col("_s")[c] for c in tie]).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col("_t"), F.col("_o").desc(), *order[1:]).rowsBetween(0, Window.unboundedFollowing)
+    ahead = _ahead(keys, tie)
     before = F.last("_s", ignorenulls=True).over(back) if direction != "forward" else None
-    after = F.first("_s", ignorenulls=True).over(ahead) if direction != "backward" else None
+    after = F.last("_s", ignorenulls=True).over(ahead) if direction != "backward" else None
     if direction == "nearest":
         found = both.withColumn("_b", before).withColumn("_a", after).where("_p is not null")
         nearer = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("_t") - F.col("_b")["t"] <= F.col("_a")["t"] - F.col("_t")))
@@ -51,8 +55,8 @@ def interpolated(probes: DataFrame, samples: DataFrame, keys: Sequence[str], t:
     """Every probe with the values between the samples around it, linear in time; at the ends clamped, or null before the first sample without clamp."""
     both = _both(probes, samples, keys, t, [*values, *tie])
     back = Window.partitionBy(*keys).orderBy(F.col("_t"), F.col("_o"), *[F.col("_s")[c] for c in tie]).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col("_t"), F.col("_o").desc(), *[F.col("_s")[c] for c in tie]).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_b", F.last("_s", ignorenulls=True).over(back)).withColumn("_a", F.first("_s", ignorenulls=True).over(ahead)).where("_p is not null")
+    ahead = _ahead(keys, tie)
+    found = both.withColumn("_b", F.last("_s", ignorenulls=True).over(back)).withColumn("_a", F.last("_s", ignorenulls=True).over(ahead)).where("_p is not null")
     b, a = F.col("_b"), F.col("_a")
     span = a["t"] - b["t"]
     at = lambda c: F.when(b.isNull(), a[c] if clamp else F.lit(None)).when(a.isNull() | (span <= 0), b[c]).otherwise(b[c] + (a[c] - b[c]) * (F.col("_t") - b["t"]) / span)

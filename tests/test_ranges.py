@@ -4,8 +4,9 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from matchlake.operators import careers, temporal
+from matchlake.operators import careers, temporal, tracks
 from matchlake.streaming import jobs
 
 
@@ -100,3 +101,26 @@ def test_live_alerts_go_on_over_batches(spark, tmp_path):
         jobs.live_alerts(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "state")).awaitTermination()
     got = spark.read.schema(jobs.ALERT).parquet(f"{out}/events")
     assert sorted(tuple(x) for x in got.select("kind", "idx", "event", "opened", "last_seen", "observations").collect()) == sorted(want)
+
+
+def test_nothing_looks_ahead_to_a_keys_end(spark):
+    """Spark goes through a frame that ends with the key anew for each row, so looking ahead takes the turned order."""
+    rows = [("k", i, i, i % 9 == 0, "m", 1, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "kind string, t_s long, idx long, ok boolean, match_id string, account_id long, probe_id long")
+    folded = careers.folded_alerts(df)
+    near = [temporal.asof(df, df, ["kind"], "t_s", ["idx"], d, ["idx"]) for d in ("forward", "nearest")]
+    between = temporal.interpolated(df, df, ["kind"], "t_s", ["idx"])
+    step = tracks.step_fight(df, df.withColumnRenamed("t_s", "t_start"), ["kind"])
+    assert not any("unboundedfollowing" in x._jdf.queryExecution().toString().lower() for x in (folded, *near, between, step))
+    assert [(x.opened, x.last_seen, x.observations, x.resolved) for x in folded.orderBy("opened").collect()][-2:] == [(46, 53, 8, 54), (55, 59, 5, None)]
+    assert {(x.t_s, x.next_t, x.prev_t) for x in step.join(df.select("probe_id", "t_s"), "probe_id").collect()} == {(i, i + 2 if i < 58 else None, i - 2 if i > 1 else None) for i in range(60)}
+
+
+def test_equal_times_ahead(spark):
+    """Among samples of one time ahead the first by tie is the next one, a null tie before all others."""
+    probes = spark.createDataFrame([("k", 5), ("k", 6), ("k", 8)], "k string, t long")
+    samples = spark.createDataFrame([("k", 6, 2), ("k", 6, 1), ("k", 7, 4), ("k", 7, None), ("k", 5, 9)], "k string, t long, i long")
+    got = temporal.asof(probes, samples, ["k"], "t", ["i"], "forward", ["i"]).collect()
+    assert {(x.t, x.s_t, x.s_i) for x in got} == {(5, 5, 9), (6, 6, 1), (8, None, None)}
+    later = temporal.asof(probes.where("t = 6").withColumn("t", F.lit(7).cast("long")), samples, ["k"], "t", ["i"], "forward", ["i"]).collect()
+    assert [(x.s_t, x.s_i) for x in later] == [(7, None)]
