@@ -10,7 +10,7 @@ from matchlake.operators import inventory, reviews
 from matchlake.operators.rounds import shared_folder
 from matchlake.plans import timeline
 from matchlake.plans.timeline import M, W, engagements, of
-from matchlake.plans.view import EV, RES, events, results
+from matchlake.plans.view import EV, RES, events, results, results_by_player
 from matchlake.sources.files import profile_schema
 from matchlake.streaming import fights, jobs
 
@@ -237,12 +237,12 @@ def _metrics(r):
     return met, r.groupBy(*M).agg(F.min("win_place").alias("win_place"), F.min("team_id").alias("team_id"), F.bool_or("tracked").alias("tracked"))
 
 
-@over(results, f"{R}, {_MET} SELECT match_id, account_id, rotate_lag_s, hot_drop_n, win_place FROM met JOIN who USING (match_id, account_id) WHERE tracked")
+@over(results_by_player, f"{R}, {_MET} SELECT match_id, account_id, rotate_lag_s, hot_drop_n, win_place FROM met JOIN who USING (match_id, account_id) WHERE tracked")
 def g28_strategy_rows(r):
     return reviews.strategy_rows(*_metrics(r), "tracked", True).select(*M, "rotate_lag_s", "hot_drop_n", "win_place")
 
 
-@over(results, f"""{R}, {_MET} SELECT match_id, team_id % 2 AS team_id, count(DISTINCT account_id) AS n_players,
+@over(results_by_player, f"""{R}, {_MET} SELECT match_id, team_id % 2 AS team_id, count(DISTINCT account_id) AS n_players,
 string_agg(account_id || ':' || CAST(hot_drop_n AS VARCHAR), ',' ORDER BY account_id) AS players, sum(hot_drop_n) / count(hot_drop_n) AS squad_mean FROM met JOIN
 who USING (match_id, account_id) WHERE tracked GROUP BY 1, 2 HAVING n_players >= 2""")
 def g29_squad_strategy(r):

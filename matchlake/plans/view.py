@@ -20,17 +20,37 @@ RESULT = [
     "CAST(floor(l_discount * 100 + 0.5) AS INT) AS assists", "l_returnflag = 'R' AS is_bot", "CAST(o_orderdate AS DATE) AS played_on", "o_orderstatus AS match_type", "o_orderpriority AS game_mode", "CONCAT('map', CAST(o_custkey % 5 AS STRING)) AS map_name", "l_partkey % 40 AS weapon", "l_suppkey % 10 = 0 AS tracked",
 ]
 
+#: Bytes of Parquet of results for a task; sorted and hashed in memory they take some tens of times that.
+TASK_BYTES = 8 << 20
+
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet").selectExpr(*EVENT)
 
 
+def tasks(spark: SparkSession, sf: str) -> int | None:
+    """Over how many tasks results are dealt, a task for each TASK_BYTES of their files; None if that isn't more than the session's cores anyway."""
+    files = [spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{t}.parquet") for t in ("lineitem", "orders")]
+    n = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in files) // TASK_BYTES + 1
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """df over n tasks by the keys; with None as Spark deals it."""
+    return df if n is None else df.repartition(n, *keys)
+
+
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
-    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    n = tasks(spark, sf)
+    items = dealt(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"), n, "l_orderkey")
+    orders = dealt(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"), n, "o_orderkey")
     return items.join(orders, items.l_orderkey == orders.o_orderkey).selectExpr(*RESULT)
 
 
+def results_by_player(spark: SparkSession, sf: str) -> DataFrame:
+    return dealt(results(spark, sf), tasks(spark, sf), "match_id", "account_id")
+
+
 EV = f"ev AS (SELECT {', '.join(EVENT)} FROM events)"
 RES = f"res AS (SELECT {', '.join(RESULT)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 KINDS = ", ".join(f"{k}s AS (SELECT * FROM ev WHERE kind = '{k}')" for k in ("hit", "knock", "kill", "position", "landing"))
