@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from matchlake.operators.temporal import asof
 
 M, KEYS = "match_id", ["match_id", "account_id"]
 
+#: Accounts times circles that are compared at once.
+AT_ONCE = 1 << 18
+
 
 def zone_play(roster: DataFrame, phases: DataFrame, track: DataFrame, zones: DataFrame, max_lag: float) -> DataFrame:
     """Membership of every account at a phase's announcement and close, and its state and place against the circle at the close.
@@ -45,19 +50,51 @@ def blue_dwell(track: DataFrame, cap: float = 15.0) -> DataFrame:
     return t.groupBy(*KEYS).agg(F.when(F.max("land_t").isNotNull(), F.coalesce(F.sum(inside), F.lit(0))).alias("blue_s"))
 
 
-def rotate_lag(track: DataFrame, circles: DataFrame, landings: DataFrame, cell: float = 100_000.0) -> DataFrame:
+def _first_inside(samples: pa.Table, circles: pa.Table) -> pa.Table:
+    """Per account of samples (by first sights: times, places, landing) the sum of lags and the number of circles that it was seen in."""
+    circles = circles.sort_by("announced")
+    announced, zx, zy, zr = (circles.column(c).to_numpy() for c in ("announced", "zx", "zy", "zr"))
+    code = samples.column("account_id").combine_chunks().dictionary_encode()
+    account, names = code.indices.to_numpy(zero_copy_only=False), code.dictionary
+    t, land, x, y = (samples.column(c).to_numpy() for c in ("t", "land", "x", "y"))
+    order = np.lexsort((t, account))
+    begin = np.searchsorted(account[order], np.arange(len(names) + 1))
+    lag, n = np.zeros(len(names)), np.zeros(len(names), np.int64)
+    # accounts by their last sample, so that a block meets only circles announced by then
+    by_end = np.argsort(t[order[begin[1:] - 1]], kind="stable") if len(names) else np.arange(0)
+    at = 0
+    while at < len(by_end):
+        block = by_end[at : at + max(1, AT_ONCE // max(1, len(announced)))]
+        at += len(block)
+        until = np.searchsorted(announced, t[order[begin[block + 1] - 1]].max(), "right")
+        seen = np.zeros((len(block), until), bool)
+        for rank in range((begin[block + 1] - begin[block]).max()):
+            has = np.flatnonzero(begin[block] + rank < begin[block + 1])
+            s = order[begin[block[has]] + rank]
+            px, py, pt = x[s][:, None] - zx[:until], y[s][:, None] - zy[:until], t[s][:, None]
+            new = (np.sqrt(px * px + py * py) <= zr[:until]) & (announced[:until] <= pt) & ~seen[has]
+            seen[has] |= new
+            lag[block[has]] += np.where(new, pt - np.maximum(announced[:until], land[s][:, None]), 0).sum(1)
+            n[block[has]] += new.sum(1)
+    got = np.flatnonzero(n)
+    match = samples.column("match_id").slice(0, 1).take(pa.array(np.zeros(len(got), np.int64))) if len(samples) else samples.column("match_id")
+    return pa.table({"match_id": match, "account_id": names.take(pa.array(got)), "rotate_lag_s": lag[got] / n[got], "n_circles": n[got]})
+
+
+def rotate_lag(track: DataFrame, circles: DataFrame, landings: DataFrame, parts: int = 8) -> DataFrame:
     """Mean time from a circle's announcement (or the landing, if later) until the account is first seen alive inside it.
 
-    Samples meet only circles that reach into their grid square of side cell.
+    A match's accounts are dealt to parts, which meet all its circles a block at a time: no pair of both is a row, and what is shuffled and held is
+    linear in samples and circles. The comparisons themselves are as many as accounts' samples times circles announced by then.
     """
-    lo, hi = lambda c: F.floor((F.col(c) - F.col("zr")) / cell).cast("int"), lambda c: F.floor((F.col(c) + F.col("zr")) / cell).cast("int")
-    c = circles.select(M, F.col("idx").alias("circle"), F.col("t_s").alias("announced"), "zx", "zy", "zr")
-    c = c.withColumn("gx", F.explode(F.sequence(lo("zx"), hi("zx")))).withColumn("gy", F.explode(F.sequence(lo("zy"), hi("zy"))))
-    square = [F.floor(F.col(x) / cell).cast("int").alias(f"g{x}") for x in ("x", "y")]
-    seen = track.where("alive").join(landings.select(*KEYS, "land_t"), KEYS).where("t_s >= land_t").select(*KEYS, "t_s", "land_t", "x", "y", *square)
-    inside = seen.join(c, [M, "gx", "gy"]).where((F.col("t_s") >= F.col("announced")) & (distance(F.col("x"), F.col("y"), F.col("zx"), F.col("zy")) <= F.col("zr")))
-    first = inside.groupBy(*KEYS, "circle").agg((F.min("t_s") - F.max(F.greatest("announced", "land_t"))).alias("lag"))
-    return first.groupBy(*KEYS).agg((F.sum("lag").cast("double") / F.count("*")).alias("rotate_lag_s"), F.count("*").alias("n_circles"))
+    num = lambda c, a: F.col(c).cast("double").alias(a)
+    c = circles.select(F.col(M).alias("circle_match"), "idx", num("t_s", "announced"), num("zx", "zx"), num("zy", "zy"), num("zr", "zr")).dropna(subset=["circle_match", "announced", "zx", "zy", "zr"]).distinct().drop("idx")
+    c = c.withColumn("circle_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    seen = track.where("alive").join(landings.select(*KEYS, "land_t"), KEYS).where("t_s >= land_t").select(*KEYS, num("t_s", "t"), num("land_t", "land"), num("x", "x"), num("y", "y")).dropna()
+    seen = seen.withColumn("part", F.pmod(F.xxhash64("account_id"), F.lit(parts)).cast("int"))
+    kinds = ", ".join(f"{k} {track.schema[k].dataType.simpleString()}" for k in KEYS)
+
+    return seen.groupBy(M, "part").cogroup(c.groupBy("circle_match", "circle_part")).applyInArrow(_first_inside, f"{kinds}, rotate_lag_s double, n_circles bigint")
 
 
 def teammate_spread(track: DataFrame, roster: DataFrame, max_lag: float, near: float = 10_000.0) -> DataFrame:
@@ -90,11 +127,12 @@ def early_items(deltas: DataFrame, landings: DataFrame, until: float, weapon_slo
 
 
 def strategy_metrics(roster: DataFrame, *parts: DataFrame) -> DataFrame:
-    """Every account of the roster with all metrics, null where not measured."""
-    out = roster.select(*KEYS)
+    """Every account of the roster with all metrics, null where not measured; parts have a row an account and meet in one grouping, so none is broadcast."""
+    out = roster.select(*KEYS).withColumn("_of_roster", F.lit(True))
     for p in parts:
-        out = out.join(p, KEYS, "left")
-    return out
+        out = out.unionByName(p.dropna(subset=KEYS), allowMissingColumns=True)
+    metrics = [F.first(c, ignorenulls=True).alias(c) for c in out.columns if c not in KEYS]
+    return out.groupBy(*KEYS).agg(*metrics).where("_of_roster").drop("_of_roster")
 
 
 def death_context(kills: DataFrame, roster: DataFrame, track: DataFrame, deaths: DataFrame, max_lag: float) -> DataFrame:
